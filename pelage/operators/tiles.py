@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 MIN_BLOCK_ROWS = 512
 MAX_TASKS = 20_000
 
@@ -94,9 +94,9 @@ def _arrow(parts: list[dict[str, object]], schema: pa.Schema) -> pa.Table:
     return pa.concat_tables(tables) if tables else schema.empty_table()
 
 
-def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
-    """Blocks of at most about ``block_rows``, a few of them even for small tables."""
-    return max(math.ceil(rows / block_rows), min(4, math.ceil(rows / MIN_BLOCK_ROWS)), 1)
+def block_count(rows: int) -> int:
+    """Blocks of at most about ``BLOCK_ROWS``, a few of them even for small tables."""
+    return max(math.ceil(rows / BLOCK_ROWS), min(4, math.ceil(rows / MIN_BLOCK_ROWS)), 1)
 
 
 def block_of(ident: Column, blocks: int) -> Column:
@@ -181,7 +181,6 @@ def pair_tiles(
 
 def group_tiles(
     items: DataFrame, fn: TileFn, schema: str, *, rows: int, vector: str | None = "embedding",
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Unordered pairs within each label once.
 
@@ -192,7 +191,7 @@ def group_tiles(
     """
     schema_type = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(schema_type)
-    shared = block_count(rows, block_rows)
+    shared = block_count(rows)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0:
@@ -216,8 +215,8 @@ def group_tiles(
 
     labelled = items.filter(F.col("label").isNotNull())
     hot = (
-        labelled.groupBy("label").agg(F.count("*").alias("_n")).filter(F.col("_n") > block_rows)
-        .select("label", F.ceil(F.col("_n") / block_rows).cast("int").alias("_k"))
+        labelled.groupBy("label").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK_ROWS)
+        .select("label", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_k"))
     )
     marked = labelled.join(hot, "label", "left").select(
         *items.columns,
