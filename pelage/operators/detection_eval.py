@@ -132,18 +132,13 @@ def average_precision_per_level(curve: DataFrame) -> DataFrame:
     tail = last.select("level", F.lit(1.0).alias("r"), F.lit(0.0).alias("p"), "r0", "p0")
     segments = steps.unionByName(tail)
     n = RECALL_POINTS - 1
-    # Points in (r0, r]; recall 0 itself is added below with the value just before it rises.
-    first, end = F.floor(c("r0") * n + 1e-9).cast("int") + 1, F.floor(c("r") * n + 1e-9).cast("int")
+    # Points in [r0, r): a point on a step takes the value behind it, and recall 1 counts 0.
+    first, end = F.ceil(c("r0") * n - 1e-9).cast("int"), F.ceil(c("r") * n - 1e-9).cast("int") - 1
     index = F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<int>"))
     at = segments.filter(c("r") > c("r0")).withColumn("i", F.explode(index))
     value = c("p0") + (c("i") / n - c("r0")) / (c("r") - c("r0")) * (c("p") - c("p0"))
-    weighted = at.select("level", F.when(c("i") == n, value / 2).otherwise(value).alias("v"))
-    # np.interp at recall 0 takes the last point with recall 0.
-    zero = envelope.groupBy("level").agg(
-        F.coalesce(F.min_by(F.when(c("recall") == 0, c("p")), F.when(c("recall") == 0, c("confidence"))),
-                   F.max(F.lit(1.0))).alias("p"))
-    start = zero.select("level", (c("p") / 2).alias("v"))
-    return weighted.unionByName(start).groupBy("level").agg((F.sum("v") / n).alias("ap"))
+    weighted = F.when(c("i") == 0, value / 2).otherwise(value)
+    return at.groupBy("level").agg((F.sum(weighted) / n).alias("ap"))
 
 
 def detection_eval(predictions: DataFrame, truth: DataFrame) -> DataFrame:
