@@ -22,6 +22,14 @@ def truncate(value: Column) -> Column:
     return value.cast("double").cast("bigint")
 
 
+def _known(value: Column, *needed: Column) -> Column:
+    """``value`` where all ``needed`` are known: ``greatest`` and ``least`` skip NULLs."""
+    known = needed[0].isNotNull()
+    for column in needed[1:]:
+        known &= column.isNotNull()
+    return F.when(known, value)
+
+
 def _non_negative(value: Column) -> Column:
     return F.greatest(F.lit(0), value)
 
@@ -37,12 +45,12 @@ def clean_corners(xmin: Column, ymin: Column, xmax: Column, ymax: Column,
     left, top = F.greatest(F.lit(0.0), xmin), F.greatest(F.lit(0.0), ymin)
     right = F.least(width.cast("double"), xmax)
     bottom = F.least(height.cast("double"), ymax)
-    return F.struct(
+    return _known(F.struct(
         F.round(left, 2).alias("x"),
         F.round(top, 2).alias("y"),
         F.round(right - left, 2).alias("w"),
         F.round(bottom - top, 2).alias("h"),
-    )
+    ), xmin, ymin, xmax, ymax, width, height)
 
 
 def clean_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
@@ -53,12 +61,12 @@ def clean_box(x: Column, y: Column, w: Column, h: Column, width: Column, height:
 def clamp_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
     """Box cut at the image border, not rounded."""
     left, top = _non_negative(x), _non_negative(y)
-    return F.struct(
+    return _known(F.struct(
         left.cast("double").alias("x"),
         top.cast("double").alias("y"),
         (F.least(width, x + w) - left).cast("double").alias("w"),
         (F.least(height, y + h) - top).cast("double").alias("h"),
-    )
+    ), x, y, w, h, width, height)
 
 
 def centre_form(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
@@ -101,7 +109,7 @@ def window_around(x1: Column, y1: Column, x2: Column, y2: Column,
         F.least(width, x2 + pad_x).cast("bigint").alias("x2"),
         F.least(height, y2 + pad_y).cast("bigint").alias("y2"),
     )
-    return F.when((window.x2 > window.x1) & (window.y2 > window.y1), window)
+    return _known(F.when((window.x2 > window.x1) & (window.y2 > window.y1), window), x1, y1, x2, y2, width, height)
 
 
 def detection_window(x1: Column, y1: Column, x2: Column, y2: Column,

@@ -69,13 +69,21 @@ def _predict_column(load: Load, return_type: str, window: Column | None = None)
             yield answers(rows, predict)
 
     run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
-    model = F.pandas_udf(run, return_type)
+    # Not deterministic for the optimizer: model output is computed once per row and
+    # never copied into the expressions that use it.
+    model = F.pandas_udf(run, return_type).asNondeterministic()
     fields = [c(k) for k in _PIXELS]
     if window is not None:
         fields += [window[k].alias(k) for k in ("x1", "y1", "x2", "y2")]
     return model(F.struct(*fields))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: the optimizer would copy a
+    plain expression into each of its uses, and windows of windows explode. NULL stays NULL."""
+    return F.get(F.transform(F.array(value), lambda v: F.when(v.isNotNull(), body(v))), 0)
+
+
 def scale_raw_detections(raw: Column, width: Column, height: Column, input_w: int, input_h: int,
                          floor: float = 0.1, animal_class: str = "dog") -> Column:
     """Raw rows ``x1, y1, x2, y2, confidence, …`` to detections in image pixels."""
@@ -157,21 +165,21 @@ def score_images(
     """
     df = detect_batch(images, detector, detector_size, animal_class=target)
     best = most_confident(confident_targets(c("detections"), target, detection_threshold))
-    df = df.withColumn("_best", best)
-    b = c("_best")
-    df = df.withColumn("crop", G.detection_window(b.x1, b.y1, b.x2, b.y2, c("width"), c("height")))
+    df = df.withColumn("crop", _let(best, lambda b: G.detection_window(
+        b["x1"], b["y1"], b["x2"], b["y2"], c("width"), c("height"))))
     if keypoint_model is not None:
         df = keypoints_batch(df, keypoint_model, "crop", keypoint_size)
-        crop = c("crop")
-        refined = G.refined_window(
-            most_confident(c("instances"))["keypoints"], crop.x2 - crop.x1, crop.y2 - crop.y1,
-            keypoint_threshold)
-        df = df.withColumn("_fine", refined)
-        fine = c("_fine")
-        df = df.withColumn("crop", F.when(crop.isNotNull() & fine.isNotNull(), F.struct(
-            (crop.x1 + fine.x1).alias("x1"), (crop.y1 + fine.y1).alias("y1"),
-            (crop.x1 + fine.x2).alias("x2"), (crop.y1 + fine.y2).alias("y2")))).drop("_fine", "instances")
-    return embed_batch(df, embedder, "crop").drop("_best")
+
+        def inside(crop: Column, points: Column) -> Column:
+            fine = G.refined_window(points, crop["x2"] - crop["x1"], crop["y2"] - crop["y1"], keypoint_threshold)
+            return _let(fine, lambda f: F.when(f.isNotNull(), F.struct(
+                (crop["x1"] + f["x1"]).alias("x1"), (crop["y1"] + f["y1"]).alias("y1"),
+                (crop["x1"] + f["x2"]).alias("x2"), (crop["y1"] + f["y2"]).alias("y2"))))
+
+        stage = F.struct(c("crop").alias("crop"), most_confident(c("instances"))["keypoints"].alias("points"))
+        refined = _let(stage, lambda s: inside(s["crop"], s["points"]))
+        df = df.withColumn("crop", F.when(c("crop").isNotNull(), refined)).drop("instances")
+    return embed_batch(df, embedder, "crop")
 
 
 def build_gallery(scored: DataFrame, key: str = "image_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelage.plans import dataset_queries, embedding_queries, geometry_queries  # noqa: F401
+from pelage.plans import dataset_queries, embedding_queries, geometry_queries, model_queries  # noqa: F401
 from pelage.plans.registry import ORACLES, QUERIES
 
 

@@ -364,12 +364,12 @@ WHERE x2 > x1 AND y2 > y1)"""
 _TRUTH = """truth AS (SELECT ann_key AS gt_key, image_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1,
   CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2 FROM fx_detections
 WHERE class = 'dog' AND x2 > x1 AND y2 > y1)"""
-_MATCHES = """overlaps AS (SELECT pred_key, gt_key, confidence, inter / (pa + ga - inter) AS iou FROM (
+_MATCHES = """box_pairs AS (SELECT pred_key, gt_key, confidence, inter / (pa + ga - inter) AS iou FROM (
   SELECT p.pred_key, g.gt_key, p.confidence, (p.x2 - p.x1) * (p.y2 - p.y1) AS pa, (g.x2 - g.x1) * (g.y2 - g.y1) AS ga,
     greatest(0.0e0, least(p.x2, g.x2) - greatest(p.x1, g.x1)) * greatest(0.0e0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS inter
   FROM preds p JOIN truth g ON p.image_id = g.image_id) o),
 matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pred_key ORDER BY iou DESC, gt_key) AS rn
-  FROM overlaps WHERE iou >= 0.5e0) m WHERE rn = 1)"""
+  FROM box_pairs WHERE iou >= 0.5e0) m WHERE rn = 1)"""
 _LEVELS = ", ".join(f"(CAST({v} AS DOUBLE))" for v in DE.IOU_LEVELS)
 _CURVE = f"""levels AS (SELECT level FROM (VALUES {_LEVELS}) l(level)),
 hits AS (SELECT level, confidence, count(*) AS tp FROM (
