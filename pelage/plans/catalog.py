@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pelage.plans import dataset_queries, embedding_queries, geometry_queries, model_queries  # noqa: F401
+from pelage.plans import (  # noqa: F401
+    dataset_queries, embedding_queries, geometry_queries, io_queries, model_queries,
+)
 from pelage.plans.registry import ORACLES, QUERIES
 
 

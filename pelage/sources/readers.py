@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelage.functions.geometry import triples
-from pelage.functions.text import base_name
 
 c = F.col
 
@@ -94,9 +93,13 @@ def read_keypoint_entries(spark: SparkSession, path: str, multi_line: bool = Tru
     return entries.select("img_path", *box, "joints", "is_multiple_dogs")
 
 
-def _identity_files(files: DataFrame) -> DataFrame:
+def identity_files(files: DataFrame, root: str | None = None) -> DataFrame:
+    """``identity, path`` of the images in a listing: the folder of a file is its
+    identity. With ``root`` paths become relative to it."""
     identity = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    return files.filter(F.lower("path").rlike(IMAGE_SUFFIX)).select(identity.alias("identity"), "path")
+    path = c("path") if root is None else F.regexp_extract(
+        "path", "^(?:.*?/)?" + _quoted(root.strip("/")) + "/(.*)$", 1)
+    return files.filter(F.lower("path").rlike(IMAGE_SUFFIX)).select(identity.alias("identity"), path.alias("path"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +109,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_identity_folders(spark: SparkSession, path: str) -> DataFrame:
     """``identity, path`` of the images in one folder per identity."""
-    return _identity_files(list_files(spark, path))
+    return identity_files(list_files(spark, path))
 
 
 def scan_priority_identities(spark: SparkSession, path: str, root: str) -> DataFrame:
@@ -116,8 +119,7 @@ def scan_priority_identities(spark: SparkSession, path: str, root: str) -> DataF
     exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
     if not exists:
         return spark.createDataFrame([], "identity string, path string")
-    below = F.regexp_extract("path", r"^.*?" + "/" + _quoted(root.strip("/")) + r"/(.*)$", 1)
-    return _identity_files(list_files(spark, path)).withColumn("path", below)
+    return identity_files(list_files(spark, path), root)
 
 
 def _quoted(text: str) -> str:
@@ -168,6 +170,3 @@ def read_training_history(spark: SparkSession, path: str, multi_line: bool = Tru
     history = spark.read.schema(_HISTORY_SCHEMA).json(path, multiLine=multi_line)
     return history.withColumn("map_score", c("val_metrics")["mAP"])
 
-
-def file_name_of(path: Column) -> Column:
-    return base_name(path)

@@ -9,7 +9,6 @@ from pelage.functions import geometry as G
 from pelage.functions.text import flat_label_name, label_path
 from pelage.operators.boxes import pose_box, yolo_box
 from pelage.operators.dataset import with_list_part
-from pelage.operators.prefix import range_bucket
 
 c = F.col
 
@@ -120,12 +119,6 @@ def sorted_paths(images: DataFrame, path: str = "file_name", data_root: str = ""
     return images.select(full.alias("path")).orderBy("path")
 
 
-def numbered_paths(images: DataFrame, path: str = "file_name") -> DataFrame:
-    """``path, list_part``: part of the sorted list each path belongs to."""
-    paths = images.select(c(path).alias("path")).distinct()
-    return paths.withColumn("list_part", range_bucket(paths, "path").cast("long"))
-
-
 def write_split_lists(images: DataFrame, path: str) -> None:
     """Sorted path list per split: one folder of text files in order per split."""
     for split in ("train", "val"):
