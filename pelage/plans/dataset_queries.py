@@ -40,16 +40,16 @@ CATEGORIES = """cats AS (SELECT CAST(category_id AS BIGINT) AS id, max(class) AS
 FROM fx_boxes GROUP BY category_id)"""
 
 
-def _categories(t):
+def categories_of(boxes):
     """Category table of the boxes; category 2 has no name."""
-    found = t.boxes.groupBy(c("category_id").cast("long").alias("id")).agg(F.max("class").alias("name"))
+    found = boxes.groupBy(c("category_id").cast("long").alias("id")).agg(F.max("class").alias("name"))
     return found.withColumn("position", c("id"))
 
 
 @query("category_lookup", with_views("""
 SELECT coalesce(min(id), -1) AS category_id FROM cats WHERE name = 'dog'""", CATEGORIES))
 def category_lookup(t):
-    return D.category_lookup(_categories(t))
+    return D.category_lookup(categories_of(t.boxes))
 
 
 SPLIT_IMAGES = """split_images AS (SELECT *, CASE WHEN rn <= floor(n * 0.9e0) THEN 'train' ELSE 'val' END AS split FROM (
@@ -190,7 +190,7 @@ def source_distribution_detection(t):
 SELECT (SELECT count(*) FROM fx_images) AS num_images, count(*) AS num_annotations,
   count(DISTINCT category_id) AS num_categories, false AS has_keypoints FROM fx_boxes"""))
 def dataset_statistics(t):
-    return T.dataset_statistics(t.images, t.boxes, _categories(t))
+    return T.dataset_statistics(t.images, t.boxes, categories_of(t.boxes))
 
 
 @query("num_classes", "SELECT CAST(max(label) + 1 AS BIGINT) AS num_classes FROM embeddings")

@@ -13,7 +13,7 @@ from pelage.operators import dataset as D
 from pelage.operators import evaluation as E
 from pelage.operators import splits as S
 from pelage.plans.bindings import with_views
-from pelage.plans.dataset_queries import IDENTITY_SPLIT, SPLIT_IMAGES
+from pelage.plans.dataset_queries import CATEGORIES, IDENTITY_SPLIT, SPLIT_IMAGES, categories_of
 from pelage.plans.embedding_queries import EVALUATED
 from pelage.plans.geometry_queries import _clean as CLEAN_BOXES
 from pelage.plans.geometry_queries import _CLAMPED, _joints, _joint_sql, _validated
@@ -270,6 +270,17 @@ def write_split_lists(t):
     return lists[0].unionByName(lists[1])
 
 
+@query("write_dataset_config", with_views("""
+SELECT 'data' AS path, 'data/train.txt' AS train, 'data/val.txt' AS val, count(*) AS nc, string_agg(name, ',' ORDER BY id) AS names
+FROM cats WHERE name IS NOT NULL""", CATEGORIES))
+def write_dataset_config(t):
+    path = scratch_dir(t.spark, "dataset-config")
+    named = categories_of(t.boxes).filter(c("name").isNotNull())
+    sinks.write_dataset_config(sinks.dataset_config(named, "data", "data/train.txt", "data/val.txt"), path)
+    schema = "path string, train string, val string, nc long, names array<string>"
+    return t.spark.read.schema(schema).json(path).withColumn("names", F.array_join("names", ","))
+
+
 # ---- images -----------------------------------------------------------------
 
 def _png_writer(folder: str):

@@ -125,18 +125,19 @@ def write_split_lists(images: DataFrame, path: str) -> None:
         sorted_paths(images.filter(c("split") == split)).write.mode("overwrite").text(f"{path}/{split}")
 
 
-def dataset_config(spark, path: str, train: str, val: str, keypoints: bool = False) -> DataFrame:
-    """One-row descriptor of a converted dataset."""
+def dataset_config(categories: DataFrame, path: str, train: str, val: str, keypoints: bool = False) -> DataFrame:
+    """One-row descriptor of a converted dataset; class names in id order."""
+    names = categories.agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("_c"))
     fields = [F.lit(path).alias("path"), F.lit(train).alias("train"), F.lit(val).alias("val"),
-              F.lit(1).alias("nc"), F.array(F.lit("dog")).alias("names")]
+              F.size("_c").cast("long").alias("nc"), F.transform("_c", lambda k: k["name"]).alias("names")]
     if keypoints:
-        fields += [F.array(F.lit(4), F.lit(3)).alias("kpt_shape"),
+        fields += [F.array(F.lit(len(G.JOINT_INDEX)), F.lit(3)).alias("kpt_shape"),
                    F.array(*[F.lit(i) for i in G.FLIP_INDEX]).alias("flip_idx")]
-    return spark.range(1).select(*fields)
+    return names.select(*fields)
 
 
-def write_dataset_config(spark, target: str, path: str, train: str, val: str, keypoints: bool = False) -> None:
-    dataset_config(spark, path, train, val, keypoints).write.mode("overwrite").json(target)
+def write_dataset_config(config: DataFrame, target: str) -> None:
+    config.write.mode("overwrite").json(target)
 
 
 def write_identity_splits(images: DataFrame, path: str) -> None:
