@@ -75,21 +75,26 @@ def keypoint_crop(entries: DataFrame, padding: float = 0.2) -> DataFrame:
     whole = entries
     for k in ("x", "y", "w", "h"):
         whole = whole.withColumn(k, G.truncate(c(k)))
+    whole = whole.dropna(subset=["x", "y", "w", "h", "width", "height"])
     whole = whole.withColumn("x", F.greatest(F.lit(0), c("x"))).withColumn("y", F.greatest(F.lit(0), c("y")))
     whole = whole.withColumn("w", F.least(c("w"), c("width") - c("x")))
     whole = filter_invalid_boxes(whole.withColumn("h", F.least(c("h"), c("height") - c("y"))))
-    window = G.per_axis_window(
-        c("x"), c("y"), c("x") + c("w"), c("y") + c("h"), c("width"), c("height"), padding)
-    df = whole.withColumn("_win", window).filter(c("_win").isNotNull())
-    return df.select(
+    # A box with area inside the image has a window with area: no further filter.
+    pad_w, pad_h = G.truncate(c("w") * F.lit(padding)), G.truncate(c("h") * F.lit(padding))
+    framed = whole.withColumns({
+        "crop_x1": F.greatest(F.lit(0), c("x") - pad_w),
+        "crop_y1": F.greatest(F.lit(0), c("y") - pad_h),
+        "crop_x2": F.least(c("width"), c("x") + c("w") + pad_w),
+        "crop_y2": F.least(c("height"), c("y") + c("h") + pad_h),
+    })
+    return framed.select(
         *[k for k in entries.columns if k not in {"x", "y", "w", "h"}],
-        *[c(f"_win.{k}").alias(f"crop_{k}") for k in ("x1", "y1", "x2", "y2")],
-        (c("_win.x2") - c("_win.x1")).alias("crop_w"),
-        (c("_win.y2") - c("_win.y1")).alias("crop_h"),
-        (c("x") - c("_win.x1")).alias("x"),
-        (c("y") - c("_win.y1")).alias("y"),
-        c("w").alias("w"), c("h").alias("h"),
-        (c("w") * c("h")).alias("area"),
+        "crop_x1", "crop_y1", "crop_x2", "crop_y2",
+        (c("crop_x2") - c("crop_x1")).alias("crop_w"),
+        (c("crop_y2") - c("crop_y1")).alias("crop_h"),
+        (c("x") - c("crop_x1")).alias("x"),
+        (c("y") - c("crop_y1")).alias("y"),
+        "w", "h", (c("w") * c("h")).alias("area"),
     )
 
 

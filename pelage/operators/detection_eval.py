@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelage.functions.geometry import iou
+from pelage.session import materialize
 
 c = F.col
 
@@ -61,15 +62,15 @@ def _with_cells(df: DataFrame, reach: bool) -> DataFrame:
 
 
 def match_boxes(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    """``pred_key, gt_key, iou``: the most overlapped box (IoU >= 0.5) of each prediction.
+    """``pred_key, confidence, gt_key, iou``: the most overlapped box (IoU >= 0.5) of each prediction.
 
-    Equal boxes of an image are matched once for all of them.
+    Equal ground-truth boxes of an image count as one with the smallest key. An
+    image with very many pairs is joined cell by cell, so that only boxes of
+    about the same place and size meet.
     """
-    shape = ["image_id", *_CORNERS]
-    preds = predictions.groupBy(*shape).agg(F.count("*").alias("_np"))
-    boxes = truth.groupBy(*shape).agg(F.min("gt_key").alias("gt_key"))
-    load = preds.groupBy("image_id").agg(F.count("*").alias("_a")).join(
-        boxes.groupBy("image_id").agg(F.count("*").alias("_b")), "image_id")
+    boxes = truth.groupBy("image_id", *_CORNERS).agg(F.min("gt_key").alias("gt_key"))
+    load = predictions.groupBy("image_id").agg(F.count("*").alias("_a")).join(
+        truth.groupBy("image_id").agg(F.count("*").alias("_b")), "image_id")
     large = load.filter(c("_a") * c("_b") > LARGE_IMAGE_PAIRS).select("image_id", F.lit(True).alias("_large"))
 
     def side(df: DataFrame, reach: bool) -> DataFrame:
@@ -77,22 +78,23 @@ def match_boxes(predictions: DataFrame, truth: DataFrame) -> DataFrame:
         return _with_cells(marked, reach)
 
     corners = F.struct(*_CORNERS)
-    left = side(preds, False).select("image_id", "cell", corners.alias("p"))
+    left = side(predictions.select("pred_key", "confidence", "image_id", *_CORNERS), False)
     right = side(boxes, True).select("image_id", "cell", corners.alias("g"), "gt_key")
-    overlaps = left.join(right, ["image_id", "cell"]).withColumn("iou", iou(c("p"), c("g"))).filter(c("iou") >= IOU_LEVELS[0])
-    best = overlaps.groupBy("image_id", "p").agg(
+    overlaps = left.select("pred_key", "confidence", "image_id", "cell", corners.alias("p")).join(
+        right, ["image_id", "cell"]).withColumn("iou", iou(c("p"), c("g"))).filter(c("iou") >= IOU_LEVELS[0])
+    best = overlaps.groupBy("pred_key").agg(
+        F.first("confidence").alias("confidence"),
         F.min(F.struct((-c("iou")).alias("neg"), "gt_key")).alias("_m"))
-    best = best.select("image_id", "p.*", c("_m.gt_key").alias("gt_key"), (-c("_m.neg")).alias("iou"))
-    return predictions.select("pred_key", *shape).join(best, shape).select("pred_key", "gt_key", "iou")
+    return best.select("pred_key", "confidence", c("_m.gt_key").alias("gt_key"), (-c("_m.neg")).alias("iou"))
 
 
 def _hits(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    """``level, pred_key`` of the true positives."""
-    matched = match_boxes(predictions, truth).join(predictions.select("pred_key", "confidence"), "pred_key")
+    """``level, confidence`` of the true positives."""
+    matched = match_boxes(predictions, truth)
     levels = F.filter(F.array(*[F.lit(v) for v in IOU_LEVELS]), lambda v: v <= c("iou"))
     taker = F.min(F.struct((-c("confidence")).alias("neg"), "pred_key"))
     return matched.withColumn("level", F.explode(levels)).groupBy("gt_key", "level").agg(
-        taker["pred_key"].alias("pred_key")).select("level", "pred_key")
+        (-taker["neg"]).alias("confidence")).select("level", "confidence")
 
 
 def precision_recall_curve(predictions: DataFrame, truth: DataFrame) -> DataFrame:
@@ -104,8 +106,7 @@ def precision_recall_curve(predictions: DataFrame, truth: DataFrame) -> DataFram
     conf = F.round("confidence", _CONFIDENCE_DECIMALS)
     predictions = predictions.withColumn("confidence", conf)
     per_conf = predictions.groupBy("confidence").agg(F.count("*").alias("n"))
-    hits = _hits(predictions, truth).join(predictions.select("pred_key", "confidence"), "pred_key")
-    tp = hits.groupBy("level", "confidence").agg(F.count("*").alias("tp"))
+    tp = _hits(predictions, truth).groupBy("level", "confidence").agg(F.count("*").alias("tp"))
     grid = per_conf.withColumn("level", F.explode(F.array(*[F.lit(v) for v in IOU_LEVELS])))
     points = grid.join(tp, ["level", "confidence"], "left").fillna(0, ["tp"])
     w = Window.partitionBy("level").orderBy(c("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -146,7 +147,8 @@ def detection_eval(predictions: DataFrame, truth: DataFrame) -> DataFrame:
 
     ``predictions``: pred_key, image_id, x1…y2, confidence; ``truth``: gt_key, image_id, x1…y2.
     """
-    curve = precision_recall_curve(predictions, truth)
+    # Used twice below and small: written once.
+    curve = materialize(precision_recall_curve(predictions, truth), "precision-recall")
     ap = average_precision_per_level(curve)
     quality = ap.agg(
         F.max(F.when(c("level") == IOU_LEVELS[0], c("ap"))).alias("map50"), F.avg("ap").alias("map50_95"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelage.functions.text import source_bucket
-from pelage.operators.prefix import running
+from pelage.session import materialize
 
 c = F.col
 
@@ -103,32 +103,62 @@ def training_history(history: DataFrame, patience: int = 10) -> DataFrame:
     last improvement), ``early_stop`` (the first epoch of the phase to reach
     ``patience``). A missing score counts as 0.
     """
-    chunk = F.floor(c("epoch") / HISTORY_CHUNK)
-    order = [c("epoch")]
-    scored = history.withColumn("map_score", F.coalesce(c("map_score"), F.lit(0.0)))
-    start = F.lit(-1.0)
-
-    df = running(scored, ["run_id"], chunk, order, {"_best": ("max", c("map_score"))}, inclusive=False)
-    df = df.withColumn("_best", F.greatest(c("_best"), start))
-    df = df.withColumn("is_best", c("map_score") > c("_best")).withColumn(
-        "best_so_far", F.greatest("_best", "map_score")).drop("_best")
-
-    phase = ["run_id", "phase"]
-    df = running(df, phase, chunk, order,
-                 {"_best": ("max", c("map_score")), "_seen": ("sum", F.lit(1).cast("long"))}, inclusive=False)
-    df = df.withColumn("_best", F.greatest(c("_best"), start))
-    df = df.withColumn("_improved", F.when(c("map_score") > c("_best"), c("_seen")))
-    df = df.withColumn("phase_best", F.greatest("_best", "map_score")).drop("_best")
-    df = running(df, phase, chunk, order, {"_last": ("max", c("_improved"))})
-    # Scores at or below -1 never improve: the count then runs from the start of the phase.
-    used = c("_seen") - F.coalesce(c("_last"), F.lit(-1))
-    df = df.withColumn("patience_used", used)
-    # Patience grows by one per epoch, so the first epoch to reach it has it exactly; a later
-    # improvement and a second wait would only happen in a log that ignored the stop.
-    df = running(df, phase, chunk, order,
-                 {"_stops": ("sum", (c("patience_used") >= patience).cast("long"))}, inclusive=False)
-    stop = (c("patience_used") >= patience) & (c("_stops") == 0)
-    return df.withColumn("early_stop", stop).drop("_seen", "_improved", "_last", "_stops")
+    run, phase = ["run_id", "_chunk"], ["run_id", "phase", "_chunk"]
+    score, start = c("map_score"), F.lit(-1.0)
+    log = history.withColumn("map_score", F.coalesce(score, F.lit(0.0))).withColumn(
+        "_chunk", F.floor(c("epoch") / HISTORY_CHUNK))
+
+    def earlier(keys: list[str]) -> Window:
+        return Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+
+    # Within a chunk of a run, and of a phase.
+    rows = log.withColumns({
+        "_run_in": F.max(score).over(earlier(run)),
+        "_phase_in": F.max(score).over(earlier(phase)),
+        "_pos_in": F.row_number().over(Window.partitionBy(*phase).orderBy("epoch")).cast("long"),
+    })
+
+    # One row per chunk: what the chunks before it hand over.
+    def chunks_before(*keys: str) -> Window:
+        return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+    run_before = log.groupBy(*run).agg(F.max(score).alias("_top")).select(
+        *run, F.max("_top").over(chunks_before("run_id")).alias("_run_before"))
+    first_best = F.max(F.struct(score.alias("score"), (-c("_pos_in")).alias("neg_pos")))
+    summary = rows.groupBy(*phase).agg(F.count("*").alias("_n"), first_best.alias("_top"))
+    w = chunks_before("run_id", "phase")
+    summary = summary.withColumn("_n_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    shifted = F.struct(c("_top.score").alias("score"), (c("_top.neg_pos") - c("_n_before")).alias("neg_pos"))
+    phase_before = summary.withColumn("_top", shifted).select(
+        *phase, "_n_before", F.max("_top").over(w).alias("_phase_before"))
+
+    df = _join_null_safe(_join_null_safe(rows, run_before, run), phase_before, phase)
+    df = df.withColumns({
+        "_best": F.greatest(start, "_run_before", "_run_in"),
+        "_phase_best": F.greatest(start, c("_phase_before.score"), c("_phase_in")),
+        "_pos": c("_n_before") + c("_pos_in"),
+    })
+    improved = F.when(score > c("_phase_best"), c("_pos"))
+    so_far = Window.partitionBy(*phase).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    # An improvement of an earlier chunk is the first place of the best score so far; scores
+    # at or below -1 never improve, the wait then runs from the start of the phase.
+    handed = F.when(c("_phase_before.score") > start, -c("_phase_before.neg_pos"))
+    last = F.coalesce(F.greatest(F.max(improved).over(so_far), handed), F.lit(0))
+    tracked = df.select(
+        *history.columns,
+        (score > c("_best")).alias("is_best"), F.greatest("_best", score).alias("best_so_far"),
+        F.greatest("_phase_best", score).alias("phase_best"), (c("_pos") - last).alias("patience_used"))
+    tracked = materialize(tracked, "training-history")
+    stops = tracked.filter(c("patience_used") >= patience).groupBy("run_id", "phase").agg(
+        F.min("epoch").alias("_stop"))
+    stopped = _join_null_safe(tracked, stops, ["run_id", "phase"], "left")
+    return stopped.withColumn("early_stop", F.coalesce(c("epoch") == c("_stop"), F.lit(False))).drop("_stop")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    renamed = right.select(*[c(k).alias(f"_r_{k}") if k in keys else c(k) for k in right.columns])
+    condition = [c(k).eqNullSafe(c(f"_r_{k}")) for k in keys]
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def best_checkpoint(history: DataFrame, patience: int = 10) -> DataFrame:

@@ -405,7 +405,7 @@ def _detector(t):
     return predictions, truth
 
 
-@query("match_boxes", with_views("SELECT pred_key, gt_key, iou FROM matched", *_DETECTOR[:3]))
+@query("match_boxes", with_views("SELECT pred_key, confidence, gt_key, iou FROM matched", *_DETECTOR[:3]))
 def match_boxes(t):
     return DE.match_boxes(*_detector(t))
 
