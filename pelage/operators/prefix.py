@@ -34,10 +34,15 @@ def range_bucket(df: DataFrame, column: str) -> Column:
     values = sorted(row[0] for row in drawn)
     step = max(1, -(-len(values) // RANGE_BUCKETS))
     cuts = values[step::step]
-    if not cuts:
-        return F.lit(0)
-    below = F.filter(F.array(*[F.lit(v) for v in cuts]), lambda cut: cut <= c(column))
-    return F.size(below)
+
+    def place(first: int, last: int) -> Column:
+        """Number of cuts at or below the value, by bisection."""
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        return F.when(c(column) < cuts[middle], place(first, middle)).otherwise(place(middle + 1, last))
+
+    return place(0, len(cuts))
 
 
 def running(
