@@ -12,19 +12,19 @@ from pelage.operators.dataset import with_list_part
 
 c = F.col
 
-# Images per COCO document.
+# Images or boxes per COCO document.
 DOCUMENT_ROWS = 5_000
 
 
 def coco_documents(images: DataFrame, boxes: DataFrame, categories: list[dict], rows: int | None = None) -> DataFrame:
-    """``split, text``: COCO JSON documents of about ``DOCUMENT_ROWS`` images each.
+    """``split, text``: COCO JSON documents of about ``DOCUMENT_ROWS`` images or boxes each.
 
     ``images``: split, id, file_name, width, height; ``boxes``: id, image_id,
     category_id, x, y, w, h, area, iscrowd. Images and boxes are dealt to
     documents by their own hash, so an image with very many boxes is spread too
     (a reader joins by image_id anyway).
     """
-    rows = images.count() if rows is None else rows
+    rows = max(images.count(), boxes.count()) if rows is None else rows
     documents = max(1, -(-rows // DOCUMENT_ROWS))
 
     def dealt(df: DataFrame):
