@@ -123,6 +123,26 @@ def _run(left: DataFrame, right: DataFrame, tasks: int, fn: Callable, schema: T.
     )
 
 
+def cogroup_blocks(
+    left: DataFrame, right: DataFrame, keys: list[str], tasks: int, fn: TileFn, schema: str,
+    vector: str | None = "embedding",
+) -> DataFrame:
+    """Tiles given by ``keys`` on both sides, spread over up to ``tasks`` tasks."""
+    schema_type = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(schema_type)
+    n = max(1, min(tasks, MAX_TASKS))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows == 0 or b.num_rows == 0:
+            return arrow.empty_table()
+        return _arrow([fn(_block(a, vector), _block(b, vector), False)], arrow)
+
+    def side(df: DataFrame):
+        return df.repartition(n, *keys).groupBy(*keys)
+
+    return side(left).cogroup(side(_fresh(right))).applyInArrow(run, schema_type)
+
+
 def tile_join(
     probes: DataFrame, gallery: DataFrame, fn: TileFn, schema: str, *,
     blocks: tuple[int, int], vector: str | None = "embedding",

@@ -11,6 +11,7 @@ from pelage.operators import heads as H
 from pelage.operators import retrieval as R
 from pelage.operators import verification as V
 from pelage.operators.dataset import dedupe_pairs as unordered
+from pelage.operators.pruned import topk_neighbors_pruned
 from pelage.plans.bindings import with_views
 from pelage.plans.registry import query
 from pelage.session import scratch_dir
@@ -83,6 +84,13 @@ def topk_neighbors(t):
     return R.topk_neighbors(t.items, 5)
 
 
+@query("ann_topk", pairs_sql("""
+SELECT a AS probe_id, rn AS rank, b AS gallery_id, s AS similarity FROM ranked WHERE rn <= 5""", RANKED))
+def ann_topk(t):
+    """Search by cells with exact bounds: the recall is 1."""
+    return topk_neighbors_pruned(t.items, 5)
+
+
 _RANK_GALLERY = """
 SELECT p.id AS probe_id, p.has_pred AS has_animal, m.rn AS rank, m.b AS gallery_id, m.s AS similarity
 FROM fx_probes p LEFT JOIN (SELECT * FROM granked WHERE rn <= 10) m ON p.id = m.a"""

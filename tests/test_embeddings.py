@@ -8,6 +8,7 @@ from pelage.operators import heads as H
 from pelage.operators import retrieval as R
 from pelage.operators import tiles
 from pelage.operators import verification as V
+from pelage.operators.pruned import topk_neighbors_pruned
 
 SCHEMA = "id long, label int, embedding array<float>"
 
@@ -66,6 +67,20 @@ def test_topk(data, items):
     assert got == want
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.6])
+def test_pruned_search_is_exact(spark, small_blocks, spread):
+    ids, label, vectors = make(seed=4, n=260, copies=60, spread=spread)
+    vectors[7:20] = 0
+    items = frame(spark, ids, label, vectors)
+    sims = cosines(vectors)
+    want = {(int(ids[q]), r + 1, int(ids[j])) for q in range(len(ids)) for r, j in enumerate(ranking(ids, sims, q)[:4])}
+    assert {(r.probe_id, r.rank, r.gallery_id) for r in topk_neighbors_pruned(items, 4).collect()} == want
+    probes = items.filter("id % 3 = 0").select((-items.id - 1).alias("id"), "embedding")
+    got = topk_neighbors_pruned(probes, 3, items).collect()
+    plain = R.topk_neighbors(probes, 3, items.select("id", "embedding")).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in plain}
+
+
 def test_topk_of_a_tiny_gallery(spark):
     gallery = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1])], "id long, embedding array<double>")
     probe = spark.createDataFrame([(9, [1.0, 0.0])], "id long, embedding array<double>")
