@@ -110,11 +110,11 @@ def precision_recall_curve(predictions: DataFrame, truth: DataFrame) -> DataFram
     grid = per_conf.withColumn("level", F.explode(F.array(*[F.lit(v) for v in IOU_LEVELS])))
     points = grid.join(tp, ["level", "confidence"], "left").fillna(0, ["tp"])
     w = Window.partitionBy("level").orderBy(c("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    total = truth.agg(F.count("*").alias("_total"))
+    total = truth.agg(F.count("*")).scalar()
     cumulative = points.select(
         "level", "confidence", F.sum("tp").over(w).alias("_tp"), F.sum("n").over(w).alias("_n"))
-    recall = F.when(c("_total") > 0, c("_tp") / c("_total")).otherwise(F.lit(0.0))
-    return cumulative.crossJoin(F.broadcast(total)).select(  # one row
+    recall = F.when(total > 0, c("_tp") / total).otherwise(F.lit(0.0))
+    return cumulative.select(
         "level", "confidence", (c("_tp") / c("_n")).alias("precision"), recall.alias("recall"))
 
 
@@ -155,5 +155,6 @@ def detection_eval(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     f1 = 2 * c("precision") * c("recall") / (c("precision") + c("recall") + F.lit(1e-16))
     best = curve.filter(c("level") == IOU_LEVELS[0]).agg(
         F.max_by(F.struct("precision", "recall"), F.struct(f1, "confidence")).alias("_b"))
-    return quality.crossJoin(best).select(
-        "map50", "map50_95", c("_b.precision").alias("precision"), c("_b.recall").alias("recall"))
+    best = best.select("_b").scalar()
+    return quality.select(
+        "map50", "map50_95", best["precision"].alias("precision"), best["recall"].alias("recall"))

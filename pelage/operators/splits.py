@@ -43,17 +43,15 @@ def identity_split(
     before = running(
         sizes.withColumn("_key", key), [], hash_bucket(c("_key")), [c("_key"), c(identity)],
         {"_before": ("sum", c("n_images"))}, inclusive=False)
-    totals = sizes.agg(F.sum("n_images").alias("_n")).select(
-        F.floor(c("_n") * F.lit(test_share)).alias("_test"), F.floor(c("_n") * F.lit(val_share)).alias("_val"))
-    placed = before.crossJoin(F.broadcast(totals))  # one row
-    filled = placed.filter(c("_before") < c("_test")).agg(
-        F.coalesce(F.sum("n_images"), F.lit(0)).alias("_test_filled"))
+    total = sizes.agg(F.sum("n_images")).scalar()
+    test, val = F.floor(total * F.lit(test_share)), F.floor(total * F.lit(val_share))
+    test_filled = before.filter(c("_before") < test).agg(F.coalesce(F.sum("n_images"), F.lit(0))).scalar()
     split = (
-        F.when(c("_before") < c("_test"), "test")
-        .when(c("_before") - c("_test_filled") < c("_val"), "val")
+        F.when(c("_before") < test, "test")
+        .when(c("_before") - test_filled < val, "val")
         .otherwise("train")
     )
-    return placed.crossJoin(F.broadcast(filled)).select(identity, "n_images", split.alias("split"))  # one row
+    return before.select(identity, "n_images", split.alias("split"))
 
 
 def image_split(

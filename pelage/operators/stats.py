@@ -48,9 +48,9 @@ def source_distribution(images: DataFrame, path: str, sources: list[tuple[str, s
 def dataset_statistics(images: DataFrame, boxes: DataFrame, categories: DataFrame, keypoints: str | None = None) -> DataFrame:
     """One row: images, annotations, categories, and whether keypoints occur."""
     has = F.lit(False) if keypoints is None else F.coalesce(F.bool_or(c(keypoints).isNotNull()), F.lit(False))
-    one_row = images.agg(F.count("*").alias("num_images"))
-    one_row = one_row.crossJoin(boxes.agg(F.count("*").alias("num_annotations"), has.alias("has_keypoints")))
-    return one_row.crossJoin(categories.agg(F.count("*").alias("num_categories")))
+    return boxes.agg(F.count("*").alias("num_annotations"), has.alias("has_keypoints")).select(
+        images.agg(F.count("*")).scalar().alias("num_images"), "num_annotations",
+        categories.agg(F.count("*")).scalar().alias("num_categories"), "has_keypoints")
 
 
 def annotated_image_counts(images: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -265,7 +265,7 @@ def embedding_report(items: DataFrame, seed: int = 42) -> DataFrame:
             (0.01, "threshold", "threshold_1pct"), (0.001, "threshold", "threshold_0_1pct"),
         )
     ])
-    quality = mean_average_precision(items).select("map")
-    identities = items.agg(F.countDistinct("label").alias("num_identities"), F.count("*").alias("_n"))
-    one_row = quality.crossJoin(at).crossJoin(identities)
-    return one_row.filter(c("_n") > 0).drop("_n")
+    quality = mean_average_precision(items).select("map").scalar()
+    identities = items.agg(F.countDistinct("label")).scalar()
+    report = at.select(quality.alias("map"), *at.columns, identities.alias("num_identities"))
+    return report.filter(c("num_identities") > 0)

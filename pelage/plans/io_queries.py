@@ -265,20 +265,7 @@ def sorted_paths(t):
 def write_split_lists(t):
     path = scratch_dir(t.spark, "split-lists")
     sinks.write_split_lists(S.image_split(t.images), path)
-    lists = [t.spark.read.text(f"{path}/{s}").select(F.lit(s).alias("split"), c("value").alias("path"))
-             for s in ("train", "val")]
-    return lists[0].unionByName(lists[1])
-
-
-@query("write_dataset_config", with_views("""
-SELECT 'data' AS path, 'data/train.txt' AS train, 'data/val.txt' AS val, count(*) AS nc, string_agg(name, ',' ORDER BY id) AS names
-FROM cats WHERE name IS NOT NULL""", CATEGORIES))
-def write_dataset_config(t):
-    path = scratch_dir(t.spark, "dataset-config")
-    named = categories_of(t.boxes).filter(c("name").isNotNull())
-    sinks.write_dataset_config(sinks.dataset_config(named, "data", "data/train.txt", "data/val.txt"), path)
-    schema = "path string, train string, val string, nc long, names array<string>"
-    return t.spark.read.schema(schema).json(path).withColumn("names", F.array_join("names", ","))
+    return t.spark.read.text(path).select("split", c("value").alias("path"))
 
 
 # ---- images -----------------------------------------------------------------

@@ -120,9 +120,9 @@ def sorted_paths(images: DataFrame, path: str = "file_name", data_root: str = ""
 
 
 def write_split_lists(images: DataFrame, path: str) -> None:
-    """Sorted path list per split: one folder of text files in order per split."""
-    for split in ("train", "val"):
-        sorted_paths(images.filter(c("split") == split)).write.mode("overwrite").text(f"{path}/{split}")
+    """Sorted path list per split, as text files in order below ``split=train`` and ``split=val``."""
+    images.select("split", c("file_name").alias("path")).orderBy("split", "path").write.mode(
+        "overwrite").partitionBy("split").text(path)
 
 
 def dataset_config(categories: DataFrame, path: str, train: str, val: str, keypoints: bool = False) -> DataFrame:
