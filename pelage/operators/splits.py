@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from pelage.functions.ordering import random_key
 from pelage.operators.prefix import hash_bucket, range_bucket, row_numbers, running
+from pelage.session import materialize
 
 c = F.col
 
 
 def dense_label_ids(images: DataFrame, identity: str = "identity") -> DataFrame:
     """``identity, label``: 0-based position of each identity in sorted order."""
-    names = images.select(identity).filter(c(identity).isNotNull()).distinct()
+    names = materialize(images.select(identity).filter(c(identity).isNotNull()).distinct(), "identities")
     numbered = running(
         names, [], range_bucket(names, identity), [c(identity)], {"label": ("sum", F.lit(1).cast("long"))})
     return numbered.withColumn("label", c("label") - 1)
@@ -38,7 +39,10 @@ def identity_split(
     Identities are taken in hash order; test is filled until it has
     int(share x images), then val, the rest is train.
     """
-    sizes = images.groupBy(identity).agg(F.count("*").alias("n_images")).filter(c("n_images") >= minimum)
+    # Much smaller than the images and read several times below: counted once.
+    sizes = materialize(
+        images.groupBy(identity).agg(F.count("*").alias("n_images")).filter(c("n_images") >= minimum),
+        "identity-sizes")
     key = random_key(seed, identity)
     before = running(
         sizes.withColumn("_key", key), [], hash_bucket(c("_key")), [c("_key"), c(identity)],

@@ -3,8 +3,6 @@ shared scratch folder and read back."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from pelage.functions import geometry as G
@@ -21,6 +19,7 @@ from pelage.plans.model_queries import SIDE, pixel_hex
 from pelage.plans.registry import query
 from pelage.session import scratch_dir
 from pelage.sources import readers, sinks
+from pelage.sources.files import shared_files, write_whole
 
 c = F.col
 
@@ -275,18 +274,19 @@ def _png_writer(folder: str):
         import struct
         import zlib
 
+        from pyspark import TaskContext
+
         def chunk(kind: bytes, body: bytes) -> bytes:
             return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-        os.makedirs(folder, exist_ok=True)
+        files, path = shared_files(folder)
         for row in rows:
             pixels = bytes(row["data"])
             lines = b"".join(b"\0" + pixels[i:i + SIDE] for i in range(0, len(pixels), SIDE))
-            with open(os.path.join(folder, f"{row['id']}.png"), "wb") as f:
-                f.write(b"\x89PNG\r\n\x1a\n")
-                f.write(chunk(b"IHDR", struct.pack(">IIBBBBB", SIDE, SIDE, 8, 0, 0, 0, 0)))
-                f.write(chunk(b"IDAT", zlib.compress(lines)))
-                f.write(chunk(b"IEND", b""))
+            body = (
+                b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", SIDE, SIDE, 8, 0, 0, 0, 0))
+                + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+            write_whole(files, f"{path}/{row['id']}.png", [body], str(TaskContext.get().taskAttemptId()))
 
     return write
 

@@ -9,6 +9,7 @@ from pelage.functions import geometry as G
 from pelage.functions.text import flat_label_name, label_path
 from pelage.operators.boxes import pose_box, yolo_box
 from pelage.operators.dataset import with_list_part
+from pelage.sources.files import shared_files, write_whole
 
 c = F.col
 
@@ -93,22 +94,18 @@ def write_labels(labels: DataFrame, path: str) -> None:
 def write_label_files(labels: DataFrame, root: str) -> None:
     """One text file per label path below ``root`` (a folder all executors see).
 
-    Parts of an image go to one file in order; each file is written whole and
-    then renamed, so a task that runs twice leaves one good file.
+    Parts of an image go to one file in order.
     """
     def write(rows) -> None:
-        import os
         from itertools import groupby
 
+        from pyspark import TaskContext
+
+        files, folder = shared_files(root)
+        tag = str(TaskContext.get().taskAttemptId())
         for name, parts in groupby(rows, key=lambda r: r["label_path"]):
-            target = os.path.join(root, name)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            draft = f"{target}.{os.getpid()}.draft"
-            with open(draft, "w") as f:
-                for part in parts:
-                    if part["text"]:
-                        f.write(part["text"] + "\n")
-            os.replace(draft, target)
+            pieces = (f"{part['text']}\n".encode() for part in parts if part["text"])
+            write_whole(files, f"{folder.rstrip('/')}/{name}", pieces, tag)
 
     labels.repartition("label_path").sortWithinPartitions("label_path", "part").foreachPartition(write)
 
