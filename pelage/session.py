@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -27,14 +27,18 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "pelage") -> Spa
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the folder the cluster shares between executors.
 
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (tests,
-    a single machine) a local one is made and set.
+    ``spark.checkpoint.dir`` names that folder. Only a local master may leave it
+    unset; a folder on this machine is made and set then. Any other master
+    raises: its executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="pelage-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str):
