@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelage.llm import secret_queries  # noqa: F401
+from pelage.llm import resharding_queries, secret_queries  # noqa: F401
 from pelage.llm.registry import ORACLES, QUERIES
 
 
