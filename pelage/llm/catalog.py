@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pelage.llm import resharding_queries, secret_queries  # noqa: F401
+from pelage.llm import (  # noqa: F401
+    resharding_queries, secret_queries, url_queries,
+)
 from pelage.llm.registry import ORACLES, QUERIES
 
 
