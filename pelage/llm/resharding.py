@@ -25,7 +25,7 @@ c = F.col
 # A document above this part of a shard's capacity is placed by itself; there
 # are at most LARGE_PART * shards of them.
 LARGE_PART = 256
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int, int], int]:
