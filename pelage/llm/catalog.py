@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pelage.llm import (  # noqa: F401
-    resharding_queries, secret_queries, url_queries,
+    decontamination_queries, resharding_queries, secret_queries, url_queries,
 )
 from pelage.llm.registry import ORACLES, QUERIES
 
