@@ -1,4 +1,4 @@
-"""Which 64-bit keys occur more than once in the whole input?
+"""Which 64-bit keys occur more than once in the whole input, or with a smaller owner?
 
 Owners (documents) carry lists of keys. A task takes its owners in chunks of
 about a million keys. A key that repeats inside the chunk is settled there: its
@@ -33,25 +33,33 @@ def _runs(owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owners[cut], np.diff(np.r_[cut, len(owners)])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _split(key: np.ndarray, owner: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries sorted by key (then owner): (hits, entries still to be asked about, keys known to repeat)."""
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    if later:
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
+        return owner > owner[head], ~same, key[:0]
+    repeated = same.copy()
+    repeated[:-1] |= same[1:]
+    return repeated, ~repeated, key[repeated & ~same]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], parts: int, later: bool) -> Iterator[pa.RecordBatch]:
     def settle(owners: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
         owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
         key = np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((owner, key)) if later else np.argsort(key, kind="stable")
         key, owner = key[order], owner[order]
-        same = np.zeros(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        repeated = same.copy()
-        repeated[:-1] |= same[1:]
-        known = key[repeated & ~same]
+        hit, ask, known = _split(key, owner, later)
         rows = []
-        inside, told = key[repeated], owner[repeated]
+        inside, told = key[hit], owner[hit]
         if len(inside):
             by = np.argsort(told, kind="stable")
             who, n = _runs(told[by])
             # Spread by chunk content: these rows only pass through.
             rows.append((int(inside[0] % U64(parts)), pack(who, "<i8"), pack(n, "<i4"), b"", pack(inside[by], "<u8")))
-        key, owner = key[~repeated], owner[~repeated]
+        key, owner = key[ask], owner[ask]
         edge = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(U64)
         cuts, known_cuts = np.searchsorted(key, edge), np.searchsorted(known, edge)
         for part, (ask, say) in enumerate(zip(np.split(np.arange(len(key)), cuts), np.split(known, known_cuts))):
@@ -79,7 +87,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         yield settle(owners, keys)
 
 
-def _settle_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle_part(batches: Iterator[pa.RecordBatch], later: bool) -> Iterator[pa.RecordBatch]:
     keys, owners, known = [], [], []
     for batch in batches:
         for row in zip(*[batch.column(k) for k in ("owners", "counts", "keys", "known")]):
@@ -95,12 +103,9 @@ def _settle_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, owner, said = np.concatenate(keys), np.concatenate(owners), np.concatenate(known)
         keys, owners, known = [], [], []
         sure = np.unique(said)
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((owner, key)) if later else np.argsort(key, kind="stable")
         key, owner = key[order], owner[order]
-        same = np.zeros(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        hit = same.copy()
-        hit[:-1] |= same[1:]
+        hit, _, _ = _split(key, owner, later)
         if len(sure):
             at = np.minimum(np.searchsorted(sure, key), len(sure) - 1)
             hit |= sure[at] == key
@@ -116,14 +121,16 @@ def _hits(who: np.ndarray, n: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), values], schema=_HITS)
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
+def shared_keys(keyed: DataFrame, later: bool = False) -> DataFrame:
     """``owner, keys`` rows (several per owner) with those keys of ``keyed`` that occur at least twice.
 
     ``keyed`` has ``owner long, keys binary`` (packed 64-bit unsigned integers);
-    a key that one owner lists twice counts twice.
+    a key that one owner lists twice counts twice. With ``later`` only the keys
+    that some smaller owner holds as well.
     """
     spark = keyed.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * width
-    packed = keyed.mapInArrow(lambda b: _chunks(b, parts), _PACKED)
-    return packed.repartition(width, "part").mapInArrow(_settle_part, "owner long, keys binary")
+    packed = keyed.mapInArrow(lambda b: _chunks(b, parts, later), _PACKED)
+    return packed.repartition(width, "part").mapInArrow(
+        lambda b: _settle_part(b, later), "owner long, keys binary")
