@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelage.session import materialize
+from pelage.llm.storage import stored
 
 c = F.col
 
@@ -24,7 +24,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     sums per key before the shuffle, and a hub is only the small side of its
     joins, so no task needs all edges of a node together.
     """
-    edges = materialize(
+    edges = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(),
         f"{name}-edges")
     before = None
@@ -39,7 +39,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
                  .select(F.explode(F.array(F.struct(c("hi").alias("hi"), c("m").alias("lo")),
                                            F.struct(c("lo").alias("hi"), c("m").alias("lo")))).alias("e"))
                  .select("e.*").where("hi <> lo").distinct())
-        edges = materialize(small, f"{name}-round")
+        edges = stored(small, f"{name}-round")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -32,7 +32,7 @@ from pelage.llm.hashing import (
     U64, Bytes, Words, mix, pack, prefix, slices, spans, split_words, text_bytes, unpack, window_minima,
 )
 from pelage.llm.shared_keys import shared_keys
-from pelage.session import materialize
+from pelage.llm.storage import stored
 
 c = F.col
 
@@ -179,11 +179,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pins = shared_keys(texts.mapInArrow(lambda b: _pins(b, window, k), "owner long, keys binary"))
     hits = pins.groupBy("owner").agg(F.collect_list("keys").alias("hits"))
     packed = compressed(docs, id_col, text_col)
-    edges = materialize(
+    edges = stored(
         packed.join(hits, c("id") == c("owner")).select("id", "packed", "hits").mapInArrow(
             lambda b: _compact(b, window, k), _EDGES), "repeat-edges")
     at = F.struct("doc", "start")
-    nodes = materialize(
+    nodes = stored(
         edges.groupBy("edge", "proof").agg(F.min(F.struct("doc", "start", "windows")).alias("first")).select(
             "edge", "proof", c("first.doc").alias("source"), c("first.start").alias("source_start"),
             c("first.windows").alias("windows")), "repeat-nodes")
