@@ -18,7 +18,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 # Text bytes that a task hashes at once; one longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -165,3 +165,20 @@ def pack(values: np.ndarray, kind) -> bytes:
 
 def unpack(value, kind) -> np.ndarray:
     return np.frombuffer(value, kind)
+
+
+def key_lists(column: pa.Array) -> list[np.ndarray]:
+    """Packed keys of each row; NULL is none."""
+    return [unpack(value.as_buffer(), "<u8") if value.is_valid else np.zeros(0, U64) for value in column]
+
+
+def member(keys: list[np.ndarray], doc: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted keys of its document (documents in order)."""
+    result = np.zeros(len(values), bool)
+    cuts = np.searchsorted(doc, np.arange(len(keys) + 1))
+    for i, own in enumerate(keys):
+        if len(own) and cuts[i] < cuts[i + 1]:
+            part = values[cuts[i]:cuts[i + 1]]
+            at = np.minimum(np.searchsorted(own, part), len(own) - 1)
+            result[cuts[i]:cuts[i + 1]] = own[at] == part
+    return result

@@ -162,65 +162,109 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "key": pa.array(np.concatenate(keys).view(np.int64)), "id": part.column("id").take(pa.array(rows))})
 
 
-def _fold(sketch: np.ndarray, width: int) -> np.ndarray:
-    """A sketch of fewer bits: bit i collects the parities of the bits that agree with it modulo ``width``."""
-    bits = sketch.reshape(len(sketch), -1, width // 8)
-    return np.bitwise_xor.reduce(bits, axis=1)
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of at least ``width`` bits as words of that width; shorter ones stay zero.
 
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of all rows of two sketch matrices (bytes in the last axis)."""
-    out = np.zeros((len(a), len(b)), np.int32)
-    for x, y in zip(a.view("<u8").T, b.view("<u8").T):
-        out += np.bitwise_count(x[:, None] ^ y[None, :])
-    return out
+    Bit i collects the parities of the bits that agree with it modulo ``width``,
+    so a Hamming distance can only fall.
+    """
+    out = np.zeros((len(sketches), width // 8), np.uint8)
+    sizes = np.array([len(x) for x in sketches]) * 8
+    for size in np.unique(sizes[sizes >= width]):
+        at = np.flatnonzero(sizes == size)
+        bits = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint8).reshape(len(at), -1, width // 8)
+        out[at] = np.bitwise_xor.reduce(bits, axis=1)
+    return out.view("<u8")
+
+
+class _Units:
+    """Whole units (bucket cells) as arrays, in order."""
+
+    def __init__(self, table: pa.Table, bands: Bands):
+        read = lambda name: table.column(name).to_numpy()
+        self.id, self.n, self.component, self.side = read("id"), read("n"), read("component"), read("side")
+        key, cell = read("key"), read("cell")
+        self.head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
+        self.tail = np.r_[self.head[1:], len(key)]
+        sides = np.minimum.reduceat(self.side, self.head) != np.maximum.reduceat(self.side, self.head)
+        self.crossed = np.repeat(sides, self.tail - self.head)
+        sketches = table.column("sketch").to_pylist()
+        self.width = np.array([len(x) for x in sketches]) * 8
+        self.bits = {w: _folded(sketches, w) for w in np.unique(self.width)}
+        self.percent = bands.percent
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row pairs of the units: within one block, or between the two of a cell; in portions."""
+        size = self.tail - self.head
+        small = size <= 64
+        rows = np.concatenate([np.arange(a, b) for a, b in zip(self.head[small], self.tail[small])] or [np.zeros(0, int)])
+        start = np.repeat(self.head[small], size[small])
+        before = rows - start
+        for low in range(0, len(rows), 16384):
+            part = slice(low, low + 16384)
+            i = np.repeat(rows[part], before[part])
+            nth = np.arange(len(i)) - np.repeat(np.cumsum(before[part]) - before[part], before[part])
+            yield self._meeting(i, np.repeat(start[part], before[part]) + nth)
+        for a, b in zip(self.head[~small], self.tail[~small]):
+            for low in range(a, b, 32):
+                i = np.arange(low, min(low + 32, b))
+                i, j = np.repeat(i, i - a), np.concatenate([np.arange(a, x) for x in i])
+                yield self._meeting(i, j)
+
+    def _meeting(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a cell of two blocks only pairs across; a block's own pairs have a cell of their own."""
+        keep = (~self.crossed[i] | (self.side[i] != self.side[j])) & (self.component[i] != self.component[j])
+        return i[keep], j[keep]
+
+    def plausible(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs that the Hamming bound leaves, with their distances."""
+        width = np.minimum(self.width[i], self.width[j])
+        distance = np.zeros(len(i), np.int64)
+        for w, bits in self.bits.items():
+            at = np.flatnonzero(width == w)
+            distance[at] = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(1)
+        keep = (100 + self.percent) * distance <= (100 - self.percent) * (self.n[i] + self.n[j])
+        return i[keep], j[keep], distance[keep]
+
+
+def _first_per(row: np.ndarray, order: np.ndarray) -> np.ndarray:
+    row = row[order]
+    return order[np.r_[True, row[1:] != row[:-1]]] if len(row) else order
 
 
 def _mates(bands: Bands, nearest: bool):
-    """For one block pair of one bucket: plausible pairs of different components."""
-    def pairs(left: list, right: list, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        width = min(len(x[2]) for x in left + right) * 8
-        def matrix(rows):
-            return np.concatenate([_fold(np.frombuffer(x[2], np.uint8)[None, :], width) for x in rows])
-        a_id, b_id = np.array([x[0] for x in left]), np.array([x[0] for x in right])
-        a_n, b_n = np.array([x[1] for x in left]), np.array([x[1] for x in right])
-        a_c, b_c = np.array([x[3] for x in left]), np.array([x[3] for x in right])
-        d = _distances(matrix(left), matrix(right))
-        total = a_n[:, None] + b_n[None, :]
-        fit = ((100 + bands.percent) * d <= (100 - bands.percent) * total) & (a_c[:, None] != b_c[None, :])
-        if same:
-            fit &= a_id[:, None] > b_id[None, :]
-        if not nearest:
-            i, j = np.nonzero(fit)
-        else:
-            far = np.where(fit, d, 1 << 30)
-            i = np.flatnonzero(fit.any(1))
-            j = far[i].argmin(1)
-            lowest = np.where(fit[i], b_id[None, :], np.iinfo(np.int64).max).argmin(1)
-            back = np.flatnonzero(fit.any(0))
-            i, j = np.r_[i, i, far[:, back].argmin(0)], np.r_[j, lowest, back]
-        return a_id[i], b_id[j]
+    """Plausible pairs of different components in each unit; with ``nearest`` each row's nearest and lowest mate only."""
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        units = _Units(table, bands)
+        found = [units.plausible(i, j) for i, j in units.candidates()]
+        i, j, d = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+        if nearest:
+            row, mate, far = np.r_[i, j], np.r_[j, i], np.r_[d, d]
+            take = np.unique(np.r_[_first_per(row, np.lexsort((units.id[mate], far, row))),
+                                   _first_per(row, np.lexsort((units.id[mate], row)))])
+            i, j = row[take], mate[take]
+        a, b = units.id[i], units.id[j]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        both = both[both[:, 0] < both[:, 1]]
+        yield pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(group: list) -> pa.RecordBatch | None:
-            left = [r[2:6] for r in group if r[6] == 0]
-            right = [r[2:6] for r in group if r[6] == 1] or left
-            if not left or (right is left and len(left) < 2):
-                return None
-            a, b = pairs(left, right, right is left)
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
-
-        held: list = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in zip(*[batch.column(n).to_pylist() for n in ("key", "cell", "id", "n", "sketch", "component", "side")]):
-                if held and held[0][:2] != row[:2]:
-                    if (out := work(held)) is not None:
-                        yield out
-                    held = []
-                held.append(row)
-        if held and (out := work(held)) is not None:
-            yield out
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 8192:
+                continue
+            table = pa.Table.from_batches(held)
+            key, cell = table.column("key").to_numpy(), table.column("cell").to_numpy()
+            # The last unit may go on in the next batch.
+            last = int(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])[-1])
+            if last:
+                yield from work(table.slice(0, last))
+            held = table.slice(last).to_batches()
+        if held:
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
@@ -280,7 +324,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = materialize(summary.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("first")), "jaccard-classes")
     firsts = summary.join(classes.select(c("first").alias("id")), "id", "left_semi")
 
-    hits = shared_keys(texts.mapInArrow(lambda b: _keyed(b, k, bands), "owner long, keys binary"))
+    hits = shared_keys(texts, lambda b: _keyed(b, k, bands))
     mine = hits.withColumnRenamed("owner", "id").join(firsts.select("id"), "id", "left_semi")
     rows = materialize(mine.mapInArrow(_rows, "key long, id long").distinct(), "jaccard-rows")
     # Most keys repeat among equal sets only and now stand alone.

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pelage.llm.compressed import compressed, unpacked
 from pelage.llm.hashing import (
-    U64, Bytes, Words, mix, pack, prefix, slices, spans, split_words, text_bytes, unpack, window_minima,
+    U64, Bytes, Words, key_lists, member, mix, pack, prefix, slices, spans, split_words, text_bytes, window_minima,
 )
 from pelage.llm.shared_keys import shared_keys
 from pelage.llm.storage import stored
@@ -71,30 +71,12 @@ def _joined(texts: list[bytes]) -> Bytes:
     return Bytes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
 
 
-def _key_lists(column: pa.Array) -> list[np.ndarray]:
-    """Each row's list of packed keys as one sorted array."""
-    return [np.unique(np.concatenate([unpack(x, "<u8") for x in value])) if value else np.zeros(0, U64)
-            for value in column.to_pylist()]
-
-
-def _member(keys: list[np.ndarray], doc: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether each value is among the keys of its document (documents in order)."""
-    result = np.zeros(len(values), bool)
-    cuts = np.searchsorted(doc, np.arange(len(keys) + 1))
-    for i, own in enumerate(keys):
-        if len(own) and cuts[i] < cuts[i + 1]:
-            part = values[cuts[i]:cuts[i + 1]]
-            at = np.minimum(np.searchsorted(own, part), len(own) - 1)
-            result[cuts[i]:cuts[i + 1]] = own[at] == part
-    return result
-
-
 def _compact(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[pa.RecordBatch]:
     """Compacted edges of each document: maximal rows of windows with one repeated pin."""
     for batch, texts in unpacked(batches):
         words = split_words(_joined(texts))
         start, pin, key, hashed = _windows(words, window, k)
-        kept = _member(_key_lists(batch.column("hits")), words.doc[start], key)
+        kept = member(key_lists(batch.column("hits")), words.doc[start], key)
         start, pin, hashed = start[kept], pin[kept], hashed[kept]
         if not len(start):
             continue
@@ -140,7 +122,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[
         words = split_words(_joined(texts))
         start, _, _, hashed = _windows(words, window, k)
         doc = words.doc[start]
-        gone = _member(_key_lists(batch.column("later")), doc, hashed)
+        gone = member(key_lists(batch.column("later")), doc, hashed)
         # A window that stands earlier in its own document.
         order = np.lexsort((start, hashed, doc))
         same = np.zeros(len(order), bool)
@@ -176,8 +158,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their source coordinates (in words).
     """
     texts = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text"))
-    pins = shared_keys(texts.mapInArrow(lambda b: _pins(b, window, k), "owner long, keys binary"))
-    hits = pins.groupBy("owner").agg(F.collect_list("keys").alias("hits"))
+    hits = shared_keys(texts, lambda b: _pins(b, window, k)).withColumnRenamed("keys", "hits")
     packed = compressed(docs, id_col, text_col)
     edges = stored(
         packed.join(hits, c("id") == c("owner")).select("id", "packed", "hits").mapInArrow(
@@ -188,8 +169,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "edge", "proof", c("first.doc").alias("source"), c("first.start").alias("source_start"),
             c("first.windows").alias("windows")), "repeat-nodes")
     # Of each compacted edge only the first occurrence still has open windows.
-    later = shared_keys(nodes.select(c("source").alias("owner"), c("windows").alias("keys")), later=True)
-    later = later.groupBy(c("owner").alias("later_id")).agg(F.collect_list("keys").alias("later"))
+    later = shared_keys(nodes.select(c("source").alias("owner"), c("windows").alias("keys")), iter, later=True).select(
+        c("owner").alias("later_id"), c("keys").alias("later"))
     others = (edges.drop("windows").join(nodes.drop("windows"), ["edge", "proof"])
               .where(at != F.struct("source", "source_start")))
     found = others.groupBy(c("doc").alias("found_id")).agg(

@@ -5,24 +5,26 @@ about a million keys. A key that repeats inside the chunk is settled there: its
 owners are told at once, and one announcement leaves the chunk. All other keys
 travel with their owners, packed, to the range of the key space they belong
 to, where a sort finds the repeats. A key that a third of all owners hold
-therefore sends one entry per chunk, and ranges of hashed keys are even.
+therefore sends one entry per chunk, and ranges of hashed keys are even. The
+answers go back packed, to the bucket of their owner.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pelage.llm.hashing import U64, pack, unpack
+from pelage.llm.hashing import U64, mix, pack, unpack
 
-CHUNK_KEYS = 1 << 20
+CHUNK_KEYS = 1 << 19
 _PACKED = "part int, owners binary, counts binary, keys binary, known binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()),
                      ("keys", pa.binary()), ("known", pa.binary())])
-_HITS = pa.schema([("owner", pa.int64()), ("keys", pa.binary())])
+_PACKED_HITS = "bucket int, owners binary, counts binary, keys binary"
+_HITS = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 
 
 def _runs(owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +89,28 @@ def _chunks(batches: Iterator[pa.RecordBatch], parts: int, later: bool) -> Itera
         yield settle(owners, keys)
 
 
-def _settle_part(batches: Iterator[pa.RecordBatch], later: bool) -> Iterator[pa.RecordBatch]:
+def _by_owner(owner: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Hits packed by owner bucket."""
+    at = (mix(owner.view(U64)) % U64(buckets)).astype(np.int32)
+    order = np.lexsort((owner, at))
+    at, owner, key = at[order], owner[order], key[order]
+    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    rows = []
+    for low, high in zip(cut, np.r_[cut[1:], len(at)]):
+        who, n = _runs(owner[low:high])
+        rows.append((int(at[low]), pack(who, "<i8"), pack(n, "<i4"), pack(key[low:high], "<u8")))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, _HITS.types)], schema=_HITS)
+
+
+def _settle_part(batches: Iterator[pa.RecordBatch], later: bool, buckets: int) -> Iterator[pa.RecordBatch]:
     keys, owners, known = [], [], []
     for batch in batches:
         for row in zip(*[batch.column(k) for k in ("owners", "counts", "keys", "known")]):
             who, n = unpack(row[0].as_buffer(), "<i8"), unpack(row[1].as_buffer(), "<i4")
             asked, said = unpack(row[2].as_buffer(), "<u8"), unpack(row[3].as_buffer(), "<u8")
             if len(who) and not len(asked):  # settled in its chunk
-                yield _hits(who, n, said)
+                yield _by_owner(np.repeat(who, n), said, buckets)
                 continue
             keys.append(asked.copy())
             owners.append(np.repeat(who, n))
@@ -109,28 +125,47 @@ def _settle_part(batches: Iterator[pa.RecordBatch], later: bool) -> Iterator[pa.
         if len(sure):
             at = np.minimum(np.searchsorted(sure, key), len(sure) - 1)
             hit |= sure[at] == key
-        key, owner = key[hit], owner[hit]
-        by = np.argsort(owner, kind="stable")
-        who, n = _runs(owner[by])
-        yield _hits(who, n, key[by])
-
+        yield _by_owner(owner[hit], key[hit], buckets)
 
-def _hits(who: np.ndarray, n: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    offsets = pa.array(np.r_[0, np.cumsum(n)] * 8, pa.int32())
-    values = pa.BinaryArray.from_buffers(pa.binary(), len(who), [None, offsets.buffers()[1], pa.py_buffer(pack(keys, "<u8"))])
-    return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), values], schema=_HITS)
 
-
-def shared_keys(keyed: DataFrame, later: bool = False) -> DataFrame:
-    """``owner, keys`` rows (several per owner) with those keys of ``keyed`` that occur at least twice.
-
-    ``keyed`` has ``owner long, keys binary`` (packed 64-bit unsigned integers);
+def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per owner with its distinct keys in order."""
+    owners, keys = [], []
+    for batch in batches:
+        for row in zip(*[batch.column(k) for k in ("owners", "counts", "keys")]):
+            owners.append(np.repeat(unpack(row[0].as_buffer(), "<i8"), unpack(row[1].as_buffer(), "<i4")))
+            keys.append(unpack(row[2].as_buffer(), "<u8").copy())
+    if not owners:
+        return
+    owner, key = np.concatenate(owners), np.concatenate(keys)
+    owners, keys = [], []
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    owner, key = owner[fresh], key[fresh]
+    who, n = _runs(owner)
+    ends = np.cumsum(n)
+    for low in range(0, len(who), 4096):
+        part = slice(low, low + 4096)
+        yield pa.RecordBatch.from_pydict({
+            "owner": pa.array(who[part], pa.int64()),
+            "keys": pa.array([pack(key[e - m:e], "<u8") for e, m in zip(ends[part], n[part])], pa.binary())})
+
+
+Extract = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def shared_keys(source: DataFrame, extract: Extract, later: bool = False) -> DataFrame:
+    """``owner, keys``: one row per owner with those of its keys that occur at least twice, sorted and packed.
+
+    ``extract`` turns batches of ``source`` into batches of ``owner long, keys
+    binary`` (packed 64-bit unsigned integers) inside the task that reads them;
     a key that one owner lists twice counts twice. With ``later`` only the keys
-    that some smaller owner holds as well.
+    that some smaller owner holds as well. Owners without such keys have no row.
     """
-    spark = keyed.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * width
-    packed = keyed.mapInArrow(lambda b: _chunks(b, parts, later), _PACKED)
-    return packed.repartition(width, "part").mapInArrow(
-        lambda b: _settle_part(b, later), "owner long, keys binary")
+    packed = source.mapInArrow(lambda b: _chunks(extract(b), parts, later), _PACKED)
+    hits = packed.repartition(width, "part").mapInArrow(lambda b: _settle_part(b, later, width), _PACKED_HITS)
+    return hits.repartition(width, "bucket").mapInArrow(_collect, "owner long, keys binary")

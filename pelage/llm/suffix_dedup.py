@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelage.llm.compressed import compressed, unpacked
-from pelage.llm.hashing import U64, Bytes, pack, slices, spans, text_bytes, unpack, window_minima
+from pelage.llm.hashing import (
+    U64, Bytes, key_lists, member, pack, slices, spans, text_bytes, unpack, window_minima,
+)
 from pelage.llm.shared_keys import shared_keys
 from pelage.llm.storage import stored
 from pelage.llm.suffix_blocks import repeated_elsewhere
@@ -72,29 +74,13 @@ def _pins(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa
             [pack(np.unique(key[a:b]), "<u8") for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
 
-def _key_lists(column: pa.Array) -> list[np.ndarray]:
-    return [np.unique(np.concatenate([unpack(x, "<u8") for x in value])) if value else np.zeros(0, U64)
-            for value in column.to_pylist()]
-
-
-def _member(keys: list[np.ndarray], doc: np.ndarray, values: np.ndarray) -> np.ndarray:
-    result = np.zeros(len(values), bool)
-    cuts = _cuts(doc, len(keys))
-    for i, own in enumerate(keys):
-        if len(own) and cuts[i] < cuts[i + 1]:
-            part = values[cuts[i]:cuts[i + 1]]
-            at = np.minimum(np.searchsorted(own, part), len(own) - 1)
-            result[cuts[i]:cuts[i + 1]] = own[at] == part
-    return result
-
-
 class Contexts:
     """Contexts with shared pins in a slice of texts: first string, number of strings, text number, pin, content hash."""
 
     def __init__(self, texts: list[bytes], hits: pa.Array, length: int, k: int):
         self.bytes = Bytes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
         start, doc, key, pin, self.sums = _strings(self.bytes, length, k)
-        kept = _member(_key_lists(hits), doc, key)
+        kept = member(key_lists(hits), doc, key)
         start, doc, key, pin = start[kept], doc[kept], key[kept], pin[kept]
         head = np.ones(len(start), bool)
         head[1:] = (pin[1:] != pin[:-1]) | (start[1:] != start[:-1] + 1)
@@ -125,7 +111,7 @@ def _open(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa
     """Contexts that no smaller document holds, with their bytes."""
     for batch, texts in unpacked(batches):
         x = Contexts(texts, batch.column("hits"), length, k)
-        take = x.first_in_text() & ~_member(_key_lists(batch.column("settled")), x.doc, x.edge)
+        take = x.first_in_text() & ~member(key_lists(batch.column("settled")), x.doc, x.edge)
         start, n, doc = x.start[take], x.n[take], x.doc[take]
         whole = x.bytes.data.tobytes()
         ids = np.array(batch.column("id").to_pylist(), np.int64)
@@ -195,7 +181,7 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[
     for batch, texts in unpacked(batches):
         x = Contexts(texts, batch.column("hits"), length, k)
         n = batch.num_rows
-        mask = np.where(_member(_key_lists(batch.column("settled")), x.doc, x.edge), np.int64(-1), np.int64(0))
+        mask = np.where(member(key_lists(batch.column("settled")), x.doc, x.edge), np.int64(-1), np.int64(0))
         cuts = _cuts(x.doc, n)
         for i, parts in enumerate(batch.column("sorted").to_pylist()):
             if parts and cuts[i] < cuts[i + 1]:
@@ -210,9 +196,9 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[
         nth = np.arange(len(of)) - np.repeat(np.cumsum(x.n) - x.n, x.n)
         start, doc = x.start[of] + nth, x.doc[of]
         gone = (mask[of] >> nth) & 1 == 1
-        hot = _key_lists(batch.column("hot"))
+        hot = key_lists(batch.column("hot"))
         if any(len(h) for h in hot):
-            gone |= _member(hot, doc, spans(x.sums, start, start + length))
+            gone |= member(hot, doc, spans(x.sums, start, start + length))
         cover = np.zeros(len(x.bytes.data) + 1, np.int64)
         np.add.at(cover, start[gone], 1)
         np.add.at(cover, start[gone] + length, -1)
@@ -237,14 +223,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``kept`` are the other bytes in order; ``spans`` the maximal removed runs (byte offsets).
     """
     texts = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text"))
-    pins = stored(shared_keys(texts.mapInArrow(lambda b: _pins(b, length, k), "owner long, keys binary")), "suffix-pins")
-    hits = pins.groupBy("owner").agg(F.collect_list("keys").alias("hits"))
+    hits = stored(shared_keys(texts, lambda b: _pins(b, length, k)), "suffix-pins").select(
+        "owner", c("keys").alias("hits"))
     packed = compressed(docs, id_col, text_col)
     with_hits = packed.join(hits, c("id") == c("owner")).select("id", "packed", "hits")
-    settled = stored(shared_keys(
-        with_hits.mapInArrow(lambda b: _edges(b, length, k), "owner long, keys binary"), later=True), "suffix-settled")
-    known = stored(hits.join(settled.groupBy(c("owner").alias("o")).agg(F.collect_list("keys").alias("settled")),
-                             c("owner") == c("o"), "left").select("owner", "hits", "settled"), "suffix-known")
+    settled = shared_keys(with_hits, lambda b: _edges(b, length, k), later=True).select(
+        c("owner").alias("o"), c("keys").alias("settled"))
+    known = stored(hits.join(settled, c("owner") == c("o"), "left").select("owner", "hits", "settled"), "suffix-known")
     contexts = stored(
         packed.join(known, c("id") == c("owner")).select("id", "packed", "hits", "settled").mapInArrow(
             lambda b: _open(b, length, k), "pin long, doc long, edge long, content binary"), "suffix-contexts")
@@ -257,9 +242,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                .repartition(width, "pin").sortWithinPartitions("pin")
                .mapInArrow(lambda b: _sort_blocks(b, length), "doc long, edges binary, masks binary"))
     sorted_ = sorted_.groupBy(c("doc").alias("s")).agg(F.collect_list(F.struct("edges", "masks")).alias("sorted"))
-    hot = shared_keys(dealt.where("crowded").select("doc", "content").mapInArrow(
-        lambda b: _context_strings(b, length), "owner long, keys binary"), later=True)
-    hot = hot.groupBy(c("owner").alias("h")).agg(F.collect_list("keys").alias("hot"))
+    hot = shared_keys(dealt.where("crowded").select("doc", "content"), lambda b: _context_strings(b, length),
+                      later=True).select(c("owner").alias("h"), c("keys").alias("hot"))
     found = stored(known.join(sorted_, c("owner") == c("s"), "left").join(hot, c("owner") == c("h"), "left")
                    .select("owner", "hits", "settled", "sorted", "hot"), "suffix-found")
     judged = packed.join(found, c("id") == c("owner"), "left")
