@@ -2,37 +2,78 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet
 and read back as the next stage's documents. All but the last keep the columns
-of ``documents``.
+of ``documents``. NULL texts pass as empty ones, rows with a NULL id are never
+merged with others, and an empty table runs through to an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pelage.llm import secret_scan
+from pelage.llm import decontamination, jaccard_join, secret_scan
+from pelage.llm.importance import Sampler
+from pelage.llm.packing_queries import pack
+from pelage.llm.registry import table
 from pelage.llm.secret_queries import repository
-from pelage.session import materialize
+from pelage.llm.storage import stored
+
+c = F.col
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample does not draw go."""
+    return Sampler(docs, table(spark, sf_dir, "labels")).keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents (five-word shingles, 0.8) the one with the smallest id stays.
+
+    Exact repeats of a row go too; rows of one id with different texts are one
+    document and stay together.
+    """
+    groups = jaccard_join.similar_groups(docs, k=5, percent=80)
+    gone = stored(groups.where("id <> component").select(c("id").alias("_gone")), "pipeline-duplicates")
+    left = docs.join(gone, c("doc_id") == c("_gone"), "left_anti")
+    return left.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontamination.contained(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.select(c("doc").alias("_gone")).distinct()
+    return docs.join(gone, c("doc_id").eqNullSafe(c("_gone")), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials of one owner are cut out of the texts; no document goes."""
-    scanned = materialize(secret_scan.scan(docs, "doc_id", "text", *repository(docs)), "secret-scan")
-    return secret_scan.redact(docs, "doc_id", "text", secret_scan.judge(scanned))
+    scanned = stored(secret_scan.scan(docs, "doc_id", "text", *repository(docs)), "secret-scan")
+    clean = secret_scan.redact(docs, "doc_id", "text", secret_scan.judge(scanned))
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's token pieces with their sequence and place."""
+    return pack(docs)
 
 
 STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
     ("secret scans", secrets),
+    ("best-fit packing", packing),
 ]
 
-# Model scores and packing have no SQL form; the stages are tested against brute force.
+# Model weights, components and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over all of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for position, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if position < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "-"))
+            docs = stored(docs, name.replace(" ", "-"))
     return docs

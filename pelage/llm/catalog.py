@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pelage.llm import (  # noqa: F401
-    decontamination_queries, index_queries, jaccard_queries, packing_queries, repeated_queries, resharding_queries, secret_queries,
+    decontamination_queries, importance_queries, index_queries, jaccard_queries, packing_queries, repeated_queries, resharding_queries, secret_queries,
     suffix_queries, url_queries,
 )
 from pelage.llm.registry import ORACLES, QUERIES

@@ -54,6 +54,11 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(1 << 16, 1 << int(size).bit_length()))
 
 
+def span_table(data: np.ndarray) -> np.ndarray:
+    """The 64-bit item of each byte, for ``prefix``."""
+    return _TABLE[data]
+
+
 def prefix(values: np.ndarray) -> np.ndarray:
     """Prefix sums for ``spans``; ``values`` are 64-bit items in order."""
     power, _ = powers(len(values))
