@@ -234,19 +234,31 @@ def _first_per(row: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def _mates(bands: Bands, nearest: bool):
     """Plausible pairs of different components in each unit; with ``nearest`` each row's nearest and lowest mate only."""
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        units = _Units(table, bands)
-        found = [units.plausible(i, j) for i, j in units.candidates()]
-        i, j, d = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
-        if nearest:
-            row, mate, far = np.r_[i, j], np.r_[j, i], np.r_[d, d]
-            take = np.unique(np.r_[_first_per(row, np.lexsort((units.id[mate], far, row))),
-                                   _first_per(row, np.lexsort((units.id[mate], row)))])
-            i, j = row[take], mate[take]
+    def closest(units: _Units, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the pairs met so far each row's nearest and lowest mate, either way round."""
+        row, mate, far = np.r_[i, j], np.r_[j, i], np.r_[d, d]
+        take = np.unique(np.r_[_first_per(row, np.lexsort((units.id[mate], far, row))),
+                               _first_per(row, np.lexsort((units.id[mate], row)))])
+        return row[take], mate[take], far[take]
+
+    def listed(units: _Units, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         a, b = units.id[i], units.id[j]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         both = both[both[:, 0] < both[:, 1]]
-        yield pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+        return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        units = _Units(table, bands)
+        met = (np.zeros(0, np.int64),) * 3
+        for i, j in units.candidates():
+            found = units.plausible(i, j)
+            if not nearest:
+                yield listed(units, *found[:2])
+            elif len(found[0]):
+                met = tuple(np.concatenate(x) for x in zip(met, closest(units, *found)))
+                if len(met[0]) > 1 << 16:
+                    met = closest(units, *met)
+        yield listed(units, *closest(units, *met)[:2] if nearest else met[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
