@@ -2,18 +2,25 @@
 
 Two bag-of-n-gram models with hashed buckets are counted: one over the target
 documents, one over all raw documents. A document's importance weight is the
-ratio of its likelihoods; adding Gumbel noise to the log weights and taking the
-k largest draws k documents without replacement in proportion to the weights.
-By default k is the number of documents that Bayes' rule, with the share of
-targets among the labelled documents as prior, calls more likely target than
-not.
+ratio of its likelihoods, as geometric mean per n-gram (so that length alone
+does not decide) and tempered by ``TEMPERATURE``; adding Gumbel noise to the
+log weights and taking the k largest draws k documents without replacement in
+proportion to the weights. By default k is the number of documents whose ratio
+lies above the threshold that parts labelled targets and labelled rejects best.
+
+A document is weighted by models from which its own n-grams are taken out, so
+that a text of the fitting sample and any other one are judged alike also in a
+small corpus. The target count of a bucket is compared with the count that the
+raw model expects there, both raised by the same pseudo count, so an n-gram
+that is rarely expected says little.
 
 Tokens are runs of letters, digits and bytes above ASCII, or of other signs;
-n-grams are single tokens and pairs. The target model is fitted on a bounded
-sample of labelled documents (``FIT_ROWS``, by a hash of the id); the raw model,
-the weights, k and the cut cover every document.
+n-grams are single tokens and pairs. The target model and the threshold are
+fitted on bounded samples of labelled documents (``FIT_ROWS`` targets and as
+many rejects, by a hash of the id); the raw model, the weights, k and the cut
+cover every document.
 
-Cases: a NULL or empty text has no n-grams and log weight 0; repeated rows are
+Cases: a NULL or empty text has no n-grams and log ratio 0; repeated rows are
 counted, weighted and decided one by one but share the noise of their id, also
 a NULL one; keys equal to the k-th are all kept; labels that contradict each
 other make a document no target; without labels no document is a target and
@@ -39,8 +46,10 @@ c = F.col
 
 FIT_ROWS = 20_000
 BUCKETS = 1 << 16
-SMOOTHING = 0.5
+# Observations by which a bucket's ratio is drawn towards one: few counts say little.
+PSEUDO = 50.0
 SEED = 11
+TEMPERATURE = 0.01
 # Histogram rows per pass of the search for the k-th key.
 BINS = 1 << 14
 
@@ -85,46 +94,81 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         "bucket": pa.array(at, pa.int32()), "raw": pa.array(raw[at]), "target": pa.array(target[at])})
 
 
-def log_ratios(counts: list) -> np.ndarray:
-    """Per bucket the log of target over raw probability, both smoothed alike."""
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row in counts:
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    p = (target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS)
-    q = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
-    return np.log(p) - np.log(q)
+class Models:
+    """Counts per bucket over all documents and over the targets, and the ids of the targets."""
 
+    def __init__(self, counts: list, target_ids: list[int]):
+        self.raw, self.target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for row in counts:
+            self.raw[row["bucket"]], self.target[row["bucket"]] = row["raw"], row["target"]
+        self.ids = np.array(sorted(target_ids), np.int64)
 
-def targets(labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, float]:
-    """The fitting sample of target ids (at most ``FIT_ROWS``), and the share of targets among the labelled."""
-    judged = labels.where(c(id_col).isNotNull()).groupBy(c(id_col).cast("long").alias("target_id")).agg(
-        ((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"))
-    share = judged.agg(F.avg(F.when(c("good"), 1.0).otherwise(0.0))).first()[0] or 0.0
-    # The drawn ids are a bounded number, so they may go to all executors.
-    return judged.where("good").select("target_id").orderBy(F.xxhash64("target_id"), "target_id").limit(FIT_ROWS), share
+    def log_weights(self, ids: pa.Array, texts: pa.Array) -> np.ndarray:
+        """Mean log of target over raw likelihood per n-gram of each text, its own counts left out."""
+        doc, bucket = features(texts)
+        n = len(texts)
+        cell, own = np.unique(doc * BUCKETS + bucket, return_counts=True)
+        doc, bucket = cell // BUCKETS, cell % BUCKETS
+        size = np.bincount(doc, weights=own, minlength=n)
+        known = np.isin(np.asarray(ids.fill_null(-1)), self.ids) & np.asarray(ids.is_valid())
 
+        def left_out(counts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            inside = inside[doc]
+            total = np.maximum(counts.sum() - np.where(inside, size[doc], 0), 1)
+            return np.maximum(counts[bucket] - np.where(inside, own, 0), 0), total
 
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Log ratio per bucket; the driver gets one row of counts per bucket."""
+        target, of = left_out(self.target, known)
+        raw, all_of = left_out(self.raw, np.ones(n, bool))
+        parts = own * (np.log(target + PSEUDO) - np.log(raw / all_of * of + PSEUDO))
+        return np.bincount(doc, weights=parts, minlength=n) / np.maximum(size, 1)
+
+
+def labelled(labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Fitting samples of targets (good quality, not toxic) and rejects (bad quality), at most ``FIT_ROWS`` ids each."""
+    judged = labels.where(c(id_col).isNotNull()).groupBy(c(id_col).cast("long").alias("labelled_id")).agg(
+        F.min("quality").alias("worst"), F.max("quality").alias("best"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        return rows.select("labelled_id").orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(FIT_ROWS)
+
+    return drawn(judged.where("worst = 1 AND toxic = 0")), drawn(judged.where("best = 0"))
+
+
+def threshold(good: list[float], bad: list[float]) -> float:
+    """Midpoint of the gap at which the share of good above plus the share of bad below is largest."""
+    if not good:
+        return float("inf")
+    if not bad:
+        return min(good)
+    values = np.unique(np.array([*good, *bad]))
+    cuts = np.r_[values[0] - 1, (values[1:] + values[:-1]) / 2]
+    above = 1 - np.searchsorted(np.sort(good), cuts) / len(good)
+    below = np.searchsorted(np.sort(bad), cuts) / len(bad)
+    return float(cuts[np.argmax(above + below)])
+
+
+def fit(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -> Models:
+    """The driver gets one row of counts per bucket and the ids of the fitting sample."""
     rows = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text"))
-    marked = rows.join(F.broadcast(target_ids), c("id") == c("target_id"), "left").select(
+    chosen = [row[0] for row in target_ids.collect()]
+    # At most FIT_ROWS ids, so they may go to all executors.
+    drawn = docs.sparkSession.createDataFrame([(i,) for i in chosen], "target_id long")
+    marked = rows.join(F.broadcast(drawn), c("id") == c("target_id"), "left").select(
         "text", c("target_id").isNotNull().alias("target"))
     counted = marked.mapInArrow(_counts, "bucket int, raw long, target long")
-    return log_ratios(counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect())
+    sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return Models(sums.collect(), chosen)
 
 
-def log_weight(text: Column, ratios: np.ndarray) -> Column:
-    """Log importance weight of a text."""
+def log_weight(key: Column, text: Column, models: Models) -> Column:
+    """Mean log ratio of a text."""
     @F.arrow_udf("double")
-    def weigh(texts: pa.Array) -> pa.Array:
-        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-        out = []
-        for batch in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", SLICE_BYTES):
-            doc, bucket = features(batch.column("text"))
-            out.append(np.bincount(doc, weights=ratios[bucket], minlength=batch.num_rows))
+    def weigh(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([ids, texts], names=["id", "text"])
+        out = [models.log_weights(b.column("id"), b.column("text")) for b in slices(iter([whole]), "text", SLICE_BYTES)]
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    return weigh(text.cast("string"))
+    return weigh(key.cast("long"), text.cast("string"))
 
 
 def gumbel(key: Column, seed: int = SEED) -> Column:
@@ -165,24 +209,35 @@ class Sampler:
     def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  k: int | None = None):
         self.id_col, self.text_col = id_col, text_col
-        ids, share = targets(labels)
-        self.ratios = fit(docs, ids, id_col, text_col)
-        scored = materialize(docs.select(c(id_col).alias("id"), log_weight(c(text_col), self.ratios).alias("log_weight")),
-                             "importance-weights")
-        self.scored = scored.withColumn("key", c("log_weight") + gumbel(c("id")))
+        good, bad = labelled(labels)
+        self.models = fit(docs, good, id_col, text_col)
+        self.scored = materialize(docs.select(
+            c(id_col).alias("id"), log_weight(c(id_col), c(text_col), self.models).alias("log_ratio")), "importance-weights")
         if k is None:
-            k = scored.where(c("log_weight") >= float(np.log(0.5 / share))).count() if share else 0
+            k = self.scored.where(c("log_ratio") >= self._threshold(good, bad)).count()
         self.k = k
-        self.cut = kth_code(self.scored.select(code(c("key")).alias("code")), k)
+        self.cut = kth_code(self.scored.select(code(self._key(c("log_ratio"), c("id"))).alias("code")), k)
+
+    def _threshold(self, good: DataFrame, bad: DataFrame) -> float:
+        """From the ratios of the labelled samples, at most twice ``FIT_ROWS`` (and their repeated rows)."""
+        sides = []
+        for sample in (good, bad):
+            rows = self.scored.join(F.broadcast(sample), c("id") == c("labelled_id"))
+            sides.append([r[0] for r in rows.groupBy("id").agg(F.min("log_ratio")).select("min(log_ratio)").collect()])
+        return threshold(*sides)
+
+    @staticmethod
+    def _key(ratio: Column, key: Column) -> Column:
+        return ratio / TEMPERATURE + gumbel(key)
 
     def decided(self) -> DataFrame:
-        """``id, log_weight, key, kept`` of every document."""
-        kept = code(c("key")) >= self.cut if self.cut is not None else F.lit(False)
-        return self.scored.withColumn("kept", kept)
+        """``id, log_ratio, key, kept`` of every document."""
+        keyed = self.scored.withColumn("key", self._key(c("log_ratio"), c("id")))
+        return keyed.withColumn("kept", code(c("key")) >= self.cut if self.cut is not None else F.lit(False))
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """The drawn rows of ``docs`` with all their columns; no join, the key is computed again in place."""
         if self.cut is None:
             return docs.limit(0)
-        key = log_weight(c(self.text_col), self.ratios) + gumbel(c(self.id_col))
+        key = self._key(log_weight(c(self.id_col), c(self.text_col), self.models), c(self.id_col))
         return docs.where(code(key) >= self.cut)

@@ -14,4 +14,4 @@ c = F.col
 def op3(spark, sf_dir):
     """The drawn documents; those that are not in the result are rejected."""
     sampler = Sampler(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return sampler.decided().where("kept").select(c("id").alias("doc_id"), "log_weight", c("key").alias("sample_key"))
+    return sampler.decided().where("kept").select(c("id").alias("doc_id"), "log_ratio", c("key").alias("sample_key"))
