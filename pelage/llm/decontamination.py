@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelage.session import materialize
+from pelage.llm.storage import stored
 
 c = F.col
 
@@ -90,12 +90,12 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, signed: DataFrame) -
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
     """``doc, item, n_shingles, n_shared`` for every document and item it holds enough of."""
-    signed = materialize(signatures(items, item_id, item_text, threshold), "item-signatures")
+    signed = stored(signatures(items, item_id, item_text, threshold), "item-signatures")
     found = candidates(docs, id_col, text_col, signed).withColumnRenamed("doc", "found")
     texts = docs.select(c(id_col).alias("doc"), c(text_col).alias("text"))
     held = texts.join(found, c("doc").eqNullSafe(c("found")), "left_semi")
     shown = held.select("doc", F.xxhash64("text").alias("version"), F.explode(shingles(c("text"))).alias("shingle"))
-    parts = materialize(items.select(c(item_id).alias("item"), shingles(c(item_text)).alias("s")).select(
+    parts = stored(items.select(c(item_id).alias("item"), shingles(c(item_text)).alias("s")).select(
         "item", F.size("s").alias("n_shingles"), F.explode("s").alias("shingle")).distinct(), "item-shingles")
     # The same text may come twice under one id: its shingles count once.
     pairs = shown.join(sized(parts, parts.count()), "shingle").select(

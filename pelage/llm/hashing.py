@@ -149,19 +149,30 @@ def word_runs(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, spans(sums, at, at + k)
 
 
-def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values the index of its least one, the last of equals (windows in order)."""
-    n = len(values)
+def pins(sums: np.ndarray, k: int, width: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``width`` k-grams (at most 64) the hash of its least gram and that gram's place.
+
+    The key depends on the window's content alone. ``within`` is each item's
+    place in its text; of equal grams in a window it picks one, so a text is cut
+    alike wherever it lies in a slice.
+    """
+    n = len(sums) - k  # grams
     if n < width:
-        return np.zeros(0, np.int64)
-    best = np.arange(n)
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    _, inverse = powers(len(sums))
+    grams = (sums[k:] - sums[:-k]) * inverse[:n]
+    grams ^= grams >> U64(32)
+    grams *= U64(0xD6E8FEB86659FD93)
+    grams &= U64(0xFFFFFFFFFFFFFFC0)
+    grams |= (within[:n] & 63).astype(U64)
     reach = 1
-    while reach < width:  # doubling: best[i] covers values i .. i + reach - 1
+    while reach < width:  # least of grams i .. i + reach - 1
         step = min(reach, width - reach)
-        left, right = best[: len(best) - step], best[step:]
-        best = np.where(values[right] <= values[left], right, left)
+        grams = np.minimum(grams[:-step], grams[step:])
         reach += step
-    return best
+    start = np.arange(len(grams))
+    place = start + (((grams & U64(63)).view(np.int64) - within[:len(grams)]) & 63)
+    return mix(grams >> U64(6)), place
 
 
 def pack(values: np.ndarray, kind) -> bytes:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pelage.llm.hashing import (
     SLICE_BYTES, U64, Bytes, Words, prefix, slices, span_table, spans, text_bytes, word_runs,
 )
-from pelage.session import materialize
+from pelage.llm.storage import stored
 
 c = F.col
 
@@ -211,7 +211,7 @@ class Sampler:
         self.id_col, self.text_col = id_col, text_col
         good, bad = labelled(labels)
         self.models = fit(docs, good, id_col, text_col)
-        self.scored = materialize(docs.select(
+        self.scored = stored(docs.select(
             c(id_col).alias("id"), log_weight(c(id_col), c(text_col), self.models).alias("log_ratio")), "importance-weights")
         if k is None:
             k = self.scored.where(c("log_ratio") >= self._threshold(good, bad)).count()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pelage.llm.components import components
 from pelage.llm.hashing import U64, mix, pack, prefix, slices, spans, split_words, text_bytes, unpack, word_runs
 from pelage.llm.shared_keys import shared_keys
-from pelage.session import materialize
+from pelage.llm.storage import stored
 
 c = F.col
 
@@ -332,25 +332,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     scanned = texts.mapInArrow(lambda b: _summaries(b, k, bands), "id long, n long, f1 long, f2 long, sketch binary")
     one = scanned.groupBy("id").agg(F.min(F.struct("n", "f1", "f2", "sketch")).alias("s")).select("id", "s.*")
-    summary = materialize(one, "jaccard-summaries")
-    classes = materialize(summary.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("first")), "jaccard-classes")
+    summary = stored(one, "jaccard-summaries")
+    classes = stored(summary.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("first")), "jaccard-classes")
     firsts = summary.join(classes.select(c("first").alias("id")), "id", "left_semi")
 
     hits = shared_keys(texts, lambda b: _keyed(b, k, bands))
     mine = hits.withColumnRenamed("owner", "id").join(firsts.select("id"), "id", "left_semi")
-    rows = materialize(mine.mapInArrow(_rows, "key long, id long").distinct(), "jaccard-rows")
+    rows = stored(mine.mapInArrow(_rows, "key long, id long").distinct(), "jaccard-rows")
     # Most keys repeat among equal sets only and now stand alone.
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialize(rows.join(sizes, "key").join(firsts.select("id", "n", "sketch"), "id"), "jaccard-shared")
+    shared = stored(rows.join(sizes, "key").join(firsts.select("id", "n", "sketch"), "id"), "jaccard-shared")
 
-    first_pairs = materialize(bucket_pairs(shared.withColumn("component", c("id")), bands, True), "jaccard-pairs")
-    ids = materialize(first_pairs.select(c("a").alias("id")).union(first_pairs.select("b")).distinct(), "jaccard-ids")
+    first_pairs = stored(bucket_pairs(shared.withColumn("component", c("id")), bands, True), "jaccard-pairs")
+    ids = stored(first_pairs.select(c("a").alias("id")).union(first_pairs.select("b")).distinct(), "jaccard-ids")
     few = ids.count() <= BROADCAST_IDS
-    sets = materialize(
+    sets = stored(
         texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(
             lambda b: _sets(b, k), "id long, tokens binary").groupBy("id").agg(F.min("tokens").alias("tokens")),
         "jaccard-sets")
-    links = materialize(verified(first_pairs, sets, percent), "jaccard-links")
+    links = stored(verified(first_pairs, sets, percent), "jaccard-links")
     groups = components(links, "jaccard-first")
 
     labelled = shared.join(ids, "id", "left_semi").join(groups, "id", "left").withColumn(
@@ -359,7 +359,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                         F.max("component").alias("high")).where("low < high").select("key", "size")
     rest = bucket_pairs(labelled.drop("size").join(mixed, "key"), bands, False)
     more = verified(rest.join(first_pairs, ["a", "b"], "left_anti"), sets, percent)
-    groups = materialize(components(links.union(more), "jaccard-last"), "jaccard-groups")
+    groups = stored(components(links.union(more), "jaccard-last"), "jaccard-groups")
 
     first = classes.join(groups.withColumnRenamed("id", "first"), "first", "left").select(
         "n", "f1", "f2", F.coalesce("component", "first").alias("component"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pelage.llm.compressed import compressed, unpacked
 from pelage.llm.hashing import (
-    U64, Bytes, Words, key_lists, member, mix, pack, prefix, slices, spans, split_words, text_bytes, window_minima,
+    U64, Bytes, Words, key_lists, member, mix, pack, pins, prefix, slices, spans, split_words, text_bytes,
 )
 from pelage.llm.shared_keys import shared_keys
 from pelage.llm.storage import stored
@@ -46,13 +46,10 @@ def _windows(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray,
         none = np.zeros(0, np.int64)
         return none, none, none.astype(U64), none.astype(U64)
     sums = prefix(words.hash)
-    at = np.arange(n - k + 1)
-    grams = spans(sums, at, at + k)
-    pins = window_minima(grams, window - k + 1)
+    key, pin = pins(sums, k, window - k + 1, np.arange(n) - words.first[words.doc])
     start = np.arange(n - window + 1)
     start = start[words.doc[: n - window + 1] == words.doc[window - 1:]]
-    pin = pins[start]
-    return start, pin, grams[pin], spans(sums, start, start + window)
+    return start, pin[start], key[start], spans(sums, start, start + window)
 
 
 def _pins(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -128,9 +125,8 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[
         same = np.zeros(len(order), bool)
         same[1:] = (hashed[order][1:] == hashed[order][:-1]) & (doc[order][1:] == doc[order][:-1])
         gone[order[same]] = True
-        cover = np.zeros(len(words.hash) + 1, np.int64)
-        np.add.at(cover, start[gone], 1)
-        np.add.at(cover, start[gone] + window, -1)
+        size = len(words.hash) + 1
+        cover = np.bincount(start[gone], minlength=size) - np.bincount(start[gone] + window, minlength=size)
         paths = []
         for i, found in enumerate(batch.column("found").to_pylist()):
             paths.append(_paths(found or [], window))

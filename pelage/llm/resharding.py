@@ -18,7 +18,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelage.session import materialize
+from pelage.llm.storage import stored
 
 c = F.col
 
@@ -106,7 +106,7 @@ def plan(docs: DataFrame, row_key: Column, size: Column, old_shard: Column, old_
     holds. Positions are sums over hashed blocks of bounded size, so no task
     gets a whole shard.
     """
-    rows = materialize(docs.select("*", row_key.alias("_key"), size.cast("long").alias("_size"),
+    rows = stored(docs.select("*", row_key.alias("_key"), size.cast("long").alias("_size"),
                                    F.coalesce(F.pmod(old_shard, F.lit(old_shards)), F.lit(0)).cast("int").alias("_old")),
                        "reshard-rows")
     total, count = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
@@ -120,7 +120,7 @@ def plan(docs: DataFrame, row_key: Column, size: Column, old_shard: Column, old_
     small = small.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int"))
     sizes = small.groupBy("_old", "_block").agg(F.sum("_size").alias("_bytes"))
     before = Window.partitionBy("_old").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(sizes.select("_old", "_block", "_bytes", F.coalesce(
+    starts = stored(sizes.select("_old", "_block", "_bytes", F.coalesce(
         F.sum("_bytes").over(before), F.lit(0)).alias("_from")), "reshard-blocks")
     supply = [0] * old_shards
     for row in starts.groupBy("_old").agg(F.sum("_bytes").alias("n")).collect():
@@ -152,7 +152,7 @@ def plan(docs: DataFrame, row_key: Column, size: Column, old_shard: Column, old_
 
 def slots(placed: DataFrame, shards: int) -> DataFrame:
     """``placed`` with ``_slot``: gapless numbers from 0 within ``_shard``, old rows' order by key."""
-    rows = materialize(placed, "reshard-placed")
+    rows = stored(placed, "reshard-placed")
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     keyed = rows.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int"))
     before = Window.partitionBy("_shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

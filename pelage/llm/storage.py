@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 
 from pelage.session import materialize
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; the shuffle files behind it may go.
+    """``df`` written to the shared folder and read back; the shuffle files behind the write go with it.
 
-    Spark removes the files of a shuffle when the driver's JVM collects its
-    handle, which a mostly idle driver does late. A collection per written step
-    keeps the disk at what one step needs.
+    Spark otherwise keeps the files of finished shuffles until the driver's
+    JVM happens to collect their handles.
     """
-    written = materialize(df, name)
-    if hasattr(df.sparkSession, "_jvm"):  # not with a remote session
-        df.sparkSession._jvm.System.gc()
-    return written
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        spark.conf.set(_CLEANUP, before)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pelage.llm.compressed import compressed, unpacked
 from pelage.llm.hashing import (
-    U64, Bytes, key_lists, member, pack, slices, spans, text_bytes, unpack, window_minima,
+    U64, Bytes, key_lists, member, pack, pins, slices, spans, text_bytes, unpack,
 )
 from pelage.llm.shared_keys import shared_keys
 from pelage.llm.storage import stored
@@ -49,14 +49,12 @@ def _strings(b: Bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(U64), none, sums
-    at = np.arange(n - k + 1)
-    grams = spans(sums, at, at + k)
-    pins = window_minima(grams, length - k + 1)
+    sizes = np.diff(b.offsets)
+    key, pin = pins(sums, k, length - k + 1, np.arange(n) - np.repeat(b.offsets[:-1], sizes))
     # Text number by position; a string must end where its text does at the latest.
-    doc = np.repeat(np.arange(len(b.offsets) - 1), np.diff(b.offsets))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     start = np.flatnonzero(doc[: n - length + 1] == doc[length - 1:])
-    pin = pins[start]
-    return start, doc[start], grams[pin], pin, sums
+    return start, doc[start], key[start], pin[start], sums
 
 
 def _cuts(doc: np.ndarray, n: int) -> np.ndarray:
@@ -199,9 +197,8 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[
         hot = key_lists(batch.column("hot"))
         if any(len(h) for h in hot):
             gone |= member(hot, doc, spans(x.sums, start, start + length))
-        cover = np.zeros(len(x.bytes.data) + 1, np.int64)
-        np.add.at(cover, start[gone], 1)
-        np.add.at(cover, start[gone] + length, -1)
+        size = len(x.bytes.data) + 1
+        cover = np.bincount(start[gone], minlength=size) - np.bincount(start[gone] + length, minlength=size)
         drop = np.cumsum(cover[:-1]) > 0
         kept, removed, runs = [], [], []
         for low, high in zip(x.bytes.offsets, x.bytes.offsets[1:]):
