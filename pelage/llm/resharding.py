@@ -87,10 +87,16 @@ def near_equal(total: int, shards: int) -> list[int]:
 
 
 def _place_large(large: list[tuple], room: list[int]) -> tuple[dict, list[int]]:
-    """Largest first: stay where it fits, else go where most room is left."""
-    room, where = list(room), {}
+    """Largest first: all that fit stay in their shard, then the others go where most room is left."""
+    room, where, moving = list(room), {}, []
     for size, key, old in sorted(large, key=lambda x: (-x[0], str(x[1]))):
-        target = old if old < len(room) and room[old] >= size else max(range(len(room)), key=lambda j: (room[j], -j))
+        if old < len(room) and room[old] >= size:
+            room[old] -= size
+            where[key] = old
+        else:
+            moving.append((size, key))
+    for size, key in moving:
+        target = max(range(len(room)), key=lambda j: (room[j], -j))
         room[target] -= size
         where[key] = target
     return where, room
