@@ -117,7 +117,8 @@ def metrics_log(report: DataFrame, run: str, prefix: str = "") -> DataFrame:
 
     Only k = 1, 3, 5 and the totals a tracker shows; a FAR of 0.001 is named ``0_001``.
     """
-    far_name = F.concat(F.lit("tar_at_far_"), F.replace(c("k").cast("string"), F.lit("."), F.lit("_")))
+    decimal = F.regexp_replace(c("k").cast("decimal(18,12)").cast("string"), "0+$", "")
+    far_name = F.concat(F.lit("tar_at_far_"), F.replace(decimal, F.lit("."), F.lit("_")))
     top_name = F.concat(F.lit("top_"), c("k").cast("int").cast("string"), F.lit("_accuracy"))
     plain = ["detection_accuracy", "detection_precision", "detection_recall", "mean_reciprocal_rank", "total_images"]
     name = (

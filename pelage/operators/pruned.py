@@ -152,7 +152,7 @@ def topk_neighbors_pruned(probes: DataFrame, k: int = 5, gallery: DataFrame | No
     # vectors have no structure to use and the plain search is the faster one.
     n_visits = bounded.mapInArrow(counted, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = sum(cells.values())
-    if n_visits > asked.count() * max(1, rows // tiles.BLOCK_ROWS):
+    if n_visits > asked.count() * max(1, tiles.block_count(rows)):
         plain = topk_neighbors(probes.select("id", "embedding"), k, None if own else gallery)
         return plain.select("probe_id", "rank", "gallery_id", "similarity")
     visits = materialize(

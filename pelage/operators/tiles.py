@@ -2,19 +2,24 @@
 
 A tile holds one block of each side and returns only what the metric needs:
 partial top-k rows, counts or histograms. No pair of vectors ever becomes a
-row of its own unless the result asks for it, and a task holds two blocks and one
-matrix whatever the size of the tables.
+row of its own unless the result asks for it. A block is up to
+``HELD_BLOCKS * BLOCK_ROWS`` rows, so a vector is copied once per so many rows
+of the other side; inside the task blocks meet piece by piece, and only one
+matrix of ``BLOCK_ROWS`` squared exists at a time.
+
+Rows without a vector take no part; vectors of different length are an error.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +28,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BLOCK_ROWS = 2048
 MIN_BLOCK_ROWS = 512
 MAX_TASKS = 20_000
+# Pieces of BLOCK_ROWS that a large block has; tables are cut into SPREAD
+# blocks for parallel work before blocks grow.
+HELD_BLOCKS = 16
+SPREAD = 16
 
 # Similarities are compared as integers of this many per unit, so that equal
 # pairs stay equal whatever the shape of the product they came from.
@@ -58,7 +67,11 @@ def unit_vectors(column: pa.ChunkedArray) -> np.ndarray:
     rows = len(column)
     if rows == 0:
         return np.zeros((0, 0))
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    column = column.combine_chunks()
+    sizes = pc.list_value_length(column)
+    if column.null_count or pc.min(sizes) != pc.max(sizes):
+        raise ValueError("vectors must be present and of one length")
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     matrix = flat.astype(np.float64).reshape(rows, -1)
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
     return matrix / np.where(norms > 0, norms, 1.0)[:, None]
@@ -95,8 +108,24 @@ def _arrow(parts: list[dict[str, object]], schema: pa.Schema) -> pa.Table:
 
 
 def block_count(rows: int) -> int:
-    """Blocks of at most about ``BLOCK_ROWS``, a few of them even for small tables."""
-    return max(math.ceil(rows / BLOCK_ROWS), min(4, math.ceil(rows / MIN_BLOCK_ROWS)), 1)
+    """Blocks of a table: a few even for a small one, then ``SPREAD``, then as many as hold all rows."""
+    fine = max(math.ceil(rows / BLOCK_ROWS), min(4, math.ceil(rows / MIN_BLOCK_ROWS)), 1)
+    return max(min(fine, SPREAD), math.ceil(rows / (HELD_BLOCKS * BLOCK_ROWS)))
+
+
+def _pieces(table: pa.Table, vector: str | None) -> Iterator[Block]:
+    for at in range(0, table.num_rows, BLOCK_ROWS):
+        yield _block(table.slice(at, BLOCK_ROWS), vector)
+
+
+def _meet(fn: TileFn, a: pa.Table, b: pa.Table, vector: str | None, diagonal: bool) -> list[dict[str, object] | None]:
+    """All pieces of one block with all of another; the first block is held, the second goes by."""
+    held = list(_pieces(a, vector))
+    return [fn(left, right, diagonal) for right in _pieces(b, vector) for left in held]
+
+
+def _with_vectors(df: DataFrame, vector: str | None) -> DataFrame:
+    return df if vector is None else df.filter(F.col(vector).isNotNull())
 
 
 def block_of(ident: Column, blocks: int) -> Column:
@@ -112,13 +141,18 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(k).alias(k) for k in df.columns])
 
 
+def partition_of(n: int) -> Column:
+    """Partition of a tile number, which may exceed 32 bits."""
+    return F.pmod(F.col("_t"), F.lit(n)).cast("int")
+
+
 def _run(left: DataFrame, right: DataFrame, tasks: int, fn: Callable, schema: T.StructType) -> DataFrame:
     """Cogroup two sides that carry the tile number ``_t``, one shuffle per side."""
     n = max(1, min(tasks, MAX_TASKS))
     right = _fresh(right)
     return (
-        left.repartitionById(n, F.col("_t").cast("int")).groupBy("_t")
-        .cogroup(right.repartitionById(n, F.col("_t").cast("int")).groupBy("_t"))
+        left.repartitionById(n, partition_of(n)).groupBy("_t")
+        .cogroup(right.repartitionById(n, partition_of(n)).groupBy("_t"))
         .applyInArrow(fn, schema)
     )
 
@@ -156,10 +190,9 @@ def tile_join(
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(p: pa.Table, g: pa.Table) -> pa.Table:
-        if p.num_rows == 0 or g.num_rows == 0:
-            return arrow.empty_table()
-        return _arrow([fn(_block(p, vector), _block(g, vector), False)], arrow)
+        return _arrow(_meet(fn, p, g, vector, False), arrow)
 
+    probes, gallery = _with_vectors(probes, vector), _with_vectors(gallery, vector)
     left = _spread(probes.withColumn("_i", block_of(F.col("id"), pb)), "_j", F.lit(0), F.lit(gb - 1))
     right = _spread(gallery.withColumn("_j", block_of(F.col("id"), gb)), "_i", F.lit(0), F.lit(pb - 1))
     number = (F.col("_i").cast("long") * gb + F.col("_j")).alias("_t")
@@ -181,14 +214,12 @@ def pair_tiles(
     on_diagonal = {j * (j + 1) // 2 + j for j in range(blocks)}
 
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or b.num_rows == 0:
-            return arrow.empty_table()
-        diagonal = key[0].as_py() in on_diagonal
-        return _arrow([fn(_block(a, vector), _block(b, vector), diagonal)], arrow)
+        return _arrow(_meet(fn, a, b, vector, key[0].as_py() in on_diagonal), arrow)
 
     def triangle(i: Column, j: Column) -> Column:
         return (F.shiftright(j.cast("long") * (j + 1), 1) + i).alias("_t")
 
+    items = _with_vectors(items, vector)
     based = items.withColumn("_b", block_of(F.col("id"), blocks))
     left = _spread(based, "_j", F.col("_b"), F.lit(blocks - 1))
     right = _spread(based, "_i", F.lit(0), F.col("_b"))
@@ -211,7 +242,7 @@ def group_tiles(
     """
     schema_type = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(schema_type)
-    shared = block_count(rows)
+    shared = max(block_count(rows), math.ceil(rows / BLOCK_ROWS))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0:
@@ -233,7 +264,7 @@ def group_tiles(
                 parts.append(fn(one, one, True))
         return _arrow(parts, arrow)
 
-    labelled = items.filter(F.col("label").isNotNull())
+    labelled = _with_vectors(items, vector).filter(F.col("label").isNotNull())
     hot = (
         labelled.groupBy("label").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK_ROWS)
         .select("label", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_k"))

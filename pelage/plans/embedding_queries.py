@@ -57,13 +57,20 @@ def cosine_similarity(t):
 
 
 @query("l2_normalize", with_views("""
-SELECT id, round(h[1] / n, 9) AS first, round(h[32] / n, 9) AS last
-FROM (SELECT id, h, greatest(sqrt(list_dot_product(h, h)), 1e-12) AS n FROM (SELECT id, v[1:32] AS h FROM e) x) y""",
-                                  VECTORS))
+SELECT id, round(list_sum(u), 9) AS total, round(list_dot_product(u, u), 9) AS squared,
+  round(list_dot_product(u, list_transform(range(1, len(u) + 1), lambda i: CAST(i AS DOUBLE))), 7) AS weighted
+FROM (SELECT id, list_transform(v, lambda x: x / n) AS u
+  FROM (SELECT id, v, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS n FROM e) x) y""", VECTORS))
 def l2_normalize(t):
-    unit = normalized(F.slice("embedding", 1, 32))
-    return t.items.select("id", unit.alias("u")).select(
-        "id", F.round(c("u")[0], 9).alias("first"), F.round(c("u")[31], 9).alias("last"))
+    """Sums over every component of the unit vector, one of them by position."""
+    def total(values):
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    unit = t.items.select("id", normalized(c("embedding")).cast("array<double>").alias("u"))
+    return unit.select(
+        "id", F.round(total(c("u")), 9).alias("total"),
+        F.round(total(F.transform("u", lambda x: x * x)), 9).alias("squared"),
+        F.round(total(F.transform("u", lambda x, i: x * (i + 1))), 7).alias("weighted"))
 
 
 # ---- search -----------------------------------------------------------------

@@ -95,10 +95,10 @@ def read_keypoint_entries(spark: SparkSession, path: str, multi_line: bool = Tru
 
 def identity_files(files: DataFrame, root: str | None = None) -> DataFrame:
     """``identity, path`` of the images in a listing: the folder of a file is its
-    identity. With ``root`` paths become relative to it."""
+    identity. With ``root`` paths below it become relative to it; others stay."""
     identity = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    path = c("path") if root is None else F.regexp_extract(
-        "path", "^(?:.*?/)?" + _quoted(root.strip("/")) + "/(.*)$", 1)
+    path = c("path") if root is None else F.regexp_replace(
+        "path", "^(?:.*?/)?" + _quoted(root.strip("/")) + "/", "")
     return files.filter(F.lower("path").rlike(IMAGE_SUFFIX)).select(identity.alias("identity"), path.alias("path"))
 
 

@@ -306,3 +306,25 @@ def test_plans_have_no_cross_join_and_no_broadcast_of_vectors(items):
     plan = R.topk_neighbors(items, 3)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_missing_and_ragged_vectors(spark):
+    schema = "id long, label int, embedding array<float>"
+    good = [(i, i % 2, [float(i), 1.0, 2.0]) for i in range(8)]
+    some = spark.createDataFrame(good + [(9, 1, None)], schema)
+    rows = R.topk_neighbors(some, 3).collect()
+    assert {r.probe_id for r in rows} == set(range(8)) and all(r.gallery_id != 9 for r in rows)
+    ragged = spark.createDataFrame(good + [(9, 1, [1.0, 2.0])], schema)
+    with pytest.raises(Exception, match="of one length"):
+        R.topk_neighbors(ragged, 3).collect()
+
+
+def test_copies_per_row_are_bounded():
+    held = tiles.HELD_BLOCKS * tiles.BLOCK_ROWS
+    for rows in (1, 10_000, 10 ** 6, 10 ** 8, 10 ** 10):
+        assert tiles.block_count(rows) <= tiles.SPREAD + rows / held + 1
+
+
+def test_tile_numbers_beyond_32_bits(spark):
+    far = spark.createDataFrame([(50_000 * 50_000 - 1,)], "_t long")
+    assert 0 <= far.select(tiles.partition_of(tiles.MAX_TASKS)).first()[0] < tiles.MAX_TASKS
