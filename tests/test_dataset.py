@@ -236,3 +236,21 @@ def test_matching_against_brute_force(spark, monkeypatch, limit):
     for level in DE.IOU_LEVELS:
         points = sorted(((r.confidence, r.precision, r.recall) for r in curve.collect() if r.level == level), reverse=True)
         assert ap.get(level, 0.0) == pytest.approx(brute_ap([q[1] for q in points], [q[2] for q in points]), abs=1e-9)
+
+
+@pytest.mark.parametrize("edge_rows", [1, 65_536])
+@pytest.mark.parametrize("n", [1, 7, 100, 299, 300, 1000])
+def test_sample_equals_sorted_head(spark, monkeypatch, n, edge_rows):
+    monkeypatch.setattr(S, "EDGE_ROWS", edge_rows)
+    df = spark.range(300).withColumnRenamed("id", "image_id")
+    want = {r.image_id for r in df.orderBy(S.random_key(42, "image_id"), "image_id").limit(n).collect()}
+    assert {r.image_id for r in S.sample_n(df, n, "image_id").collect()} == want
+
+
+def test_first_per_identity_in_parts(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id AS image_id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE concat('b', id % 5) END AS identity")
+    small = [sorted(r.image_id for r in fn(df, 20, "image_id").collect())
+             for fn in (S.limit_per_identity, S.sample_per_identity)]
+    monkeypatch.setattr(S, "GROUP_LIMIT", 0)
+    assert small == [sorted(r.image_id for r in fn(df, 20, "image_id").collect())
+                     for fn in (S.limit_per_identity, S.sample_per_identity)]
