@@ -7,10 +7,11 @@ its most confident taker. Both steps are aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelage.functions.geometry import iou
+from pelage.operators.prefix import range_bucket, running
 from pelage.session import materialize
 
 c = F.col
@@ -21,7 +22,6 @@ RECALL_POINTS = 101
 
 # Predictions x boxes of one image from which on it is cut into cells.
 LARGE_IMAGE_PAIRS = 1_000_000
-_CONFIDENCE_DECIMALS = 6
 _CORNERS = ("x1", "y1", "x2", "y2")
 
 
@@ -100,19 +100,17 @@ def _hits(predictions: DataFrame, truth: DataFrame) -> DataFrame:
 def precision_recall_curve(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """``level, confidence, precision, recall`` at each distinct confidence.
 
-    Confidences are taken to six decimals, so a curve has at most 10^6 points
-    however many predictions there are.
+    The sums along the curve are taken in ranges of confidence, so a curve may
+    have as many points as there are predictions.
     """
-    conf = F.round("confidence", _CONFIDENCE_DECIMALS)
-    predictions = predictions.withColumn("confidence", conf)
     per_conf = predictions.groupBy("confidence").agg(F.count("*").alias("n"))
     tp = _hits(predictions, truth).groupBy("level", "confidence").agg(F.count("*").alias("tp"))
     grid = per_conf.withColumn("level", F.explode(F.array(*[F.lit(v) for v in IOU_LEVELS])))
-    points = grid.join(tp, ["level", "confidence"], "left").fillna(0, ["tp"])
-    w = Window.partitionBy("level").orderBy(c("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    points = materialize(
+        grid.join(tp, ["level", "confidence"], "left").fillna(0, ["tp"]).withColumn("down", -c("confidence")), "curve-points")
     total = truth.agg(F.count("*")).scalar()
-    cumulative = points.select(
-        "level", "confidence", F.sum("tp").over(w).alias("_tp"), F.sum("n").over(w).alias("_n"))
+    cumulative = running(points, ["level"], range_bucket(points, "down"), [c("down")],
+                         {"_tp": ("sum", c("tp")), "_n": ("sum", c("n"))})
     recall = F.when(total > 0, c("_tp") / total).otherwise(F.lit(0.0))
     return cumulative.select(
         "level", "confidence", (c("_tp") / c("_n")).alias("precision"), recall.alias("recall"))
@@ -120,15 +118,17 @@ def precision_recall_curve(predictions: DataFrame, truth: DataFrame) -> DataFram
 
 def average_precision_per_level(curve: DataFrame) -> DataFrame:
     """``level, ap``: trapezoid area of the precision envelope at 101 recall points."""
-    down = Window.partitionBy("level").orderBy(c("confidence").desc())
-    rest = down.rowsBetween(0, Window.unboundedFollowing)
-    # The curve starts at precision 1 and drops to 0 behind its last recall.
-    envelope = curve.select("level", "confidence", "recall", F.max("precision").over(rest).alias("p"))
-    steps = envelope.select(
-        "level", c("recall").alias("r"), "p",
-        F.lag("recall", 1, 0.0).over(down).alias("r0"),
-        F.coalesce(F.lag("p").over(down), F.lit(1.0)).alias("p0"),
-    )
+    # The curve starts at precision 1 and drops to 0 behind its last recall. Along
+    # falling confidence recall rises and the envelope falls, so the point before
+    # has the largest recall and the smallest envelope so far.
+    envelope = running(curve, ["level"], range_bucket(curve, "confidence"), [c("confidence")],
+                       {"p": ("max", c("precision"))}).withColumn("down", -c("confidence"))
+    bucket = range_bucket(curve.select((-c("confidence")).alias("down")), "down")
+    before = running(envelope, ["level"], bucket, [c("down")],
+                     {"r0": ("max", c("recall")), "q0": ("max", -c("p"))}, inclusive=False)
+    steps = before.select(
+        "level", c("recall").alias("r"), "p", F.coalesce("r0", F.lit(0.0)).alias("r0"),
+        F.coalesce(-c("q0"), F.lit(1.0)).alias("p0"))
     last = envelope.groupBy("level").agg(F.max("recall").alias("r0"), F.min_by("p", "confidence").alias("p0"))
     tail = last.select("level", F.lit(1.0).alias("r"), F.lit(0.0).alias("p"), "r0", "p0")
     segments = steps.unionByName(tail)
