@@ -13,7 +13,8 @@ END_ID, SIZE = 2, 1024
 
 
 def pack(docs):
-    pieces = packing.tokenized(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), END_ID, SIZE)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    pieces = packing.tokenized(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), END_ID, SIZE, ranks)
     placed = packing.packed(pieces.drop("ids"), packing.Capacity(tokens=SIZE, docs=SIZE, cost=SIZE * SIZE))
     return placed.withColumnRenamed("id", "doc_id").select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

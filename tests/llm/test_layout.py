@@ -59,14 +59,14 @@ def test_resharding_query(spark, given):
         assert sorted(part["slot"]) == list(range(len(part)))
 
 
-def test_word_by_word_ids_equal_whole_text_ids():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    words, r = packing.WordIds(PATH), random.Random(3)
-    parts = [" ", "  ", "\n", "a", "é", "12", "!", "'s", " the", "\t", " \n", "<|endoftext|>", " ", "don't", ".", "\x1c", " ", "中"]
-    for _ in range(4000):
-        text = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
-        assert packing.token_ids(words, text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def test_fast_ids_equal_those_of_the_vocabulary():
+    slow = packing.TextIds(PATH)
+    fast = packing.TextIds(PATH, (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    r = random.Random(3)
+    parts = [" ", "  ", "\n", "a", "é", "12", "!", "'s", " the", "\t", " \n", "<|endoftext|>", "don't", ".", "\x1c", "中", "🙂"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(8000)]
+    for text in [*texts, " " * 5000 + "x", "a" * 5000]:
+        assert fast(text) == slow(text)
 
 
 @pytest.mark.parametrize("rule", ["norm", "dot"])
