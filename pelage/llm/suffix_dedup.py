@@ -241,9 +241,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sorted_ = sorted_.groupBy(c("doc").alias("s")).agg(F.collect_list(F.struct("edges", "masks")).alias("sorted"))
     hot = shared_keys(dealt.where("crowded").select("doc", "content"), lambda b: _context_strings(b, length),
                       later=True).select(c("owner").alias("h"), c("keys").alias("hot"))
-    found = stored(known.join(sorted_, c("owner") == c("s"), "left").join(hot, c("owner") == c("h"), "left")
-                   .select("owner", "hits", "settled", "sorted", "hot"), "suffix-found")
-    judged = packed.join(found, c("id") == c("owner"), "left")
+    found = stored(sorted_.join(hot, c("s") == c("h"), "full").select(
+        F.coalesce("s", "h").alias("found_id"), "sorted", "hot"), "suffix-found")
+    judged = packed.join(known, c("id") == c("owner"), "left").join(found, c("id") == c("found_id"), "left")
     return judged.select("id", "packed", "hits", "settled", "sorted", "hot").mapInArrow(
         lambda b: _remove(b, length, k),
         "id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:int,end:int>>")
