@@ -1,7 +1,7 @@
 """Which 64-bit keys occur more than once in the whole input, or with a smaller owner?
 
 Owners (documents) carry lists of keys. A task takes its owners in chunks of
-about a million keys. A key that repeats inside the chunk is settled there: its
+a few hundred thousand keys. A key that repeats inside the chunk is settled there: its
 owners are told at once, and one announcement leaves the chunk. All other keys
 travel with their owners, packed, to the range of the key space they belong
 to, where a sort finds the repeats. A key that a third of all owners hold
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from pelage.llm.hashing import U64, mix, pack, unpack
 
-CHUNK_KEYS = 1 << 19
+CHUNK_KEYS = 1 << 18
 _PACKED = "part int, owners binary, counts binary, keys binary, known binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()),
                      ("keys", pa.binary()), ("known", pa.binary())])
@@ -167,5 +167,5 @@ def shared_keys(source: DataFrame, extract: Extract, later: bool = False) -> Dat
     width = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * width
     packed = source.mapInArrow(lambda b: _chunks(extract(b), parts, later), _PACKED)
-    hits = packed.repartition(width, "part").mapInArrow(lambda b: _settle_part(b, later, width), _PACKED_HITS)
+    hits = packed.repartition(2 * width, "part").mapInArrow(lambda b: _settle_part(b, later, width), _PACKED_HITS)
     return hits.repartition(width, "bucket").mapInArrow(_collect, "owner long, keys binary")

@@ -7,18 +7,27 @@ from pyspark.sql import DataFrame
 from pelage.session import materialize
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Rows that go to a Python worker at once; texts make them large.
+BATCH_ROWS = 2_000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; the shuffle files behind the write go with it.
+    """``df`` written to the shared folder and read back, in small batches; the shuffle files behind the write go with it.
 
     Spark otherwise keeps the files of finished shuffles until the driver's
     JVM happens to collect their handles.
     """
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true", _BATCH: str(min(BATCH_ROWS, int(spark.conf.get(_BATCH, "10000"))))}
+    before = {key: spark.conf.get(key, None) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         return materialize(df, name)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
