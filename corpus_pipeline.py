@@ -22,8 +22,8 @@ c = F.col
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sample does not draw go."""
-    return Sampler(docs, table(spark, sf_dir, "labels")).keep(docs)
+    """Documents that the importance sample does not draw go, toxic ones among them."""
+    return Sampler(docs, table(spark, sf_dir, "labels"), reject_toxic=True).keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,13 @@ small corpus. The target count of a bucket is compared with the count that the
 raw model expects there, both raised by the same pseudo count, so an n-gram
 that is rarely expected says little.
 
+With ``reject_toxic`` a second pair of models decides on toxic texts: in how
+many labelled toxic and labelled harmless documents each n-gram occurs. The log
+ratios of the telling n-grams of a text (those whose counts chance explains at
+odds of one in ``TOXIC_BUCKETS`` at most) are summed, not averaged, so a few
+words decide in a text of any length. Texts above the cut that parts the
+labelled ones best have weight zero and are not drawn.
+
 Tokens are runs of letters, digits and bytes above ASCII, or of other signs;
 n-grams are single tokens and pairs. The target model and the threshold are
 fitted on bounded samples of labelled documents (``FIT_ROWS`` targets and as
@@ -24,7 +31,9 @@ Cases: a NULL or empty text has no n-grams and log ratio 0; repeated rows are
 counted, weighted and decided one by one but share the noise of their id, also
 a NULL one; keys equal to the k-th are all kept; labels that contradict each
 other make a document no target; without labels no document is a target and
-none is kept; an empty table gives an empty result; further columns are not
+none is kept; without toxic or without harmless labels, or with too few for
+any telling n-gram, no document counts as toxic; labels that contradict each
+other are toxic; an empty table gives an empty result; further columns are not
 looked at.
 """
 
@@ -48,6 +57,12 @@ FIT_ROWS = 20_000
 BUCKETS = 1 << 16
 # Observations by which a bucket's ratio is drawn towards one: few counts say little.
 PSEUDO = 50.0
+# Buckets of the toxic models, a multiple of BUCKETS: a few words decide, so they should not share theirs with others.
+TOXIC_BUCKETS = 1 << 20
+# Log odds from which an n-gram tells: by chance about one of all buckets gets there.
+EVIDENCE = float(np.log(TOXIC_BUCKETS))
+# Documents added to both sides of a telling n-gram's ratio.
+TOXIC_PSEUDO = 0.5
 SEED = 11
 TEMPERATURE = 0.01
 # Histogram rows per pass of the search for the k-th key.
@@ -74,11 +89,11 @@ def tokens(b: Bytes) -> Words:
                  np.searchsorted(start, b.offsets))
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of every n-gram."""
     words = tokens(text_bytes(texts))
     at, pairs = word_runs(words, 2)
-    bucket = lambda h: (h >> U64(17)).astype(np.int64) % BUCKETS
+    bucket = lambda h: (h >> U64(17)).astype(np.int64) % buckets
     return np.concatenate([words.doc, words.doc[at]]), np.concatenate([bucket(words.hash), bucket(pairs)])
 
 
@@ -94,6 +109,62 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         "bucket": pa.array(at, pa.int32()), "raw": pa.array(raw[at]), "target": pa.array(target[at])})
 
 
+def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per n-gram bucket and side, each once; bucket -1 counts all of them."""
+    sides, total = np.zeros((2, TOXIC_BUCKETS), np.int64), np.zeros(2, np.int64)
+    for batch in slices(batches, "text"):
+        doc, bucket = features(batch.column("text"), TOXIC_BUCKETS)
+        toxic = np.asarray(batch.column("toxic").cast(pa.int8())).astype(bool)
+        cell = np.unique(doc * TOXIC_BUCKETS + bucket)
+        doc, bucket = cell // TOXIC_BUCKETS, cell % TOXIC_BUCKETS
+        for side, chosen in enumerate((~toxic, toxic)):
+            sides[side] += np.bincount(bucket[chosen[doc]], minlength=TOXIC_BUCKETS)
+            total[side] += chosen.sum()
+    at = np.flatnonzero(sides.sum(0))
+    yield pa.RecordBatch.from_pydict({
+        "bucket": pa.array(np.r_[-1, at], pa.int32()), "harmless": pa.array(np.r_[total[0], sides[0, at]]),
+        "toxic": pa.array(np.r_[total[1], sides[1, at]])})
+
+
+def evidence(toxic: np.ndarray, harmless: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of the toxic share among the documents with an n-gram against the overall share; 0 from below."""
+    n = np.maximum(toxic + harmless, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = (np.where(k > 0, k * np.log(k / (n * of)), 0) for k, of in ((toxic, share), (harmless, 1 - share)))
+        return np.where(toxic > n * share, sum(parts), 0)
+
+
+class ToxicModels:
+    """Documents of both sides per bucket that may tell, and the ids of both fitting samples."""
+
+    def __init__(self, counts: pa.Table, toxic_ids: list[int], harmless_ids: list[int]):
+        bucket, toxic, harmless = (np.asarray(counts.column(k)) for k in ("bucket", "toxic", "harmless"))
+        self.total = np.array([harmless[bucket < 0].sum(), toxic[bucket < 0].sum()])
+        share = self.total[1] / max(self.total.sum(), 1)
+        # A harmless document is judged without itself, so one less may do.
+        near = (bucket >= 0) & ((evidence(toxic, harmless, share) >= EVIDENCE)
+                                | (evidence(toxic, np.maximum(harmless - 1, 0), share) >= EVIDENCE - 1))
+        order = np.argsort(bucket[near])
+        self.bucket, self.toxic, self.harmless = (x[near][order] for x in (bucket, toxic, harmless))
+        self.ids = np.array(sorted(harmless_ids), np.int64), np.array(sorted(toxic_ids), np.int64)
+
+    def scores(self, ids: pa.Array, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Sum of the log ratios of the telling n-grams of each text, each once, the text itself left out of the counts."""
+        n = len(ids)
+        if not len(self.bucket):
+            return np.zeros(n)
+        inside = np.isin(bucket, self.bucket)
+        cell = np.unique(doc[inside] * TOXIC_BUCKETS + bucket[inside])
+        doc, at = cell // TOXIC_BUCKETS, np.searchsorted(self.bucket, cell % TOXIC_BUCKETS)
+        keys, valid = np.asarray(ids.fill_null(-1)), np.asarray(ids.is_valid())
+        own = [(np.isin(keys, side) & valid)[doc] for side in self.ids]
+        harmless, toxic = self.harmless[at] - own[0], self.toxic[at] - own[1]
+        of_harmless, of_toxic = self.total[0] - own[0], self.total[1] - own[1]
+        telling = evidence(toxic, harmless, of_toxic / np.maximum(of_harmless + of_toxic, 1)) >= EVIDENCE
+        ratio = np.log((toxic + TOXIC_PSEUDO) / (harmless / np.maximum(of_harmless, 1) * of_toxic + TOXIC_PSEUDO))
+        return np.bincount(doc, weights=np.where(telling, ratio, 0), minlength=n)
+
+
 class Models:
     """Counts per bucket over all documents and over the targets, and the ids of the targets."""
 
@@ -103,10 +174,9 @@ class Models:
             self.raw[row["bucket"]], self.target[row["bucket"]] = row["raw"], row["target"]
         self.ids = np.array(sorted(target_ids), np.int64)
 
-    def log_weights(self, ids: pa.Array, texts: pa.Array) -> np.ndarray:
+    def log_weights(self, ids: pa.Array, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Mean log of target over raw likelihood per n-gram of each text, its own counts left out."""
-        doc, bucket = features(texts)
-        n = len(texts)
+        n = len(ids)
         cell, own = np.unique(doc * BUCKETS + bucket, return_counts=True)
         doc, bucket = cell // BUCKETS, cell % BUCKETS
         size = np.bincount(doc, weights=own, minlength=n)
@@ -125,14 +195,23 @@ class Models:
 
 def labelled(labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Fitting samples of targets (good quality, not toxic) and rejects (bad quality), at most ``FIT_ROWS`` ids each."""
-    judged = labels.where(c(id_col).isNotNull()).groupBy(c(id_col).cast("long").alias("labelled_id")).agg(
-        F.min("quality").alias("worst"), F.max("quality").alias("best"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
+    judged = _judged(labels, id_col)
+    return _drawn(judged.where("worst = 1 AND coalesce(harm, 0) = 0")), _drawn(judged.where("best = 0"))
+
 
-    def drawn(rows: DataFrame) -> DataFrame:
-        return rows.select("labelled_id").orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(FIT_ROWS)
+def toxicity_labelled(labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Fitting samples of toxic and of harmless documents, at most ``FIT_ROWS`` ids each."""
+    judged = _judged(labels, id_col)
+    return _drawn(judged.where("harm = 1")), _drawn(judged.where("harm = 0"))
 
-    return drawn(judged.where("worst = 1 AND toxic = 0")), drawn(judged.where("best = 0"))
 
+def _judged(labels: DataFrame, id_col: str) -> DataFrame:
+    return labels.where(c(id_col).isNotNull()).groupBy(c(id_col).cast("long").alias("labelled_id")).agg(
+        F.min("quality").alias("worst"), F.max("quality").alias("best"), F.max("toxic").alias("harm"))
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    return rows.select("labelled_id").orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(FIT_ROWS)
 
 def threshold(good: list[float], bad: list[float]) -> float:
     """Midpoint of the gap at which the share of good above plus the share of bad below is largest."""
@@ -160,13 +239,29 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -> M
     return Models(sums.collect(), chosen)
 
 
-def log_weight(key: Column, text: Column, models: Models) -> Column:
-    """Mean log ratio of a text."""
-    @F.arrow_udf("double")
+def fit_toxic(docs: DataFrame, toxic: DataFrame, harmless: DataFrame, id_col: str, text_col: str) -> ToxicModels:
+    """The driver gets at most one row of counts per toxic bucket and the ids of the fitting samples."""
+    rows = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text"))
+    sides = [[row[0] for row in side.collect()] for side in (harmless, toxic)]
+    drawn = docs.sparkSession.createDataFrame(
+        [(i, bool(side)) for side, ids in enumerate(sides) for i in ids], "labelled_id long, toxic boolean")
+    marked = rows.join(F.broadcast(drawn), c("id") == c("labelled_id")).select("text", "toxic")
+    counted = marked.mapInArrow(_toxic_counts, "bucket int, harmless long, toxic long")
+    sums = counted.groupBy("bucket").agg(F.sum("harmless").alias("harmless"), F.sum("toxic").alias("toxic"))
+    return ToxicModels(sums.toArrow(), sides[1], sides[0])
+
+
+def weights(key: Column, text: Column, models: Models, toxic: ToxicModels | None = None) -> Column:
+    """Mean log ratio of a text and its score as a toxic one (0 without ``toxic``)."""
+    @F.arrow_udf("log_ratio double, toxicity double")
     def weigh(ids: pa.Array, texts: pa.Array) -> pa.Array:
         whole = pa.RecordBatch.from_arrays([ids, texts], names=["id", "text"])
-        out = [models.log_weights(b.column("id"), b.column("text")) for b in slices(iter([whole]), "text", SLICE_BYTES)]
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+        ratios, scores = [np.zeros(0)], [np.zeros(0)]
+        for b in slices(iter([whole]), "text", SLICE_BYTES):
+            doc, bucket = features(b.column("text"), TOXIC_BUCKETS)
+            ratios.append(models.log_weights(b.column("id"), doc, bucket % BUCKETS))
+            scores.append(toxic.scores(b.column("id"), doc, bucket) if toxic else np.zeros(b.num_rows))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (ratios, scores)], ["log_ratio", "toxicity"])
 
     return weigh(key.cast("long"), text.cast("string"))
 
@@ -204,40 +299,56 @@ def kth_code(codes: DataFrame, k: int) -> int | None:
 
 
 class Sampler:
-    """The fitted weights and the cut of one corpus."""
+    """The fitted weights and the cut of one corpus; ``reject_toxic`` gives toxic texts weight zero."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 k: int | None = None):
+                 k: int | None = None, reject_toxic: bool = False):
         self.id_col, self.text_col = id_col, text_col
         good, bad = labelled(labels)
-        self.models = fit(docs, good, id_col, text_col)
-        self.scored = stored(docs.select(
-            c(id_col).alias("id"), log_weight(c(id_col), c(text_col), self.models).alias("log_ratio")), "importance-weights")
+        self.models, self.toxic_models, self.toxic_cut = fit(docs, good, id_col, text_col), None, float("inf")
+        if reject_toxic:
+            toxic, harmless = toxicity_labelled(labels)
+            self.toxic_models = fit_toxic(docs, toxic, harmless, id_col, text_col)
+        self.scored = stored(docs.select(c(id_col).alias("id"), self._weights().alias("w")).select("id", "w.*"),
+                             "importance-weights")
+        if reject_toxic:
+            self.toxic_cut = self._threshold("toxicity", toxic, harmless)
+        drawable = self.scored.where(~self._toxic(c("toxicity")))
         if k is None:
-            k = self.scored.where(c("log_ratio") >= self._threshold(good, bad)).count()
+            k = drawable.where(c("log_ratio") >= self._threshold("log_ratio", good, bad)).count()
         self.k = k
-        self.cut = kth_code(self.scored.select(code(self._key(c("log_ratio"), c("id"))).alias("code")), k)
+        self.cut = kth_code(drawable.select(code(self._key(c("log_ratio"), c("id"))).alias("code")), k)
 
-    def _threshold(self, good: DataFrame, bad: DataFrame) -> float:
-        """From the ratios of the labelled samples, at most twice ``FIT_ROWS`` (and their repeated rows)."""
+    def _weights(self) -> Column:
+        return weights(c(self.id_col), c(self.text_col), self.models, self.toxic_models)
+
+    def _threshold(self, score: str, high: DataFrame, low: DataFrame) -> float:
+        """From the scores of the labelled samples, at most twice ``FIT_ROWS`` (and their repeated rows)."""
         sides = []
-        for sample in (good, bad):
+        for sample in (high, low):
             rows = self.scored.join(F.broadcast(sample), c("id") == c("labelled_id"))
-            sides.append([r[0] for r in rows.groupBy("id").agg(F.min("log_ratio")).select("min(log_ratio)").collect()])
+            sides.append([r[0] for r in rows.groupBy("id").agg(F.min(score).alias("score")).select("score").collect()])
         return threshold(*sides)
 
+    def _toxic(self, score: Column) -> Column:
+        """Texts without a telling n-gram are never toxic."""
+        return (score > 0) & (score >= self.toxic_cut)
+
     @staticmethod
     def _key(ratio: Column, key: Column) -> Column:
         return ratio / TEMPERATURE + gumbel(key)
 
+    def _kept(self, key: Column, score: Column) -> Column:
+        return (code(key) >= self.cut) & ~self._toxic(score) if self.cut is not None else F.lit(False)
+
     def decided(self) -> DataFrame:
-        """``id, log_ratio, key, kept`` of every document."""
+        """``id, log_ratio, toxicity, key, kept`` of every document."""
         keyed = self.scored.withColumn("key", self._key(c("log_ratio"), c("id")))
-        return keyed.withColumn("kept", code(c("key")) >= self.cut if self.cut is not None else F.lit(False))
+        return keyed.withColumn("kept", self._kept(c("key"), c("toxicity")))
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """The drawn rows of ``docs`` with all their columns; no join, the key is computed again in place."""
         if self.cut is None:
             return docs.limit(0)
-        key = self._key(log_weight(c(self.id_col), c(self.text_col), self.models), c(self.id_col))
-        return docs.where(code(key) >= self.cut)
+        w = self._weights()
+        return docs.where(self._kept(self._key(w["log_ratio"], c(self.id_col)), w["toxicity"]))

@@ -85,6 +85,30 @@ def test_importance_held_out(spark):
     assert sampler.keep(docs).count() == sum(kept.values())
 
 
+def test_importance_rejects_held_out_toxic(spark):
+    """Labels of one half of the ids fit the models; the other half judges what is drawn."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    for half in (0, 1):
+        sampler = importance.Sampler(docs, labels.where(f"doc_id % 2 = {half}"), reject_toxic=True)
+        kept = {r.id: r.kept for r in sampler.decided().collect()}
+        held = labels.where(f"doc_id % 2 <> {half}").collect()
+        toxic, clean = ([kept[r.doc_id] for r in held if r.toxic == t and r.quality == 1] for t in (1, 0))
+        # Six in ten of the toxic documents hold a word that only toxic ones hold.
+        assert np.mean(toxic) <= 0.45 and np.mean(clean) >= 0.95
+        assert {r.doc_id for r in sampler.keep(docs).collect()} == {i for i, k in kept.items() if k}
+
+
+def test_one_toxic_word_decides_in_a_long_text(spark):
+    texts = [f"{prose(i, 40)} {'vileword' if i % 2 else ''} {prose(500 + i, 40)}" for i in range(60)]
+    texts += [f"{prose(900, 4000)} vileword {prose(901, 4000)}", f"{prose(900, 4000)} {prose(901, 4000)}"]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in importance.Sampler(docs, labels, k=100, reject_toxic=True).keep(docs).collect()}
+    assert kept == {*range(0, 60, 2), 61}
+    assert importance.Sampler(docs, labels.where("toxic = 0"), k=100, reject_toxic=True).keep(docs).count() == 62
+
+
 def test_importance_edge_cases(spark, edge_docs, null_row_docs, no_docs):
     labels = spark.createDataFrame([(6, 1, 0), (10, 1, 0), (13, 0, 0), (14, 0, 0), (7, 1, 0), (7, 0, 0), (None, 1, 0), (8, None, None)],
                                    "doc_id long, quality int, toxic int")
