@@ -69,6 +69,17 @@ def test_fast_ids_equal_those_of_the_vocabulary():
         assert fast(text) == slow(text)
 
 
+def test_added_tokens_keep_their_id():
+    """Ids as those of the tokenizer as it is loaded, on both paths."""
+    tokenizer = Tokenizer.from_file(PATH)
+    slow = packing.TextIds(PATH)
+    fast = packing.TextIds(PATH, (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    assert np.frombuffer(fast("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    for text in ("<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext |>", "<|endoftext|", " é\n<|endoftext|>\n"):
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert fast(text) == slow(text) == want
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_constraint(rule):
     r = random.Random(1)
