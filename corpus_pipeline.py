@@ -46,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking credentials of one owner are cut out of the texts; no document goes."""
+    """Live-looking credentials that are not widely copied are cut out of the texts; no document goes."""
     scanned = stored(secret_scan.scan(docs, "doc_id", "text", *repository(docs)), "secret-scan")
     clean = secret_scan.redact(docs, "doc_id", "text", secret_scan.judge(scanned))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean

@@ -2,8 +2,8 @@
 
 ``scan`` finds candidates in every text; ``ownership`` counts, for the hash of
 each candidate value, the distinct repositories and owners that hold it;
-``judge`` separates values copied widely (documentation examples) from values
-of one owner that look live; ``redact`` takes the live ones out of the texts.
+``judge`` separates values copied widely (documentation examples) from the
+others that look live; ``redact`` takes the live ones out of the texts.
 
 Cases: a NULL text is an empty one and has no spans; rows that repeat are
 scanned row by row and count as one owner; a NULL id, repository or owner is a
@@ -89,23 +89,25 @@ def ownership(scanned: DataFrame) -> DataFrame:
     places = scanned.select("repo", "owner", F.explode("spans").alias("s")).select(
         "repo", "owner", c("s.hash").alias("hash"))
     held = places.groupBy("hash", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
-    by_repo = held.groupBy("hash", "repo").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("n"))
-    return by_repo.groupBy("hash").agg(
-        F.count(F.lit(1)).alias("n_repos"), F.sum("owners").alias("n_owners"), F.sum("n").alias("n_places"))
+    # Distinct counts are grouped by (hash, repository) and (hash, owner) first; a struct counts NULL as a value.
+    return held.groupBy("hash").agg(
+        F.count_distinct(F.struct("repo")).alias("n_repos"), F.count_distinct(F.struct("owner")).alias("n_owners"),
+        F.sum("n").alias("n_places"))
 
 
-def judge(scanned: DataFrame, max_live_owners: int = 1, min_copied_owners: int = 3) -> DataFrame:
+def judge(scanned: DataFrame, min_copied_owners: int = 3, min_copied_repos: int = 2) -> DataFrame:
     """``id, verdicts``: for each id the map from candidate hash to ``live`` or ``copied``.
 
-    A value is copied when at least ``min_copied_owners`` owners hold it, live
-    when at most ``max_live_owners`` do and it looks like a real credential.
-    Values between the two get no verdict. Ids without verdict have no row.
+    A value is copied when at least ``min_copied_owners`` owners hold it in at
+    least ``min_copied_repos`` repositories, and otherwise live when it looks
+    like a real credential. Other values get no verdict. Ids without verdict
+    have no row.
     """
     spread = ownership(scanned)
     held = scanned.select("id", F.explode("spans").alias("s")).select(
         "id", c("s.hash").alias("hash"), c("s.looks_live").alias("looks_live")).distinct()
-    verdict = (F.when(c("n_owners") >= min_copied_owners, "copied")
-               .when((c("n_owners") <= max_live_owners) & c("looks_live"), "live"))
+    verdict = (F.when((c("n_owners") >= min_copied_owners) & (c("n_repos") >= min_copied_repos), "copied")
+               .when(c("looks_live"), "live"))
     return (held.join(spread, "hash").select("id", "hash", verdict.alias("verdict")).where("verdict IS NOT NULL")
             .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("hash", "verdict"))).alias("verdicts")))
 

@@ -4,6 +4,7 @@ import hashlib
 
 import brute
 from conftest import SCHEMA, SF_DIR, prose, rows_of
+from pyspark.sql import functions as F
 
 from pelage.llm import decontamination, secret_scan, url_lists
 from pelage.llm.registry import QUERIES
@@ -40,6 +41,28 @@ def test_ownership_separates_copied_from_live(spark):
     assert clean[0].id == "x" and len(clean) == 5
 
 
+def test_every_live_looking_value_gets_a_verdict(spark):
+    value = {name: f"{i}f3a9c" * 6 + "0b7d" for i, name in enumerate(("one", "two", "nested", "copied", "nobody"))}
+    held = [  # value, repository, owner
+        *[("one", repo, "ann") for repo in ("a", "b", "c")],  # one owner, three repositories
+        *[("two", repo, repo) for repo in ("a", "b")],
+        *[("nested", "a", owner) for owner in ("ann", "bob", "cy")],  # three owners of one repository
+        *[("copied", repo, repo) for repo in ("a", "b", "c")], ("copied", "a", "a"),
+        *[("nobody", repo, None) for repo in (None, "a", "b")],
+    ]
+    docs = spark.createDataFrame([(i, f"token = {value[v]} end", r, o) for i, (v, r, o) in enumerate(held)],
+                                 "doc_id long, text string, repo string, owner string")
+    s = secret_scan.scan(docs, "doc_id", "text", F.col("repo"), F.col("owner"))
+    names = {hashlib.sha256(v.encode()).hexdigest(): k for k, v in value.items()}
+    assert {names[r.hash]: (r.n_repos, r.n_owners) for r in secret_scan.ownership(s).collect()} == {
+        "one": (3, 1), "two": (2, 2), "nested": (1, 3), "copied": (3, 3), "nobody": (3, 1)}
+    verdicts = secret_scan.judge(s)
+    assert {r.id: set(r.verdicts.values()) for r in verdicts.collect()} == {
+        i: {"copied" if v == "copied" else "live"} for i, (v, _, _) in enumerate(held)}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, "doc_id", "text", verdicts).collect()}
+    assert all((clean[i] == "token = [SECRET] end") == (v != "copied") for i, (v, _, _) in enumerate(held))
+
+
 def test_secret_null_rows_and_empty(null_row_docs, no_docs):
     for docs, n in ((null_row_docs, 4), (no_docs, 0)):
         s = scanned(docs)
