@@ -39,10 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontamination.contained(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.select(c("doc").alias("_gone")).distinct()
-    return docs.join(gone, c("doc_id").eqNullSafe(c("_gone")), "left_anti")
+    """Rows whose own text holds a benchmark item go; others of the same id, also a NULL one, stay."""
+    found = decontamination.contained_versions(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.select(c("doc").alias("_gone"), c("version").alias("_gone_version")).distinct()
+    return docs.join(gone, c("doc_id").eqNullSafe(c("_gone")) & (F.xxhash64("text") == c("_gone_version")), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

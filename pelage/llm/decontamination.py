@@ -90,6 +90,13 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, signed: DataFrame) -
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
     """``doc, item, n_shingles, n_shared`` for every document and item it holds enough of."""
+    return contained_versions(docs, items, id_col, text_col, item_id, item_text, threshold).groupBy("doc", "item").agg(
+        F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+
+
+def contained_versions(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """As ``contained``, for each text of an id by itself; ``version`` is its ``xxhash64``."""
     signed = stored(signatures(items, item_id, item_text, threshold), "item-signatures")
     found = candidates(docs, id_col, text_col, signed).withColumnRenamed("doc", "found")
     texts = docs.select(c(id_col).alias("doc"), c(text_col).alias("text"))
@@ -102,5 +109,4 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
         "doc", "version", "item", "n_shingles", "shingle").distinct()
     counted = pairs.groupBy("doc", "version", "item", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"))
     enough = c("n_shared") >= c("n_shingles") * F.lit(str(threshold)).cast("decimal(9,6)")
-    return counted.where(enough).groupBy("doc", "item").agg(
-        F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+    return counted.where(enough)

@@ -49,6 +49,16 @@ def test_stages_take_nulls_repeats_and_empty(spark, null_row_docs, no_docs):
     assert cp.near_duplicates(spark, null_row_docs, SF_DIR).where("doc_id IS NOT NULL").count() == 1
 
 
+def test_decontamination_takes_only_the_rows_that_hold_an_item(spark):
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").orderBy("item_id").first().text
+    bad = f"{prose(1, 30)} {item} {prose(2, 30)}"
+    rows = rows_of([bad, prose(3, 60), prose(4, 60), None, bad])
+    keys = [None, None, 7, None, 7]
+    docs = spark.createDataFrame([(k, *row[1:]) for k, row in zip(keys, rows)], SCHEMA)
+    left = [(r.doc_id, r.text) for r in cp.decontaminate(spark, docs, SF_DIR).collect()]
+    assert sorted(left, key=str) == sorted([(None, rows[1][1]), (7, rows[2][1]), (None, None)], key=str)
+
+
 def test_registered():
     names = set(entry.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
