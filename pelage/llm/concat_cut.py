@@ -20,8 +20,10 @@ looked at. The order of the stream is the order in which the table is read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,56 +38,117 @@ c = F.col
 
 # Text and ids that leave a task at once.
 PART_BYTES = 4 << 20
-# Runs of text whose ids a task remembers, and the longest of them.
-KNOWN_RUNS, RUN_BYTES = 400_000, 48
+# Runs of text whose ids a task remembers.
+KNOWN_RUNS = 400_000
 # Partitions whose totals are summed by one task of the prefix sum.
 BLOCK_PARTS = 1024
 # A broadcast row of the partitions' places takes some 50 bytes.
 BROADCAST_PARTS = 1_000_000
 
 
-class RunIds(dict):
-    """Packed ids of runs of UTF-8 bytes without ASCII white space.
+# Printable ASCII and the letters of Latin-1: lower-casing and composition change their characters one by one.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+# The pieces that word_bpe_49k.json cuts lower-cased text into, for those characters.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_END = b"\x00"
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: itself if it is printable, else from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class RunIds:
+    """Ids of texts by way of their runs of UTF-8 bytes without ASCII white space.
 
     For vocabularies that never join text across white space and drop it: the
     ids of a text are those of its runs, one after the other, so a run is
-    encoded once and remembered. The memory is bounded: it is emptied when full.
+    encoded once and remembered. What is remembered is bounded: beyond
+    ``KNOWN_RUNS`` only the runs of the last batch stay.
+
+    ``word_ends`` is for vocabularies that mark the end of a word, cut as in
+    ``_PIECES``: new runs of plain characters are then encoded together by the
+    same merges in ``tiktoken``, a zero byte standing for the end of a word.
+    All other runs go to ``tokenizers`` as loaded.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, word_ends: str | None = "</w>"):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.known: dict[bytes, bytes] = {}
+        self.fast = None
+        if word_ends:
+            self._load(path, word_ends)
 
-    def encode(self, data: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+    def _load(self, path: str, word_ends: str) -> None:
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        byte_of, vocabulary = _byte_of(), model["vocab"]
 
-    def __missing__(self, run: bytes) -> bytes:
-        ids = self.encode(run)
-        if len(run) <= RUN_BYTES:
-            if len(self) >= KNOWN_RUNS:
-                self.clear()
-            self[run] = ids
-        return ids
+        def packed(token: str) -> bytes:
+            word = token.removesuffix(word_ends)
+            return bytes(byte_of[x] for x in word) + (_END if word != token else b"")
 
-    def of(self, data: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, data.split()))
+        # Single bytes, then bytes at a word's end, so that the end is joined first, then the merges in their order.
+        single = sorted(byte_of, key=byte_of.get)
+        order = single + [x + word_ends for x in single]
+        order += ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ranks = {packed(token): rank for rank, token in enumerate(order)}
+        self.fast = tiktoken.Encoding("word-ends", pat_str="[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.ids = np.array([vocabulary[token] for token in order], self.kind)
+        self.ends = np.array([token.endswith(word_ends) for token in order])
 
+    def encode(self, data: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, self.kind).tobytes()
 
-def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, by_runs: bool, kind: str) -> Iterator[pa.RecordBatch]:
-    ids_of = RunIds(path, kind)
-    encode = ids_of.of if by_runs else ids_of.encode
+    def _learn(self, runs: set[bytes]) -> None:
+        plain, pieces, counts = [], [], []
+        for run in runs:
+            text = run.decode()
+            if self.fast is not None and _PLAIN.fullmatch(text) and "<|" not in text:
+                own = _PIECES.findall(text.lower())
+                plain.append(run)
+                pieces += own
+                counts.append(len(own))
+            else:
+                self.known[run] = self.encode(run)
+        if plain:
+            ranks = np.array(self.fast.encode_ordinary("\x00".join(pieces) + "\x00"))
+            ends = (np.flatnonzero(self.ends[ranks]) + 1)[np.cumsum(counts) - 1]
+            ids, width = self.ids[ranks].tobytes(), self.ids.itemsize
+            start = 0
+            for run, end in zip(plain, (ends * width).tolist()):
+                self.known[run] = ids[start:end]
+                start = end
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        runs = [text.split() for text in texts]
+        own = set(chain.from_iterable(runs))
+        if len(self.known) > KNOWN_RUNS:
+            self.known = {run: self.known[run] for run in own if run in self.known}
+        self._learn(own.difference(self.known))
+        return [b"".join(map(self.known.__getitem__, x)) for x in runs]
+
+
+def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, word_ends: str | None, kind: str) -> Iterator[pa.RecordBatch]:
+    known = RunIds(path, kind, word_ends)
     end = np.array([end_id], kind).tobytes()
     part = TaskContext.get().partitionId()
     before = 0
     for batch in slices(batches, "text", PART_BYTES):
         texts = text_bytes(batch.column("text"))
         data = texts.data.tobytes()
-        ids = [encode(data[a:b]) + end for a, b in zip(texts.offsets[:-1], texts.offsets[1:])]
+        ids = [x + end for x in known.texts([data[a:b] for a, b in zip(texts.offsets[:-1], texts.offsets[1:])])]
         tokens = np.array([len(x) for x in ids], np.int64) // len(end)
         ends = before + np.cumsum(tokens)
         yield pa.RecordBatch.from_pydict({
@@ -94,7 +157,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, by_runs
         before = int(ends[-1])
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, by_runs: bool = True,
+def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, word_ends: str | None = "</w>",
               kind: str = "<u2") -> DataFrame:
     """First pass, written: ``part, before, id, tokens, ids`` with ids packed as ``kind``.
 
@@ -102,7 +165,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     cannot shift the stream.
     """
     texts = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text"))
-    return stored(texts.mapInArrow(lambda b: _tokenize(b, path, end_id, by_runs, kind),
+    return stored(texts.mapInArrow(lambda b: _tokenize(b, path, end_id, word_ends, kind),
                                    "part int, before long, id long, tokens long, ids binary"), "stream-tokens")
 
 

@@ -47,24 +47,38 @@ def check(rows, texts, vocabulary, size, tail):
     assert sorted(lengths) == sorted([size] * whole + want)
 
 
-def test_ids_by_runs_equal_those_of_whole_texts(vocabulary):
+@pytest.mark.parametrize("word_ends", ["</w>", None])
+def test_ids_by_runs_equal_those_of_whole_texts(vocabulary, word_ends):
     """Random texts of white space of all sorts, combining marks, capitals, contractions and the added tokens."""
-    known = concat_cut.RunIds(PATH, "<u4")
+    known = concat_cut.RunIds(PATH, "<u4", word_ends)
     r = random.Random(5)
-    parts = [" ", "  ", "\n", "\t", "\x1c", "\x85", " ", " ", "a", "É", "É", "́", "Σ", "ΑΣ", "İ", "ß", "12", "'s", "'LL", "don't", "!", "?!",
-             "<|endoftext|>", "<|startoftext|>", "<|endoftext", "中文", "🙂", "\x00", "的", "x" * 60, "ñ", "ﬁ", "Ω", "Å"]
-    for _ in range(6000):
-        text = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
-        want = np.array(vocabulary.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert known.of(text.encode()) == want, repr(text)
+    parts = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "a", "É", "E\u0301", "\u0301", "Σ", "ΑΣ", "\u0130", "ß", "12", "'s", "'LL", "don't", "!", "?!",
+             "<|endoftext|>", "<|startoftext|>", "<|endoftext", "中文", "🙂", "\x00", "的", "x" * 60, "ñ", "ﬁ", "Ω", "\u212b", "\u1e9e", "Straße", "über", "×", "÷", "ª",
+             "rendblean", "Antionston", "chle\xc3###", "{}", "~", "\x7f"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(8000)]
+    for text, ids in zip(texts, known.texts([t.encode() for t in texts])):
+        assert ids == np.array(vocabulary.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_ids_of_random_letters_equal(vocabulary):
+    """Merges in their order: invented words of every length, on the fast path."""
+    known = concat_cut.RunIds(PATH, "<u2")
+    r = random.Random(6)
+    syllables = ["th", "e", "an", "ti", "on", "st", "ble", "end", "ing", "é", "qu", "ou", "sch", "ä", "x", "'", "-", "7", "."]
+    runs = ["".join(r.choice(syllables) for _ in range(r.randint(1, 12))) for _ in range(20000)]
+    runs += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice([3, 8, 30, 700]))) for _ in range(1000)]
+    got = known.texts([x.encode() for x in runs])
+    for run, ids in zip(runs, got):
+        assert ids == np.array(vocabulary.encode(run, add_special_tokens=False).ids, "<u2").tobytes(), run
 
 
 def test_memory_of_runs_is_bounded(monkeypatch, vocabulary):
     monkeypatch.setattr(concat_cut, "KNOWN_RUNS", 10)
     known = concat_cut.RunIds(PATH, "<u4")
-    text = " ".join(f"word{i}" for i in range(100))
-    assert known.of(text.encode()) == np.array(vocabulary.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert len(known) <= 10
+    for i in range(5):
+        text = " ".join(f"word{i}x{j} same" for j in range(20))
+        assert known.texts([text.encode()]) == [np.array(vocabulary.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert len(known.known) <= 10 + 21 * 2
 
 
 def test_query(spark, given, vocabulary):
