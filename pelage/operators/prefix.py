@@ -8,9 +8,14 @@ before it (a table of as many rows as there are buckets).
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pelage.session import materialize
 
 c = F.col
 
@@ -88,3 +93,74 @@ def row_numbers(df: DataFrame, keys: list[str], order_key: Column, ties: list[st
         keyed, keys, hash_bucket(c("_key")), [c("_key"), *[c(t) for t in ties]],
         {name: ("sum", F.lit(1).cast("long"))})
     return numbered.drop("_key")
+
+
+# ---- places along a sort ----------------------------------------------------
+
+# Sorted partitions whose totals one task sums.
+PARTS_PER_BLOCK = 1024
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores in front until the table has no such column."""
+    found = []
+    for name in names:
+        while name in df.columns or name in found:
+            name = "_" + name
+        found.append(name)
+    return found
+
+
+def _before_parts(totals: DataFrame, part: str, names: list[str]) -> DataFrame:
+    """``part`` and the sums of ``names`` over all earlier parts: within blocks of parts, then over the blocks."""
+    blocked = totals.withColumn("_part_block", F.floor(c(part) / PARTS_PER_BLOCK))
+    inside = Window.partitionBy("_part_block").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per PARTS_PER_BLOCK partitions.
+    over = Window.orderBy("_part_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy("_part_block").agg(*[F.sum(n).alias(n) for n in names]).select(
+        c("_part_block").alias("_of_block"), *[F.coalesce(F.sum(n).over(over), F.lit(0)).alias(f"_blocks_{n}") for n in names])
+    within = blocked.select(part, "_part_block", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in names])
+    return within.join(blocks, c("_part_block") == c("_of_block")).select(
+        part, *[(c(f"_in_{n}") + c(f"_blocks_{n}")).alias(n) for n in names])
+
+
+def positions(df: DataFrame, order: list[Column | str], name: str = "position") -> DataFrame:
+    """Adds the 0-based place of each row along ``order``, rows of equal order in any turn.
+
+    A range sort cuts the table into as many partitions as its size asks for,
+    whatever the values are; each row is written with its place in its
+    partition, and the partitions' row counts are summed in two levels.
+    """
+    at, part, before = unused(df, "_at", "_part", "_before")
+    placed = materialize(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "positions")
+    # The partition stands above 33 bits, the row's place in it below.
+    number = F.shiftright(at, 33)
+    totals = placed.groupBy(number.alias(part)).agg(F.count(F.lit(1)).alias(before))
+    return placed.join(_before_parts(totals, part, [before]), number == c(part)).select(
+        *df.columns, (c(before) + c(at).bitwiseAND((1 << 33) - 1)).cast("long").alias(name))
+
+
+def sums_along(df: DataFrame, order: list[Column | str], weights: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum of its integer weight over all rows earlier along ``order`` (distinct values)."""
+    part, *own = unused(df, "_part", *[f"_weight_{n}" for n in weights])
+    names = df.columns
+    sorted_rows = df.withColumns({w: expr.cast("long") for w, expr in zip(own, weights.values())}).orderBy(*order)
+
+    def local(batches):
+        number, sums = TaskContext.get().partitionId(), {w: 0 for w in own}
+        for batch in batches:
+            columns = {n: batch.column(n) for n in names}
+            columns[part] = pa.array(np.full(batch.num_rows, number, np.int64))
+            for w in own:
+                values = np.asarray(batch.column(w))
+                ends = sums[w] + np.cumsum(values)
+                columns[w], columns["_total" + w] = pa.array(ends - values), pa.array(ends)
+                sums[w] = int(ends[-1]) if len(ends) else sums[w]
+            yield pa.RecordBatch.from_pydict(columns)
+
+    fields = [T.StructField(x, T.LongType()) for w in own for x in (w, "_total" + w)]
+    schema = T.StructType([*df.schema.fields, T.StructField(part, T.LongType()), *fields])
+    written = materialize(sorted_rows.mapInArrow(local, schema), "sums-along")
+    totals = written.groupBy(part).agg(*[F.max("_total" + w).alias("_before" + w) for w in own])
+    joined = written.join(_before_parts(totals, part, ["_before" + w for w in own]), part)
+    return joined.select(*df.columns, *[(c(w) + c("_before" + w)).cast("long").alias(n) for n, w in zip(weights, own)])

@@ -6,19 +6,25 @@ Ranking order everywhere: similarity descending (to nine decimals), then id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pelage.operators.prefix import positions, sums_along
 from pelage.operators.tiles import (
-    SCALE, Block, block_count, group_tiles, label_codes, similarity_codes, tile_join,
+    BLOCK_ROWS, SCALE, SPREAD, Block, block_count, block_of, group_tiles, similarity_codes, streamed_tiles, tile_join, unit_vectors,
 )
 from pelage.session import materialize
 
 c = F.col
 
-# Thresholds of average precision that one probe block may carry (8 bytes each).
-_THRESHOLDS_PER_BLOCK = 4_000_000
+# Partner similarities that a task of average precision holds, 24 bytes each with their counts.
+_LEVELS_PER_BLOCK = 4_000_000
+# Gallery rows that pass one block of probes in one task.
+_STRIPE_ROWS = 1 << 20
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -190,6 +196,91 @@ def identity_rank(gallery: DataFrame, probes: DataFrame | None = None) -> DataFr
     return counts.groupBy("id").agg((F.sum("ahead") + 1).alias("identity_rank"))
 
 
+class _Levels:
+    """Probes of a tile with the similarities of their partners as levels, and counts between the levels."""
+
+    def __init__(self, probes: list[pa.Table], exclude_self: bool):
+        self.table = pa.concat_tables(probes)
+        self.exclude_self = exclude_self
+        self.unit = unit_vectors(self.table.column("embedding"))
+        self.place, self.group, self.chunk = (self.table.column(k).to_numpy() for k in ("place", "group", "chunk"))
+        labels, self.code = np.unique(self.group, return_inverse=True)
+        self.members = {int(g): np.flatnonzero(self.code == i) for i, g in enumerate(labels)}
+        self.parts: list[list[np.ndarray]] = [[] for _ in self.place]
+        self.levels: list[np.ndarray] | None = None
+
+    def _cells(self, piece: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        unit = unit_vectors(piece.column("embedding"))
+        group, place = piece.column("group").to_numpy(), piece.column("place").to_numpy()
+        order = np.argsort(group, kind="stable")
+        labels, starts = np.unique(group[order], return_index=True)
+        same = {int(g): cols for g, cols in zip(labels, np.split(order, starts[1:])) if int(g) in self.members}
+        return unit, place, same
+
+    def add_partners(self, piece: pa.Table) -> None:
+        unit, place, same = self._cells(piece)
+        chunk = piece.column("chunk").to_numpy()
+        for label, cols in same.items():
+            rows = self.members[label]
+            codes = np.rint(self.unit[rows] @ unit[cols].T * SCALE).astype(np.int64)
+            for row, found in zip(rows, codes):
+                own = found[(place[cols] != self.place[row]) & (chunk[cols] == self.chunk[row])]
+                if len(own):
+                    self.parts[row].append(own)
+
+    def add_gallery(self, piece: pa.Table) -> None:
+        if self.levels is None:
+            self.levels = [np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in self.parts]
+            self.parts = []
+            self.above = [np.zeros(len(x) + 1, np.int64) for x in self.levels]
+            self.relevant = [np.zeros(len(x) + 1, np.int64) for x in self.levels]
+        unit, place, same = self._cells(piece)
+        codes = np.rint(self.unit @ unit.T * SCALE).astype(np.int64)
+        for row, levels in enumerate(self.levels):
+            # Levels at or below each similarity; a similarity counts for all of those.
+            reach = np.searchsorted(levels, codes[row], "right")
+            itself = np.flatnonzero(place == self.place[row])
+            self.above[row] += np.bincount(reach, minlength=len(levels) + 1)
+            if len(itself) and self.exclude_self:
+                self.above[row][reach[itself[0]]] -= 1
+            cols = same.get(int(self.group[row]))
+            if cols is not None:
+                self.relevant[row] += np.bincount(reach[cols], minlength=len(levels) + 1)
+                if len(itself):
+                    self.relevant[row][reach[itself[0]]] -= 1
+
+    def counts(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per probe: gallery items, and partners, at or above each of its levels."""
+        def upwards(counts: np.ndarray) -> np.ndarray:
+            return np.cumsum(counts[:0:-1])[::-1]
+
+        return [upwards(x) for x in self.above], [upwards(x) for x in self.relevant]
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the count arrays of consecutive rows of one probe and chunk, and adds up the precisions."""
+    names = ("place", "chunk")
+
+    def finished(at, above, relevant):
+        return pa.RecordBatch.from_pydict({
+            "place": pa.array([at[0]], pa.int64()), "hits": pa.array([float((relevant / above).sum())]),
+            "n": pa.array([len(above)], pa.int64())})
+
+    held = None
+    for batch in batches:
+        keys = list(zip(*[batch.column(k).to_pylist() for k in names]))
+        for row, key in enumerate(keys):
+            above, relevant = (batch.column(k)[row].values.to_numpy() for k in ("above", "relevant"))
+            if held is not None and held[0] == key:
+                held = (key, held[1] + above, held[2] + relevant)
+            else:
+                if held is not None:
+                    yield finished(*held)
+                held = (key, above, relevant)
+    if held is not None:
+        yield finished(*held)
+
+
 def average_precision(items: DataFrame, exclude_self: bool = False) -> DataFrame:
     """``id, ap``: tie-grouped average precision of each item that has a partner.
 
@@ -197,57 +288,79 @@ def average_precision(items: DataFrame, exclude_self: bool = False) -> DataFrame
     metric is usually reported for all-against-all matrices; ``exclude_self``
     takes it out.
 
-    The partners' similarities of an item are thresholds; every tile counts
-    the gallery items (all, and of the same label) at or above each of them,
-    and the counts are summed. A label with many rows brings its thresholds in
-    several arrays of at most one block.
+    Items are numbered along (label, id) and cut into blocks of about
+    ``_LEVELS_PER_BLOCK`` partner similarities. A task holds a block's probes,
+    computes those similarities when the partners pass, and counts a whole
+    stripe of the gallery against them; per probe one row leaves it, with the
+    sum of the precisions where one stripe is the whole gallery. Partners of a
+    label larger than a block come in chunks.
     """
-    items = items.select("id", "label", "embedding").filter(c("label").isNotNull())
-    id_type = _type(items, "id")
-    rows = items.count()
-
-    def partners(left: Block, right: Block, diagonal: bool) -> dict:
-        codes = similarity_codes(left, right)
-        if diagonal:
-            other = left.ids[:, None] != right.ids[None, :]
-            found = [np.sort(row[keep]) for row, keep in zip(codes, other)]
-            return {"id": left.ids, "chunk": left.column("_j"), "thresholds": found}
-        return {
-            "id": np.concatenate([left.ids, right.ids]),
-            "chunk": np.concatenate([left.column("_j"), right.column("_i")]),
-            "thresholds": [*np.sort(codes, axis=1), *np.sort(codes.T, axis=1)],
-        }
-
-    schema = f"id {id_type}, chunk int, thresholds array<long>"
-    found = group_tiles(items, partners, schema, rows=rows)
-    thresholds = materialize(found.filter(F.size("thresholds") > 0), "ap-thresholds")
-    total = thresholds.agg(F.count("*"), F.coalesce(F.sum(F.size("thresholds")), F.lit(0))).first()
-    probe_blocks = max(block_count(total[0]), -(-total[1] // _THRESHOLDS_PER_BLOCK))
-    probes = thresholds.join(items, "id").select(
-        F.struct("id", "chunk").alias("id"), c("id").alias("item"), "chunk", "label", "embedding", "thresholds")
-
-    def counts(left: Block, right: Block, _diagonal: bool) -> dict:
-        codes = similarity_codes(left, right)
-        own = left.column("item")
-        itself = own[:, None] == right.ids[None, :]
-        lab_l, lab_r = label_codes(left, right)
-        levels = left.column("thresholds")
-        above, relevant = [], []
-        for row in range(len(own)):
-            mates = np.sort(codes[row][(lab_r == lab_l[row]) & ~itself[row]])
-            ranked = np.sort(codes[row][~itself[row]] if exclude_self else codes[row])
-            above.append(len(ranked) - np.searchsorted(ranked, levels[row], "left"))
-            relevant.append(len(mates) - np.searchsorted(mates, levels[row], "left"))
-        return {"item": own, "chunk": left.column("chunk"), "above": above, "relevant": relevant}
-
-    schema = f"item {id_type}, chunk int, above array<long>, relevant array<long>"
-    tiles = tile_join(probes, items, counts, schema, blocks=(probe_blocks, block_count(rows)))
-    levels = (
-        tiles.select("item", "chunk", F.posexplode(F.arrays_zip("above", "relevant")).alias("pos", "n"))
-        .groupBy("item", "chunk", "pos")
-        .agg(F.sum("n.above").alias("above"), F.sum("n.relevant").alias("relevant"))
-    )
-    return levels.groupBy(c("item").alias("id")).agg(F.avg(c("relevant") / c("above")).alias("ap"))
+    known = items.select("id", "label", "embedding").filter(
+        c("label").isNotNull() & c("id").isNotNull() & c("embedding").isNotNull())
+    placed = positions(known, ["label", "id"], "place")
+    least = max(1, _LEVELS_PER_BLOCK // BLOCK_ROWS)
+    n = c("n")
+    sizes = placed.groupBy("label").agg(F.count("*").alias("n"), F.min("place").alias("group")).withColumns({
+        "chunks": F.ceil(n / _LEVELS_PER_BLOCK), "weight": F.greatest(F.ceil(n / F.ceil(n / _LEVELS_PER_BLOCK)), F.lit(least))})
+    labels = materialize(sums_along(sizes, ["label"], {"base": F.when(n > 1, n * c("chunks") * c("weight")).otherwise(0)}), "labels")
+    seen = labels.agg(F.sum("n").alias("rows"), F.max("weight").alias("weight"),
+                      F.max(F.when(n > 1, c("base") + n * c("chunks") * c("weight"))).alias("total")).first()
+    if not seen["total"]:
+        return known.select("id", F.lit(0.0).alias("ap")).limit(0)
+    rows, total = seen["rows"], seen["total"]
+    wanted = max(block_count(rows), min(SPREAD, -(-rows // 128)))
+    per_block = max(min(_LEVELS_PER_BLOCK, -(-total // wanted)), seen["weight"])
+    blocks, stripes = -(-total // per_block), -(-rows // _STRIPE_ROWS)
+
+    def block(unit: Column) -> Column:
+        return F.floor((c("base") + unit * c("weight")) / per_block).cast("long")
+
+    own = placed.join(labels, "label").withColumn("nth", c("place") - c("group"))
+    columns = ["place", "group", "chunk", "embedding"]
+    partnered = own.filter(n > 1)
+    probes = partnered.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), c("chunks") - 1))).withColumn(
+        "_block", block(c("nth") * c("chunks") + c("chunk")))
+    partners = partnered.withColumn("chunk", F.pmod("nth", c("chunks"))).withColumn(
+        "_block", F.explode(F.sequence(block(F.lit(0)), block(n * c("chunks") - 1))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
+
+    def tile(stripe: Column) -> Column:
+        return (c("_block") * stripes + stripe).cast("long").alias("_t")
+
+    sides = [df.withColumn("_stripe", every).select(*columns, tile(c("_stripe"))) for df in (probes, partners)]
+    gallery = own.withColumn("chunk", F.lit(0).cast("long")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1))))
+    sides.append(gallery.select(*columns, tile(block_of(c("place"), stripes))))
+
+    def measured(parts: Iterator[tuple[int, pa.Table]]) -> Iterator[dict]:
+        held, probes = None, []
+        for side, piece in parts:
+            if side == 0:
+                probes.append(piece)
+                continue
+            if not probes:
+                continue
+            held = _Levels(probes, exclude_self) if held is None else held
+            (held.add_partners if side == 1 else held.add_gallery)(piece)
+        if held is None or held.levels is None:
+            return
+        above, relevant = held.counts()
+        some = [i for i, x in enumerate(above) if len(x)]
+        found = {"place": held.place[some], "chunk": held.chunk[some]}
+        if stripes == 1:
+            yield found | {"hits": [float((relevant[i] / above[i]).sum()) for i in some], "n": [len(above[i]) for i in some]}
+        else:
+            yield found | {"above": [above[i] for i in some], "relevant": [relevant[i] for i in some]}
+
+    if stripes == 1:
+        sums = streamed_tiles(sides, blocks, measured, "place long, chunk long, hits double, n long")
+    else:
+        counts = streamed_tiles(
+            sides, blocks * stripes, measured, "place long, chunk long, above array<long>, relevant array<long>")
+        sums = counts.repartition("place", "chunk").sortWithinPartitions("place", "chunk").mapInArrow(
+            _added, "place long, hits double, n long")
+    ap = sums.groupBy("place").agg((F.sum("hits") / F.sum("n")).alias("ap"))
+    return placed.select("id", "place").join(ap, "place").select("id", "ap")
 
 
 def mean_average_precision(items: DataFrame, exclude_self: bool = False) -> DataFrame:

@@ -29,6 +29,21 @@ def bin_counts(codes: np.ndarray, intervals: list[Interval]) -> dict[str, np.nda
     return {"slot": np.concatenate(slots), "bin": np.concatenate(bins), "n": np.concatenate(counts)}
 
 
+def table_bins(df: DataFrame, column: str) -> Callable[[list[Interval]], DataFrame]:
+    """The same counts over a column of a table; the intervals of one pass do not overlap."""
+    value = F.col(column)
+
+    def tiles(intervals: list[Interval]) -> DataFrame:
+        spot = F.coalesce(*[
+            F.when((value >= low) & (value < high), F.struct(
+                F.lit(slot).alias("slot"), F.expr(f"(`{column}` - {low}L) div {width}L").alias("bin")))
+            for slot, (low, high, width) in enumerate(intervals)])
+        return df.select(spot.alias("spot")).filter("spot is not null").groupBy("spot.slot", "spot.bin").agg(
+            F.count("*").alias("n"))
+
+    return tiles
+
+
 def order_statistics(
     tiles: Callable[[list[Interval]], DataFrame], low: int, high: int,
     ranks_of: Callable[[int], list[int]],

@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -82,6 +84,12 @@ def similarity_codes(left: Block, right: Block) -> np.ndarray:
     return np.rint(left.unit @ right.unit.T * SCALE).astype(np.int64)
 
 
+def unit_codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:
+    """Cosine of each row of one vector column with the same row of another, as integers."""
+    a, b = unit_vectors(left), unit_vectors(right)
+    return np.rint(np.einsum("ij,ij->i", a, b) * SCALE).astype(np.int64)
+
+
 def label_codes(left: Block, right: Block) -> tuple[np.ndarray, np.ndarray]:
     """Labels of both sides as integers, -1 for no label."""
     codes, _ = pd.factorize(np.concatenate([left.labels, right.labels]))
@@ -295,3 +303,34 @@ def keep_upper(mask: np.ndarray | None, left: Block, right: Block, diagonal: boo
     shape = (len(left.ids), len(right.ids))
     keep = left.ids[:, None] < right.ids[None, :] if diagonal else np.ones(shape, dtype=bool)
     return keep if mask is None else keep & mask
+
+
+def streamed_tiles(sides: list[DataFrame], tasks: int, fn: Callable, schema: str) -> DataFrame:
+    """Tiles whose sides pass through a task one after the other, none of them held as a whole by Spark.
+
+    Each side carries the tile number ``_t`` and otherwise the same columns.
+    ``fn(parts)`` gets the parts of one tile as ``(side, piece)``, sides in
+    order and pieces of up to ``BLOCK_ROWS`` rows, and yields dicts of ``schema``.
+    """
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    n = max(1, min(tasks, MAX_TASKS))
+    rows = reduce(DataFrame.unionByName, [df.withColumn("_side", F.lit(i)) for i, df in enumerate(sides)])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile, side = (np.asarray(batch.column(k)) for k in ("_t", "_side"))
+            cuts = np.flatnonzero((np.diff(tile) != 0) | (np.diff(side) != 0)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                for at in range(low, high, BLOCK_ROWS):
+                    part = batch.slice(at, min(BLOCK_ROWS, high - at))
+                    yield int(tile[low]), int(side[low]), pa.Table.from_batches([part])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in groupby(pieces(batches), key=lambda x: x[0]):
+            for found in fn((side, piece) for _, side, piece in parts):
+                yield from _arrow([found], arrow).to_batches()
+
+    dealt = rows.repartitionById(n, partition_of(n)).sortWithinPartitions("_t", "_side")
+    return dealt.mapInArrow(run, schema)

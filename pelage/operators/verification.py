@@ -1,33 +1,25 @@
 """Same-or-different verification: pairs, sampled negatives, TAR at FAR.
 
-Items carry ``id`` (integer), ``label``, ``embedding``.
+Items carry ``id``, ``label``, ``embedding``.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pelage.operators.negatives import Negatives
 from pelage.operators.retrieval import mean_average_precision
-from pelage.operators.selection import (
-    HISTOGRAM_SCHEMA, bin_counts, order_statistics, quantile_ranks,
-)
+from pelage.operators.selection import HISTOGRAM_SCHEMA, bin_counts, order_statistics, quantile_ranks, table_bins
 from pelage.operators.tiles import (
     SCALE, Block, block_count, group_tiles, keep_upper, label_codes, pair_tiles, similarity_codes,
 )
+from pelage.session import materialize
 
 c = F.col
 
 REPORT_FARS = (0.001, 0.01, 0.1)
-# Below this many items negatives are drawn uniformly from all pairs, from here on
-# by identity.
-IDENTITY_SAMPLING_FROM = 500
-
-_PRIME = 2_147_483_647
-_KEY_BITS = 60
 
 
 def positive_pairs(items: DataFrame) -> DataFrame:
@@ -60,124 +52,28 @@ def count_positive_pairs(items: DataFrame) -> int:
     return int(row[0] or 0)
 
 
-# ---- sampled negatives ------------------------------------------------------
-
-def pair_uniform(low: np.ndarray, high: np.ndarray, seed: int) -> np.ndarray:
-    """Uniform number in (0, 1) per id pair, low < high; plain integer arithmetic."""
-    a = (low % _PRIME * 48271 + seed % _PRIME * 69621 % _PRIME + 12345) % _PRIME
-    a = (a * a + low % _PRIME + 1) % _PRIME
-    b = (a * 48271 + high % _PRIME) % _PRIME
-    b = (b * b + high % _PRIME + a) % _PRIME
-    h1 = (b * 69621 + 7) % _PRIME
-    h2 = (h1 * h1 + b * 16807 + 11) % _PRIME
-    return (h1 + (h2 + 0.5) / _PRIME) / _PRIME
-
-
-def pair_uniform_sql(low: str, high: str, seed: int) -> str:
-    """The same number as a SQL expression over two BIGINT expressions."""
-    p = _PRIME
-    a = f"((({low}) % {p} * 48271 + {seed % p * 69621 % p} + 12345) % {p})"
-    a = f"(({a} * {a} + ({low}) % {p} + 1) % {p})"
-    b = f"(({a} * 48271 + ({high}) % {p}) % {p})"
-    b = f"(({b} * {b} + ({high}) % {p} + {a}) % {p})"
-    h1 = f"(({b} * 69621 + 7) % {p})"
-    h2 = f"(({h1} * {h1} + {b} * 16807 + 11) % {p})"
-    return f"(({h1} + ({h2} + CAST(0.5 AS DOUBLE)) / {p}) / {p})"
-
-
-class NegativeSample:
-    """Exactly ``target`` different-identity pairs, or all when there are fewer.
-
-    Drawing two identities and then one item of each, again and again, and
-    dropping repeats, is sequential sampling with pair weight 1/(n_a n_b). The
-    same draw is had in one sweep by giving each pair the exponential key
-    -ln(u) n_a n_b and keeping the smallest keys. The cut is found by
-    histograms of the keys, so no list of pairs is built to draw from.
-    """
-
-    def __init__(self, items: DataFrame, target: int, seed: int = 42, rows: int | None = None):
-        items = items.select("id", "label", "embedding").filter(c("label").isNotNull())
-        sizes = items.groupBy("label").agg(F.count("*").alias("n_label"))
-        self.rows = items.count() if rows is None else rows
-        self.blocks = block_count(self.rows)
-        self.by_identity = self.rows >= IDENTITY_SAMPLING_FROM
-        self.items = items.join(sizes, "label").select("id", "label", "embedding", "n_label")
-        largest = sizes.agg(F.max("n_label")).first()[0] or 1
-        # Keys stay below 50 n_a n_b; scale them to integers of about 60 bits.
-        weight_bits = math.ceil(2 * math.log2(largest)) if self.by_identity else 0
-        self.scale = 2.0 ** (_KEY_BITS - 6 - weight_bits)
-        self.seed = seed
-        self.cut = self._find_cut(target)
-
-    def _keys(self, left: Block, right: Block) -> np.ndarray:
-        a, b = left.ids[:, None], right.ids[None, :]
-        key = -np.log(pair_uniform(np.minimum(a, b), np.maximum(a, b), self.seed))
-        if self.by_identity:
-            key *= left.column("n_label")[:, None].astype(float) * right.column("n_label")[None, :]
-        return (key * self.scale).astype(np.int64)
-
-    def _different(self, left: Block, right: Block, diagonal: bool) -> np.ndarray:
-        a, b = label_codes(left, right)
-        return keep_upper(a[:, None] != b[None, :], left, right, diagonal)
-
-    def chosen(self, left: Block, right: Block, diagonal: bool) -> np.ndarray:
-        """Cells of a tile that are in the sample."""
-        return self._different(left, right, diagonal) & (self._keys(left, right) <= self.cut)
-
-    def _find_cut(self, target: int) -> int:
-        if target <= 0:
-            return -1
-        keys, different = self._keys, self._different
-
-        def tiles(intervals):
-            def histogram(left: Block, right: Block, diagonal: bool) -> dict:
-                return bin_counts(keys(left, right)[different(left, right, diagonal)], intervals)
-
-            return pair_tiles(self._bare(), histogram, HISTOGRAM_SCHEMA, blocks=self.blocks, vector=None)
-
-        _, found = order_statistics(
-            tiles, 0, 1 << (_KEY_BITS + 2), lambda n: [min(target, n) - 1])
-        return next(iter(found.values()), -1)
-
-    def _bare(self) -> DataFrame:
-        return self.items.select("id", "label", "n_label")
-
-    def __getstate__(self):
-        # Only the drawing rule travels to the tasks.
-        return {k: getattr(self, k, None) for k in ("by_identity", "scale", "seed", "cut")}
-
-    def pairs(self) -> DataFrame:
-        """The sampled pairs as ``id_a < id_b`` rows."""
-        sample = self
-
-        def listed(left: Block, right: Block, diagonal: bool) -> dict:
-            rows, cols = np.nonzero(sample.chosen(left, right, diagonal))
-            a, b = left.ids[rows], right.ids[cols]
-            return {"id_a": np.minimum(a, b), "id_b": np.maximum(a, b)}
-
-        return pair_tiles(self._bare(), listed, "id_a long, id_b long", blocks=self.blocks, vector=None)
-
-
-def negative_pairs(items: DataFrame, target: int, seed: int = 42) -> DataFrame:
-    """``target`` sampled different-identity pairs, ``id_a < id_b``."""
-    return NegativeSample(items, target, seed).pairs()
+def negative_pairs(items: DataFrame, target: int, seed: int = 42, weighting: str = "identity") -> DataFrame:
+    """``target`` sampled different-identity pairs, ``id_a < id_b``; all when there are fewer."""
+    return Negatives(items.select("id", "label"), target, seed, weighting).ids()
 
 
 # ---- TAR at FAR -------------------------------------------------------------
 
-def _thresholds(items: DataFrame, blocks: int, fars, sample: NegativeSample | None = None):
-    """Impostor count and the interpolated (1 - FAR) thresholds, in code units."""
+def _impostors(items: DataFrame, blocks: int):
+    """Histograms of the similarities of all different-identity pairs."""
     def tiles(intervals):
         def histogram(left: Block, right: Block, diagonal: bool) -> dict:
-            if sample is not None:
-                keep = sample.chosen(left, right, diagonal)
-            else:
-                a, b = label_codes(left, right)
-                keep = keep_upper(a[:, None] != b[None, :], left, right, diagonal)
+            a, b = label_codes(left, right)
+            keep = keep_upper(a[:, None] != b[None, :], left, right, diagonal)
             return bin_counts(similarity_codes(left, right)[keep], intervals)
 
         return pair_tiles(items, histogram, HISTOGRAM_SCHEMA, blocks=blocks)
 
+    return tiles
+
+
+def _thresholds(tiles, fars) -> tuple[int, dict[float, float]]:
+    """Impostor count and the interpolated (1 - FAR) thresholds, in code units."""
     quantiles = {far: 1 - far for far in fars}
 
     def ranks(total: int) -> list[int]:
@@ -212,6 +108,12 @@ def _accepted(items: DataFrame, rows: int, cuts: dict[float, float]) -> tuple[in
 _TAR_SCHEMA = "far double, tar double, threshold double, n_genuine long, n_impostor long"
 
 
+def _verifiable(items: DataFrame) -> DataFrame:
+    """Items that can be in a pair, written: the passes below read them again, and models may stand behind them."""
+    known = c("id").isNotNull() & c("label").isNotNull() & c("embedding").isNotNull()
+    return materialize(items.select("id", "label", "embedding").filter(known), "verified-items")
+
+
 def tar_at_far(items: DataFrame, fars: tuple[float, ...] = REPORT_FARS) -> DataFrame:
     """True accept rate at given false accept rates over all distinct pairs.
 
@@ -220,28 +122,33 @@ def tar_at_far(items: DataFrame, fars: tuple[float, ...] = REPORT_FARS) -> DataF
     pairs.
     """
     spark = items.sparkSession
-    items = items.select("id", "label", "embedding").filter(c("label").isNotNull())
+    items = _verifiable(items)
     rows = items.count()
-    n_impostor, cuts = _thresholds(items, block_count(rows), fars)
+    n_impostor, cuts = _thresholds(_impostors(items, block_count(rows)), fars)
     n_genuine, hits = _accepted(items, rows, cuts) if cuts else (0, {})
     found = [(far, hits[far] / n_genuine, cuts[far] / SCALE, n_genuine, n_impostor)
              for far in cuts if n_genuine]
     return spark.createDataFrame(found, _TAR_SCHEMA)
 
 
-def tar_at_far_sampled(items: DataFrame, fars: tuple[float, ...] = (0.01,), seed: int = 42) -> DataFrame:
+def tar_at_far_sampled(
+    items: DataFrame, fars: tuple[float, ...] = (0.01,), seed: int = 42, weighting: str = "identity",
+) -> DataFrame:
     """Same from all genuine pairs and twice as many sampled impostor pairs.
 
     TAR and threshold are 0 when either kind of pair is missing.
     """
+    return _sampled(_verifiable(items), fars, seed, weighting)
+
+
+def _sampled(items: DataFrame, fars, seed: int, weighting: str) -> DataFrame:
     spark = items.sparkSession
-    items = items.select("id", "label", "embedding").filter(c("label").isNotNull())
-    rows = items.count()
     target = 2 * count_positive_pairs(items)
-    n_impostor, cuts = 0, {}
+    n_impostor, cuts, rows = 0, {}, 0
     if target:
-        sample = NegativeSample(items, target, seed, rows)
-        n_impostor, cuts = _thresholds(sample.items, sample.blocks, fars, sample)
+        sample = Negatives(items, target, seed, weighting)
+        rows = sample.rows
+        n_impostor, cuts = _thresholds(table_bins(materialize(sample.codes(), "impostor-codes"), "code"), fars)
     n_genuine, hits = _accepted(items, rows, cuts) if cuts else (target // 2, {})
     found = [
         (far, hits[far] / n_genuine, cuts[far] / SCALE, n_genuine, n_impostor) if far in cuts
@@ -251,13 +158,13 @@ def tar_at_far_sampled(items: DataFrame, fars: tuple[float, ...] = (0.01,), seed
     return spark.createDataFrame(found, _TAR_SCHEMA)
 
 
-def embedding_report(items: DataFrame, seed: int = 42) -> DataFrame:
+def embedding_report(items: DataFrame, seed: int = 42, weighting: str = "identity") -> DataFrame:
     """One row: mAP, TAR and threshold at 1 % and 0.1 % FAR, number of identities.
 
     No row for an empty table.
     """
-    items = items.filter(c("label").isNotNull())
-    tar = tar_at_far_sampled(items, (0.01, 0.001), seed)
+    items = _verifiable(items)
+    tar = _sampled(items, (0.01, 0.001), seed, weighting)
     at = tar.agg(*[
         F.max(F.when(c("far") == far, c(column))).alias(name)
         for far, column, name in (

@@ -11,6 +11,7 @@ from pelage.operators import heads as H
 from pelage.operators import retrieval as R
 from pelage.operators import verification as V
 from pelage.operators.dataset import dedupe_pairs as unordered
+from pelage.operators.negatives import draw_sql
 from pelage.operators.pruned import topk_neighbors_pruned
 from pelage.plans.bindings import with_views
 from pelage.plans.registry import query
@@ -177,10 +178,28 @@ def positive_pairs(t):
         F.round(k, 6).alias(k) for k in ("mean_similarity", "min_similarity", "max_similarity")])
 
 
-NEGATIVES = f"""sizes AS (SELECT label, count(*) AS n FROM e GROUP BY label),
-negatives AS (SELECT a, b, s, row_number() OVER (ORDER BY -ln(u) * weight, a, b) AS place FROM (
-  SELECT a, b, s, x.n * y.n AS weight, {V.pair_uniform_sql('a', 'b', 42)} AS u
-  FROM sims JOIN sizes x ON la = x.label JOIN sizes y ON lb = y.label WHERE a < b AND la <> lb) t)"""
+def _negatives_sql(weighting: str) -> str:
+    """The first slots' pairs; four slots for each of the largest sample that is asked for."""
+    if weighting == "identity":
+        sides = f"""
+  SELECT slot, x.first + {draw_sql(42, "slot || '|1'", 0, 'x.n')} AS p, y.first + {draw_sql(42, "slot || '|1'", 1, 'y.n')} AS q
+  FROM (SELECT slot, a, b + (b >= a)::INT AS b FROM (SELECT slot, {draw_sql(42, "slot || '|0'", 0, 'labels')} AS a,
+    {draw_sql(42, "slot || '|0'", 1, '(labels - 1)')} AS b FROM slots, (SELECT count(*) AS labels FROM groups))) d
+  JOIN groups x ON x.code = a JOIN groups y ON y.code = b"""
+    else:
+        sides = f"""
+  SELECT slot, a AS p, b + (b >= a)::INT AS q FROM (SELECT slot, {draw_sql(42, "slot || '|0'", 0, 'items')} AS a,
+    {draw_sql(42, "slot || '|0'", 1, '(items - 1)')} AS b FROM slots, (SELECT count(*) AS items FROM places))"""
+    return f"""places AS (SELECT id, label, row_number() OVER (ORDER BY label, id) - 1 AS place,
+  dense_rank() OVER (ORDER BY label) - 1 AS code FROM e WHERE label IS NOT NULL),
+groups AS (SELECT code, count(*) AS n, min(place) AS first FROM places GROUP BY code),
+slots AS (SELECT unnest(range(0, (4 * greatest(20 * (SELECT count(*) FROM e), (SELECT sum(n * (n - 1)) FROM groups)))::BIGINT)) AS slot),
+negatives AS (SELECT a, b, s, row_number() OVER (ORDER BY slot) AS place FROM (
+  SELECT least(x.id, y.id) AS low, greatest(x.id, y.id) AS high, min(slot) AS slot FROM ({sides}) t
+  JOIN places x ON x.place = p JOIN places y ON y.place = q WHERE x.label <> y.label GROUP BY ALL) f JOIN sims ON a = low AND b = high)"""
+
+
+NEGATIVES = _negatives_sql("identity")
 
 
 @query("negative_pairs", pairs_sql(
@@ -190,6 +209,13 @@ def negative_pairs(t):
     return V.negative_pairs(t.items, 20 * t.items.count())
 
 
+@query("negative_pairs_by_pair", pairs_sql(
+    "SELECT a AS id_a, b AS id_b FROM negatives WHERE place <= 20 * (SELECT count(*) FROM e)", _negatives_sql("pair")))
+def negative_pairs_by_pair(t):
+    """The same number, every pair equally likely."""
+    return V.negative_pairs(t.items, 20 * t.items.count(), weighting="pair")
+
+
 @query("dedupe_pairs", pairs_sql("""
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM ranked WHERE rn <= 5""", RANKED))
 def dedupe_pairs(t):

@@ -1,10 +1,15 @@
 """Tile-based metrics against brute force, with small blocks and one label that holds a third."""
 
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pelage.operators import evaluation as E
 from pelage.operators import heads as H
+from pelage.operators import negatives as N
+from pelage.operators import prefix as P
 from pelage.operators import retrieval as R
 from pelage.operators import tiles
 from pelage.operators import verification as V
@@ -170,38 +175,142 @@ def test_gallery_pair_summary(data, items):
         assert row.mean_similarity == pytest.approx(want[row.probe_id], abs=1e-8)
 
 
-@pytest.mark.parametrize("by_identity", [False, True])
-def test_negative_pairs_are_exactly_the_smallest_keys(data, items, monkeypatch, by_identity):
-    monkeypatch.setattr(V, "IDENTITY_SAMPLING_FROM", 1 if by_identity else 10**9)
+def slots(labels, ids, seed, weighting, count):
+    """The pairs that the first slots name, in slot order, by plain Python; ``None`` draws of equal labels left out."""
+    places = sorted(range(len(ids)), key=lambda i: (labels[i], ids[i]))
+    groups = {}
+    for place, i in enumerate(places):
+        groups.setdefault(labels[i], []).append(place)
+    members = list(groups.values())
+
+    def number(key, half, n):
+        return int(hashlib.md5(f"{seed}|{key}".encode()).hexdigest()[15 * half:15 * half + 15], 16) % n
+
+    named = {}
+    for slot in range(count):
+        if weighting == "identity":
+            a = number(f"{slot}|0", 0, len(members))
+            b = number(f"{slot}|0", 1, len(members) - 1)
+            b += b >= a
+            pair = (members[a][number(f"{slot}|1", 0, len(members[a]))], members[b][number(f"{slot}|1", 1, len(members[b]))])
+        else:
+            a = number(f"{slot}|0", 0, len(ids))
+            b = number(f"{slot}|0", 1, len(ids) - 1)
+            pair = (a, b + (b >= a))
+        one, two = (places[x] for x in pair)
+        if labels[one] != labels[two]:
+            named.setdefault(tuple(sorted((ids[one], ids[two]))), slot)
+    return named
+
+
+@pytest.mark.parametrize("weighting", ["identity", "pair"])
+@pytest.mark.parametrize("target", [1, 500, 3000])
+def test_negative_pairs_are_those_of_the_first_slots(data, items, weighting, target):
     ids, label, _ = data
-    order = np.argsort(ids)
-    a, b = np.triu_indices(len(ids), 1)
-    a, b = order[a], order[b]
-    different = label[a] != label[b]
-    a, b = a[different], b[different]
-    keys = -np.log(V.pair_uniform(ids[a].astype(np.int64), ids[b].astype(np.int64), 42))
-    if by_identity:
-        size = np.bincount(label)
-        keys = keys * size[label[a]] * size[label[b]]
-    chosen = np.argsort(keys)[:500]
-    want = {(int(ids[x]), int(ids[y])) for x, y in zip(a[chosen], b[chosen])}
-    got = {(r.id_a, r.id_b) for r in V.negative_pairs(items, 500).collect()}
-    assert got == want
+    named = slots(label.tolist(), ids.tolist(), 42, weighting, 6 * target + 64)
+    want = set(sorted(named, key=named.get)[:target])
+    found = V.negative_pairs(items, target, weighting=weighting).collect()
+    assert len(found) == target and {(r.id_a, r.id_b) for r in found} == want
+
 
+def test_negative_pairs_of_text_ids_and_missing_rows(spark):
+    rows = [(f"img-{i:03d}", None if i % 11 == 0 else f"dog {i % 7}") for i in range(200)] + [(None, "dog 1")]
+    found = V.negative_pairs(spark.createDataFrame(rows, "id string, label string"), 300).collect()
+    known = {i: x for i, x in rows if i is not None and x is not None}
+    assert len({tuple(r) for r in found}) == 300
+    assert all(r.id_a < r.id_b and known[r.id_a] != known[r.id_b] for r in found)
 
-def test_negative_pairs_all_when_fewer(spark, small_blocks):
+
+@pytest.mark.parametrize("weighting", ["identity", "pair"])
+def test_negative_pairs_all_when_fewer(spark, small_blocks, weighting):
     ids, label, vectors = make(n=12, copies=2, labels=3)
-    found = V.negative_pairs(frame(spark, ids, label, vectors), 10_000).collect()
+    found = V.negative_pairs(frame(spark, ids, label, vectors), 10_000, weighting=weighting).collect()
     a, b = np.triu_indices(12, 1)
     assert len(found) == (label[a] != label[b]).sum() == len({tuple(r) for r in found})
+    assert V.negative_pairs(frame(spark, ids, [1] * 12, vectors), 5).count() == 0
+    assert V.negative_pairs(frame(spark, ids, label, vectors), 0).count() == 0
+    with pytest.raises(ValueError):
+        V.negative_pairs(frame(spark, ids, label, vectors), 5, weighting="size")
+
+
+def test_negative_pairs_beyond_the_slots(spark, monkeypatch):
+    """Nearly all pairs of very uneven labels: what no slot names follows by keys, each pair once, the first draws kept."""
+    labels = [0] * 60 + [1] * 2 + [2] * 2 + [3]
+    different = (65 ** 2 - 3600 - 4 - 4 - 1) // 2
+    items = spark.createDataFrame(list(enumerate(labels)), "id long, label long")
+    monkeypatch.setattr(N, "LAST", 1)
+    target = different - 3
+    found = {tuple(r) for r in V.negative_pairs(items, target).collect()}
+    assert len(found) == target and all(labels[a] != labels[b] for a, b in found)
+    assert set(slots(labels, list(range(65)), 42, "identity", different)) <= found
+
+
+def test_negative_pairs_with_one_huge_label(spark, monkeypatch):
+    """A label with most rows and one with a single item: its copies take its many pairs, no pair is lost."""
+    monkeypatch.setattr(N, "PAIRS_PER_COPY", 50)
+    labels = [0] * 3000 + [1] + [2] * 40
+    items = spark.createDataFrame(list(enumerate(labels)), "id long, label long").repartition(4)
+    sample = N.Negatives(items, 3000, 7)
+    assert sample.labels.select(F.max(sample._copies(F.col("n")))).first()[0] > 20
+    found = {tuple(r) for r in sample.ids().collect()}
+    named = slots(labels, list(range(3041)), 7, "identity", 12000)
+    assert found == set(sorted(named, key=named.get)[:3000])
+
+
+def test_sampled_tar_equals_plain_numbers(data, items):
+    ids, label, vectors = data
+    at = {int(x): i for i, x in enumerate(ids)}
+    sims = np.round(cosines(vectors), 9)
+    a, b = np.triu_indices(len(ids), 1)
+    genuine = sims[a, b][label[a] == label[b]]
+    named = slots(label.tolist(), ids.tolist(), 42, "identity", 8 * len(genuine) + 64)
+    pairs = sorted(named, key=named.get)[:2 * len(genuine)]
+    impostors = np.array([sims[at[x], at[y]] for x, y in pairs])
+    row = V.tar_at_far_sampled(items).first()
+    threshold = np.quantile(impostors, 0.99)
+    assert (row.n_genuine, row.n_impostor) == (len(genuine), len(pairs))
+    assert row.threshold == pytest.approx(threshold, abs=2e-9) and row.tar == pytest.approx((genuine >= threshold).mean(), abs=1e-9)
 
 
-def test_pair_uniform_is_uniform():
-    ids = np.arange(2000, dtype=np.int64)
-    u = V.pair_uniform(ids[:, None], ids[None, :] + 2000, 42).ravel()
-    assert u.min() > 0 and u.max() < 1
-    share = np.histogram(u, bins=20, range=(0, 1))[0] / len(u)
-    assert np.abs(share - 0.05).max() < 0.001
+@pytest.mark.parametrize("levels, stripe", [(50, 10**6), (400, 60), (7, 30)])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_average_precision_in_stripes_and_chunks(data, items, monkeypatch, levels, stripe, exclude_self):
+    """Few levels per block: the large label comes in chunks; a small stripe: the counts of a probe are added up."""
+    want = {r.id: r.ap for r in R.average_precision(items, exclude_self).collect()}
+    monkeypatch.setattr(R, "_LEVELS_PER_BLOCK", levels)
+    monkeypatch.setattr(R, "_STRIPE_ROWS", stripe)
+    got = R.average_precision(items, exclude_self).collect()
+    assert len(got) == len(want)
+    for row in got:
+        assert row.ap == pytest.approx(want[row.id], abs=1e-12)
+
+
+def test_average_precision_of_repeated_ids_and_missing_rows(spark):
+    rows = [("a", 1, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("b", 1, [1.0, 0.1]), ("c", 2, [1.0, 0.2]), ("d", None, [1.0, 0.0]),
+            (None, 1, [1.0, 0.0]), ("e", 2, None)]
+    items = spark.createDataFrame(rows, "id string, label long, embedding array<float>")
+    assert sorted(r.id for r in R.average_precision(items).collect()) == ["a", "a", "b"]
+    assert R.mean_average_precision(items.limit(0)).first() == (0.0, 0)
+    assert R.mean_average_precision(items.filter("label = 2")).first() == (0.0, 0)
+
+
+def test_positions_and_sums_along_a_sort(spark, monkeypatch):
+    """Places and running sums over several sorted partitions and blocks of them, with clashing column names."""
+    monkeypatch.setattr(P, "PARTS_PER_BLOCK", 2)
+    r = np.random.default_rng(4)
+    values = r.permutation(5000)
+    rows = spark.createDataFrame([(int(v), int(v % 7), "x", 1) for v in values], "v long, w long, _at string, _part long").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = P.positions(rows, [F.col("v").desc()], "place").collect()
+        sums = P.sums_along(rows, ["v"], {"s": F.col("w"), "n": F.lit(1)}).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert all(x.place == 4999 - x.v and x._at == "x" for x in placed) and len(placed) == 5000
+    want = np.concatenate([[0], np.cumsum(np.arange(5000) % 7)])
+    assert all((x.s, x.n, x._part) == (want[x.v], x.v, 1) for x in sums) and len(sums) == 5000
+    assert P.positions(rows.limit(0), ["v"]).count() == 0 and P.sums_along(rows.limit(0), ["v"], {"s": F.lit(1)}).count() == 0
 
 
 def test_sampled_tar_edge_cases(spark):
