@@ -10,9 +10,9 @@ A first pass counts the buckets over all documents and over the target texts; a
 bucket's gain is the smoothed log ratio of the two. A second pass gives each
 document the mean gain of its features. Documents are drawn by the greatest
 weight plus Gumbel noise that a hash of the id decides, so the draw does not
-depend on partitions. The cut follows from the counts per score, whose number
-is bounded by the range of weights and noise; what reaches it is put in order
-by Spark's range sort and numbered by the totals of the sorted partitions.
+depend on partitions. The counts per score, whose number is bounded by the
+range of weights and noise, give the cut and the first rank of every score;
+within a score, documents are numbered by id.
 
 Cases: a NULL or empty text has no features and weight zero; documents below
 ``min_words`` get a score but are not drawn; a NULL id has no score, is not
@@ -112,7 +112,7 @@ def bucket_counts(texts: DataFrame, text_col: str, shape: Features) -> np.ndarra
     """Features of all texts per bucket; the driver gets one number per bucket."""
     parts = texts.select(c(text_col).cast("string").alias("text")).mapInArrow(lambda b: _count(b, shape), "bucket int, n long")
     counts = np.zeros(shape.buckets, np.int64)
-    for row in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for row in stored(parts.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket-counts").collect():
         counts[row["bucket"]] = row["n"]
     return counts
 
@@ -157,35 +157,28 @@ def scored(weighted: DataFrame, seed: int) -> DataFrame:
     return weighted.withColumn("score", (c("weight") + noise).cast("long"))
 
 
-def numbered(rows: DataFrame, order: list) -> DataFrame:
-    """Adds ``place`` from 1 on along ``order``: a range sort, then the totals of the sorted partitions."""
-    # The partition number above 33 bits, the row's number in it below.
-    at = stored(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "sorted")
-    part = F.shiftright("at", 33)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per sorted partition.
-    totals = at.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select(
-        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return at.join(totals, part == c("part")).select(
-        *rows.columns, (c("before") + c("at").bitwiseAND((1 << 33) - 1) + 1).cast("long").alias("place"))
-
-
 def drawn(rows: DataFrame, percent: int, min_words: int) -> DataFrame:
     """Adds ``rank`` (1, 2, ...) to the ``percent`` of eligible rows with the highest scores, ties to the smaller id.
 
     The driver gets one count per score; scores are weights in thousandths of
     a logarithm plus noise between -3,200 and 23,000.
     """
-    eligible = c("score").isNotNull() & (c("n_words") >= min_words)
+    spark = rows.sparkSession
+    eligible = F.coalesce(c("n_words") >= min_words, F.lit(False)) & c("score").isNotNull()
     counts = sorted(((r["score"], r["n"]) for r in rows.where(eligible).groupBy("score").agg(
         F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     wanted = percent * sum(n for _, n in counts) // 100
-    reached, cut = 0, None
+    ahead, reached = [], 0
     for score, n in counts:
         if reached >= wanted:
             break
-        reached, cut = reached + n, score
-    reach = eligible & (c("score") >= cut) if cut is not None else F.lit(False)
-    ranked = numbered(rows.where(reach), [c("score").desc(), c("id"), c("n_features"), c("weight")])
-    rest = rows.where(~F.coalesce(reach, F.lit(False))).withColumn("rank", F.lit(None).cast("long"))
-    return ranked.withColumn("rank", F.when(c("place") <= wanted, c("place"))).drop("place").unionByName(rest)
+        ahead.append((score, reached))
+        reached += n
+    # One row per score; the noise alone spreads equal weights over thousands of scores.
+    table = F.broadcast(spark.createDataFrame(ahead, "at long, ahead long"))
+    placed = rows.join(table, eligible & (c("score") == c("at")), "left")
+    within = Window.partitionBy("score").orderBy("id", "n_features", "weight")
+    reach = placed.where(c("at").isNotNull()).withColumn("rank", (c("ahead") + F.row_number().over(within)).cast("long"))
+    ranked = reach.withColumn("rank", F.when(c("rank") <= wanted, c("rank")))
+    rest = placed.where(c("at").isNull()).withColumn("rank", F.lit(None).cast("long"))
+    return ranked.unionByName(rest).drop("at", "ahead")

@@ -98,7 +98,7 @@ def test_null_rows_empty_tables_and_no_target(spark, null_row_docs, no_docs):
 
 
 def test_ranks_run_through_ties(spark):
-    """One id in many rows: equal scores are numbered one after the other, over several sorted partitions."""
+    """One id in many rows: equal scores are numbered one after the other."""
     docs = spark.createDataFrame([*rows_of([prose(1, 30)] * 40), *[rows_of([prose(1, 30)])[0]] * 60], SCHEMA).repartition(7)
     rows = run(spark, docs, [prose(1, 30)], percent=90)
     ranks = sorted(r[4] for r in rows if r[4] is not None)
