@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pelage.operators.prefix import positions, unused
 from pelage.operators.splits import sample_n
 
 c = F.col
 
-# Boxes of one image that one list (one part of a label file) may hold.
-LIST_ROWS = 10_000
+# Boxes of one image in one list.
+LIST_ROWS = 1_000
 
 
 def join_boxes_images(boxes: DataFrame, images: DataFrame) -> DataFrame:
@@ -75,9 +76,9 @@ def filter_unlabelled(df: DataFrame, identity: str = "identity_label", truthy_la
     return kept.filter(~c(identity).cast("string").isin("", "0")) if truthy_labels else kept
 
 
-def filter_nonempty_labels(images: DataFrame, labels: DataFrame, path: str = "label_path") -> DataFrame:
-    """Images whose label file exists and has any text."""
-    return images.join(labels.filter(F.length("text") > 0), path, "left_semi")
+def filter_nonempty_labels(images: DataFrame, lines: DataFrame, path: str = "label_path") -> DataFrame:
+    """Images whose label file exists and has any line."""
+    return images.join(lines.filter(c("box").isNotNull()), path, "left_semi")
 
 
 def union_sources(*tables: DataFrame) -> DataFrame:
@@ -97,22 +98,16 @@ def dedupe_pairs(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFram
     return pairs.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
 
 
-def with_list_part(boxes: DataFrame, key: str = "image_id", item: str = "ann_key") -> DataFrame:
-    """Adds ``part``: 0, or for an image with very many boxes one of several parts.
+def annotations_per_image(boxes: DataFrame, key: str = "image_id", item: str = "ann_key", size: int = LIST_ROWS) -> DataFrame:
+    """``image_id, part, n_boxes, boxes``: the boxes of an image in order of ``item``, ``size`` to a list.
 
-    Lists are collected per (image, part), so no image makes a list longer than
-    about ``LIST_ROWS``.
+    Places along (image, item) come from a range sort, which cuts an image with
+    very many boxes too; ``part`` counts an image's lists from 0.
     """
-    large = (
-        boxes.groupBy(key).count().filter(c("count") > LIST_ROWS)
-        .select(key, F.ceil(c("count") / LIST_ROWS).alias("_parts"))
-    )
-    part = F.coalesce(F.pmod(F.xxhash64(item), c("_parts")), F.lit(0)).cast("long")
-    return boxes.join(large, key, "left").withColumn("part", part).drop("_parts")
-
-
-def annotations_per_image(boxes: DataFrame, key: str = "image_id", item: str = "ann_key") -> DataFrame:
-    """``image_id, part, n_boxes, boxes``: the boxes of an image as a sorted list."""
+    place, first = unused(boxes, "place", "first")
+    placed = positions(boxes, [key, item], place)
+    starts = placed.groupBy(key).agg(F.min(place).alias(first))
+    part = F.floor((c(place) - c(first)) / size).cast("long")
     row = F.struct(item, *[k for k in boxes.columns if k not in {key, item}])
-    listed = with_list_part(boxes, key, item).groupBy(key, "part").agg(F.collect_list(row).alias("boxes"))
+    listed = placed.join(starts, key).groupBy(key, part.alias("part")).agg(F.collect_list(row).alias("boxes"))
     return listed.select(key, "part", F.size("boxes").cast("long").alias("n_boxes"), F.array_sort("boxes").alias("boxes"))

@@ -53,6 +53,18 @@ def evaluate(probes: DataFrame, truthy_labels: bool = False) -> DataFrame:
     return results.join(ranks, "id", "left")
 
 
+def with_matches(results: DataFrame, matches: DataFrame, k: int) -> DataFrame:
+    """Adds ``similar_images``: the first ``k`` matches of a probe as ``(id, similarity)`` in order, empty without any.
+
+    ``matches`` as ``topk_neighbors`` gives them.
+    """
+    entry = F.struct("rank", c("gallery_id").alias("id"), "similarity")
+    listed = matches.filter(c("rank") <= k).groupBy(c("probe_id").alias("id")).agg(F.sort_array(F.collect_list(entry)).alias("_m"))
+    plain = F.transform("_m", lambda m: F.struct(m["id"].alias("id"), m["similarity"].alias("similarity")))
+    none = F.array().cast(listed.select(plain.alias("m")).schema["m"].dataType)
+    return results.join(listed, "id", "left").withColumn("similar_images", F.coalesce(plain, none)).drop("_m")
+
+
 def detection_metrics(results: DataFrame) -> DataFrame:
     """One row of counts, accuracy, precision and recall (0 where undefined)."""
     gt, pred = c("has_animal_gt"), c("has_animal_pred")
@@ -84,8 +96,15 @@ def benchmark_report(probes: DataFrame, truthy_labels: bool = False) -> DataFram
 
     ``k`` is the cut-off of a top-k accuracy or the FAR of a TAR/threshold row.
     """
+    # Several passes read the probes, and models may stand behind them.
+    probes = materialize(probes.select("id", "identity_gt", "has_pred", "embedding"), "benchmark-probes")
+    return report_of(probes, evaluate(probes, truthy_labels), truthy_labels)
+
+
+def report_of(probes: DataFrame, results: DataFrame, truthy_labels: bool = False) -> DataFrame:
+    """The bundle of probes that are stored and evaluated already."""
     # Read three times below; written once so that the ranking runs once.
-    results = materialize(evaluate(probes, truthy_labels), "evaluation-results")
+    results = materialize(results, "evaluation-results")
     detection = detection_metrics(results)
     none = F.lit(None).cast("double")
 

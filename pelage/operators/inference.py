@@ -45,23 +45,21 @@ def to_model_input(image: np.ndarray) -> np.ndarray:
 
 
 def _predict_column(load: Load, return_type: str, window: Column | None = None) -> Column:
-    """Model output as a column; NULL where ``window`` is given and NULL."""
+    """Model output as a column; NULL for an image without pixels, and where ``window`` is given and NULL."""
     def answers(rows: pd.DataFrame, predict: Predict) -> pd.Series:
+        wanted = rows["height"].notna() & (rows["x1"].notna() if "x1" in rows else True)
+        asked = np.flatnonzero(wanted)
         images = []
-        for h, w, ch, data in zip(rows["height"], rows["width"], rows["nChannels"], rows["data"]):
-            images.append(rgb_array(int(h), int(w), int(ch), data))
-        if "x1" in rows:
-            asked = np.flatnonzero(rows["x1"].notna())
-            box = rows[["x1", "y1", "x2", "y2"]]
-            cut = [
-                images[i][int(box.y1.iat[i]):int(box.y2.iat[i]), int(box.x1.iat[i]):int(box.x2.iat[i])]
-                for i in asked
-            ]
-            out: list = [None] * len(rows)
-            for i, answer in zip(asked, predict(cut) if cut else []):
-                out[i] = answer
-            return pd.Series(out, dtype=object)
-        return pd.Series(list(predict(images)), dtype=object)
+        for i in asked:
+            row = rows.iloc[i]
+            image = rgb_array(int(row["height"]), int(row["width"]), int(row["nChannels"]), row["data"])
+            if "x1" in rows:
+                image = image[int(row["y1"]):int(row["y2"]), int(row["x1"]):int(row["x2"])]
+            images.append(image)
+        out: list = [None] * len(rows)
+        for i, answer in zip(asked, predict(images) if images else []):
+            out[i] = answer
+        return pd.Series(out, dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         predict = load()

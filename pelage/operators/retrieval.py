@@ -172,7 +172,8 @@ def identity_rank(gallery: DataFrame, probes: DataFrame | None = None) -> DataFr
     Two passes: best partner per probe within the labels, then a count of the
     gallery items that beat it.
     """
-    gallery = gallery.select("id", "label", "embedding")
+    # Read in each pass, and models may stand behind it.
+    gallery = materialize(gallery.select("id", "label", "embedding"), "ranked-gallery")
     id_type = _type(gallery, "id")
     rows = gallery.count()
     wanted = gallery.filter(c("label").isNotNull()) if probes is None else probes

@@ -267,11 +267,14 @@ def count_visible(t):
 _SOME = " + ".join(f"(CASE WHEN k{i}_v > 0 THEN 1 ELSE 0 END)" for i in range(4))
 
 
-@query("pose_keypoints", f"""
+POSE_POINTS = f"""
 SELECT id, {', '.join(f'''CASE WHEN n > 0 THEN k{i}_x / 180 ELSE 0.0e0 END AS k{i}_x,
 CASE WHEN n > 0 THEN k{i}_y / 160 ELSE 0.0e0 END AS k{i}_y,
 CASE WHEN n > 0 AND k{i}_v > 0 THEN 2.0e0 ELSE 0.0e0 END AS k{i}_v''' for i in range(4))}
-FROM (SELECT *, {_SOME} AS n FROM {_VALID}) w""")
+FROM (SELECT *, {_SOME} AS n FROM {_VALID}) w"""
+
+
+@query("pose_keypoints", POSE_POINTS)
 def pose_keypoints(t):
     df = _validated(t)
     points = G.normalized_keypoints(c("k"), G.count_visible(c("k")), F.lit(180), F.lit(160))
@@ -280,17 +283,23 @@ def pose_keypoints(t):
         F.coalesce(c("p")[i][p], F.lit(0.0)).alias(f"k{i}_{p}") for i in range(4) for p in ("x", "y", "v")])
 
 
-@query("scale_keypoints", f"""
-SELECT vec_id AS id, CAST(embedding[5] AS DOUBLE) AS confidence, {', '.join(
-    f'CAST(embedding[{7 + 3 * i}] AS DOUBLE) * 400 / 640.0e0 AS k{i}_x, '
-    f'CAST(embedding[{8 + 3 * i}] AS DOUBLE) * 300 / 640.0e0 AS k{i}_y, '
-    f'CAST(embedding[{9 + 3 * i}] AS DOUBLE) AS k{i}_v' for i in range(4))} FROM embeddings""")
+_RAW_STARTS = (0, 18, 36, 46)
+
+
+@query("scale_keypoints", " UNION ALL ".join(f"""
+SELECT vec_id AS id, {pos} AS pos, CAST(embedding[{at + 5}] AS DOUBLE) AS confidence, {', '.join(
+    f'CAST(embedding[{at + 7 + 3 * i}] AS DOUBLE) * 400 / 640.0e0 AS k{i}_x, '
+    f'CAST(embedding[{at + 8 + 3 * i}] AS DOUBLE) * 300 / 640.0e0 AS k{i}_y, '
+    f'CAST(embedding[{at + 9 + 3 * i}] AS DOUBLE) AS k{i}_v' for i in range(4))} FROM embeddings"""
+                                             for pos, at in enumerate(_RAW_STARTS)))
 def scale_keypoints(t):
+    """The 64 values as four raw rows of 18 (the last overlaps), and a row that is too short."""
     from pelage.operators.inference import scale_raw_keypoints
 
-    raw = F.array(F.slice(c("embedding").cast("array<double>"), 1, 18), F.array(F.lit(1.0)))
+    values = c("embedding").cast("array<double>")
+    raw = F.array(*[F.slice(values, at + 1, 18) for at in _RAW_STARTS], F.array(F.lit(1.0)))
     df = t.items.select("id", F.explode(scale_raw_keypoints(raw, F.lit(400), F.lit(300), 640, 640)).alias("i"))
-    return df.select("id", "i.confidence", *_flat(c("i.keypoints")))
+    return df.select("id", "i.pos", "i.confidence", *_flat(c("i.keypoints")))
 
 
 _XS = [f"k{i}_x" for i in range(4)]

@@ -9,17 +9,21 @@ from pelage.functions import geometry as G
 from pelage.operators import boxes as B
 from pelage.operators import dataset as D
 from pelage.operators import evaluation as E
+from pelage.operators import retrieval as R
 from pelage.operators import splits as S
+from pelage.operators.file_benchmark import run_benchmark
 from pelage.plans.bindings import with_views
 from pelage.plans.dataset_queries import CATEGORIES, IDENTITY_SPLIT, SPLIT_IMAGES, categories_of
-from pelage.plans.embedding_queries import EVALUATED
+from pelage.plans.embedding_queries import EVALUATED, REPORT, TARS
 from pelage.plans.geometry_queries import _clean as CLEAN_BOXES
-from pelage.plans.geometry_queries import _CLAMPED, _joints, _joint_sql, _validated
-from pelage.plans.model_queries import SIDE, pixel_hex
+from pelage.plans.geometry_queries import _CLAMPED, _joints, _validated
+from pelage.plans.geometry_queries import POSE_POINTS as _POSE_SQL
+from pelage.plans.model_queries import _EMBEDDING, SCORED, SIDE, load_detector, load_embedder, load_keypoints, pixel_hex
 from pelage.plans.registry import query
 from pelage.session import scratch_dir
 from pelage.sources import readers, sinks
-from pelage.sources.files import shared_files, write_whole
+from pelage.sources.files import write_files
+from pelage.sources.label_files import read_label_files
 
 c = F.col
 
@@ -86,18 +90,23 @@ def read_voc_negatives(t):
 
 # ---- JSON lists -------------------------------------------------------------
 
-@query("read_keypoint_entries", f"""
-SELECT concat('dogs/', vec_id, '.jpg') AS img_path, 10.0e0 AS x, 20.0e0 AS y, 300.0e0 AS w, 200.0e0 AS h,
-  {_joint_sql(16)[0]} AS nose_x, vec_id % 2 = 0 AS is_multiple_dogs FROM embeddings""")
+@query("read_keypoint_entries", """
+SELECT concat('dogs/', vec_id, '.jpg') AS img_path, CAST(vec_id % 50 AS DOUBLE) AS x, CAST(vec_id % 40 AS DOUBLE) AS y,
+  CAST(100 + vec_id % 300 AS DOUBLE) AS w, CAST(90 + vec_id % 200 AS DOUBLE) AS h, CAST(i AS INT) AS joint,
+  CAST(embedding[3 * i + 1] AS DOUBLE) * 400 + 200 AS joint_x, CAST(embedding[3 * i + 2] AS DOUBLE) * 400 + 200 AS joint_y,
+  CASE WHEN embedding[3 * i + 3] > 0 THEN 1.0e0 ELSE 0.0e0 END AS joint_v, vec_id % 2 = 0 AS is_multiple_dogs
+FROM embeddings, range(0, 21) AS j(i)""")
 def read_keypoint_entries(t):
+    """All 21 joints of every entry, a row each."""
+    box = [c("id") % 50, c("id") % 40, c("id") % 300 + 100, c("id") % 200 + 90]
     entries = _joints(t).select(
-        F.concat(F.lit("dogs/"), "id", F.lit(".jpg")).alias("img_path"),
-        F.array(F.lit(10), F.lit(20), F.lit(300), F.lit(200)).alias("img_bbox"), "joints",
+        F.concat(F.lit("dogs/"), "id", F.lit(".jpg")).alias("img_path"), F.array(*box).alias("img_bbox"), "joints",
         (c("id") % 2 == 0).alias("is_multiple_dogs"))
     path = scratch_dir(t.spark, "keypoint-entries")
     entries.write.json(path)
     back = readers.read_keypoint_entries(t.spark, path, multi_line=False)
-    return back.select("img_path", "x", "y", "w", "h", c("joints")[16][0].alias("nose_x"), "is_multiple_dogs")
+    return back.select("img_path", "x", "y", "w", "h", "is_multiple_dogs", F.posexplode("joints").alias("joint", "at")).select(
+        "img_path", "x", "y", "w", "h", "joint", *[c("at")[i].alias(f"joint_{k}") for i, k in enumerate("xyv")], "is_multiple_dogs")
 
 
 @query("read_identity_list", with_views("SELECT file_path AS image_path, identity AS identity_label FROM fx_identities"))
@@ -122,13 +131,19 @@ def write_identity_splits(t):
 
 
 @query("write_eval_results", with_views("""
-SELECT id, gt AS has_animal_gt, pred AS has_animal_pred, identity_gt, detection_correct, identity_rank FROM results""",
-                                        *EVALUATED))
+SELECT r.id, gt AS has_animal_gt, pred AS has_animal_pred, r.identity_gt, detection_correct, r.identity_rank, m.rn AS rank,
+  m.b AS match_id, m.s AS similarity
+FROM results r LEFT JOIN (SELECT * FROM granked WHERE rn <= 5) m ON r.id = m.a""", *EVALUATED))
 def write_eval_results(t):
-    results = E.evaluate(t.probes)
+    """Saved results with the five best matches of each probe, a row per match."""
+    matches = R.topk_neighbors(E.gallery_of(t.probes).select("id", "embedding"), 5)
+    results = E.with_matches(E.evaluate(t.probes), matches, 5)
     path = scratch_dir(t.spark, "eval-results")
     sinks.write_eval_results(results, path)
-    return t.spark.read.schema(results.schema).json(path)
+    saved = t.spark.read.schema(results.schema).json(path)
+    kept = [k for k in saved.columns if k != "similar_images"]
+    return saved.select(*kept, F.posexplode_outer("similar_images").alias("rank", "m")).select(
+        *kept, (c("rank") + 1).cast("long").alias("rank"), c("m.id").alias("match_id"), c("m.similarity").alias("similarity"))
 
 
 _EPOCHS = """SELECT epoch, phase, map_score / 2 AS train_loss, map_score, map_score * 3 AS epoch_time FROM fx_history"""
@@ -156,22 +171,34 @@ def write_training_history(t):
 
 # ---- identity folders -------------------------------------------------------
 
+def _folder_files(t, images, name: str) -> str:
+    """A folder with one file per image at its path; each holds that path."""
+    root = scratch_dir(t.spark, name)
+    write_files(images.select("name", c("name").cast("binary").alias("body")), root)
+    return root
+
+
+def _below(root: str):
+    return F.substring_index("path", root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+
+
 @query("scan_identity_folders", with_views("""
-SELECT concat('id_', o_custkey) AS identity, concat('/x/data/id_', o_custkey, '/', o_orderkey, '.JPG') AS path FROM orders
+SELECT concat('id_', o_custkey) AS identity, concat('data/id_', o_custkey, '/', o_orderkey, '.JPG') AS path FROM orders
 WHERE o_orderkey % 3 <> 0"""))
 def scan_identity_folders(t):
-    """Every third file of the listing is not an image."""
+    """Real folders; every third file is not an image."""
     suffix = F.when(c("image_id") % 3 == 0, ".txt").otherwise(".JPG")
-    listing = t.identities.select(
-        F.concat(F.lit("/x/"), F.regexp_replace("file_path", r"\.jpg$", ""), suffix).alias("path"))
-    return readers.identity_files(listing)
+    root = _folder_files(t, t.identities.select(F.concat(F.regexp_replace("file_path", r"\.jpg$", ""), suffix).alias("name")), "folders")
+    return readers.scan_identity_folders(t.spark, root).select("identity", _below(root).alias("path"))
 
 
 @query("scan_priority_identities", with_views("""
 SELECT regexp_extract(file_path, '([^/]+)/[^/]+$', 1) AS identity, file_path AS path FROM fx_identities WHERE is_priority"""))
 def scan_priority_identities(t):
-    listing = t.identities.filter("is_priority").select(F.concat(F.lit("/x/root/"), "file_path").alias("path"))
-    return readers.identity_files(listing, "/x/root")
+    """Real folders with paths relative to their root, and a folder that does not exist."""
+    root = _folder_files(t, t.identities.filter("is_priority").select(c("file_path").alias("name")), "priority")
+    found = readers.scan_priority_identities(t.spark, root, root)
+    return found.unionByName(readers.scan_priority_identities(t.spark, root + "-missing", root))
 
 
 # ---- labels -----------------------------------------------------------------
@@ -181,78 +208,78 @@ _YOLO = f"""yolo AS (SELECT image_id, ann_key, (x + w / 2) / width AS xc, (y + h
 _LABEL_PATH = "regexp_replace(replace(file_name, 'images', 'labels'), '\\.jpg$', '.txt')"
 
 
-def _close(written, exact, n):
-    """Six printed decimals per number."""
-    return F.abs(written - exact) <= 1e-6 * n
+# Numbers of label files in millionths, as they are printed.
+def _printed(expr: str) -> str:
+    return f"CAST(round(CAST(printf('%.6f', {expr}) AS DOUBLE) * 1000000) AS BIGINT)"
+
+
+def _millionths(value):
+    return F.round(value * 1000000).cast("long")
+
+
+_NUMBERS = ("xc", "yc", "w", "h")
 
 
 @query("write_yolo_detection", with_views(f"""
-SELECT {_LABEL_PATH} AS label_path, count(y.ann_key) AS n_lines, true AS is_close
+SELECT {_LABEL_PATH} AS label_path, count(y.ann_key) AS n_lines, {", ".join(
+    f"CAST(coalesce(sum({_printed(f'y.{k}')}), 0) AS BIGINT) AS {k}" for k in _NUMBERS)}
 FROM fx_images i LEFT JOIN yolo y ON i.image_id = y.image_id GROUP BY ALL""", _YOLO))
 def write_yolo_detection(t):
-    """Label texts per image, with the sum of the written numbers against the boxes'."""
+    """A label file per image, read again by the writer's lists; sums of the printed numbers."""
     path = scratch_dir(t.spark, "yolo-labels")
-    sinks.write_labels(sinks.yolo_detection_labels(t.images, t.boxes), path)
-    total = c("xc") + c("yc") + c("w") + c("h")
-    written = readers.read_label_table(t.spark, path).groupBy("label_path").agg(
-        F.count("*").alias("n_lines"), F.sum(total).alias("_written"))
-    exact = B.yolo_box(t.sized).groupBy("image_id").agg(F.sum(total).alias("_exact"))
-    expected = t.images.select("image_id", sinks.label_path(c("file_name")).alias("label_path")).join(
-        exact, "image_id", "left")
-    files = t.spark.read.parquet(path).groupBy("label_path").agg(F.count("*").alias("_parts"))
-    n, zero = F.coalesce("n_lines", F.lit(0)), F.lit(0.0)
-    return files.join(expected, "label_path").join(written, "label_path", "left").select(
-        "label_path", n.alias("n_lines"),
-        _close(F.coalesce("_written", zero), F.coalesce("_exact", zero), n * 4).alias("is_close"))
+    sinks.write_yolo_detection(t.images, t.boxes, path)
+    lines = read_label_files(t.spark, path)
+    return lines.groupBy("label_path").agg(F.count("box").alias("n_lines"), *[
+        F.coalesce(F.sum(_millionths(c("box")[i + 1])), F.lit(0)).alias(k) for i, k in enumerate(_NUMBERS)])
 
 
 @query("read_yolo_labels", with_views(f"""
-SELECT {_LABEL_PATH} AS label_path, 0.0e0 AS cls, count(*) AS n_boxes
-FROM fx_images i JOIN yolo y ON i.image_id = y.image_id GROUP BY ALL""", _YOLO))
+SELECT {_LABEL_PATH} AS label_path, 0.0e0 AS cls, {", ".join(f"{_printed(f'y.{k}')} AS {k}" for k in _NUMBERS)}
+FROM fx_images i JOIN yolo y ON i.image_id = y.image_id""", _YOLO))
 def read_yolo_labels(t):
+    """Every line of the label files, found by walking their folders."""
     path = scratch_dir(t.spark, "yolo-labels")
-    sinks.write_labels(sinks.yolo_detection_labels(t.images, t.boxes), path)
-    return readers.read_label_table(t.spark, path).groupBy("label_path", "cls").agg(F.count("*").alias("n_boxes"))
+    sinks.write_yolo_detection(t.images, t.boxes, path)
+    lines = readers.read_yolo_labels(t.spark, path).withColumnRenamed("file", "path")
+    return lines.select(_below(path).alias("label_path"), "cls", *[_millionths(c(k)).alias(k) for k in _NUMBERS])
 
 
 @query("filter_nonempty_labels", with_views(f"""
 SELECT image_id, {_LABEL_PATH} AS label_path FROM fx_images WHERE image_id IN (SELECT image_id FROM yolo)""", _YOLO))
 def filter_nonempty_labels(t):
-    labels = sinks.yolo_detection_labels(t.images, t.boxes)
+    lines = sinks.yolo_detection_lines(t.images, t.boxes)
     images = t.images.select("image_id", sinks.label_path(c("file_name")).alias("label_path"))
-    return D.filter_nonempty_labels(images, labels)
+    return D.filter_nonempty_labels(images, lines)
 
 
-@query("write_yolo_pose", """
-SELECT concat(vec_id, '.txt') AS label_path, CAST(1 AS BIGINT) AS n_lines, CAST(4 AS BIGINT) AS n_keypoints, true AS is_close
-FROM embeddings""")
+_E = [f"CAST(embedding[{i}] AS DOUBLE)" for i in range(61, 65)]
+_POSE_BOX = {"xc": f"(({_E[0]} * 50 + 20) + ({_E[2]} * 100 + 140) / 2) / 180", "yc": f"(({_E[1]} * 50 - 7) + ({_E[3]} * 90 + 120) / 2) / 160",
+             "w": f"({_E[2]} * 100 + 140) / 180", "h": f"({_E[3]} * 90 + 120) / 160"}
+_POSE_POINTS = [f"k{i}_{p}" for i in range(4) for p in "xyv"]
+
+
+@query("write_yolo_pose", f"""
+WITH pose AS (SELECT vec_id AS id, {", ".join(f"{v} AS {k}" for k, v in _POSE_BOX.items())} FROM embeddings),
+points AS ({_POSE_SQL})
+SELECT concat(pose.id, '.txt') AS label_path, CAST(1 AS BIGINT) AS n_lines, {", ".join(
+    f"{_printed(k)} AS {k}" for k in (*_NUMBERS, *_POSE_POINTS))} FROM pose JOIN points ON pose.id = points.id""")
 def write_yolo_pose(t):
-    """One box with four keypoints per embedding."""
+    """One box with four keypoints per embedding, both made of its components."""
     images = t.items.select(
         c("id").alias("image_id"), F.concat(F.lit("poses/images/"), "id", F.lit(".jpg")).alias("file_name"),
         F.lit(180).alias("width"), F.lit(160).alias("height"))
-    boxes = _validated(t).select(
-        c("id").alias("image_id"), F.md5(c("id").cast("string")).alias("ann_key"),
-        F.lit(12.0).alias("x"), F.lit(-7.0).alias("y"), F.lit(90.0).alias("w"), F.lit(75.0).alias("h"),
+    e = [c("embedding")[i].cast("double") for i in range(60, 64)]
+    corners = t.items.select("id", (e[0] * 50 + 20).alias("x"), (e[1] * 50 - 7).alias("y"), (e[2] * 100 + 140).alias("w"), (e[3] * 90 + 120).alias("h"))
+    boxes = _validated(t).join(corners, "id").select(
+        c("id").alias("image_id"), F.md5(c("id").cast("string")).alias("ann_key"), "x", "y", "w", "h",
         c("k").alias("keypoints"), G.count_visible(c("k")).alias("num_keypoints"))
     path = scratch_dir(t.spark, "pose-labels")
-    sinks.write_labels(sinks.yolo_pose_labels(images, boxes), path)
-
-    def total(points):
-        return F.aggregate(points, F.lit(0.0), lambda acc, k: acc + k["x"] + k["y"] + k["v"])
-
-    parsed = readers.read_label_table(t.spark, path)
-    box = c("xc") + c("yc") + c("w") + c("h")
-    written = parsed.groupBy("label_path").agg(
-        F.count("*").alias("n_lines"), F.sum(F.size("keypoints")).alias("n_keypoints"),
-        F.sum(box + total(c("keypoints"))).alias("_written"))
-    sized = boxes.join(images, "image_id")
-    points = G.normalized_keypoints(c("keypoints"), c("num_keypoints"), c("width"), c("height"))
-    exact = B.pose_box(sized.withColumn("points", points)).select(
-        sinks.flat_label_name(c("file_name")).alias("label_path"),
-        (box + F.coalesce(total(c("points")), F.lit(0.0))).alias("_exact"))
-    return written.join(exact, "label_path").select(
-        "label_path", "n_lines", "n_keypoints", _close(c("_written"), c("_exact"), F.lit(16)).alias("is_close"))
+    sinks.write_yolo_pose(images, boxes, path)
+    found = read_label_files(t.spark, path).groupBy("label_path").agg(
+        F.count("box").alias("n_lines"), F.first("box").alias("box"), F.first("points").alias("points"))
+    return found.select(
+        "label_path", "n_lines", *[_millionths(c("box")[i + 1]).alias(k) for i, k in enumerate(_NUMBERS)],
+        *[_millionths(c("points")[i]).alias(k) for i, k in enumerate(_POSE_POINTS)])
 
 
 @query("sorted_paths", with_views("SELECT file_name AS path FROM fx_images"))
@@ -269,36 +296,101 @@ def write_split_lists(t):
 
 # ---- images -----------------------------------------------------------------
 
-def _png_writer(folder: str):
-    def write(rows) -> None:
-        import struct
-        import zlib
+def _encode_png(batches):
+    """Grey ``SIDE`` x ``SIDE`` pixels as PNG files; a broken one loses its second half."""
+    import struct
+    import zlib
 
-        from pyspark import TaskContext
+    import pyarrow as pa
 
-        def chunk(kind: bytes, body: bytes) -> bytes:
-            return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-        files, path = shared_files(folder)
-        for row in rows:
-            pixels = bytes(row["data"])
-            lines = b"".join(b"\0" + pixels[i:i + SIDE] for i in range(0, len(pixels), SIDE))
-            body = (
-                b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", SIDE, SIDE, 8, 0, 0, 0, 0))
+    def png(pixels: bytes) -> bytes:
+        lines = b"".join(b"\0" + pixels[i:i + SIDE] for i in range(0, len(pixels), SIDE))
+        return (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", SIDE, SIDE, 8, 0, 0, 0, 0))
                 + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
-            write_whole(files, f"{path}/{row['id']}.png", [body], str(TaskContext.get().taskAttemptId()))
 
-    return write
+    for batch in batches:
+        bodies = [png(x) for x in batch.column("data").to_pylist()]
+        bodies = [x[:len(x) // 2] if bad else x for x, bad in zip(bodies, batch.column("broken").to_pylist())]
+        yield pa.RecordBatch.from_pydict({"name": batch.column("name"), "body": pa.array(bodies, pa.binary())})
+
+
+def _image_files(t, wanted: str, broken: str) -> str:
+    """A folder with the embeddings as image files: those that are ``wanted``, some of them ``broken``."""
+    root = scratch_dir(t.spark, "images")
+    pixels = t.items.filter(wanted).select(
+        F.concat(F.lit("id_"), c("id") % 17, F.lit("/"), "id", F.lit(".png")).alias("name"),
+        F.unhex(pixel_hex(c("embedding"))).alias("data"), F.expr(broken).alias("broken"))
+    write_files(pixels.mapInArrow(_encode_png, "name string, body binary"), root)
+    return root
 
 
 @query("read_images", """
-SELECT vec_id AS id, 8 AS height, 8 AS width, 1 AS channels, upper(array_to_string(list_transform(embedding,
-  lambda x: printf('%02x', CAST(floor(CAST(x AS DOUBLE) * 127 + 128) AS INT))), '')) AS pixels FROM embeddings""")
+SELECT vec_id AS id, vec_id % 13 = 5 AS failed, CASE WHEN vec_id % 13 <> 5 THEN 8 END AS height,
+  CASE WHEN vec_id % 13 <> 5 THEN 8 END AS width, CASE WHEN vec_id % 13 <> 5 THEN 1 END AS channels,
+  CASE WHEN vec_id % 13 <> 5 THEN upper(array_to_string(list_transform(embedding,
+  lambda x: printf('%02x', CAST(floor(CAST(x AS DOUBLE) * 127 + 128) AS INT))), '')) END AS pixels FROM embeddings""")
 def read_images(t):
-    """Each embedding as a grey 8 x 8 PNG file, decoded again."""
-    folder = scratch_dir(t.spark, "images")
-    t.items.select("id", F.unhex(pixel_hex(c("embedding"))).alias("data")).foreachPartition(_png_writer(folder))
-    images = readers.read_images(t.spark, folder)
+    """Each embedding as a grey 8 x 8 PNG file, decoded again; every thirteenth file is broken and stays a row."""
+    images = readers.read_images(t.spark, _image_files(t, "true", "id % 13 = 5"), keep_failed=True)
     return images.select(
-        F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long").alias("id"), "height", "width",
+        F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long").alias("id"), c("height").isNull().alias("failed"), "height", "width",
         c("nChannels").alias("channels"), F.hex("data").alias("pixels"))
+
+
+# ---- files to report ---------------------------------------------------------
+
+_WANTED, _BROKEN = "id % 19 <> 7", "id % 13 = 5"
+_FILE_PROBES = f"""file_probes AS (SELECT concat('id_', e.vec_id % 17, '/', e.vec_id, '.png') AS id,
+  CASE WHEN e.vec_id % 10 <> 9 THEN e.label END AS identity_gt, s.image_id IS NOT NULL AS has_pred, s.v AS embedding
+FROM embeddings e LEFT JOIN (SELECT image_id, [{", ".join(_EMBEDDING)}] AS v FROM scored
+  WHERE NOT ({_BROKEN.replace("id", "image_id")}) AND {_WANTED.replace("id", "image_id")}) s ON e.vec_id = s.image_id)"""
+
+
+def _of_files(*parts: str) -> list[str]:
+    return [x.replace("fx_probes", "file_probes") for x in parts]
+
+
+def _file_benchmark(t, output: str):
+    truth = t.items.select(
+        F.concat(F.lit("id_"), c("id") % 17, F.lit("/"), "id", F.lit(".png")).alias("image_path"),
+        F.when(c("id") % 10 != 9, c("label")).alias("identity_label"))
+    return run_benchmark(
+        t.spark, truth, _image_files(t, _WANTED, _BROKEN), output, load_detector, load_embedder, load_keypoints, k=5)
+
+
+@query("file_benchmark", with_views(*_of_files(
+    "SELECT metric, k, value FROM report"), *SCORED, _FILE_PROBES, *_of_files(*EVALUATED, TARS, REPORT)))
+def file_benchmark(t):
+    """Image files, some broken and some missing, scored, ranked and reported."""
+    report = _file_benchmark(t, scratch_dir(t.spark, "file-benchmark"))
+    return report.withColumn("value", F.round("value", 6))
+
+
+@query("file_benchmark_results", with_views(*_of_files("""
+SELECT r.id, gt AS has_animal_gt, pred AS has_animal_pred, r.identity_gt, detection_correct, r.identity_rank, m.rn AS rank,
+  m.b AS match_id, round(m.s, 6) AS similarity
+FROM results r LEFT JOIN (SELECT * FROM granked WHERE rn <= 5) m ON r.id = m.a"""), *SCORED, _FILE_PROBES, *_of_files(*EVALUATED)))
+def file_benchmark_results(t):
+    """The saved results of the same run, a row per match."""
+    output = scratch_dir(t.spark, "file-benchmark")
+    _file_benchmark(t, output)
+    saved = t.spark.read.json(f"{output}/results", schema="""id string, has_animal_gt boolean, has_animal_pred boolean, identity_gt int,
+        detection_correct boolean, identity_rank long, similar_images array<struct<id: string, similarity: double>>""")
+    kept = [k for k in saved.columns if k != "similar_images"]
+    return saved.select(*kept, F.posexplode_outer("similar_images").alias("rank", "m")).select(
+        *kept, (c("rank") + 1).cast("long").alias("rank"), c("m.id").alias("match_id"), F.round("m.similarity", 6).alias("similarity"))
+
+
+@query("write_dataset_config", """
+SELECT 'data' AS path, 'train.txt' AS train, 'val.txt' AS val, count(*) AS nc, string_agg(p_type, '|' ORDER BY p_partkey) AS names
+FROM part WHERE p_partkey % 7 = 1""")
+def write_dataset_config(t):
+    """Descriptor of a dataset whose classes are some of the parts."""
+    parts = t.read("part").filter("p_partkey % 7 = 1").select(c("p_partkey").alias("id"), c("p_type").alias("name"))
+    path = scratch_dir(t.spark, "config")
+    config = sinks.dataset_config(parts, "data", "train.txt", "val.txt")
+    sinks.write_dataset_config(config, path)
+    return t.spark.read.schema(config.schema).json(path).withColumn("names", F.array_join("names", "|"))

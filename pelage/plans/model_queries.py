@@ -31,16 +31,17 @@ def images(t):
 
 
 def load_detector():
-    """Two boxes per image, in 640 x 640 input pixels, from the first ten pixels."""
+    """Two boxes per image, in 640 x 640 input pixels, from ten sums that together take every pixel."""
     def predict(batch):
         answers = []
         for image in batch:
             p = image.reshape(-1).astype(int)
+            sums = [int(p[j::10].sum()) for j in range(10)]
             rows = []
             for k in (0, 5):
-                x, y = p[k] % 4 * 80, p[k + 1] % 4 * 80
-                rows.append([float(x), float(y), float(x + 80 * (1 + p[k + 2] % 4)),
-                             float(y + 80 * (1 + p[k + 3] % 4)), p[k + 4] / 255.0, 0.0])
+                x, y = sums[k] % 4 * 80, sums[k + 1] % 4 * 80
+                rows.append([float(x), float(y), float(x + 80 * (1 + sums[k + 2] % 4)),
+                             float(y + 80 * (1 + sums[k + 3] % 4)), sums[k + 4] % 256 / 255.0, 0.0])
             answers.append(rows)
         return answers
 
@@ -48,17 +49,17 @@ def load_detector():
 
 
 def load_keypoints():
-    """Two instances per crop from its first pixel; a third row is too short and skipped."""
+    """Two instances per crop from the sum of its pixels; a third row is too short and skipped."""
     def predict(batch):
         answers = []
         for crop in batch:
-            first = int(crop.reshape(-1)[0])
+            f = int(crop.astype(int).sum()) % 256
             rows = []
             for j in (0, 1):
                 points = []
                 for i in range(4):
-                    points += [100.0 * i + 150.0 * j, 60.0 * i + 90.0 * j, 0.9 if first % (i + 2) else 0.2]
-                rows.append([0.0, 0.0, 0.0, 0.0, ((first + j * 37) % 256) / 255.0, 0.0, *points])
+                    points += [100.0 * i + 150.0 * j, 60.0 * i + 90.0 * j, 0.9 if f % (i + 2) else 0.2]
+                rows.append([0.0, 0.0, 0.0, 0.0, ((f + j * 37) % 256) / 255.0, 0.0, *points])
             answers.append([*rows, [0.0, 0.0]])
         return answers
 
@@ -66,21 +67,30 @@ def load_keypoints():
 
 
 def load_embedder():
-    """Height, width and first pixel of the crop."""
+    """Height and width of the crop, then the sums of its rows and of its columns."""
     def predict(batch):
-        return [np.array([*crop.shape[:2], crop.reshape(-1)[0]], dtype=np.float32) for crop in batch]
+        answers = []
+        for crop in batch:
+            pixels = crop.reshape(crop.shape[:2]).astype(np.float32)
+            out = np.zeros(2 + 2 * SIDE, np.float32)
+            out[:2] = pixels.shape
+            out[2:2 + pixels.shape[0]] = pixels.sum(1)
+            out[2 + SIDE:2 + SIDE + pixels.shape[1]] = pixels.sum(0)
+            answers.append(out)
+        return answers
 
     return predict
 
 
 # ---- SQL twins --------------------------------------------------------------
 
-_PX = "px AS (SELECT vec_id AS image_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 127 + 128) AS INT)) AS p FROM embeddings)"
+_PX = """px AS (SELECT image_id, p, list_transform(range(1, 11), lambda j: list_sum(p[j:64:10])) AS s FROM (
+  SELECT vec_id AS image_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 127 + 128) AS INT)) AS p FROM embeddings) e)"""
 
 
 def _raw_sql(k: int, pos: int) -> str:
-    return f"""SELECT image_id, p, {pos} AS pos, p[{k + 1}] % 4 * 80 AS rx, p[{k + 2}] % 4 * 80 AS ry,
-  80 * (1 + p[{k + 3}] % 4) AS rw, 80 * (1 + p[{k + 4}] % 4) AS rh, p[{k + 5}] / 255.0e0 AS confidence FROM px"""
+    return f"""SELECT image_id, p, {pos} AS pos, s[{k + 1}] % 4 * 80 AS rx, s[{k + 2}] % 4 * 80 AS ry,
+  80 * (1 + s[{k + 3}] % 4) AS rw, 80 * (1 + s[{k + 4}] % 4) AS rh, s[{k + 5}] % 256 / 255.0e0 AS confidence FROM px"""
 
 
 _DETECTIONS = f"""raw AS ({_raw_sql(0, 0)} UNION ALL {_raw_sql(5, 1)}),
@@ -98,7 +108,27 @@ def detect_batch(t):
         "image_id", "d.pos", "d.x1", "d.y1", "d.x2", "d.y2", "d.confidence", "d.class")
 
 
-_WHOLE = """crops AS (SELECT image_id, p, 0 AS cx1, 0 AS cy1, 8 AS cx2, 8 AS cy2 FROM px)"""
+_CROPS = """crops AS (SELECT image_id, p, image_id % 3 AS cx1, image_id % 2 AS cy1, 8 - image_id % 4 AS cx2, 5 + image_id % 4 AS cy2 FROM px)"""
+
+
+def window(t):
+    """The images with a crop each that depends on their id."""
+    i = c("image_id")
+    return images(t).withColumn("crop", F.struct(
+        (i % 3).alias("x1"), (i % 2).alias("y1"), (SIDE - i % 4).alias("x2"), (i % 4 + 5).alias("y2")))
+
+
+def _sum_sql(x1: str, y1: str, x2: str, y2: str) -> str:
+    """Sum of the pixels in a window."""
+    inside = f"i // 8 >= {y1} AND i // 8 < {y2} AND i % 8 >= {x1} AND i % 8 < {x2}"
+    return f"list_sum(list_transform(range(0, 64), lambda i: CASE WHEN {inside} THEN p[i + 1] ELSE 0 END))"
+
+
+def _embedding_sql(x1: str, y1: str, x2: str, y2: str) -> str:
+    """The embedder's numbers ``e0 .. e17`` of a window."""
+    rows = [_sum_sql(x1, f"{y1} + {r}", x2, f"least({y2}, {y1} + {r + 1})") for r in range(SIDE)]
+    cols = [_sum_sql(f"{x1} + {r}", y1, f"least({x2}, {x1} + {r + 1})", y2) for r in range(SIDE)]
+    return ", ".join(f"CAST({v} AS DOUBLE) AS e{i}" for i, v in enumerate([f"({y2} - {y1})", f"({x2} - {x1})", *rows, *cols]))
 
 
 def _instances_sql(crops: str) -> str:
@@ -109,7 +139,7 @@ def _instances_sql(crops: str) -> str:
             f"{60.0 * i + 90.0 * j}e0 * (cy2 - cy1) / 640.0e0 AS k{i}_y, "
             f"CASE WHEN f % {i + 2} <> 0 THEN 0.9e0 ELSE 0.2e0 END AS k{i}_v" for i in range(4))
         parts.append(f"SELECT *, {j} AS ipos, ((f + {j * 37}) % 256) / 255.0e0 AS iconf, {points} FROM cropped")
-    return f"""cropped AS (SELECT *, p[cy1 * 8 + cx1 + 1] AS f FROM {crops}),
+    return f"""cropped AS (SELECT *, {_sum_sql('cx1', 'cy1', 'cx2', 'cy2')} % 256 AS f FROM {crops}),
 instances AS ({' UNION ALL '.join(parts)})"""
 
 
@@ -118,25 +148,24 @@ _POINTS = [f"k{i}_{p}" for i in range(4) for p in "xyv"]
 
 @query("keypoints_batch", with_views(
     f"SELECT image_id, CAST(ipos AS INT) AS pos, iconf AS confidence, {', '.join(_POINTS)} FROM instances",
-    _PX, _WHOLE, _instances_sql("crops")))
+    _PX, _CROPS, _instances_sql("crops")))
 def keypoints_batch(t):
-    window = F.struct(*[F.lit(v).alias(k) for k, v in (("x1", 0), ("y1", 0), ("x2", SIDE), ("y2", SIDE))])
-    df = I.keypoints_batch(images(t).withColumn("crop", window), load_keypoints)
+    df = I.keypoints_batch(window(t), load_keypoints)
     return df.select("image_id", F.explode("instances").alias("i")).select(
         "image_id", "i.pos", "i.confidence",
         *[c("i.keypoints")[i][p].alias(f"k{i}_{p}") for i in range(4) for p in ("x", "y", "v")])
 
 
+_EMBEDDING = [f"e{i}" for i in range(2 + 2 * SIDE)]
+
+
 def _embedding_columns(e):
-    return [e[i].cast("double").alias(k) for i, k in enumerate(("crop_h", "crop_w", "first"))]
+    return [e[i].cast("double").alias(k) for i, k in enumerate(_EMBEDDING)]
 
 
-@query("embed_batch", with_views("""
-SELECT image_id, 8.0e0 AS crop_h, 8.0e0 AS crop_w, CAST(p[1] AS DOUBLE) AS first FROM px""", _PX))
+@query("embed_batch", with_views(f"SELECT image_id, {_embedding_sql('cx1', 'cy1', 'cx2', 'cy2')} FROM crops", _PX, _CROPS))
 def embed_batch(t):
-    window = F.struct(*[F.lit(v).alias(k) for k, v in (("x1", 0), ("y1", 0), ("x2", SIDE), ("y2", SIDE))])
-    df = I.embed_batch(images(t).withColumn("crop", window), load_embedder)
-    return df.select("image_id", *_embedding_columns(c("embedding")))
+    return I.embed_batch(window(t), load_embedder).select("image_id", *_embedding_columns(c("embedding")))
 
 
 _BEST = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, pos) AS rn
@@ -156,22 +185,22 @@ fine AS (SELECT image_id, p, CASE WHEN sure THEN cx1 + greatest(0, a - pad) ELSE
       CAST(trunc(least(k0_x, k1_x, k2_x, k3_x)) AS BIGINT) AS a, CAST(trunc(least(k0_y, k1_y, k2_y, k3_y)) AS BIGINT) AS b,
       CAST(trunc(greatest(k0_x, k1_x, k2_x, k3_x)) AS BIGINT) AS q,
       CAST(trunc(greatest(k0_y, k1_y, k2_y, k3_y)) AS BIGINT) AS r FROM chosen) m) n),
-scored AS (SELECT image_id, wx1, wy1, wx2, wy2, CAST(wy2 - wy1 AS DOUBLE) AS crop_h, CAST(wx2 - wx1 AS DOUBLE) AS crop_w,
-  CAST(p[wy1 * 8 + wx1 + 1] AS DOUBLE) AS first FROM fine WHERE wx2 > wx1 AND wy2 > wy1)"""
+scored AS (SELECT image_id, wx1, wy1, wx2, wy2, {_embedding_sql('wx1', 'wy1', 'wx2', 'wy2')} FROM fine WHERE wx2 > wx1 AND wy2 > wy1)"""
+SCORED = (_PX, _DETECTIONS, _SCORED)
 
 
 def _scored(t):
     return I.score_images(images(t), load_detector, load_embedder, load_keypoints)
 
 
-@query("score_images", with_views("""
-SELECT i.image_id, wx1 AS x1, wy1 AS y1, wx2 AS x2, wy2 AS y2, crop_h, crop_w, first
-FROM px i LEFT JOIN scored s ON i.image_id = s.image_id""", _PX, _DETECTIONS, _SCORED))
+@query("score_images", with_views(f"""
+SELECT i.image_id, wx1 AS x1, wy1 AS y1, wx2 AS x2, wy2 AS y2, {", ".join(_EMBEDDING)}
+FROM px i LEFT JOIN scored s ON i.image_id = s.image_id""", *SCORED))
 def score_images(t):
     return _scored(t).select("image_id", "crop.*", *_embedding_columns(c("embedding")))
 
 
-@query("build_gallery", with_views("SELECT image_id, crop_h, crop_w, first FROM scored", _PX, _DETECTIONS, _SCORED))
+@query("build_gallery", with_views(f"SELECT image_id, {', '.join(_EMBEDDING)} FROM scored", *SCORED))
 def build_gallery(t):
     return I.build_gallery(_scored(t)).select("image_id", *_embedding_columns(c("embedding")))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -24,21 +28,52 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "pelage") -> Spa
     )
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the folder the cluster shares between executors.
+# Folders made for local masters that name none, by application.
+_local_roots: dict[str, str] = {}
+# Folders made inside each open scope.
+_scopes: list[list[str]] = []
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    ``spark.checkpoint.dir`` names that folder. Only a local master may leave it
-    unset; a folder on this machine is made and set then. Any other master
-    raises: its executors would write to disks of their own.
+    Only a local master may leave it unset; a folder on this machine is made
+    for it, once per application, and goes when the driver ends. Any other
+    master raises: its executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.conf.get("spark.master", "local")
-        if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        root = tempfile.mkdtemp(prefix="pelage-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        folder = tempfile.mkdtemp(prefix="pelage-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_roots[app] = f"file://{folder}"
+    return _local_roots[app]
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the scratch folders that were made inside; results that read them must be used up by then."""
+    from pelage.sources.files import delete_folder
+
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_folder(spark, path)
 
 
 def materialize(df, name: str):

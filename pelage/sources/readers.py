@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelage.functions.geometry import triples
+from pelage.sources.files import qualified, walk
+from pelage.sources.label_files import read_label_folder
 
 c = F.col
 
@@ -102,24 +104,14 @@ def identity_files(files: DataFrame, root: str | None = None) -> DataFrame:
     return files.filter(F.lower("path").rlike(IMAGE_SUFFIX)).select(identity.alias("identity"), path.alias("path"))
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path`` of every file below a folder; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-
-
 def scan_identity_folders(spark: SparkSession, path: str) -> DataFrame:
-    """``identity, path`` of the images in one folder per identity."""
-    return identity_files(list_files(spark, path))
+    """``identity, path`` of the images in one folder per identity; a missing folder is an empty table."""
+    return identity_files(walk(spark, path))
 
 
 def scan_priority_identities(spark: SparkSession, path: str, root: str) -> DataFrame:
-    """Same with paths relative to ``root``; a missing folder is an empty table."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    if not exists:
-        return spark.createDataFrame([], "identity string, path string")
-    return identity_files(list_files(spark, path), root)
+    """Same with paths relative to ``root``."""
+    return identity_files(walk(spark, path), root)
 
 
 def _quoted(text: str) -> str:
@@ -134,35 +126,30 @@ def read_identity_list(spark: SparkSession, path: str, label_type: str = "string
     return items.select(F.coalesce("image_path", "file_path").alias("image_path"), "identity_label")
 
 
-def parse_label_lines(lines: DataFrame, text: str = "line") -> DataFrame:
-    """Label lines ``class xc yc w h [x y v]*`` to columns; short lines go."""
-    others = [k for k in lines.columns if k != text]
-    parts = F.transform(F.split(F.trim(text), r"\s+"), lambda t: t.cast("double"))
-    parsed = lines.withColumn("_p", parts).filter(F.size("_p") >= 5)
-    names = ("cls", "xc", "yc", "w", "h")
-    return parsed.select(
-        *others, *[F.get("_p", i).alias(k) for i, k in enumerate(names)],
-        triples(F.slice("_p", 6, F.greatest(F.size("_p") - 5, F.lit(0)))).alias("keypoints"))
-
-
 def read_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``file, cls, xc, yc, w, h, keypoints`` of label text files; empty files give no rows."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        c("_metadata.file_path").alias("file"), c("value").alias("line"))
-    return parse_label_lines(lines)
-
+    """``file, cls, xc, yc, w, h, keypoints`` of the label text files below a folder; empty files give no rows."""
+    lines = read_label_folder(spark, path).filter(c("box").isNotNull())
+    names = ("cls", "xc", "yc", "w", "h")
+    return lines.select(
+        c("label_path").alias("file"), *[F.get("box", i).alias(k) for i, k in enumerate(names)],
+        triples(F.coalesce("points", F.array().cast("array<double>"))).alias("keypoints"))
 
-def read_label_table(spark: SparkSession, path: str) -> DataFrame:
-    """Same from a table ``label_path, text`` as ``write_labels`` makes it."""
-    lines = spark.read.parquet(path).select("label_path", F.explode(F.split("text", "\n")).alias("line"))
-    return parse_label_lines(lines.filter(F.length("line") > 0))
 
+def read_images(spark: SparkSession, path: str, keep_failed: bool = False) -> DataFrame:
+    """``path, height, width, nChannels, data`` of the images below a folder.
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """``path, height, width, nChannels, data`` of decodable images; others are dropped."""
-    images = spark.read.format("image").option("dropInvalid", "true").option(
-        "recursiveFileLookup", "true").load(path)
-    return images.select(c("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+    A file that cannot be decoded is left out, or with ``keep_failed`` a row
+    whose pixels and size are NULL: models skip it and it counts as an image
+    without an animal.
+    """
+    images = spark.read.format("image").option("dropInvalid", "false").option(
+        "recursiveFileLookup", "true").load(qualified(spark, path))
+    valid = c("image.height") > 0
+    # The source escapes its paths as in a URI.
+    origin = F.url_decode(F.replace(c("image.origin"), F.lit("+"), F.lit("%2B")))
+    rows = images.select(origin.alias("path"), *[
+        F.when(valid, c(f"image.{k}")).alias(k) for k in ("height", "width", "nChannels", "data")])
+    return rows if keep_failed else rows.filter(c("height").isNotNull())
 
 
 def read_training_history(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pelage.functions import geometry as G
 from pelage.functions.text import flat_label_name, label_path
 from pelage.operators.boxes import pose_box, yolo_box
-from pelage.operators.dataset import with_list_part
-from pelage.sources.files import shared_files, write_whole
+from pelage.sources.label_files import write_label_files
 
 c = F.col
 
@@ -52,62 +51,37 @@ def write_coco(images: DataFrame, boxes: DataFrame, categories: list[dict], path
     coco_documents(images, boxes, categories).write.mode("overwrite").partitionBy("split").text(path)
 
 
-def detection_label_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``image_id, ann_key, line`` for every box that is left after clamping."""
-    sized = boxes.join(images.select("image_id", "width", "height"), "image_id")
-    line = F.format_string("0 %.6f %.6f %.6f %.6f", c("xc"), c("yc"), c("w"), c("h"))
-    return yolo_box(sized).select("image_id", "ann_key", line.alias("line"))
+def _lines(images: DataFrame, found: DataFrame, name) -> DataFrame:
+    return images.select("image_id", name.alias("label_path")).join(found, "image_id", "left").select(
+        "label_path", "ann_key", "box", "points")
 
 
-def pose_label_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Same with keypoints and without clamping (boxes carry ``keypoints, num_keypoints``)."""
+def yolo_detection_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``label_path, ann_key, box, points``: a row per box that is left after clamping, and one with a
+    NULL box for an image without any. The table form of label files; an image's boxes are rows at every number."""
     sized = boxes.join(images.select("image_id", "width", "height"), "image_id")
-    points = G.normalized_keypoints(c("keypoints"), c("num_keypoints"), c("width"), c("height"))
-    line = F.concat(
-        F.format_string("0 %.6f %.6f %.6f %.6f", c("xc"), c("yc"), c("w"), c("h")),
-        G.keypoint_text(points))
-    return pose_box(sized).select("image_id", "ann_key", line.alias("line"))
-
-
-def _label_table(images: DataFrame, lines: DataFrame, name) -> DataFrame:
-    listed = with_list_part(lines).groupBy("image_id", "part").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ann_key", "line"))), lambda s: s["line"]), "\n")
-        .alias("text"))
-    return images.select("image_id", name.alias("label_path")).join(listed, "image_id", "left").select(
-        "label_path", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-
-
-def yolo_detection_labels(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``label_path, part, text``: a label text per image, empty without boxes."""
-    return _label_table(images, detection_label_lines(images, boxes), label_path(c("file_name")))
-
+    found = yolo_box(sized).select(
+        "image_id", "ann_key", F.array(F.lit(0.0), "xc", "yc", "w", "h").alias("box"), F.lit(None).cast("array<double>").alias("points"))
+    return _lines(images, found, label_path(c("file_name")))
 
-def yolo_pose_labels(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Same for pose; all label files lie in one folder."""
-    return _label_table(images, pose_label_lines(images, boxes), flat_label_name(c("file_name")))
 
+def yolo_pose_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Same with keypoints and without clamping (boxes carry ``keypoints, num_keypoints``); all files lie in one folder."""
+    sized = boxes.join(images.select("image_id", "width", "height"), "image_id")
+    points = G.normalized_keypoints(c("keypoints"), c("num_keypoints"), c("width"), c("height"))
+    flat = F.flatten(F.transform(points, lambda k: F.array(k["x"], k["y"], k["v"])))
+    found = pose_box(sized.withColumn("points", flat)).select(
+        "image_id", "ann_key", F.array(F.lit(0.0), "xc", "yc", "w", "h").alias("box"), "points")
+    return _lines(images, found, flat_label_name(c("file_name")))
 
-def write_labels(labels: DataFrame, path: str) -> None:
-    labels.write.mode("overwrite").parquet(path)
-
-
-def write_label_files(labels: DataFrame, root: str) -> None:
-    """One text file per label path below ``root`` (a folder all executors see).
-
-    Parts of an image go to one file in order.
-    """
-    def write(rows) -> None:
-        from itertools import groupby
 
-        from pyspark import TaskContext
+def write_yolo_detection(images: DataFrame, boxes: DataFrame, root: str) -> None:
+    """A label file per image below ``root``."""
+    write_label_files(yolo_detection_lines(images, boxes), root, order="ann_key")
 
-        files, folder = shared_files(root)
-        tag = str(TaskContext.get().taskAttemptId())
-        for name, parts in groupby(rows, key=lambda r: r["label_path"]):
-            pieces = (f"{part['text']}\n".encode() for part in parts if part["text"])
-            write_whole(files, f"{folder.rstrip('/')}/{name}", pieces, tag)
 
-    labels.repartition("label_path").sortWithinPartitions("label_path", "part").foreachPartition(write)
+def write_yolo_pose(images: DataFrame, boxes: DataFrame, root: str, joints: int = 4) -> None:
+    write_label_files(yolo_pose_lines(images, boxes), root, joints=joints, order="ann_key")
 
 
 def sorted_paths(images: DataFrame, path: str = "file_name", data_root: str = "") -> DataFrame:

@@ -96,14 +96,20 @@ def test_category_lookup(spark):
     assert D.target_boxes(boxes, cats, "cat").count() == 0
 
 
-def test_lists_of_a_large_image_come_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(D, "LIST_ROWS", 10)
-    boxes = spark.range(120).select(
-        F.when(F.col("id") < 100, 1).otherwise(F.col("id")).alias("image_id"), F.md5(F.col("id").cast("string")).alias("ann_key"))
-    rows = D.annotations_per_image(boxes).collect()
-    large = [r for r in rows if r.image_id == 1]
-    assert sum(r.n_boxes for r in large) == 100 and len(large) > 5
-    assert all(r.part == 0 and r.n_boxes == 1 for r in rows if r.image_id != 1)
+@pytest.mark.parametrize("size", [1, 10, 1000])
+def test_lists_have_one_layout_at_every_size(spark, size):
+    """An image's boxes in order, ``size`` to a list, whatever their number; a column named as a helper's stays."""
+    boxes = spark.range(140).select(
+        F.when(F.col("id") < 100, 1).otherwise(F.col("id") - F.col("id") % 2).alias("image_id"),
+        F.format_string("%03d", "id").alias("ann_key"), F.lit("own").alias("place")).repartition(5)
+    want = {}
+    for i in range(140):
+        want.setdefault(1 if i < 100 else i - i % 2, []).append(f"{i:03d}")
+    rows = D.annotations_per_image(boxes, size=size).collect()
+    assert len(rows) == sum(-(-len(x) // size) for x in want.values())
+    for r in rows:
+        assert [b.ann_key for b in r.boxes] == want[r.image_id][r.part * size:(r.part + 1) * size] and r.n_boxes == len(r.boxes)
+        assert {b.place for b in r.boxes} == {"own"}
 
 
 def test_dedupe_keeps_the_first(spark):

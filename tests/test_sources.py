@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from pelage.operators import boxes as B
 from pelage.operators import dataset as D
+from pelage import session
+from pelage.operators import file_benchmark as FB
 from pelage.operators import inference as I
-from pelage.sources import readers, sinks
+from pelage.sources import files, label_files, readers, sinks
 from pelage.streaming.identify import identify_stream
 
+c = F.col
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VOC = """<annotation><filename>{name}</filename><size><width>{w}</width><height>{h}</height></size>
@@ -79,17 +83,74 @@ def test_coco_documents_stay_bounded(spark, tmp_path, monkeypatch):
 
 
 def test_identity_folders(spark, tmp_path):
-    for name in ("id_C/a.jpg", "id_C/b.JPEG", "id_D/c.png", "id_D/notes.txt", "id_E/readme"):
+    for name in ("id_C/a.jpg", "id_C/b.JPEG", "id_D/c.png", "id_D/notes.txt", "id_E/readme", "id D/x/100% of it.jpg", "_tmp/x.jpg", "id_C/.hidden.jpg"):
         path = tmp_path / "root" / "extra" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(b"x")
+    (tmp_path / "root" / "extra" / "empty").mkdir()
     folder = str(tmp_path / "root" / "extra")
     found = readers.scan_identity_folders(spark, folder)
-    assert sorted(r.identity for r in found.collect()) == ["id_C", "id_C", "id_D"]
+    assert sorted(r.identity for r in found.collect()) == ["id_C", "id_C", "id_D", "x"]
     relative = readers.scan_priority_identities(spark, folder, str(tmp_path / "root"))
-    assert sorted(r.path for r in relative.collect()) == ["extra/id_C/a.jpg", "extra/id_C/b.JPEG", "extra/id_D/c.png"]
+    assert sorted(r.path for r in relative.collect()) == ["extra/id D/x/100% of it.jpg", "extra/id_C/a.jpg", "extra/id_C/b.JPEG", "extra/id_D/c.png"]
     assert readers.scan_priority_identities(spark, folder + "-missing", "/").count() == 0
-    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+    assert readers.scan_identity_folders(spark, folder + "-missing").count() == 0
+
+
+def test_walk_lists_every_level_in_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FOLDERS_PER_TASK", 2)
+    for i in range(40):
+        path = tmp_path / f"a{i % 5}" / f"b{i % 7}" / f"{i}.bin"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * i)
+    rows = files.walk(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.size) for r in rows) == sorted((f"{i}.bin", i) for i in range(40))
+    assert all(r.path.startswith(f"file://{tmp_path}/") for r in rows)
+
+
+def test_paths_get_the_scheme_of_the_default_file_system(spark):
+    assert files.qualified(spark, "/data/x") == "file:///data/x"
+    assert files.qualified(spark, "hdfs://host/x") == "hdfs://host/x" and files.qualified(spark, "file:/x") == "file:/x"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "hdfs://names:9000")
+        assert files.qualified(spark, "/data/x") == "hdfs://names:9000/data/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+    with pytest.raises(ValueError):
+        files.shared_files("/data/x")
+
+
+class _Session:
+    """What ``scratch_root`` asks a session."""
+
+    def __init__(self, app="app-1", **settings):
+        self.settings = settings
+        self.sparkContext = type("Context", (), {"applicationId": app})
+
+    @property
+    def conf(self):
+        return type("Conf", (), {"get": staticmethod(lambda key, default=None: self.settings.get(key.replace(".", "_"), default))})
+
+
+def test_scratch_folder_without_a_setting():
+    one = session.scratch_root(_Session(spark_master="local[3]"))
+    assert one.startswith("file:///") and one == session.scratch_root(_Session(spark_master="local[3]"))
+    assert one != session.scratch_root(_Session(app="app-2", spark_master="local"))
+    assert session.scratch_root(_Session(spark_master="spark://h:7077", spark_checkpoint_dir="hdfs://h/tmp/")) == "hdfs://h/tmp"
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(ValueError):
+            session.scratch_root(_Session(spark_master=master))
+
+
+def test_scratch_scope_removes_its_folders(spark):
+    with session.scratch_scope(spark):
+        written = session.materialize(spark.range(5), "scoped")
+        assert written.count() == 5
+        (path,) = {x.rsplit("/", 1)[0] for x in written.inputFiles()}
+        assert os.path.isdir(path.removeprefix("file://").removeprefix("file:"))
+    assert not os.path.isdir(path.removeprefix("file://").removeprefix("file:"))
 
 
 def test_identity_list(spark, tmp_path):
@@ -100,15 +161,59 @@ def test_identity_list(spark, tmp_path):
     assert [(r.image_path, r.identity_label) for r in rows] == [("img1", "id_A"), ("img2", "id_A"), ("img3", "id_B")]
 
 
-def test_label_files_round_trip(spark, tmp_path):
+def label_images(spark):
     images = spark.createDataFrame([(1, "s/images/a.jpg", 100, 100), (2, "s/images/b.jpg", 100, 100)], "image_id long, file_name string, width int, height int")
     boxes = spark.createDataFrame([("k1", 1, 40.0, 40.0, 20.0, 20.0), ("k2", 1, -5.0, 0.0, 10.0, 10.0)], "ann_key string, image_id long, x double, y double, w double, h double")
-    sinks.write_label_files(sinks.yolo_detection_labels(images, boxes), str(tmp_path))
+    return images, boxes
+
+
+def test_label_files_round_trip(spark, tmp_path):
+    images, boxes = label_images(spark)
+    sinks.write_yolo_detection(images, boxes, str(tmp_path))
     assert (tmp_path / "s/labels/b.txt").read_text() == ""
     assert (tmp_path / "s/labels/a.txt").read_text() == "0 0.500000 0.500000 0.200000 0.200000\n0 0.025000 0.050000 0.050000 0.100000\n"
     labels = readers.read_yolo_labels(spark, str(tmp_path))
     sized = labels.withColumns({"width": F.lit(100), "height": F.lit(100)})
     assert {(r.x1, r.y1, r.x2, r.y2) for r in B.yolo_to_pixels(sized).collect()} == {(40, 40, 60, 60), (0, 0, 5, 10)}
+    again = label_files.read_label_files(spark, str(tmp_path)).collect()
+    assert sorted((r.label_path, r.position, r.box) for r in again if r.box) == [
+        ("s/labels/a.txt", 0, [0.0, 0.5, 0.5, 0.2, 0.2]), ("s/labels/a.txt", 1, [0.0, 0.025, 0.05, 0.05, 0.1])]
+    assert [r.label_path for r in again if r.box is None] == ["s/labels/b.txt"]
+    assert not (tmp_path / "_drafts").exists()
+
+
+def test_label_files_are_replaced_or_added(spark, tmp_path):
+    images, boxes = label_images(spark)
+    sinks.write_yolo_detection(images, boxes, str(tmp_path))
+    lines = sinks.yolo_detection_lines(images.withColumn("file_name", F.concat(F.lit("new/"), "file_name")), boxes)
+    label_files.write_label_files(lines, str(tmp_path), order="ann_key", mode="append")
+    assert label_files.read_label_files(spark, str(tmp_path)).select("label_path").distinct().count() == 4
+    label_files.write_label_files(lines, str(tmp_path), order="ann_key")
+    assert label_files.read_label_files(spark, str(tmp_path)).select("label_path").distinct().count() == 2
+    assert not (tmp_path / "s").exists() and (tmp_path / "new/s/labels/a.txt").exists()
+    assert label_files.read_label_files(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_failed_write_leaves_no_label_file(spark, tmp_path):
+    """A task that dies after others have written: no file in its place, no list, no draft."""
+    images, boxes = label_images(spark)
+    lines = sinks.yolo_detection_lines(images, boxes)
+    bad = lines.unionByName(spark.createDataFrame([("s/labels/c.txt", "k", [float("nan")] * 5, None)], "label_path string, ann_key string, box array<double>, points array<double>"))
+    with pytest.raises(Exception):
+        label_files.write_label_files(bad, str(tmp_path), order="ann_key")
+    assert not list(tmp_path.rglob("*.txt")) and not list(tmp_path.rglob("_list"))
+
+
+def test_an_image_with_very_many_boxes_is_one_file_in_order(spark, tmp_path):
+    lines = spark.range(30_000).select(
+        F.lit("a/big.txt").alias("label_path"), c("id").alias("position"), F.array(F.lit(0), c("id") / 1e5, F.lit(0.5), F.lit(0.1), F.lit(0.1)).alias("box"),
+        F.when(c("id") % 2 == 0, F.array(F.lit(0.25), F.lit(0.5), F.lit(2.0))).alias("points")).repartition(6)
+    label_files.write_label_files(lines, str(tmp_path), joints=1)
+    text = (tmp_path / "a/big.txt").read_text().splitlines()
+    assert len(text) == 30_000 and text[2] == "0 0.000020 0.500000 0.100000 0.100000 0.250000 0.500000 2"
+    assert text[29_999] == "0 0.299990 0.500000 0.100000 0.100000 0 0 0"
+    back = label_files.read_label_files(spark, str(tmp_path))
+    assert back.filter("size(points) = 3").count() == 30_000 and back.agg(F.max("position")).first()[0] == 29_999
 
 
 def test_pose_label_lines_parse(spark, tmp_path):
@@ -145,7 +250,7 @@ def png(path, pixels):
                      + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
 
 
-def test_images_decode_and_broken_ones_go(spark, tmp_path):
+def test_images_decode_and_broken_ones_go_or_stay(spark, tmp_path):
     pixels = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
     png(tmp_path / "a.png", pixels)
     (tmp_path / "b.jpg").write_bytes(b"not an image")
@@ -154,6 +259,53 @@ def test_images_decode_and_broken_ones_go(spark, tmp_path):
     r = rows[0]
     assert (I.rgb_array(r.height, r.width, r.nChannels, bytes(r.data)) == pixels).all()
     assert I.to_model_input(pixels).shape == (3, 2, 3)
+    both = {r.path.rsplit("/", 1)[1]: r for r in readers.read_images(spark, str(tmp_path), keep_failed=True).collect()}
+    assert both["a.png"].height == 2 and both["b.jpg"].height is None and both["b.jpg"].data is None
+
+
+def counting(log, name, answer):
+    """A model that notes each image it is given."""
+    def load():
+        def predict(batch):
+            with open(log, "a") as out:
+                out.write(f"{name}\n" * len(batch))
+            return [answer(x) for x in batch]
+
+        return predict
+
+    return load
+
+
+def test_folder_to_report(spark, tmp_path):
+    """Broken and missing files count as no animal, every image is scored once, a second run reads the gallery."""
+    folder, log, output = tmp_path / "my data", tmp_path / "log", str(tmp_path / "out")
+    rng = np.random.default_rng(3)
+    (folder / "x").mkdir(parents=True)
+    for i in range(12):
+        png(folder / "x" / f"{i}.png", rng.integers(1, 255, (6, 6, 1), dtype=np.uint8))
+    (folder / "x" / "broken.png").write_bytes(b"\x89PNG\r\n")
+    png(folder / "x" / "empty.png", np.zeros((6, 6, 1), np.uint8))
+    names = [f"x/{i}.png" for i in range(12)] + ["x/broken.png", "x/empty.png", "x/missing.png"]
+    truth = spark.createDataFrame([(n, None if i % 6 == 5 else i % 3) for i, n in enumerate(names)], "image_path string, identity_label int")
+    detector = counting(log, "detect", lambda x: [[0.0, 0.0, 640.0, 640.0, 0.9 if x.max() else 0.1, 0.0]])
+    embedder = counting(log, "embed", lambda x: x.reshape(-1).astype(np.float32))
+    report = {(r.metric, r.k): r.value for r in FB.run_benchmark(spark, truth, str(folder), output, detector, embedder, k=3).collect()}
+    assert log.read_text().split().count("detect") == 13 and log.read_text().split().count("embed") == 12
+    labelled = sum(i % 6 != 5 for i in range(15))
+    assert report["total_images", None] == 15 and report["animal_images", None] == labelled
+    found = sum(i % 6 != 5 for i in range(12))
+    assert report["detection_recall", None] == pytest.approx(found / labelled)
+    gallery = FB.open_gallery(spark, f"{output}/gallery")
+    assert (gallery.images, gallery.embedded, gallery.unreadable, gallery.dimensions) == (14, 12, 1, 36)
+    assert {r.status for r in gallery.items.collect()} == {"embedded", "no_animal", "unreadable"}
+    saved = spark.read.json(f"{output}/results").collect()
+    assert len(saved) == 15 and {len(r.similar_images) for r in saved if r.has_animal_pred} == {3}
+    assert all(r.similar_images == [] for r in saved if not r.has_animal_pred)
+    again = FB.run_benchmark(spark, truth, str(folder), output, detector, embedder, k=3)
+    assert {(r.metric, r.k): r.value for r in again.collect()} == report
+    assert log.read_text().split().count("detect") == 13
+    assert spark.read.parquet(f"{output}/metrics").select("run").distinct().count() == 1
+    assert FB.open_gallery(spark, str(tmp_path / "none")) is None
 
 
 # ---- models -----------------------------------------------------------------
