@@ -9,10 +9,13 @@ documents into a bucket; there a bit sketch that every token flips one bit of
 gives a Hamming distance that never exceeds the symmetric difference and
 discards most pairs; the exact sets decide about the rest.
 
-Buckets do not list all pairs: first each document meets its nearest and its
-first bucket mate, verified links form components, and then only pairs of
-different components are left to look at. Buckets beyond ``BLOCK`` rows are
-worked on block by block. Equal sets are one representative throughout.
+Buckets do not list pairs. First every document names its nearest and its
+lowest mate in two of its buckets, and verified links form components; then the
+rows outside a bucket's main component do so in all buckets that hold several
+components; what is left after that has its sets sent to the buckets, which
+compare them in place and return no more links than join their components.
+Buckets of the same rows count once. Large ones are worked on block by block.
+Equal sets are one representative throughout.
 
 Cases: a text is NULL or has no words: empty set, a component of its own;
 fewer than ``k`` words: one shingle of all words; repeated rows of an id count
@@ -23,7 +26,7 @@ looked at. Tokens are 64-bit hashes of the words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +42,10 @@ from pelage.llm.storage import stored
 c = F.col
 
 BLOCK = 2048
+# Sets of a block where sets are compared inside the bucket.
+BLOCK_BYTES = 32 << 20
+# Bucket rows that a task compares at once, unless one cell has more.
+HELD_ROWS, HELD_BYTES = 8192, 16 << 20
 # Ids sent to all executors at once at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -98,9 +105,9 @@ class Bands:
         return range(self.band(n), self.band(n * 100 // self.percent) + 1)
 
     def bits(self, band: int) -> int:
-        """Width of the bit sketch: some times the difference, 512 to 4096."""
+        """Width of the bit sketch: at least eight times the difference, and 512."""
         width = 512
-        while width < 4096 and width < 8 * self.difference(2 * self.largest(band)):
+        while width < 8 * self.difference(2 * self.largest(band)):
             width *= 2
         return width
 
@@ -131,14 +138,19 @@ def bit_sketch(tokens: np.ndarray, width: int) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _measures(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    """Size and two fingerprints of each set."""
+    return {
+        "n": pa.array([len(s) for s in sets], pa.int64()),
+        "f1": pa.array([int(np.bitwise_xor.reduce(s, initial=U64(0)).view(np.int64)) for s in sets], pa.int64()),
+        "f2": pa.array([int(mix(s + U64(1)).sum(dtype=U64).view(np.int64)) for s in sets], pa.int64())}
+
+
 def _summaries(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sets = shingle_sets(batch.column("text"), k)
-        mixed = [mix(s + U64(1)) for s in sets]
         yield pa.RecordBatch.from_pydict({
-            "id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()),
-            "f1": pa.array([int(np.bitwise_xor.reduce(s, initial=U64(0)).view(np.int64)) for s in sets], pa.int64()),
-            "f2": pa.array([int(m.sum(dtype=U64).view(np.int64)) for m in mixed], pa.int64()),
+            "id": batch.column("id"), **_measures(sets),
             # Width by the upper band of the set; partners from the band below bring the same width or one less.
             "sketch": pa.array([bit_sketch(s, bands.bits(bands.band(len(s)))) if len(s) else b"" for s in sets], pa.binary()),
         })
@@ -183,6 +195,8 @@ class _Units:
     def __init__(self, table: pa.Table, bands: Bands):
         read = lambda name: table.column(name).to_numpy()
         self.id, self.n, self.component, self.side = read("id"), read("n"), read("component"), read("side")
+        self.starts = self.component != read("main")
+        self.tokens = table.column("tokens") if "tokens" in table.column_names else None
         key, cell = read("key"), read("cell")
         self.head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
         self.tail = np.r_[self.head[1:], len(key)]
@@ -216,6 +230,14 @@ class _Units:
         keep = (~self.crossed[i] | (self.side[i] != self.side[j])) & (self.component[i] != self.component[j])
         return i[keep], j[keep]
 
+    def unit_of(self, rows: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.head, rows, "right") - 1
+
+    def linked(self, i: int, j: int) -> bool:
+        """Whether the exact sets of two rows are similar enough."""
+        x, y = (unpack(self.tokens[int(k)].as_buffer(), "<u8") for k in (i, j))
+        return _similar(x, y, self.percent)
+
     def plausible(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs that the Hamming bound leaves, with their distances."""
         width = np.minimum(self.width[i], self.width[j])
@@ -232,83 +254,136 @@ def _first_per(row: np.ndarray, order: np.ndarray) -> np.ndarray:
     return order[np.r_[True, row[1:] != row[:-1]]] if len(row) else order
 
 
-def _mates(bands: Bands, nearest: bool):
-    """Plausible pairs of different components in each unit; with ``nearest`` each row's nearest and lowest mate only."""
-    def closest(units: _Units, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the pairs met so far each row's nearest and lowest mate, either way round."""
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+Work = Callable[[_Units], Iterator[pa.RecordBatch]]
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    both = both[both[:, 0] < both[:, 1]]
+    return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+
+def _nearest(units: _Units) -> Iterator[pa.RecordBatch]:
+    """Of the plausible mates of each row outside the bucket's main component the nearest and the lowest."""
+    def closest(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pairs met so far, either way round."""
         row, mate, far = np.r_[i, j], np.r_[j, i], np.r_[d, d]
+        begin = units.starts[row]
+        row, mate, far = row[begin], mate[begin], far[begin]
         take = np.unique(np.r_[_first_per(row, np.lexsort((units.id[mate], far, row))),
                                _first_per(row, np.lexsort((units.id[mate], row)))])
         return row[take], mate[take], far[take]
 
-    def listed(units: _Units, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        a, b = units.id[i], units.id[j]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        both = both[both[:, 0] < both[:, 1]]
-        return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
-
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        units = _Units(table, bands)
-        met = (np.zeros(0, np.int64),) * 3
-        for i, j in units.candidates():
-            found = units.plausible(i, j)
-            if not nearest:
-                yield listed(units, *found[:2])
-            elif len(found[0]):
-                met = tuple(np.concatenate(x) for x in zip(met, closest(units, *found)))
-                if len(met[0]) > 1 << 16:
-                    met = closest(units, *met)
-        yield listed(units, *closest(units, *met)[:2] if nearest else met[:2])
-
+    met = (np.zeros(0, np.int64),) * 3
+    for i, j in units.candidates():
+        found = units.plausible(i, j)
+        if len(found[0]):
+            met = tuple(np.concatenate(x) for x in zip(met, closest(*found)))
+            if len(met[0]) > 1 << 16:
+                met = closest(*met)
+    row, mate, _ = closest(*met)
+    yield _edges(units.id[row], units.id[mate])
+
+
+def _concerned(units: _Units) -> Iterator[pa.RecordBatch]:
+    """Ids of all rows that have a plausible mate of another component."""
+    found = [np.zeros(0, np.int64)]
+    for i, j in units.candidates():
+        x, y, _ = units.plausible(i, j)
+        found.append(np.unique(np.r_[units.id[x], units.id[y]]))
+    yield pa.RecordBatch.from_pydict({"id": pa.array(np.unique(np.concatenate(found)), pa.int64())})
+
+
+def _spanning(units: _Units) -> Iterator[pa.RecordBatch]:
+    """Links between components, as many as join them: sets are compared where they lie, nearest first."""
+    joined: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(x: tuple[int, int]) -> tuple[int, int]:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    links = []
+    for i, j in units.candidates():
+        i, j, far = units.plausible(i, j)
+        order = np.argsort(far, kind="stable")
+        unit = units.unit_of(i)
+        for x, y, u in zip(i[order].tolist(), j[order].tolist(), unit[order].tolist()):
+            one, two = root((u, int(units.component[x]))), root((u, int(units.component[y])))
+            if one != two and units.linked(x, y):
+                joined[one] = two
+                links.append((units.id[x], units.id[y]))
+    if links:
+        yield _edges(*(np.array(x, np.int64) for x in zip(*links)))
+
+
+def _by_unit(work: Work, bands: Bands):
+    """Runs ``work`` over whole cells, some thousands of rows at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if sum(b.num_rows for b in held) < 8192:
+            if sum(b.num_rows for b in held) < HELD_ROWS and sum(b.nbytes for b in held) < HELD_BYTES:
                 continue
             table = pa.Table.from_batches(held)
             key, cell = table.column("key").to_numpy(), table.column("cell").to_numpy()
             # The last unit may go on in the next batch.
             last = int(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])[-1])
             if last:
-                yield from work(table.slice(0, last))
+                yield from work(_Units(table.slice(0, last), bands))
             held = table.slice(last).to_batches()
         if held:
-            yield from work(pa.Table.from_batches(held))
+            yield from work(_Units(pa.Table.from_batches(held), bands))
 
     return run
 
 
-def bucket_pairs(rows: DataFrame, bands: Bands, nearest: bool) -> DataFrame:
-    """Distinct plausible pairs ``a < b``. ``rows``: ``key, id, n, sketch, component, size`` (size of the bucket).
+def in_buckets(rows: DataFrame, buckets: DataFrame, work: Work, schema: str, bands: Bands) -> DataFrame:
+    """Distinct results of ``work`` over the cells of the buckets. ``rows``: ``key, id, n, sketch, component`` and maybe ``tokens``.
 
-    A bucket of more than ``BLOCK`` rows is cut into blocks by id; each pair of
-    blocks is a unit of its own.
+    A bucket of more than ``BLOCK`` rows or ``BLOCK_BYTES`` of sets is cut into
+    blocks by id; each pair of blocks is a cell of its own.
     """
-    blocks = F.ceil(c("size") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), c("blocks")).cast("int"))
+    columns = ["key", "id", "n", "sketch", "component", "main", *[k for k in rows.columns if k == "tokens"]]
+    weight = F.greatest(F.ceil(c("size") / BLOCK), F.ceil(c("members") * 8 / BLOCK_BYTES) if "tokens" in columns else F.lit(1))
+    dealt = rows.join(buckets, "key").withColumn("blocks", weight.cast("int")).withColumn(
+        "own", F.pmod(F.xxhash64("id"), c("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), c("blocks") - 1), lambda other: F.struct(
         (F.least(c("own"), other) * c("blocks") + F.greatest(c("own"), other)).alias("cell"),
         F.when(c("own") <= other, 0).otherwise(1).alias("side")))
-    dealt = dealt.select("key", "id", "n", "sketch", "component", F.explode(cells).alias("e")).select(
-        "key", "id", "n", "sketch", "component", "e.cell", "e.side")
-    spark = rows.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select(*columns, F.explode(cells).alias("e")).select(*columns, "e.cell", "e.side")
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Rows of a unit are neighbours after the sort; a unit has at most about two blocks.
     sorted_rows = dealt.repartition(width, "key", "cell").sortWithinPartitions("key", "cell")
-    return sorted_rows.mapInArrow(_mates(bands, nearest), "a long, b long").distinct()
+    return sorted_rows.mapInArrow(_by_unit(work, bands), schema).distinct()
+
+
+def distinct_buckets(rows: DataFrame) -> DataFrame:
+    """``key, size, members, main`` of the buckets with rows of several components, one key for all buckets of the same rows.
+
+    Similar sets agree in most of their pieces and meet under that many keys;
+    one meeting is enough. Rows are compared by 128 bits. ``members`` is the
+    sum of the set sizes, ``main`` the component of most rows.
+    """
+    buckets = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.mode("component").alias("main")).where("low < high")
+    return buckets.groupBy("size", "x", "y").agg(F.min(F.struct("key", "members", "main")).alias("k")).select("size", "k.*")
 
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = unpack(x.as_buffer(), "<u8"), unpack(y.as_buffer(), "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [_similar(unpack(x.as_buffer(), "<u8"), unpack(y.as_buffer(), "<u8"), percent)
+                    for x, y in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -321,6 +396,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
+_PAIRS = "a long, b long"
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return stored(pairs.select(c("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
+
+
+def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``id, tokens`` of the ids, written; of an id with several texts the set that its summary is about."""
+    ids = stored(ids.select("id"), "jaccard-wanted")
+    few = ids.count() <= BROADCAST_IDS
+    return stored(
+        texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(
+            lambda b: _sets(b, k), "id long, n long, f1 long, f2 long, tokens binary").groupBy("id").agg(
+                F.min(F.struct("n", "f1", "f2", "tokens")).alias("s")).select("id", "s.tokens"),
+        "jaccard-sets")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
                    percent: int = 85) -> DataFrame:
     """``id, n_shingles, component``: component is the smallest id reachable by links.
@@ -340,25 +437,34 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mine = hits.withColumnRenamed("owner", "id").join(firsts.select("id"), "id", "left_semi")
     rows = stored(mine.mapInArrow(_rows, "key long, id long").distinct(), "jaccard-rows")
     # Most keys repeat among equal sets only and now stand alone.
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stored(rows.join(sizes, "key").join(firsts.select("id", "n", "sketch"), "id"), "jaccard-shared")
-
-    first_pairs = stored(bucket_pairs(shared.withColumn("component", c("id")), bands, True), "jaccard-pairs")
-    ids = stored(first_pairs.select(c("a").alias("id")).union(first_pairs.select("b")).distinct(), "jaccard-ids")
-    few = ids.count() <= BROADCAST_IDS
-    sets = stored(
-        texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(
-            lambda b: _sets(b, k), "id long, tokens binary").groupBy("id").agg(F.min("tokens").alias("tokens")),
-        "jaccard-sets")
-    links = stored(verified(first_pairs, sets, percent), "jaccard-links")
-    groups = components(links, "jaccard-first")
-
-    labelled = shared.join(ids, "id", "left_semi").join(groups, "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"),
-                                        F.max("component").alias("high")).where("low < high").select("key", "size")
-    rest = bucket_pairs(labelled.drop("size").join(mixed, "key"), bands, False)
-    more = verified(rest.join(first_pairs, ["a", "b"], "left_anti"), sets, percent)
+    alone = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                    F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("size > 1")
+    once = alone.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
+    shared = stored(rows.join(once.select("key"), "key").join(firsts.select("id", "n", "sketch"), "id"), "jaccard-shared")
+
+    # First links: every set looks for mates in two of its buckets, the same two for most copies of a text.
+    turn = F.struct(F.xxhash64("key").alias("turn"), "key")
+    two = shared.groupBy("id").agg(F.min(turn).alias("a"), F.max(turn).alias("b")).select(
+        "id", F.explode(F.array_distinct(F.array("a.key", "b.key"))).alias("key"))
+    few = stored(shared.join(two, ["id", "key"]).withColumn("component", c("id")), "jaccard-few")
+    pairs = stored(in_buckets(few, distinct_buckets(few), _nearest, _PAIRS, bands), "jaccard-pairs")
+    sets = _sets_of(texts, _ids(pairs), k)
+    links = stored(verified(pairs, sets, percent), "jaccard-links")
+
+    # All buckets: rows outside a bucket's main component look for mates of other components.
+    labelled = stored(_labelled(shared, components(links, "jaccard-first")), "jaccard-labelled")
+    pairs = stored(in_buckets(labelled, distinct_buckets(labelled), _nearest, _PAIRS, bands), "jaccard-pairs")
+    ids = _ids(pairs)
+    sets = stored(sets.unionByName(_sets_of(texts, ids.join(sets, "id", "left_anti"), k)), "jaccard-all-sets")
+    links = stored(links.union(verified(pairs, sets, percent)), "jaccard-links")
+
+    # What is left: buckets that such rows are in, sets compared inside the bucket.
+    held = labelled.join(ids, "id", "left_semi").select("key").distinct()
+    left = stored(_labelled(labelled.drop("component").join(held, "key", "left_semi"), components(links, "jaccard-second")), "jaccard-left")
+    concerned = stored(in_buckets(left, distinct_buckets(left), _concerned, "id long", bands), "jaccard-concerned")
+    sets = sets.unionByName(_sets_of(texts, concerned.join(sets, "id", "left_anti"), k))
+    last = stored(left.join(concerned, "id", "left_semi").join(sets, "id"), "jaccard-last-rows")
+    more = in_buckets(last, distinct_buckets(last), _spanning, _PAIRS, bands)
     groups = stored(components(links.union(more), "jaccard-last"), "jaccard-groups")
 
     first = classes.join(groups.withColumnRenamed("id", "first"), "first", "left").select(
@@ -369,5 +475,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "tokens": pa.array(
-            [pack(s, "<u8") for s in shingle_sets(batch.column("text"), k)], pa.binary())})
+        sets = shingle_sets(batch.column("text"), k)
+        yield pa.RecordBatch.from_pydict({
+            "id": batch.column("id"), **_measures(sets), "tokens": pa.array([pack(s, "<u8") for s in sets], pa.binary())})

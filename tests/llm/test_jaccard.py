@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR, SCHEMA, prose, rows_of
 
@@ -54,3 +55,56 @@ def test_null_rows_and_empty(null_row_docs, no_docs):
 def test_query(spark, given):
     rows = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op8_jaccard_join"](spark, SF_DIR).collect()}
     assert rows == brute.similar(given, 4, 85)
+
+
+def test_an_id_with_several_texts_has_one_set(spark):
+    """Size, fingerprints and tokens are those of the same text, the first by size and fingerprint."""
+    rows, docs = [], []
+    for i in range(40):
+        shared, other = prose(100 + i, 60), prose(200 + i, 60)
+        rows += [(2 * i, shared), (2 * i, other), (2 * i + 1, shared)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *["x"] * 13) for i, t in rows], SCHEMA).repartition(4)
+    first = {}
+    for i, text in rows:
+        found = jaccard_join.shingle_sets(pa.array([text]), 4)
+        order = tuple(v[0].as_py() for v in jaccard_join._measures(found).values())
+        first[i] = min(first.get(i, (order, text)), (order, text))
+    want = brute.similar([(i, text) for i, (_, text) in first.items()], 4, 85)
+    assert {r.id: (r.n_shingles, r.component) for r in jaccard_join.similar_groups(docs).collect()} == want
+    assert 5 < sum(i != low for i, (_, low) in want.items()) < 35
+
+
+def test_two_thousand_near_copies_that_do_not_all_link(spark):
+    """Pairs around the limit in one group: links decide, and the second pass lists few of the pairs."""
+    r = random.Random(11)
+    base = prose(12, 120).split()
+    texts = []
+    for i in range(2000):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 2, 4, 5, 6])):
+            words[r.randrange(len(words))] = f"w{r.randrange(400)}"
+        texts.append(" ".join(words))
+    sets = jaccard_join.shingle_sets(pa.array(texts), 4)
+    vocabulary = np.unique(np.concatenate(sets))
+    held = np.zeros((len(sets), len(vocabulary)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, np.searchsorted(vocabulary, s)] = 1
+    common = held @ held.T
+    n = held.sum(1)
+    linked = 100 * common >= 85 * (n[:, None] + n[None, :] - common)
+    want = brute.groups([(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(linked, 1)))], range(len(texts)))
+    assert not linked.all() and len(set(want.values())) > 1
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(8)
+    assert {x.id: x.component for x in jaccard_join.similar_groups(docs).collect()} == want
+
+
+def test_sketches_grow_with_the_sets():
+    """No ceiling: the sketch of a large band has eight bits for each difference that is allowed."""
+    bands = jaccard_join.Bands(80)
+    for n in (10, 1000, 30_000, 400_000):
+        band = bands.band(n)
+        assert bands.bits(band) >= 8 * bands.difference(2 * bands.largest(band))
+    rng = np.random.default_rng(1)
+    a, b = (np.unique(mix(rng.integers(1, 1 << 40, 20_000).astype(np.uint64))) for _ in range(2))
+    bits = [np.unpackbits(np.frombuffer(jaccard_join.bit_sketch(x, bands.bits(bands.band(len(x)))), np.uint8)) for x in (a, b)]
+    assert (bits[0] ^ bits[1]).sum() > bands.difference(len(a) + len(b))

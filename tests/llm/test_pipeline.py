@@ -49,6 +49,22 @@ def test_stages_take_nulls_repeats_and_empty(spark, null_row_docs, no_docs):
     assert cp.near_duplicates(spark, null_row_docs, SF_DIR).where("doc_id IS NOT NULL").count() == 1
 
 
+def test_near_duplicates_keeps_rows_without_id_and_one_of_equal_texts(spark):
+    text, near = prose(1, 60), prose(1, 60) + " more"
+    rows = [(None, text, "b", 1), (None, text, "b", 1), (3, text, "b", 1), (3, text, "a", 2), (3, text, "a", 2), (7, prose(2, 60), "z", 3),
+            (4, text, "c", 4), (5, near, "c", 5), (6, prose(5, 60), None, None), (6, prose(5, 60), "q", None), (7, prose(8, 60), "z", 3)]
+    docs = spark.createDataFrame([(*r, "own", "own", "own", "own") for r in rows],
+                                 "doc_id long, text string, lang string, n_chars long, source string, _gone string, _text_hash string, gone string")
+    left = cp.near_duplicates(spark, docs, SF_DIR)
+    assert left.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text, r.lang, r.n_chars) for r in left.collect()), key=str)
+    # Of the equal texts of 6 the row whose JSON is the lesser one; its NULLs are left out.
+    assert kept == sorted([rows[0], rows[1], rows[3], rows[5], rows[9], rows[10]], key=str)
+    assert {r._gone for r in left.collect()} == {r._text_hash for r in left.collect()} == {"own"}
+    for stage in (cp.decontaminate, cp.secrets):
+        assert stage(spark, docs, SF_DIR).columns == docs.columns
+
+
 def test_decontamination_takes_only_the_rows_that_hold_an_item(spark):
     item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").orderBy("item_id").first().text
     bad = f"{prose(1, 30)} {item} {prose(2, 30)}"
