@@ -17,6 +17,7 @@ from pelage.llm.packing_queries import pack
 from pelage.llm.registry import table
 from pelage.llm.secret_queries import repository
 from pelage.llm.storage import stored
+from pelage.operators.prefix import unused
 
 c = F.col
 
@@ -29,20 +30,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents (five-word shingles, 0.8) the one with the smallest id stays.
 
-    Exact repeats of a row go too; rows of one id with different texts are one
-    document and stay together.
+    Rows of one id with different texts are one document and stay together; of
+    those with equal texts the first by its other columns stays. Rows with a
+    NULL id all stay.
     """
+    (gone_id,) = unused(docs, "gone")
     groups = jaccard_join.similar_groups(docs, k=5, percent=80)
-    gone = stored(groups.where("id <> component").select(c("id").alias("_gone")), "pipeline-duplicates")
-    left = docs.join(gone, c("doc_id") == c("_gone"), "left_anti")
-    return left.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    gone = stored(groups.where("id <> component").select(c("id").alias(gone_id)), "pipeline-duplicates")
+    left = docs.join(gone, c("doc_id") == c(gone_id), "left_anti")
+    # Only rows whose id repeats are compared, so that texts of all others need no shuffle.
+    again = docs.where(c("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(c("doc_id").alias(gone_id))
+    again = stored(again, "pipeline-repeats")
+    once = left.join(again, c("doc_id") == c(gone_id), "left_anti")
+    repeated = left.join(again, c("doc_id") == c(gone_id), "left_semi")
+    return once.unionByName(_first_of_equal_texts(repeated))
+
+
+def _first_of_equal_texts(rows: DataFrame) -> DataFrame:
+    others = [k for k in rows.columns if k not in ("doc_id", "text")]
+    if not others:
+        return rows.distinct()
+    (row,) = unused(rows, "row")
+    kept = rows.groupBy("doc_id", "text").agg(F.min_by(F.struct(*others), F.to_json(F.struct(*others))).alias(row))
+    return kept.select("doc_id", "text", f"{row}.*").select(*rows.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose own text holds a benchmark item go; others of the same id, also a NULL one, stay."""
+    gone_id, version = unused(docs, "gone", "gone_version")
     found = decontamination.contained_versions(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.select(c("doc").alias("_gone"), c("version").alias("_gone_version")).distinct()
-    return docs.join(gone, c("doc_id").eqNullSafe(c("_gone")) & (F.xxhash64("text") == c("_gone_version")), "left_anti")
+    gone = found.select(c("doc").alias(gone_id), c("version").alias(version)).distinct()
+    return docs.join(gone, c("doc_id").eqNullSafe(c(gone_id)) & (F.xxhash64("text") == c(version)), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
