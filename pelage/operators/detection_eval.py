@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelage.functions.geometry import iou
-from pelage.operators.prefix import range_bucket, running
+from pelage.operators.prefix import positions, running
 from pelage.session import materialize
 
 c = F.col
@@ -61,14 +61,23 @@ def _with_cells(df: DataFrame, reach: bool) -> DataFrame:
     return df.withColumn("cell", F.explode(cells))
 
 
-def match_boxes(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    """``pred_key, confidence, gt_key, iou``: the most overlapped box (IoU >= 0.5) of each prediction.
+# Factors that put an overlap (to 1e-15) and a box number into one sortable decimal of 34 digits.
+_OVERLAP, _NUMBERS = 10 ** 15, 10 ** 18
 
-    Equal ground-truth boxes of an image count as one with the smallest key. An
-    image with very many pairs is joined cell by cell, so that only boxes of
-    about the same place and size meet.
+
+def _stored(predictions: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides written once; ``gt_number`` stands for the order of the boxes' keys."""
+    asked = materialize(predictions.select("pred_key", "image_id", *_CORNERS, "confidence"), "predictions")
+    return asked, positions(truth.select("gt_key", "image_id", *_CORNERS), ["gt_key"], "gt_number")
+
+
+def _matched(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """``pred_key, confidence, gt_number, iou`` of stored sides.
+
+    Overlap and tie make one fixed-width number, so that the best box of a
+    prediction is found by hash aggregates, combined before the shuffle.
     """
-    boxes = truth.groupBy("image_id", *_CORNERS).agg(F.min("gt_key").alias("gt_key"))
+    boxes = truth.groupBy("image_id", *_CORNERS).agg(F.min("gt_number").alias("gt_number"))
     load = predictions.groupBy("image_id").agg(F.count("*").alias("_a")).join(
         truth.groupBy("image_id").agg(F.count("*").alias("_b")), "image_id")
     large = load.filter(c("_a") * c("_b") > LARGE_IMAGE_PAIRS).select("image_id", F.lit(True).alias("_large"))
@@ -78,23 +87,34 @@ def match_boxes(predictions: DataFrame, truth: DataFrame) -> DataFrame:
         return _with_cells(marked, reach)
 
     corners = F.struct(*_CORNERS)
-    left = side(predictions.select("pred_key", "confidence", "image_id", *_CORNERS), False)
-    right = side(boxes, True).select("image_id", "cell", corners.alias("g"), "gt_key")
+    left = side(predictions, False)
+    right = side(boxes, True).select("image_id", "cell", corners.alias("g"), "gt_number")
     overlaps = left.select("pred_key", "confidence", "image_id", "cell", corners.alias("p")).join(
         right, ["image_id", "cell"]).withColumn("iou", iou(c("p"), c("g"))).filter(c("iou") >= IOU_LEVELS[0])
-    best = overlaps.groupBy("pred_key").agg(
-        F.first("confidence").alias("confidence"),
-        F.min(F.struct((-c("iou")).alias("neg"), "gt_key")).alias("_m"))
-    return best.select("pred_key", "confidence", c("_m.gt_key").alias("gt_key"), (-c("_m.neg")).alias("iou"))
+    score = F.round(c("iou") * _OVERLAP).cast("decimal(16,0)") * F.lit(_NUMBERS).cast("decimal(19,0)")
+    order = score + F.lit(_NUMBERS - 1).cast("decimal(18,0)") - c("gt_number").cast("decimal(18,0)")
+    return overlaps.groupBy("pred_key").agg(
+        F.max("confidence").alias("confidence"), F.max_by("gt_number", order).alias("gt_number"), F.max_by("iou", order).alias("iou"))
+
+
+def match_boxes(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """``pred_key, confidence, gt_key, iou``: the most overlapped box (IoU >= 0.5) of each prediction.
+
+    Equal ground-truth boxes of an image count as one with the smallest key;
+    overlaps that agree to 1e-15 are a draw, which the smallest key wins. An
+    image with very many pairs is joined cell by cell, so that only boxes of
+    about the same place and size meet.
+    """
+    asked, known = _stored(predictions, truth)
+    return _matched(asked, known).join(known.select("gt_number", "gt_key"), "gt_number").select(
+        "pred_key", "confidence", "gt_key", "iou")
 
 
 def _hits(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    """``level, confidence`` of the true positives."""
-    matched = match_boxes(predictions, truth)
+    """``level, confidence`` of the true positives, of stored sides."""
     levels = F.filter(F.array(*[F.lit(v) for v in IOU_LEVELS]), lambda v: v <= c("iou"))
-    taker = F.min(F.struct((-c("confidence")).alias("neg"), "pred_key"))
-    return matched.withColumn("level", F.explode(levels)).groupBy("gt_key", "level").agg(
-        (-taker["neg"]).alias("confidence")).select("level", "confidence")
+    return _matched(predictions, truth).withColumn("level", F.explode(levels)).groupBy("gt_number", "level").agg(
+        F.max("confidence").alias("confidence")).select("level", "confidence")
 
 
 def precision_recall_curve(predictions: DataFrame, truth: DataFrame) -> DataFrame:
@@ -103,14 +123,14 @@ def precision_recall_curve(predictions: DataFrame, truth: DataFrame) -> DataFram
     The sums along the curve are taken in ranges of confidence, so a curve may
     have as many points as there are predictions.
     """
+    predictions, truth = _stored(predictions, truth)
     per_conf = predictions.groupBy("confidence").agg(F.count("*").alias("n"))
     tp = _hits(predictions, truth).groupBy("level", "confidence").agg(F.count("*").alias("tp"))
     grid = per_conf.withColumn("level", F.explode(F.array(*[F.lit(v) for v in IOU_LEVELS])))
     points = materialize(
         grid.join(tp, ["level", "confidence"], "left").fillna(0, ["tp"]).withColumn("down", -c("confidence")), "curve-points")
     total = truth.agg(F.count("*")).scalar()
-    cumulative = running(points, ["level"], range_bucket(points, "down"), [c("down")],
-                         {"_tp": ("sum", c("tp")), "_n": ("sum", c("n"))})
+    cumulative = running(points, ["level"], ["down"], {"_tp": ("sum", c("tp")), "_n": ("sum", c("n"))})
     recall = F.when(total > 0, c("_tp") / total).otherwise(F.lit(0.0))
     return cumulative.select(
         "level", "confidence", (c("_tp") / c("_n")).alias("precision"), recall.alias("recall"))
@@ -121,10 +141,8 @@ def average_precision_per_level(curve: DataFrame) -> DataFrame:
     # The curve starts at precision 1 and drops to 0 behind its last recall. Along
     # falling confidence recall rises and the envelope falls, so the point before
     # has the largest recall and the smallest envelope so far.
-    envelope = running(curve, ["level"], range_bucket(curve, "confidence"), [c("confidence")],
-                       {"p": ("max", c("precision"))}).withColumn("down", -c("confidence"))
-    bucket = range_bucket(curve.select((-c("confidence")).alias("down")), "down")
-    before = running(envelope, ["level"], bucket, [c("down")],
+    envelope = running(curve, ["level"], ["confidence"], {"p": ("max", c("precision"))})
+    before = running(envelope, ["level"], [c("confidence").desc()],
                      {"r0": ("max", c("recall")), "q0": ("max", -c("p"))}, inclusive=False)
     steps = before.select(
         "level", c("recall").alias("r"), "p", F.coalesce("r0", F.lit(0.0)).alias("r0"),

@@ -7,11 +7,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pelage.functions.vectors import l2_norm
 from pelage.operators.retrieval import _best_columns
@@ -50,13 +54,83 @@ SUBCENTER_ARCFACE = Head(angular_margin=0.5, centers=3)
 COSFACE = Head(cosine_margin=0.35)
 
 
-def class_means(items: DataFrame) -> DataFrame:
-    """One prototype per label: the mean vector (its length does not matter)."""
-    means = items.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(
-        F.avg(c("x").cast("double")).alias("x"))
-    vectors = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
-    return vectors.select(
-        c("label").alias("id"), F.lit(0).alias("center"), F.transform("v", lambda p: p["x"]).alias("embedding"))
+# Labels whose sums a task holds before it hands them on.
+HELD_LABELS = 4096
+
+
+def _codes(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number per row for its keys, and the first row of each number."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for k in keys:
+        found = batch.column(k).dictionary_encode(null_encoding="encode")
+        code = code * max(len(found.dictionary), 1) + np.asarray(found.indices)
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
+
+
+def _vector_sums(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Componentwise sums per keys, batch by batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD_LABELS):
+            part = batch.slice(at, HELD_LABELS)
+            code, first = _codes(part, keys)
+            lengths = np.asarray(pc.list_value_length(part.column("embedding")))
+            if lengths.min() != lengths.max():
+                raise ValueError("vectors must be of one length")
+            values = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(first)))
+            sums = np.add.reduceat(values[order].astype(np.float64), starts)
+            columns = {k: part.column(k).take(pa.array(first)) for k in keys}
+            yield pa.RecordBatch.from_pydict({
+                **columns, "total": pa.array(list(sums), pa.list_(pa.float64())),
+                "n": pa.array(np.bincount(code, minlength=len(first)).astype(np.int64))})
+
+
+def _added_sums(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Means of rows that are sorted by their keys; one vector is held."""
+    held: tuple | None = None
+    done: list[tuple] = []
+
+    def finished() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([k[i] for k, _, _ in done], kinds[i]) for i in range(len(keys))],
+             pa.array([total / n for _, total, n in done], pa.list_(pa.float64()))], names=[*keys, "embedding"])
+
+    kinds: list[pa.DataType] = []
+    for batch in batches:
+        kinds = [batch.schema.field(k).type for k in keys]
+        for row, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys])):
+            total, n = batch.column("total")[row].values.to_numpy(), batch.column("n")[row].as_py()
+            if held is not None and held[0] == key:
+                held = (key, held[1] + total, held[2] + n)
+                continue
+            if held is not None:
+                done.append(held)
+            held = (key, total, n)
+            if len(done) >= HELD_LABELS:
+                yield finished()
+                done = []
+    if held is not None:
+        done.append(held)
+        yield finished()
+
+
+def class_means(items: DataFrame, center: Column | None = None) -> DataFrame:
+    """``id, center, embedding``: a prototype per label (and ``center``), the mean vector; its length does not matter.
+
+    Vectors are added up in their Arrow batches, so a label with very many
+    items sends a sum per batch and no vector is cut into rows.
+    """
+    keyed = items.filter(c("label").isNotNull() & c("embedding").isNotNull()).select(
+        c("label").alias("id"), (F.lit(0) if center is None else center).cast("int").alias("center"),
+        c("embedding").cast("array<double>").alias("embedding"))
+    keys = ["id", "center"]
+    fields = [keyed.schema[k] for k in keys]
+    sums = keyed.mapInArrow(lambda b: _vector_sums(b, keys), T.StructType([
+        *fields, T.StructField("total", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())]))
+    return sums.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        lambda b: _added_sums(b, keys), T.StructType([*fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
 def _blocks(items: DataFrame, prototypes: DataFrame) -> tuple[int, int]:
@@ -96,31 +170,63 @@ def prototype_logits(items: DataFrame, prototypes: DataFrame) -> DataFrame:
     return head_logits(items, prototypes, PLAIN)
 
 
-def smoothed_cross_entropy(items: DataFrame, prototypes: DataFrame, head: Head = ARCFACE,
-                           smoothing: float = 0.1) -> DataFrame:
-    """One row: mean label-smoothed cross entropy of the head, and the number of items.
+def _merged(items: DataFrame, prototypes: DataFrame, head: Head, k: int) -> DataFrame:
+    """Per item what its logits come to: ``id, lse, mean, target, best`` (the ``k`` highest classes).
 
-    Each tile sends one partial log-sum-exp per item, so the item x class
-    matrix is never a table. Logits are bounded by the scale, so exp is safe.
+    A tile sends one row per item: the greatest logit, the sum of exponentials
+    below it, total, target, and its ``k`` best classes. Such rows add up, so
+    the item x class matrix is never a table and no exponential overflows.
     """
-    items = items.select("id", "label", "embedding").filter(c("label").isNotNull())
-    id_type = items.schema["id"].dataType.simpleString()
+    items = items.select("id", "label", "embedding")
+    id_type, class_type = (df.schema["id"].dataType.simpleString() for df in (items, prototypes))
 
     def partial(left: Block, right: Block, _diagonal: bool) -> dict:
         classes, cosine = _class_cosines(left, right)
         target = left.labels[:, None] == classes[None, :]
         logit = head.logits(cosine, target)
+        most = logit.max(axis=1)
+        best: list[list[dict]] = [[] for _ in left.ids]
+        if k:
+            for i, j, _ in zip(*_best_columns(logit, classes, k)):
+                best[i].append({"logit": float(logit[i, j]), "class": classes[j].item() if hasattr(classes[j], "item") else classes[j]})
         return {
-            "id": left.ids, "exps": np.exp(logit).sum(axis=1), "total": logit.sum(axis=1),
-            "classes": np.full(len(left.ids), len(classes)),
-            "target": np.where(target, logit, 0.0).sum(axis=1),
+            "id": left.ids, "most": most, "exps": np.exp(logit - most[:, None]).sum(axis=1), "total": logit.sum(axis=1),
+            "classes": np.full(len(left.ids), len(classes)), "best": best,
+            "target": pa.array(np.where(target, logit, 0.0).sum(axis=1), mask=~target.any(axis=1)),
         }
 
-    schema = f"id {id_type}, exps double, total double, classes long, target double"
+    schema = (f"id {id_type}, most double, exps double, total double, classes long, "
+              f"best array<struct<logit: double, class: {class_type}>>, target double")
     tiles = tile_join(items, prototypes, partial, schema, blocks=_blocks(items, prototypes))
-    per_item = tiles.groupBy("id").agg(
-        F.log(F.sum("exps")).alias("lse"), (F.sum("total") / F.sum("classes")).alias("mean"),
-        F.sum("target").alias("target"))
+    parts = tiles.groupBy("id").agg(
+        F.max("most").alias("most"), F.collect_list(F.struct("most", "exps")).alias("parts"),
+        (F.sum("total") / F.sum("classes")).alias("mean"), F.max("target").alias("target"),
+        F.flatten(F.collect_list("best")).alias("best"))
+    exps = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["exps"] * F.exp(p["most"] - c("most")))
+    columns = ["id", (c("most") + F.log(exps)).alias("lse"), "mean", "target"]
+    if not k:
+        return parts.select(*columns)
+    ordered = F.slice(F.array_sort(F.transform("best", lambda b: F.struct(
+        (-b["logit"]).alias("neg"), b["class"].alias("class")))), 1, k)
+    return parts.select(*columns, F.transform(ordered, lambda b: F.struct(
+        b["class"].alias("class"), (-b["neg"]).alias("logit"))).alias("best"))
+
+
+def head_summary(items: DataFrame, prototypes: DataFrame, head: Head, k: int = 5) -> DataFrame:
+    """``id, target, lse, loss, best``: what a training step or a report needs of an item's logits.
+
+    ``target`` is the logit of the item's own class (NULL without one), ``loss``
+    the cross entropy, ``best`` the ``k`` highest classes with their logits.
+    """
+    rows = _merged(items, prototypes, head, max(k, 1))
+    return rows.select("id", "target", "lse", (c("lse") - c("target")).alias("loss"), "best")
+
+
+def smoothed_cross_entropy(items: DataFrame, prototypes: DataFrame, head: Head = ARCFACE,
+                           smoothing: float = 0.1) -> DataFrame:
+    """One row: mean label-smoothed cross entropy of the head, and the number of items."""
+    per_item = _merged(items.filter(c("label").isNotNull()), prototypes, head, 0).withColumn(
+        "target", F.coalesce("target", F.lit(0.0)))
     loss = (c("lse") - c("target")) * (1 - smoothing) + (c("lse") - c("mean")) * smoothing
     return per_item.agg(F.avg(loss).alias("loss"), F.count("*").alias("n_items"))
 

@@ -1,10 +1,13 @@
 """Top-k search that skips what cannot matter.
 
-Gallery vectors are put into the cell of their nearest pivot. A probe first
-searches its home cell; its k-th best similarity there and the triangle
-inequality on the sphere then rule out the cells that hold nothing better. The
-result is the exact top-k: on vectors in tight groups most cells are skipped;
-where too few are, the plain tile search answers.
+Gallery vectors are put into a tree of two levels: the cell of the nearest
+pivot, and in it the part of the nearest sub-pivot. A probe first searches its
+home cell; its k-th best similarity there and the triangle inequality on the
+sphere then rule out first whole cells and then parts of the others, by the
+largest angle that any of their vectors has to its pivot. The result is the
+exact top-k. Whether the tree pays is decided before any search, on a bounded
+sample of the gallery: where its bounds would let most of the sample pass, the
+plain tile search answers.
 """
 
 from __future__ import annotations
@@ -13,52 +16,152 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelage.functions.ordering import random_key
 from pelage.operators import tiles
-from pelage.operators.retrieval import _SELF, _best_columns, topk_neighbors
-from pelage.operators.tiles import SCALE, Block, cogroup_blocks, similarity_codes, unit_vectors
+from pelage.operators.retrieval import _type, best_of_tiles, nearest_in_tile, topk_neighbors
+from pelage.operators.tiles import SCALE, cogroup_blocks, unit_vectors
 from pelage.session import materialize
 
 c = F.col
 
-# Pivots are collected and shipped with the tasks: at most this many vectors.
-MAX_PIVOTS = 512
+# Pivots, and sub-pivots of each, are collected and shipped with the tasks: at most this many vectors.
+MAX_PIVOTS, PARTS = 512, 16
+# Vectors that the decision is made on, at least; of these so many are asked.
+SAMPLE, ASKED = 1024, 256
+# Share of the sample that the bounds may let pass for the tree to pay.
+WORTHWHILE = 0.25
 # Cell of vectors without length: their similarity to anything is 0.
 _ZERO_CELL = -1
 # Covers the rounding of angles near 0.
 _ANGLE_MARGIN = 2e-7
 
 
-def _pivots(gallery: DataFrame, rows: int, seed: int) -> np.ndarray:
-    n = max(1, min(MAX_PIVOTS, math.isqrt(rows)))
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+class Tree:
+    """Pivots, their sub-pivots, and how far their vectors reach."""
+
+    def __init__(self, sample: np.ndarray, rows: int):
+        sample = sample[sample.any(axis=1)]
+        n = max(1, min(MAX_PIVOTS, math.isqrt(rows), len(sample)))
+        self.pivots, rest = sample[:n], sample[n:]
+        near = _angles(rest, self.pivots).argmin(axis=1) if len(rest) else np.zeros(0, int)
+        self.parts = [np.concatenate([p[None], rest[near == i][:PARTS - 1]]) for i, p in enumerate(self.pivots)]
+        self.reach = np.zeros(len(self.pivots))
+        self.part_reach = [np.zeros(len(x)) for x in self.parts]
+
+    def place(self, unit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(part number, angle to the pivot, angle to the sub-pivot) of each vector; the cell is the number by ``PARTS``."""
+        angle = _angles(unit, self.pivots)
+        cell = angle.argmin(axis=1)
+        outer, inner, part = angle[np.arange(len(unit)), cell], np.zeros(len(unit)), np.zeros(len(unit), np.int64)
+        for i in np.unique(cell):
+            rows = np.flatnonzero(cell == i)
+            own = _angles(unit[rows], self.parts[i])
+            part[rows] = own.argmin(axis=1)
+            inner[rows] = own.min(axis=1)
+        number = cell * PARTS + part
+        number[~unit.any(axis=1)] = _ZERO_CELL
+        return number, outer, inner
+
+    def reaching(self, number: np.ndarray, outer: np.ndarray, inner: np.ndarray) -> None:
+        """Takes over the largest angles of some vectors."""
+        for x, a, b in zip(number.tolist(), outer.tolist(), inner.tolist()):
+            if x != _ZERO_CELL:
+                cell, part = divmod(x, PARTS)
+                self.reach[cell] = max(self.reach[cell], a)
+                self.part_reach[cell][part] = max(self.part_reach[cell][part], b)
+
+    def visits(self, unit: np.ndarray, kth: np.ndarray, home: np.ndarray, filled: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part) that may hold something as good as ``kth`` (in codes), outside each row's home cell."""
+        def bound(angle: np.ndarray, reach: np.ndarray) -> np.ndarray:
+            nearest = np.maximum(0.0, angle - reach - _ANGLE_MARGIN)
+            return np.ceil(np.cos(nearest) * SCALE).astype(np.int64) + 1
+
+        empty = ~unit.any(axis=1)
+        upper = bound(_angles(unit, self.pivots), self.reach)
+        upper[empty] = 0
+        rows, parts = [], []
+        for cell in np.flatnonzero((upper >= kth[:, None]).any(axis=0)):
+            asked = np.flatnonzero((upper[:, cell] >= kth) & (home != cell))
+            if not len(asked):
+                continue
+            fine = bound(_angles(unit[asked], self.parts[cell]), self.part_reach[cell])
+            fine[empty[asked]] = 0
+            r, part = np.nonzero(fine >= kth[asked][:, None])
+            rows.append(asked[r])
+            parts.append(cell * PARTS + part)
+        if _ZERO_CELL in filled:
+            asked = np.flatnonzero((kth <= 0) & (home != _ZERO_CELL))
+            rows.append(asked)
+            parts.append(np.full(len(asked), _ZERO_CELL))
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row, part = np.concatenate(rows), np.concatenate(parts)
+        keep = np.isin(part, np.array(sorted(filled)))
+        return row[keep], part[keep]
+
+
+def _sample(gallery: DataFrame, rows: int, seed: int) -> np.ndarray:
+    n = max(SAMPLE, min(MAX_PIVOTS, math.isqrt(max(rows, 1))) * (1 + PARTS))
     drawn = gallery.orderBy(random_key(seed, "id"), "id").limit(n).select("embedding").collect()
     vectors = np.array([r[0] for r in drawn], dtype=np.float64)
+    if not len(vectors):
+        return np.zeros((0, 1))
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return vectors / np.where(norms > 0, norms, 1.0)
 
 
-def _with_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot and the angle to it."""
-    id_type, vector_type = (df.schema[k].dataType.simpleString() for k in ("id", "embedding"))
+def passing_share(sample: np.ndarray, rows: int, k: int) -> float:
+    """Share of the gallery that the bounds let pass, measured on the sample.
+
+    Some of it ask the rest. The k-th best of the whole gallery is about the
+    (k x sample / gallery)-th of the sample.
+    """
+    asked, rest = sample[:ASKED], sample[ASKED:]
+    if len(rest) < 2 * ASKED:
+        asked = rest = sample
+    tree = Tree(rest, rows)
+    if not len(tree.pivots):
+        return 1.0
+    placed = tree.place(rest)
+    tree.reaching(*placed)
+    codes = np.rint(asked @ rest.T * SCALE).astype(np.int64)
+    if rest is asked:
+        np.fill_diagonal(codes, -2 * SCALE)
+    place = min(codes.shape[1], max(1, math.ceil(k * len(rest) / max(rows, 1))))
+    kth = np.partition(codes, codes.shape[1] - place, axis=1)[:, codes.shape[1] - place]
+    own = tree.place(asked)[0]
+    home = np.where(own == _ZERO_CELL, _ZERO_CELL, own // PARTS)
+    numbers, counts = np.unique(placed[0], return_counts=True)
+    size = dict(zip(numbers.tolist(), counts.tolist()))
+    _, parts = tree.visits(asked, kth, home, set(size))
+    cells = np.where(placed[0] == _ZERO_CELL, _ZERO_CELL, placed[0] // PARTS)
+    at_home = sum((cells == h).sum() for h in home)
+    return float((at_home + sum(size[p] for p in parts.tolist())) / (len(asked) * len(rest)))
+
+
+def _with_cells(df: DataFrame, tree: Tree) -> DataFrame:
+    """Adds the part of each vector and its angles."""
+    id_type, vector_type = (_type(df, k) for k in ("id", "embedding"))
 
     def assign(batches):
         for batch in batches:
             unit = unit_vectors(pa.chunked_array([batch.column("embedding")]))
             if not len(unit):
                 continue
-            cosines = unit @ pivots.T
-            cell = cosines.argmax(axis=1)
-            angle = np.arccos(np.clip(cosines[np.arange(len(cell)), cell], -1, 1))
-            cell[~unit.any(axis=1)] = _ZERO_CELL
+            number, outer, inner = tree.place(unit)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("embedding"), pa.array(cell, pa.int32()), pa.array(angle)],
-                ["id", "embedding", "cell", "angle"])
+                [batch.column("id"), batch.column("embedding"), pa.array(number, pa.int32()), pa.array(outer), pa.array(inner)],
+                ["id", "embedding", "part", "outer", "inner"])
 
-    return df.select("id", "embedding").mapInArrow(
-        assign, f"id {id_type}, embedding {vector_type}, cell int, angle double")
+    return df.filter(c("embedding").isNotNull()).select("id", "embedding").mapInArrow(
+        assign, f"id {id_type}, embedding {vector_type}, part int, outer double, inner double")
 
 
 def _search(visits: DataFrame, gallery: DataFrame, cells: dict[int, int], k: int) -> DataFrame:
@@ -68,8 +171,6 @@ def _search(visits: DataFrame, gallery: DataFrame, cells: dict[int, int], k: int
     size = tiles.BLOCK_ROWS
     rows = [(cell, -(-cells[cell] // size), -(-n // size)) for cell, n in load.items() if cell in cells]
     plan = F.broadcast(spark.createDataFrame(rows, "cell int, subs int, probe_blocks int"))  # one row per cell
-    id_type = visits.schema["id"].dataType.simpleString()
-    gallery_type = gallery.schema["id"].dataType.simpleString()
 
     def part(blocks: str):
         return F.pmod(F.xxhash64("id"), c(blocks)).cast("int")
@@ -80,82 +181,66 @@ def _search(visits: DataFrame, gallery: DataFrame, cells: dict[int, int], k: int
     left = visits.join(plan, "cell").withColumn("_p", part("probe_blocks")).withColumn("_s", every("subs"))
     right = gallery.join(plan, "cell").withColumn("_s", part("subs")).withColumn("_p", every("probe_blocks"))
 
-    def best(probe: Block, found: Block, _diagonal: bool) -> dict:
-        codes = similarity_codes(probe, found)
-        codes[probe.ids[:, None] == found.ids[None, :]] = _SELF
-        r, col, _ = _best_columns(codes, found.ids, k)
-        real = codes[r, col] != _SELF
-        r, col = r[real], col[real]
-        return {"probe_id": probe.ids[r], "gallery_id": found.ids[col], "code": codes[r, col]}
-
+    best, schema = nearest_in_tile(visits, gallery, k)
     keys = ["cell", "_s", "_p"]
     names = ["id", "embedding", *keys]
     return cogroup_blocks(
-        left.select(*names), right.select(*names), keys, max(1, sum(s * p for _, s, p in rows)), best,
-        f"probe_id {id_type}, gallery_id {gallery_type}, code long")
-
-
-def _top(candidates: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("probe_id").orderBy(c("code").desc(), c("gallery_id"))
-    return candidates.withColumn("rank", F.row_number().over(w).cast("long")).filter(c("rank") <= k)
+        left.select(*names), right.select(*names), keys, max(1, sum(s * p for _, s, p in rows)), best, schema)
 
 
 def topk_neighbors_pruned(probes: DataFrame, k: int = 5, gallery: DataFrame | None = None,
                           seed: int = 42) -> DataFrame:
     """Same rows as ``topk_neighbors``: ``probe_id, rank, gallery_id, similarity``."""
     own = gallery is None
-    gallery = (probes if own else gallery).select("id", "embedding")
-    pivots = _pivots(gallery, gallery.count(), seed)
-    placed = materialize(_with_cells(gallery, pivots), "pruned-gallery")
-    asked = placed if own else materialize(_with_cells(probes, pivots), "pruned-probes")
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()
-    cells = {r["cell"]: r["n"] for r in stats}
-    radius = {r["cell"]: r["radius"] for r in stats}
-
-    home = materialize(_top(_search(asked, placed, cells, k), k).drop("rank"), "pruned-home")
-    reached = home.groupBy(c("probe_id").alias("id")).agg(
-        F.count("*").alias("n_found"), F.min("code").alias("kth"))
+    known = (probes if own else gallery).select("id", "embedding").filter(c("embedding").isNotNull())
+    rows = known.count()
+    sample = _sample(known, rows, seed)
+    if not rows or passing_share(sample, rows, k) > WORTHWHILE:
+        return topk_neighbors(probes.select("id", "embedding"), k, None if own else known)
+    return by_tree(probes, k, None if own else known, Tree(sample, rows))
+
+
+def by_tree(probes: DataFrame, k: int, gallery: DataFrame | None, tree: Tree) -> DataFrame:
+    """The search by cells and parts, whether it pays or not."""
+    own = gallery is None
+    placed = materialize(_with_cells(probes if own else gallery, tree), "pruned-gallery")
+    asked = placed if own else materialize(_with_cells(probes, tree), "pruned-probes")
+    # At most MAX_PIVOTS * PARTS + 1 rows.
+    stats = placed.groupBy("part").agg(
+        F.count("*").alias("n"), F.max("outer").alias("outer"), F.max("inner").alias("inner")).collect()
+    parts = {r["part"]: r["n"] for r in stats}
+    tree.reaching(*(np.array([r[x] for r in stats]) for x in ("part", "outer", "inner")))
+    cells: dict[int, int] = {}
+    for part, n in parts.items():
+        cell = part if part == _ZERO_CELL else part // PARTS
+        cells[cell] = cells.get(cell, 0) + n
+
+    def at(df: DataFrame, name: str) -> DataFrame:
+        cell = F.when(c("part") == _ZERO_CELL, _ZERO_CELL).otherwise(F.floor(c("part") / PARTS)).cast("int")
+        return df.select("id", "embedding", (cell if name == "cell" else c("part")).alias("cell"))
+
+    home = materialize(
+        best_of_tiles(_search(at(asked, "cell"), at(placed, "cell"), cells, k), k).select(
+            "probe_id", "gallery_id", F.round(c("similarity") * SCALE).cast("long").alias("code")), "pruned-home")
+    reached = home.groupBy(c("probe_id").alias("id")).agg(F.count("*").alias("n_found"), F.min("code").alias("kth"))
     kth = F.when(c("n_found") >= k, c("kth")).otherwise(F.lit(-2 * SCALE))
-    bounded = asked.join(reached, "id", "left").select(
+    bounded = at(asked, "cell").join(reached, "id", "left").select(
         "id", "embedding", "cell", F.coalesce(kth, F.lit(-2 * SCALE)).alias("kth"))
-
-    known = np.array(sorted(cells))
-    reach = np.array([radius[x] for x in known])
-    id_type, vector_type = (asked.schema[x].dataType.simpleString() for x in ("id", "embedding"))
-
-    def worth_visiting(batch) -> tuple[np.ndarray, np.ndarray]:
-        unit = unit_vectors(pa.chunked_array([batch.column("embedding")]))
-        if not len(unit):
-            return np.empty(0, int), np.empty(0, int)
-        angle = np.arccos(np.clip(unit @ pivots[np.maximum(known, 0)].T, -1, 1))
-        nearest = np.maximum(0.0, angle - reach - _ANGLE_MARGIN)
-        bound = np.ceil(np.cos(nearest) * SCALE).astype(np.int64) + 1
-        bound[:, known == _ZERO_CELL] = 0
-        bound[~unit.any(axis=1)] = 0
-        home_cell = batch.column("cell").to_numpy()
-        visit = (bound >= batch.column("kth").to_numpy()[:, None]) & (known[None, :] != home_cell[:, None])
-        return np.nonzero(visit)
-
-    def counted(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(worth_visiting(batch)[0])], pa.int64())], ["n"])
+    filled = set(parts)
+    id_type, vector_type = (_type(asked, x) for x in ("id", "embedding"))
 
     def candidates(batches):
         for batch in batches:
-            row, cell = worth_visiting(batch)
+            unit = unit_vectors(pa.chunked_array([batch.column("embedding")]))
+            if not len(unit):
+                continue
+            row, part = tree.visits(unit, batch.column("kth").to_numpy(), batch.column("cell").to_numpy(), filled)
             taken = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(taken), batch.column("embedding").take(taken),
-                 pa.array(known[cell], pa.int32())], ["id", "embedding", "cell"])
-
-    # A visit moves one vector. Where more would move than in the plain search, the
-    # vectors have no structure to use and the plain search is the faster one.
-    n_visits = bounded.mapInArrow(counted, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = sum(cells.values())
-    if n_visits > asked.count() * max(1, tiles.block_count(rows)):
-        plain = topk_neighbors(probes.select("id", "embedding"), k, None if own else gallery)
-        return plain.select("probe_id", "rank", "gallery_id", "similarity")
+                [batch.column("id").take(taken), batch.column("embedding").take(taken), pa.array(part, pa.int32())],
+                ["id", "embedding", "cell"])
+
     visits = materialize(
         bounded.mapInArrow(candidates, f"id {id_type}, embedding {vector_type}, cell int"), "pruned-visits")
-    ranked = _top(home.unionByName(_search(visits, placed, cells, k)), k)
-    return ranked.select("probe_id", "rank", "gallery_id", (c("code") / SCALE).alias("similarity"))
+    found = _search(visits, at(placed, "part"), parts, k).select("probe_id", "gallery_id", "code")
+    return best_of_tiles(home.unionByName(found), k)

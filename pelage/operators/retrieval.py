@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelage.operators.prefix import positions, sums_along
+from pelage.operators.prefix import positions, running
 from pelage.operators.tiles import (
     BLOCK_ROWS, SCALE, SPREAD, Block, block_count, block_of, group_tiles, similarity_codes, streamed_tiles, tile_join, unit_vectors,
 )
@@ -56,20 +56,8 @@ def _best_columns(codes: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarra
 _SELF = np.iinfo(np.int64).min
 
 
-def topk_neighbors(probes: DataFrame, k: int = 5, gallery: DataFrame | None = None) -> DataFrame:
-    """The k most similar gallery items per probe, self excluded.
-
-    Returns ``probe_id, rank, gallery_id, similarity`` (plus ``is_match`` when
-    both sides carry ``label``). Each tile keeps its own k best, a window
-    merges them.
-    """
-    with_label = "label" in probes.columns and (gallery is None or "label" in gallery.columns)
-    names = ["id", "embedding"] + (["label"] if with_label else [])
-    probes = probes.select(*names)
-    gallery = None if gallery is None else gallery.select(*names)
-    p, g, blocks = _sides(probes, gallery)
-    id_type = _type(p, "id")
-
+def nearest_in_tile(probes: DataFrame, gallery: DataFrame, k: int, with_label: bool = False):
+    """Tile function that returns each probe's ``k`` best of a gallery block, and its schema."""
     def best(left: Block, right: Block, _diagonal: bool) -> dict:
         codes = similarity_codes(left, right)
         codes[left.ids[:, None] == right.ids[None, :]] = _SELF
@@ -82,12 +70,32 @@ def topk_neighbors(probes: DataFrame, k: int = 5, gallery: DataFrame | None = No
             out["is_match"] = np.asarray(same, dtype=bool)
         return out
 
-    schema = f"probe_id {id_type}, gallery_id {id_type}, code long" + (", is_match boolean" if with_label else "")
-    partial = tile_join(p, g, best, schema, blocks=blocks)
+    schema = f"probe_id {_type(probes, 'id')}, gallery_id {_type(gallery, 'id')}, code long"
+    return best, schema + (", is_match boolean" if with_label else "")
+
+
+def best_of_tiles(partial: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of what the tiles returned, ranked."""
     w = Window.partitionBy("probe_id").orderBy(c("code").desc(), c("gallery_id"))
     ranked = partial.withColumn("rank", F.row_number().over(w).cast("long")).filter(c("rank") <= k)
     cols = ["probe_id", "rank", "gallery_id", (c("code") / SCALE).alias("similarity")]
-    return ranked.select(*cols, *(["is_match"] if with_label else []))
+    return ranked.select(*cols, *[x for x in partial.columns if x == "is_match"])
+
+
+def topk_neighbors(probes: DataFrame, k: int = 5, gallery: DataFrame | None = None) -> DataFrame:
+    """The k most similar gallery items per probe, self excluded.
+
+    Returns ``probe_id, rank, gallery_id, similarity`` (plus ``is_match`` when
+    both sides carry ``label``). Each tile keeps its own k best, a window
+    merges them.
+    """
+    with_label = "label" in probes.columns and (gallery is None or "label" in gallery.columns)
+    names = ["id", "embedding"] + (["label"] if with_label else [])
+    probes = probes.select(*names)
+    gallery = None if gallery is None else gallery.select(*names)
+    p, g, blocks = _sides(probes, gallery)
+    best, schema = nearest_in_tile(p, g, k, with_label)
+    return best_of_tiles(tile_join(p, g, best, schema, blocks=blocks), k)
 
 
 def rank_gallery(probes: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
@@ -303,7 +311,8 @@ def average_precision(items: DataFrame, exclude_self: bool = False) -> DataFrame
     n = c("n")
     sizes = placed.groupBy("label").agg(F.count("*").alias("n"), F.min("place").alias("group")).withColumns({
         "chunks": F.ceil(n / _LEVELS_PER_BLOCK), "weight": F.greatest(F.ceil(n / F.ceil(n / _LEVELS_PER_BLOCK)), F.lit(least))})
-    labels = materialize(sums_along(sizes, ["label"], {"base": F.when(n > 1, n * c("chunks") * c("weight")).otherwise(0)}), "labels")
+    labels = materialize(running(
+        sizes, [], ["label"], {"base": ("sum", F.when(n > 1, n * c("chunks") * c("weight")).otherwise(0))}, inclusive=False), "labels")
     seen = labels.agg(F.sum("n").alias("rows"), F.max("weight").alias("weight"),
                       F.max(F.when(n > 1, c("base") + n * c("chunks") * c("weight"))).alias("total")).first()
     if not seen["total"]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelage.functions.ordering import random_key
-from pelage.operators.prefix import hash_bucket, range_bucket, row_numbers, running
+from pelage.operators.prefix import positions, row_numbers, running, unused
 from pelage.session import materialize
 
 c = F.col
@@ -18,10 +18,7 @@ c = F.col
 
 def dense_label_ids(images: DataFrame, identity: str = "identity") -> DataFrame:
     """``identity, label``: 0-based position of each identity in sorted order."""
-    names = materialize(images.select(identity).filter(c(identity).isNotNull()).distinct(), "identities")
-    numbered = running(
-        names, [], range_bucket(names, identity), [c(identity)], {"label": ("sum", F.lit(1).cast("long"))})
-    return numbered.withColumn("label", c("label") - 1)
+    return positions(images.select(identity).filter(c(identity).isNotNull()).distinct(), [identity], "label")
 
 
 def filter_min_per_identity(images: DataFrame, minimum: int = 5, identity: str = "identity") -> DataFrame:
@@ -43,10 +40,8 @@ def identity_split(
     sizes = materialize(
         images.groupBy(identity).agg(F.count("*").alias("n_images")).filter(c("n_images") >= minimum),
         "identity-sizes")
-    key = random_key(seed, identity)
     before = running(
-        sizes.withColumn("_key", key), [], hash_bucket(c("_key")), [c("_key"), c(identity)],
-        {"_before": ("sum", c("n_images"))}, inclusive=False)
+        sizes, [], [random_key(seed, identity), c(identity)], {"_before": ("sum", c("n_images"))}, inclusive=False)
     total = sizes.agg(F.sum("n_images")).scalar()
     test, val = F.floor(total * F.lit(test_share)), F.floor(total * F.lit(val_share))
     test_filled = before.filter(c("_before") < test).agg(F.coalesce(F.sum("n_images"), F.lit(0))).scalar()
@@ -62,19 +57,16 @@ def image_split(
     images: DataFrame, share: float = 0.9, seed: int = 42, key: str = "image_id", source: str = "source",
 ) -> DataFrame:
     """Adds ``split``: per source, the first int(share x n) images in hash order are train."""
-    sizes = images.groupBy(source).agg(F.floor(F.count("*") * F.lit(share)).alias("_train"))
-    numbered = row_numbers(images, [source], random_key(seed, key), [key], "_rn")
-    split = F.when(c("_rn") <= c("_train"), "train").otherwise("val")
-    return numbered.join(sizes, source).withColumn("split", split).drop("_rn", "_train")
+    number, train = unused(images, "_rn", "_train")
+    sizes = images.groupBy(source).agg(F.floor(F.count("*") * F.lit(share)).alias(train))
+    numbered = row_numbers(images, [source], random_key(seed, key), [key], number)
+    split = F.when(c(number) <= c(train), "train").otherwise("val")
+    return numbered.join(sizes, source).withColumn("split", split).drop(number, train)
 
 
 def sequential_ids(annotations: DataFrame, key: str, split: str = "split", name: str = "annotation_id") -> DataFrame:
     """Contiguous 0-based ids, all of train before val; hash order of ``key`` within."""
-    order = F.when(c(split) == "train", 0).otherwise(1)
-    keyed = annotations.withColumn("_side", order).withColumn("_key", random_key(0, key))
-    bucket = c("_side") * 65536 + hash_bucket(c("_key"))
-    numbered = running(keyed, [], bucket, [c("_key"), c(key)], {name: ("sum", F.lit(1).cast("long"))})
-    return numbered.withColumn(name, c(name) - 1).drop("_side", "_key")
+    return positions(annotations, [F.when(c(split) == "train", 0).otherwise(1), random_key(0, key), key], name)
 
 
 # Rows that one task may sort to settle the last places of a sample, and windows up to which Spark limits early.
@@ -114,22 +106,24 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def _first_per(df: DataFrame, identity: str, order: list[Column], n: int) -> DataFrame:
+    (number,) = unused(df, "_rn")
     w = Window.partitionBy(identity).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= n).drop("_rn")
+    return df.withColumn(number, F.row_number().over(w)).filter(c(number) <= n).drop(number)
 
 
 def limit_per_identity(df: DataFrame, n: int, position: str, identity: str = "identity") -> DataFrame:
     """The first n rows of each identity in input order; for large n a large identity is numbered in parts."""
     if n > GROUP_LIMIT:
-        one = {"_rn": ("sum", F.lit(1).cast("long"))}
-        return running(df, [identity], range_bucket(df, position), [c(position)], one).filter(c("_rn") <= n).drop("_rn")
+        (number,) = unused(df, "_rn")
+        return row_numbers(df, [identity], c(position), [], number).filter(c(number) <= n).drop(number)
     return _first_per(df, identity, [c(position)], n)
 
 
 def sample_per_identity(df: DataFrame, n: int, key: str, seed: int = 42, identity: str = "identity") -> DataFrame:
     """n rows of each identity in hash order; for large n a large identity is numbered in parts."""
     if n > GROUP_LIMIT:
-        return row_numbers(df, [identity], random_key(seed, key), [key], "_rn").filter(c("_rn") <= n).drop("_rn")
+        (number,) = unused(df, "_rn")
+        return row_numbers(df, [identity], random_key(seed, key), [key], number).filter(c(number) <= n).drop(number)
     return _first_per(df, identity, [random_key(seed, key), c(key)], n)
 
 

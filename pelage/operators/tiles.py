@@ -185,6 +185,18 @@ def cogroup_blocks(
     return side(left).cogroup(side(_fresh(right))).applyInArrow(run, schema_type)
 
 
+def placed_join(
+    left: DataFrame, right: DataFrame, key: str, fn: TileFn, schema: str, vector: str | None = "embedding",
+) -> DataFrame:
+    """The rows of both sides with the same ``key`` as a tile each; a side that is stored in buckets of the key stays there."""
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _arrow(_meet(fn, a, b, vector, False), arrow)
+
+    return left.groupBy(key).cogroup(_fresh(right).groupBy(key)).applyInArrow(run, T._parse_datatype_string(schema))
+
+
 def tile_join(
     probes: DataFrame, gallery: DataFrame, fn: TileFn, schema: str, *,
     blocks: tuple[int, int], vector: str | None = "embedding",

@@ -99,6 +99,23 @@ def ann_topk(t):
     return topk_neighbors_pruned(t.items, 5)
 
 
+# Tight groups: a unit vector per label and id class, the given vector as small noise.
+_GROUPED = """e AS (SELECT vec_id AS id, label, list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * 0.02e0
+  + CASE WHEN i = 1 + vec_id % 48 THEN 1.0e0 ELSE 0.0e0 END) AS v FROM embeddings)"""
+
+
+def grouped(t):
+    noise = F.transform(c("embedding"), lambda x, i: x.cast("double") * 0.02 + F.when(i == c("id") % 48, 1.0).otherwise(0.0))
+    return t.items.withColumn("embedding", noise)
+
+
+@query("ann_topk_grouped", with_views("""
+SELECT a AS probe_id, rn AS rank, b AS gallery_id, s AS similarity FROM ranked WHERE rn <= 5""", _GROUPED, SIMS, RANKED))
+def ann_topk_grouped(t):
+    """The same over vectors in tight groups, where the cells are used."""
+    return topk_neighbors_pruned(grouped(t), 5)
+
+
 _RANK_GALLERY = """
 SELECT p.id AS probe_id, p.has_pred AS has_animal, m.rn AS rank, m.b AS gallery_id, m.s AS similarity
 FROM fx_probes p LEFT JOIN (SELECT * FROM granked WHERE rn <= 10) m ON p.id = m.a"""
@@ -393,9 +410,7 @@ def _logits_sql(target: str, scale: str, centers: int = 1) -> str:
 def _prototypes(t, centers: int = 1):
     if centers == 1:
         return H.class_means(t.items)
-    parts = t.items.withColumn("label", F.struct("label", (c("id") % centers).alias("center")))
-    return H.class_means(parts).select(
-        c("id.label").alias("id"), c("id.center").alias("center"), "embedding")
+    return H.class_means(t.items, c("id") % centers)
 
 
 def _logits(t, head):
@@ -422,6 +437,42 @@ def cosface_logits(t):
     return _logits(t, H.COSFACE)
 
 
+def _summary_sql(target: str, scale: str, centers: int = 1) -> str:
+    """Target, log-sum-exp, loss and the three best classes of each item, a row per class."""
+    return with_views(f"""SELECT id, round(max(z) FILTER (own) OVER w, 6) AS target, round(ln(sum(exp(z)) OVER w), 6) AS lse,
+  round(ln(sum(exp(z)) OVER w) - max(z) FILTER (own) OVER w, 6) AS loss, class, round(z, 6) AS logit, place AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY z DESC, class) AS place FROM (
+  SELECT id, class, label = class AS own, (CASE WHEN label = class THEN {target} ELSE cs END) * {scale} AS z FROM cosines) a) b
+WINDOW w AS (PARTITION BY id) QUALIFY place <= 3""", VECTORS, _prototypes_sql(centers))
+
+
+def _summary(t, head):
+    rows = H.head_summary(t.items, _prototypes(t, head.centers), head, 3)
+    numbers = [F.round(k, 6).alias(k) for k in ("target", "lse", "loss")]
+    return rows.select("id", *numbers, F.posexplode("best").alias("rank", "b")).select(
+        "id", "target", "lse", "loss", c("b.class").alias("class"), F.round("b.logit", 6).alias("logit"), (c("rank") + 1).cast("long").alias("rank"))
+
+
+@query("prototype_summary", _summary_sql("cs", "1"))
+def prototype_summary(t):
+    return _summary(t, H.PLAIN)
+
+
+@query("arcface_summary", _summary_sql(_arc("cs"), "30"))
+def arcface_summary(t):
+    return _summary(t, H.ARCFACE)
+
+
+@query("subcenter_arcface_summary", _summary_sql(_arc("cs"), "30", 3))
+def subcenter_arcface_summary(t):
+    return _summary(t, H.SUBCENTER_ARCFACE)
+
+
+@query("cosface_summary", _summary_sql("cs - 0.35e0", "30"))
+def cosface_summary(t):
+    return _summary(t, H.COSFACE)
+
+
 @query("smoothed_cross_entropy", with_views(f"""
 SELECT round(avg(0.9e0 * (lse - target) + 0.1e0 * (lse - mean)), 6) AS loss, count(*) AS n_items FROM (
   SELECT id, ln(sum(exp(z))) AS lse, avg(z) AS mean, sum(CASE WHEN label = class THEN z ELSE 0 END) AS target FROM (

@@ -56,15 +56,56 @@ def test_sequential_ids_are_contiguous_train_first(spark):
     assert [r.split for r in rows] == ["train"] * 200 + ["val"] * 100
 
 
-def test_running_matches_plain_window(spark):
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_running_matches_plain_window(spark, monkeypatch, inclusive, coalesce):
+    """Keys that cross sorted partitions and batches, a NULL key, columns named as helpers."""
+    monkeypatch.setattr(P, "PARTS_PER_BLOCK", 2)
     rng = np.random.default_rng(1)
-    rows = [(int(k), i, int(v)) for i, (k, v) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(-5, 50, 200)))]
-    df = spark.createDataFrame(rows, "k int, i int, v int")
-    got = P.running(df, ["k"], F.floor(F.col("i") / 16), [F.col("i")],
-                    {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, inclusive=False).collect()
-    for r in got:
-        before = [v for k, i, v in rows if k == r.k and i < r.i]
-        assert r.s == sum(before) and r.m == (max(before) if before else None)
+    rows = [(None if k == 3 else int(k), i, int(v), "own") for i, (k, v) in enumerate(zip(rng.integers(0, 4, 2000), rng.integers(-5, 50, 2000)))]
+    df = spark.createDataFrame(rows, "k int, i int, v int, _part string").repartition(5)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": coalesce, "spark.sql.execution.arrow.maxRecordsPerBatch": "37"}
+    before = {x: spark.conf.get(x) for x in settings}
+    try:
+        for x, y in settings.items():
+            spark.conf.set(x, y)
+        keyed = P.running(df, ["k"], ["i"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, inclusive).collect()
+        whole = P.running(df, [], [F.col("i").desc()], {"s": ("sum", F.col("v")), "n": ("sum", F.lit(1))}, inclusive).collect()
+        numbers = P.row_numbers(df, ["k"], -F.col("i"), [], "number").collect()
+    finally:
+        for x, y in before.items():
+            spark.conf.set(x, y)
+    assert len(keyed) == len(whole) == len(numbers) == 2000
+    values = {}
+    for k, i, v, _ in rows:
+        values.setdefault(k, []).append((i, v))
+    for r in keyed:
+        mine = [v for i, v in values[r.k] if i < r.i or inclusive and i == r.i]
+        assert r._part == "own" and r.s == sum(mine) and r.m == (max(mine) if mine else None)
+    back = np.concatenate([[0], np.cumsum([v for _, _, v, _ in reversed(rows)])])
+    for r in whole:
+        n = 1999 - r.i + inclusive
+        assert (r.n, r.s) == (n, back[n])
+    for r in numbers:
+        assert r.number == sum(i >= r.i for i, _ in values[r.k])
+
+
+def test_partitions_of_a_sort_are_bounded_for_a_hot_key(spark, monkeypatch):
+    """One key with most rows is numbered over many sorted partitions."""
+    steps, write = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, name: steps.append(write(df, name)) or steps[-1])
+    rows = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), "id")
+    before = {x: spark.conf.get(x, None) for x in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        written = P.running(rows, ["k"], ["id"], {"n": ("sum", F.lit(1))})
+        parts = steps[0].groupBy("_part").count().collect()
+        assert len(parts) >= 12 and max(r["count"] for r in parts) < 3 * 40_000 / 16
+        assert written.filter("k = -1").agg(F.max("n")).first()[0] == 36_000
+    finally:
+        for x, y in before.items():
+            spark.conf.set(x, y)
 
 
 def test_caps_and_union_of_evaluation_set(spark):

@@ -10,6 +10,7 @@ from pelage.operators import evaluation as E
 from pelage.operators import heads as H
 from pelage.operators import negatives as N
 from pelage.operators import prefix as P
+from pelage.operators import pruned
 from pelage.operators import retrieval as R
 from pelage.operators import tiles
 from pelage.operators import verification as V
@@ -304,13 +305,14 @@ def test_positions_and_sums_along_a_sort(spark, monkeypatch):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         placed = P.positions(rows, [F.col("v").desc()], "place").collect()
-        sums = P.sums_along(rows, ["v"], {"s": F.col("w"), "n": F.lit(1)}).collect()
+        sums = P.running(rows, [], ["v"], {"s": ("sum", F.col("w")), "n": ("sum", F.lit(1))}, inclusive=False).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert all(x.place == 4999 - x.v and x._at == "x" for x in placed) and len(placed) == 5000
     want = np.concatenate([[0], np.cumsum(np.arange(5000) % 7)])
     assert all((x.s, x.n, x._part) == (want[x.v], x.v, 1) for x in sums) and len(sums) == 5000
-    assert P.positions(rows.limit(0), ["v"]).count() == 0 and P.sums_along(rows.limit(0), ["v"], {"s": F.lit(1)}).count() == 0
+    assert P.positions(rows.limit(0), ["v"]).count() == 0
+    assert P.running(rows.limit(0), [], ["v"], {"s": ("sum", F.lit(1))}).count() == 0
 
 
 def test_sampled_tar_edge_cases(spark):
@@ -437,3 +439,62 @@ def test_copies_per_row_are_bounded():
 def test_tile_numbers_beyond_32_bits(spark):
     far = spark.createDataFrame([(50_000 * 50_000 - 1,)], "_t long")
     assert 0 <= far.select(tiles.partition_of(tiles.MAX_TASKS)).first()[0] < tiles.MAX_TASKS
+
+
+def test_class_means_are_sums_of_batches(spark, monkeypatch):
+    """Labels of any type, batches smaller than a label, centres, rows without a label or a vector."""
+    monkeypatch.setattr(H, "HELD_LABELS", 7)
+    ids, label, vectors = make(n=120)
+    rows = [(int(i), f"dog {y}", [float(x) for x in v]) for i, y, v in zip(ids, label, vectors)]
+    items = spark.createDataFrame([*rows, (999, None, [1.0] * 6), (998, "dog 1", None)], "id long, label string, embedding array<float>").repartition(4)
+    means = {r.id: r.embedding for r in H.class_means(items).collect()}
+    assert set(means) == {f"dog {y}" for y in set(label.tolist())}
+    for name, mean in means.items():
+        mine = vectors[np.array([f"dog {y}" == name for y in label])].astype(float)
+        assert np.allclose(mean, mine.mean(0), atol=1e-12)
+    parts = H.class_means(items, F.col("id") % 3).collect()
+    assert len(parts) == len({(y, int(i) % 3) for i, y in zip(ids, label)})
+    for r in parts:
+        mine = vectors[[f"dog {y}" == r.id and i % 3 == r.center for i, y in zip(ids, label)]].astype(float)
+        assert np.allclose(r.embedding, mine.mean(0), atol=1e-12)
+    assert H.class_means(items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head", [H.ARCFACE, H.COSFACE, H.Head(scale=5000.0)])
+def test_head_summary_adds_up_over_blocks(spark, small_blocks, data, items, head):
+    """Log-sum-exp, target and best classes from partial rows, also where plain exponentials overflow."""
+    prototypes = H.class_means(items.withColumn("label", F.col("id") % 90)).cache()
+    rows = {r.id: r for r in H.head_summary(items, prototypes, head, 4).collect()}
+    ids, label, vectors = data
+    table = prototypes.collect()
+    classes = np.array([r.id for r in table])
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    cosine = unit(vectors.astype(float)) @ unit(np.array([r.embedding for r in table])).T
+    z = head.logits(cosine, label[:, None] == classes[None, :])
+    for i, key in enumerate(ids.tolist()):
+        r, top = rows[key], z[i].max()
+        assert r.lse == pytest.approx(top + np.log(np.exp(z[i] - top).sum()), abs=1e-7)
+        own = z[i][classes == label[i]]
+        assert (r.target is None) == (not len(own)) and (not len(own) or r.target == pytest.approx(own[0], abs=1e-9))
+        assert [b.logit for b in r.best] == pytest.approx(sorted(z[i], reverse=True)[:4], abs=1e-9)
+
+
+def test_search_by_cells_is_chosen_where_it_pays(spark, monkeypatch):
+    """Decided on a sample before any search: tight groups use the tree, others do not."""
+    rng = np.random.default_rng(5)
+    centres = np.eye(40)[:, :40]
+    tight = np.concatenate([c0 + 0.01 * rng.normal(size=(60, 40)) for c0 in centres]).astype(np.float32)
+    loose = rng.normal(size=(1500, 40)).astype(np.float32)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    tight = tight[rng.permutation(len(tight))]
+    assert pruned.passing_share(unit(tight), len(tight), 5) < pruned.WORTHWHILE < pruned.passing_share(unit(loose), len(loose), 5)
+    used = []
+    plain, tree = pruned.topk_neighbors, pruned.by_tree
+    monkeypatch.setattr(pruned, "topk_neighbors", lambda *a, **k: used.append("plain") or plain(*a, **k))
+    monkeypatch.setattr(pruned, "by_tree", lambda *a, **k: used.append("tree") or tree(*a, **k))
+    for vectors in (tight, loose):
+        items = frame(spark, range(len(vectors)), [0] * len(vectors), vectors)
+        got = {tuple(r) for r in pruned.topk_neighbors_pruned(items, 5).collect()}
+        want = {tuple(r) for r in R.topk_neighbors(items.select("id", "embedding"), 5).collect()}
+        assert got == want
+    assert used == ["tree", "plain"]

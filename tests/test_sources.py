@@ -16,7 +16,10 @@ from pelage.operators import dataset as D
 from pelage import session
 from pelage.operators import file_benchmark as FB
 from pelage.operators import inference as I
+from pelage.operators import retrieval as R
+from pelage.operators import tiles
 from pelage.sources import files, label_files, readers, sinks
+from pelage.streaming import identify
 from pelage.streaming.identify import identify_stream
 
 c = F.col
@@ -373,3 +376,45 @@ def test_stream_matches_batch_and_survives_restart(spark, tmp_path):
     gallery.filter("id >= 25").write.mode("append").parquet(source)
     assert run() == 45
     assert os.path.isdir(tmp_path / "out" / "batch=1")
+
+
+def test_stream_batches_leave_the_gallery_in_its_buckets(spark, tmp_path, monkeypatch):
+    """The gallery is placed once; a batch's plan has no exchange above its scan."""
+    monkeypatch.setattr(tiles, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(tiles, "MIN_BLOCK_ROWS", 32)
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(400)]
+    gallery = spark.createDataFrame([*rows, (999, None)], "id long, embedding array<float>")
+    placed = identify.place_gallery(gallery)
+    try:
+        assert placed.blocks > 4 and placed.rows == 400
+        ranked = identify.rank_batch(gallery.filter("id < 30"), placed, 3)
+        plan = ranked._jdf.queryExecution().executedPlan().toString().splitlines()
+        scan = next(i for i, line in enumerate(plan) if placed.table in line)
+        assert "Bucketed: true" in plan[scan]
+        depth = len(plan[scan]) - len(plan[scan].lstrip(" :+-"))
+        above = []
+        for line in reversed(plan[:scan]):
+            indent = len(line) - len(line.lstrip(" :+-"))
+            if indent < depth:
+                above.append(line)
+                depth = indent
+            if "FlatMapCoGroupsInArrow" in line:
+                break
+        assert above and not any("Exchange" in line for line in above)
+        want = {tuple(r) for r in R.topk_neighbors(gallery.filter("id < 30"), 3, gallery.filter("embedding is not null")).collect()}
+        assert {tuple(r) for r in ranked.collect()} == want
+    finally:
+        placed.drop()
+
+
+def test_stream_with_a_trigger_of_its_own(spark, tmp_path):
+    rows = [(i, [float(i % 5), 1.0]) for i in range(20)]
+    gallery = spark.createDataFrame(rows, "id long, embedding array<float>")
+    gallery.repartition(4).write.parquet(str(tmp_path / "in"))
+    probes = spark.readStream.schema(gallery.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = identify_stream(probes, identify.place_gallery(gallery), str(tmp_path / "out"), str(tmp_path / "state"), 2, {"processingTime": "0 seconds"})
+    stream.processAllAvailable()
+    stream.stop()
+    assert len([x for x in os.listdir(tmp_path / "out") if x.startswith("batch=")]) > 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
