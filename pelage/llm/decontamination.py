@@ -4,9 +4,10 @@ An item counts as found when the document holds at least ``threshold`` of its
 distinct five-word shingles (lower case, white space aside). Items are
 partitioned by size. In each partition an item is represented by its smallest
 shingle hashes, just so many that not all of them can be missing from a
-document that holds enough of the item; a document is represented by its
-shingle hashes up to the largest that any signature uses. A shared hash makes
-a candidate, so the search loses nothing, and the exact shingles decide.
+document that holds enough of the item; a document is represented, in each
+partition anew, by its shingle hashes up to the largest that a signature of
+that partition uses. A hash that both have in one partition makes a candidate,
+so the search loses nothing, and the exact shingles decide.
 
 Cases: a NULL text is empty; an empty text and a text or item of fewer than
 five words have no shingles and match nothing; repeated rows give one result
@@ -73,18 +74,21 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 def candidates(docs: DataFrame, id_col: str, text_col: str, signed: DataFrame) -> DataFrame:
     """``doc`` of each document that shares a signature hash with some item, once per id.
 
-    ``signed`` must be a written table: its largest hash bounds what a document
-    has to show.
+    ``signed`` must be a written table. Each size partition is searched by
+    itself: a document shows it the hashes up to the largest of its own
+    signatures, and meets only those. The driver gets one row per partition,
+    as many as sizes have powers of two.
     """
     bands = signed.groupBy("band").agg(F.max("hash").alias("top"), F.count(F.lit(1)).alias("n")).collect()
-    top = max((row["top"] for row in bands), default=None)
-    if top is None:
-        top = -(1 << 63)
-    sketch = docs.select(c(id_col).alias("doc"), F.filter(
-        shingle_hashes(c(text_col)), lambda h: h <= F.lit(top).cast("bigint")).alias("s"))
-    shown = sketch.select("doc", F.explode("s").alias("hash"))
-    keys = signed.select("hash").distinct()
-    return shown.join(sized(keys, sum(row["n"] for row in bands)), "hash", "left_semi").select("doc").distinct()
+    if not bands:
+        return docs.select(c(id_col).alias("doc")).limit(0)
+    sketch = docs.select(c(id_col).alias("doc"), F.array_distinct(shingle_hashes(c(text_col))).alias("h"))
+    partitions = F.array(*[F.struct(F.lit(row["band"]).alias("band"), F.lit(row["top"]).cast("bigint").alias("top"))
+                           for row in sorted(bands)])
+    shown = sketch.select("doc", "h", F.explode(partitions).alias("p")).select(
+        "doc", c("p.band").alias("band"), F.explode(F.filter("h", lambda h: h <= c("p.top"))).alias("hash"))
+    keys = signed.select("band", "hash").distinct()
+    return shown.join(sized(keys, sum(row["n"] for row in bands)), ["band", "hash"], "left_semi").select("doc").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -345,20 +345,23 @@ def _by_unit(work: Work, bands: Bands):
     return run
 
 
-def in_buckets(rows: DataFrame, buckets: DataFrame, work: Work, schema: str, bands: Bands) -> DataFrame:
-    """Distinct results of ``work`` over the cells of the buckets. ``rows``: ``key, id, n, sketch, component`` and maybe ``tokens``.
+def in_buckets(rows: DataFrame, buckets: DataFrame, about: DataFrame, work: Work, schema: str, bands: Bands) -> DataFrame:
+    """Distinct results of ``work`` over the cells of the buckets.
+
+    ``rows``: ``key, id, component``; ``about``: ``id, n, sketch`` and maybe
+    ``tokens``, which meet only the rows that are left in such buckets.
 
     A bucket of more than ``BLOCK`` rows or ``BLOCK_BYTES`` of sets is cut into
     blocks by id; each pair of blocks is a cell of its own.
     """
-    columns = ["key", "id", "n", "sketch", "component", "main", *[k for k in rows.columns if k == "tokens"]]
+    columns = ["key", "id", "n", "sketch", "component", "main", *[k for k in about.columns if k == "tokens"]]
     weight = F.greatest(F.ceil(c("size") / BLOCK), F.ceil(c("members") * 8 / BLOCK_BYTES) if "tokens" in columns else F.lit(1))
-    dealt = rows.join(buckets, "key").withColumn("blocks", weight.cast("int")).withColumn(
+    dealt = rows.select("key", "id", "component").join(buckets, "key").withColumn("blocks", weight.cast("int")).withColumn(
         "own", F.pmod(F.xxhash64("id"), c("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), c("blocks") - 1), lambda other: F.struct(
         (F.least(c("own"), other) * c("blocks") + F.greatest(c("own"), other)).alias("cell"),
         F.when(c("own") <= other, 0).otherwise(1).alias("side")))
-    dealt = dealt.select(*columns, F.explode(cells).alias("e")).select(*columns, "e.cell", "e.side")
+    dealt = dealt.join(about, "id").select(*columns, F.explode(cells).alias("e")).select(*columns, "e.cell", "e.side")
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Rows of a unit are neighbours after the sort; a unit has at most about two blocks.
     sorted_rows = dealt.repartition(width, "key", "cell").sortWithinPartitions("key", "cell")
@@ -370,11 +373,11 @@ def distinct_buckets(rows: DataFrame) -> DataFrame:
 
     Similar sets agree in most of their pieces and meet under that many keys;
     one meeting is enough. Rows are compared by 128 bits. ``members`` is the
-    sum of the set sizes, ``main`` the component of most rows.
+    sum of the set sizes where rows have them, ``main`` the component of most rows.
     """
     buckets = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.sum("n").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"),
-        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("size"), F.sum("n" if "n" in rows.columns else F.lit(0)).alias("members"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.mode("component").alias("main")).where("low < high")
     return buckets.groupBy("size", "x", "y").agg(F.min(F.struct("key", "members", "main")).alias("k")).select("size", "k.*")
 
@@ -431,7 +434,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = scanned.groupBy("id").agg(F.min(F.struct("n", "f1", "f2", "sketch")).alias("s")).select("id", "s.*")
     summary = stored(one, "jaccard-summaries")
     classes = stored(summary.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("first")), "jaccard-classes")
-    firsts = summary.join(classes.select(c("first").alias("id")), "id", "left_semi")
+    firsts = stored(summary.join(classes.select(c("first").alias("id")), "id", "left_semi").select("id", "n", "sketch"), "jaccard-firsts")
 
     hits = shared_keys(texts, lambda b: _keyed(b, k, bands))
     mine = hits.withColumnRenamed("owner", "id").join(firsts.select("id"), "id", "left_semi")
@@ -440,20 +443,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"),
                                     F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("size > 1")
     once = alone.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
-    shared = stored(rows.join(once.select("key"), "key").join(firsts.select("id", "n", "sketch"), "id"), "jaccard-shared")
+    shared = stored(rows.join(once.select("key"), "key", "left_semi"), "jaccard-shared")
 
     # First links: every set looks for mates in two of its buckets, the same two for most copies of a text.
     turn = F.struct(F.xxhash64("key").alias("turn"), "key")
     two = shared.groupBy("id").agg(F.min(turn).alias("a"), F.max(turn).alias("b")).select(
         "id", F.explode(F.array_distinct(F.array("a.key", "b.key"))).alias("key"))
     few = stored(shared.join(two, ["id", "key"]).withColumn("component", c("id")), "jaccard-few")
-    pairs = stored(in_buckets(few, distinct_buckets(few), _nearest, _PAIRS, bands), "jaccard-pairs")
+    pairs = stored(in_buckets(few, distinct_buckets(few), firsts, _nearest, _PAIRS, bands), "jaccard-pairs")
     sets = _sets_of(texts, _ids(pairs), k)
     links = stored(verified(pairs, sets, percent), "jaccard-links")
 
     # All buckets: rows outside a bucket's main component look for mates of other components.
     labelled = stored(_labelled(shared, components(links, "jaccard-first")), "jaccard-labelled")
-    pairs = stored(in_buckets(labelled, distinct_buckets(labelled), _nearest, _PAIRS, bands), "jaccard-pairs")
+    pairs = stored(in_buckets(labelled, distinct_buckets(labelled), firsts, _nearest, _PAIRS, bands), "jaccard-pairs")
     ids = _ids(pairs)
     sets = stored(sets.unionByName(_sets_of(texts, ids.join(sets, "id", "left_anti"), k)), "jaccard-all-sets")
     links = stored(links.union(verified(pairs, sets, percent)), "jaccard-links")
@@ -461,10 +464,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # What is left: buckets that such rows are in, sets compared inside the bucket.
     held = labelled.join(ids, "id", "left_semi").select("key").distinct()
     left = stored(_labelled(labelled.drop("component").join(held, "key", "left_semi"), components(links, "jaccard-second")), "jaccard-left")
-    concerned = stored(in_buckets(left, distinct_buckets(left), _concerned, "id long", bands), "jaccard-concerned")
+    concerned = stored(in_buckets(left, distinct_buckets(left), firsts, _concerned, "id long", bands), "jaccard-concerned")
     sets = sets.unionByName(_sets_of(texts, concerned.join(sets, "id", "left_anti"), k))
-    last = stored(left.join(concerned, "id", "left_semi").join(sets, "id"), "jaccard-last-rows")
-    more = in_buckets(last, distinct_buckets(last), _spanning, _PAIRS, bands)
+    whole = firsts.join(concerned, "id", "left_semi").join(sets, "id")
+    last = stored(left.join(whole.select("id", "n"), "id"), "jaccard-last-rows")
+    more = in_buckets(last, distinct_buckets(last), whole, _spanning, _PAIRS, bands)
     groups = stored(components(links.union(more), "jaccard-last"), "jaccard-groups")
 
     first = classes.join(groups.withColumnRenamed("id", "first"), "first", "left").select(

@@ -17,8 +17,10 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pelage.llm.storage import stored
+from pelage.operators.prefix import unused
 
 c = F.col
 
@@ -104,7 +106,7 @@ def _place_large(large: list[tuple], room: list[int]) -> tuple[dict, list[int]]:
 
 def plan(docs: DataFrame, row_key: Column, size: Column, old_shard: Column, old_shards: int, new_shards: int,
          cost=lambda i, j: int(i != j)) -> DataFrame:
-    """``docs`` with ``_key, _size, _old, _shard`` (new shard).
+    """``row, key, size, old, shard`` (new shard); ``row`` holds all columns of a document, whatever their names.
 
     ``row_key`` orders the documents of a shard and should tell rows apart.
     Within an old shard the documents lie on a line of bytes; each transfer of
@@ -112,33 +114,33 @@ def plan(docs: DataFrame, row_key: Column, size: Column, old_shard: Column, old_
     holds. Positions are sums over hashed blocks of bounded size, so no task
     gets a whole shard.
     """
-    rows = stored(docs.select("*", row_key.alias("_key"), size.cast("long").alias("_size"),
-                                   F.coalesce(F.pmod(old_shard, F.lit(old_shards)), F.lit(0)).cast("int").alias("_old")),
-                       "reshard-rows")
-    total, count = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = stored(docs.select(F.struct("*").alias("row"), row_key.alias("key"), size.cast("long").alias("size"),
+                              F.coalesce(F.pmod(old_shard, F.lit(old_shards)), F.lit(0)).cast("int").alias("old")),
+                  "reshard-rows")
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     capacity = near_equal(total, new_shards)
     limit = max(1, capacity[0] // LARGE_PART)
     # More than `limit` bytes each: at most LARGE_PART + 1 per new shard.
-    large = [tuple(r) for r in rows.where(c("_size") > limit).select("_size", "_key", "_old").collect()]
+    large = [tuple(r) for r in rows.where(c("size") > limit).select("size", "key", "old").collect()]
     where, room = _place_large(large, capacity)
-    small = rows.where(c("_size") <= limit)
+    small = rows.where(c("size") <= limit)
     blocks = max(1, -(-count // BLOCK_ROWS))
-    small = small.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int"))
-    sizes = small.groupBy("_old", "_block").agg(F.sum("_size").alias("_bytes"))
-    before = Window.partitionBy("_old").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored(sizes.select("_old", "_block", "_bytes", F.coalesce(
+    small = small.withColumn("_block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    sizes = small.groupBy("old", "_block").agg(F.sum("size").alias("_bytes"))
+    before = Window.partitionBy("old").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(sizes.select("old", "_block", "_bytes", F.coalesce(
         F.sum("_bytes").over(before), F.lit(0)).alias("_from")), "reshard-blocks")
     supply = [0] * old_shards
-    for row in starts.groupBy("_old").agg(F.sum("_bytes").alias("n")).collect():
-        supply[row["_old"]] = row["n"]
+    for row in starts.groupBy("old").agg(F.sum("_bytes").alias("n")).collect():
+        supply[row["old"]] = row["n"]
     # Large documents may overfill a shard; what lacks elsewhere is spread evenly.
     room = [max(0, r) for r in room]
     for j, extra in enumerate(near_equal(max(0, sum(supply) - sum(room)), new_shards)):
         room[j] += extra
     flow = min_cost_flow(supply, room, cost)
-    within = Window.partitionBy("_old", "_block").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    middle = (c("_from") + F.coalesce(F.sum("_size").over(within), F.lit(0)) + c("_size") / 2)
-    placed = small.join(starts.drop("_bytes"), ["_old", "_block"])
+    within = Window.partitionBy("old", "_block").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    middle = (c("_from") + F.coalesce(F.sum("size").over(within), F.lit(0)) + c("size") / 2)
+    placed = small.join(starts.drop("_bytes"), ["old", "_block"])
     target = F.lit(None).cast("int")
     for i in range(old_shards):
         parts = [(j, flow[i, j]) for j in range(new_shards) if (i, j) in flow]
@@ -146,47 +148,63 @@ def plan(docs: DataFrame, row_key: Column, size: Column, old_shard: Column, old_
         for j, n in reversed(parts):
             branch = F.when(c("_middle") < end, F.lit(j)).otherwise(branch)
             end -= n
-        target = F.when(c("_old") == i, branch).otherwise(target)
-    placed = placed.withColumn("_middle", middle).withColumn("_shard", target.cast("int"))
+        target = F.when(c("old") == i, branch).otherwise(target)
+    placed = placed.withColumn("_middle", middle).withColumn("shard", target.cast("int"))
     fixed = rows.sparkSession.createDataFrame(
-        [(k, j) for k, j in where.items()], rows.select(c("_key"), c("_old").alias("_shard")).schema)
-    fixed = fixed.withColumnRenamed("_key", "_fixed")
-    alone = rows.where(c("_size") > limit).join(fixed, c("_key").eqNullSafe(c("_fixed")))
-    columns = [*rows.columns, "_shard"]
+        [(k, j) for k, j in where.items()], rows.select(c("key"), c("old").alias("shard")).schema)
+    fixed = fixed.withColumnRenamed("key", "_fixed")
+    alone = rows.where(c("size") > limit).join(fixed, c("key").eqNullSafe(c("_fixed")))
+    columns = [*rows.columns, "shard"]
     return placed.select(columns).union(alone.select(columns))
 
 
 def slots(placed: DataFrame, shards: int) -> DataFrame:
-    """``placed`` with ``_slot``: gapless numbers from 0 within ``_shard``, old rows' order by key."""
+    """``placed`` with ``slot``: gapless numbers from 0 within ``shard``, old rows' order by key."""
     rows = stored(placed, "reshard-placed")
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    keyed = rows.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int"))
-    before = Window.partitionBy("_shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("_shard", "_block").agg(F.count(F.lit(1)).alias("n")).select(
-        "_shard", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from"))
-    within = Window.partitionBy("_shard", "_block").orderBy("_key")
-    return keyed.join(starts, ["_shard", "_block"]).withColumn(
-        "_slot", c("_from") + F.row_number().over(within) - 1).drop("_from", "_block")
+    keyed = rows.withColumn("_block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("n")).select(
+        "shard", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from"))
+    within = Window.partitionBy("shard", "_block").orderBy("key")
+    return keyed.join(starts, ["shard", "_block"]).withColumn(
+        "slot", c("_from") + F.row_number().over(within) - 1).drop("_from", "_block")
 
 
 def transfers(placed: DataFrame) -> DataFrame:
     """``old_shard, new_shard, docs, bytes`` of every block transfer; equal shards stay in place."""
-    return placed.groupBy(c("_old").alias("old_shard"), c("_shard").alias("new_shard")).agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("_size").alias("bytes"))
+    return placed.groupBy(c("old").alias("old_shard"), c("shard").alias("new_shard")).agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("size").alias("bytes"))
 
 
 def rewrite(docs: DataFrame, key: Column, placed: DataFrame, path: str) -> DataFrame:
-    """Write the documents of every new shard that a transfer touches to ``path/shard=N``; the manifest of these.
+    """Write the documents of every new shard that a transfer touches to ``path``, a folder per shard; the manifest of these.
 
     Shards whose rows all stay and that lose none keep their old files. Rows
-    of equal key go together, to the lowest of their shards.
+    of equal key go together, to the lowest of their shards. The documents are
+    shuffled once, to their places by key; each task then writes its part of
+    every shard.
     """
-    moves = placed.where("_old <> _shard")
-    touched = moves.select(c("_shard").alias("shard")).union(moves.select(c("_old").alias("shard"))).distinct()
+    own, to, shard = unused(docs, "_own", "_to", "shard")
+    moves = placed.where("old <> shard")
+    touched = moves.select(c("shard").alias(shard)).union(moves.select(c("old").alias(shard))).distinct()
     # One row per shard: a number that the caller chose, not one that grows with the data.
     names = F.broadcast(touched)
-    to = placed.groupBy(c("_key").alias("_to")).agg(F.min("_shard").alias("shard")).join(names, "shard")
-    out = docs.withColumn("_own", key).join(to, c("_own").eqNullSafe(c("_to"))).drop("_own", "_to")
-    spread = F.pmod(F.xxhash64(key), F.lit(16))
-    out.repartition("shard", spread).write.partitionBy("shard").mode("overwrite").parquet(path)
-    return docs.sparkSession.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("docs"))
+    target = placed.groupBy(c("key").alias(to)).agg(F.min("shard").alias(shard)).join(names, shard)
+    docs.withColumn(own, key).join(target, c(own).eqNullSafe(c(to))).drop(own, to).write.partitionBy(shard).mode("overwrite").parquet(path)
+    schema = T.StructType([*docs.schema.fields, T.StructField(shard, T.IntegerType())])
+    return docs.sparkSession.read.schema(schema).parquet(path).groupBy(c(shard).alias("shard")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+def layout(docs: DataFrame, key: Column, placed: DataFrame, path: str) -> DataFrame:
+    """All documents as they lie after ``rewrite`` to ``path``: its files, and from the old ones the shards that nothing touches.
+
+    The columns of ``docs`` and, behind them, the shard.
+    """
+    to, shard = unused(docs, "_to", "shard")
+    schema = T.StructType([*docs.schema.fields, T.StructField(shard, T.IntegerType())])
+    written = docs.sparkSession.read.schema(schema).parquet(path)
+    moves = placed.where("old <> shard")
+    touched = moves.select("shard").union(moves.select("old")).distinct()
+    still = placed.join(F.broadcast(touched), "shard", "left_anti").groupBy(c("key").alias(to)).agg(F.min("shard").alias(shard))
+    return written.unionByName(docs.join(still, key.eqNullSafe(c(to))).select(*docs.columns, shard))

@@ -16,6 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pelage.llm.decontamination import let
+from pelage.llm.storage import stored
+from pelage.operators.prefix import unused
+
 c = F.col
 
 # The patterns of the base kinds and the least length of each.
@@ -35,6 +39,18 @@ def _looks_live(value: Column) -> Column:
     return ((F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER))
 
 
+def _upto(values: Column, join) -> Column:
+    """Running sums or maxima of an array, by doubling: each round joins every value with the one 1, 2, 4, ... before it.
+
+    A fold that appends to its result copies it for each value; here a text
+    with n matches takes n log n steps.
+    """
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(rounds, values, lambda done, r: F.transform(done, lambda x, i: F.when(
+        i >= F.pow(F.lit(2), r).cast("int"),
+        join(x, F.get(done, i - F.pow(F.lit(2), r).cast("int")))).otherwise(x)))
+
+
 def _spans(text: Column, kind: str, pattern: str, group: int) -> Column:
     """Spans of all matches of one kind.
 
@@ -47,21 +63,16 @@ def _spans(text: Column, kind: str, pattern: str, group: int) -> Column:
     pieces = F.split(text, pattern, -1)
     rank = KINDS.index(kind)
 
-    def step(state: Column, item: Column) -> Column:
-        start = state["at"] + F.length(item["piece"])
-        end = start + F.length(item["match"])
-        span = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"),
-            (end - F.length(item["value"])).alias("value_start"), F.sha2(item["value"], 256).alias("hash"),
-            F.coalesce(_looks_live(item["value"]), F.lit(False)).alias("looks_live"))
-        keep = F.length(item["value"]) >= LEAST[kind]
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(state["spans"], span))
-                        .otherwise(state["spans"]).alias("spans"))
+    def spans(found: Column) -> Column:
+        ends = _upto(F.transform(found, lambda x: (F.length(x["piece"]) + F.length(x["match"])).cast("bigint")), lambda x, y: x + y)
+        return F.transform(F.arrays_zip(found.alias("item"), ends.alias("end")), lambda x: F.struct(
+            (x["end"] - F.length(x["item"]["match"])).alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"),
+            (x["end"] - F.length(x["item"]["value"])).alias("value_start"), F.sha2(x["item"]["value"], 256).alias("hash"),
+            F.coalesce(_looks_live(x["item"]["value"]), F.lit(False)).alias("looks_live")))
 
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("piece"), matches.alias("match"),
-                          values.alias("value"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(NONE).alias("spans"))
-    return F.aggregate(zipped, start, step, lambda s: s["spans"])
+    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("piece"), matches.alias("match"), values.alias("value"))
+    whole = let(zipped, spans)
+    return F.filter(whole, lambda s: s["end"] - s["value_start"] >= LEAST[kind])
 
 
 def find_spans(text: Column) -> Column:
@@ -95,20 +106,35 @@ def ownership(scanned: DataFrame) -> DataFrame:
         F.sum("n").alias("n_places"))
 
 
+# Rows of a candidate value that meet one copy of its verdict.
+PLACES_PER_COPY = 50_000
+# Values that are copied at most: beyond some hundreds no value can be in a large share of the rows.
+COMMON_VALUES = 1_000
+
+
 def judge(scanned: DataFrame, min_copied_owners: int = 3, min_copied_repos: int = 2) -> DataFrame:
     """``id, verdicts``: for each id the map from candidate hash to ``live`` or ``copied``.
 
     A value is copied when at least ``min_copied_owners`` owners hold it in at
     least ``min_copied_repos`` repositories, and otherwise live when it looks
     like a real credential. Other values get no verdict. Ids without verdict
-    have no row.
+    have no row. A value that very many rows hold comes in as many copies, and
+    its rows are dealt out over them.
     """
-    spread = ownership(scanned)
+    spread = stored(ownership(scanned), "secret-spread")
+    copies = F.greatest(F.ceil(c("n_places") / PLACES_PER_COPY), F.lit(1)).cast("int")
     held = scanned.select("id", F.explode("spans").alias("s")).select(
         "id", c("s.hash").alias("hash"), c("s.looks_live").alias("looks_live")).distinct()
     verdict = (F.when((c("n_owners") >= min_copied_owners) & (c("n_repos") >= min_copied_repos), "copied")
                .when(c("looks_live"), "live"))
-    return (held.join(spread, "hash").select("id", "hash", verdict.alias("verdict")).where("verdict IS NOT NULL")
+    # The few values of many places are known by name; all others have one copy.
+    common = {r["hash"]: r["copies"] for r in spread.where(copies > 1).select("hash", copies.alias("copies")).orderBy(
+        c("copies").desc()).limit(COMMON_VALUES).collect()}
+    named = F.create_map(*[F.lit(x) for pair in common.items() for x in pair]) if common else None
+    of = F.coalesce(named[c("hash")], F.lit(1)) if common else F.lit(1)
+    dealt = held.withColumn("copy", F.pmod(F.xxhash64("id"), of).cast("int"))
+    owned = spread.withColumn("copy", F.explode(F.sequence(F.lit(0), of - 1)))
+    return (dealt.join(owned, ["hash", "copy"]).select("id", "hash", verdict.alias("verdict")).where("verdict IS NOT NULL")
             .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("hash", "verdict"))).alias("verdicts")))
 
 
@@ -139,23 +165,28 @@ def report(scanned: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str, text_col: str, verdicts: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with the live values of each text replaced by ``mark``; all columns as they were."""
+    own_id, own_verdicts = unused(docs, "redact_id", "redact_verdicts")
     v = verdicts.where(F.exists(F.map_values("verdicts"), lambda x: x == "live")).select(
-        c("id").alias("_redact_id"), c("verdicts").alias("_redact_verdicts"))
-    joined = docs.join(v, c(id_col).eqNullSafe(c("_redact_id")), "left")
+        c("id").alias(own_id), c("verdicts").alias(own_verdicts))
+    joined = docs.join(v, c(id_col).eqNullSafe(c(own_id)), "left")
     text = F.coalesce(c(text_col), F.lit(""))
     live = F.array_sort(F.transform(
-        F.filter(find_spans(c(text_col)), lambda s: c("_redact_verdicts")[s["hash"]] == "live"),
+        F.filter(find_spans(c(text_col)), lambda s: c(own_verdicts)[s["hash"]] == "live"),
         lambda s: F.struct(s["value_start"].alias("start"), s["end"].alias("end"))))
 
-    def cut(state: Column, s: Column) -> Column:
-        gap = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mark)))
-            .otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate(live, start, cut, lambda s: F.concat(
-        s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return joined.withColumn(text_col, F.when(c("_redact_verdicts").isNull(), c(text_col)).otherwise(
+    def cut(spans: Column) -> Column:
+        """The text before each span that begins behind all earlier ones, with a mark; then what is left."""
+        reached = _upto(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+
+        def piece(s: Column, i: Column, ends: Column) -> Column:
+            before = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0).cast("bigint"))
+            return F.when(s["start"] >= before, F.concat(
+                F.substring(text, (before + 1).cast("int"), (s["start"] - before).cast("int")), F.lit(mark))).otherwise(F.lit(""))
+
+        return let(reached, lambda ends: F.concat(
+            F.array_join(F.transform(spans, lambda s, i: piece(s, i, ends)), ""),
+            F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text))))
+
+    cleaned = let(live, lambda spans: F.when(F.size(spans) > 0, cut(spans)).otherwise(text))
+    return joined.withColumn(text_col, F.when(c(own_verdicts).isNull(), c(text_col)).otherwise(
         F.when(c(text_col).isNotNull(), cleaned))).select(*[c(k) for k in docs.columns])

@@ -1,5 +1,6 @@
 """Resharding and packing."""
 
+import itertools
 import os
 import random
 import zlib
@@ -33,12 +34,70 @@ def test_plan_places_every_row(request, fixture, rows):
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
     placed = resharding.plan(docs, F.col("doc_id"), size, F.crc32(F.coalesce("source", F.lit("")).cast("binary")), 4, 3)
     done = resharding.slots(placed, 3).toPandas()
-    assert len(done) == rows and done["_shard"].between(0, 2).all()
-    for _, part in done.groupby("_shard"):
-        assert sorted(part["_slot"]) == list(range(len(part)))
+    assert len(done) == rows and done["shard"].between(0, 2).all()
+    for _, part in done.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
     assert sum(r.docs for r in resharding.transfers(placed).collect()) == rows
 
 
+def moved_least(supply, room):
+    """Fewest bytes that must move: what a shard holds beyond its new capacity, and all of one that goes."""
+    return sum(max(0, n - (room[i] if i < len(room) else 0)) for i, n in enumerate(supply))
+
+
+def test_flow_moves_no_more_than_it_must():
+    r = random.Random(8)
+    for _ in range(60):
+        old, new = r.randint(1, 6), r.randint(1, 6)
+        supply = [r.randint(0, 40) for _ in range(old)]
+        room = resharding.near_equal(sum(supply), new)
+        flow = resharding.min_cost_flow(supply, room, lambda i, j: int(i != j))
+        assert sum(n for (i, j), n in flow.items() if i != j) == moved_least(supply, room)
+
+
+def test_flow_of_any_costs_is_the_cheapest():
+    """Against all ways to deal out three sources of a few bytes."""
+    r = random.Random(9)
+
+    def ways(supply, room):
+        if not supply:
+            yield []
+            return
+        for split in itertools.product(*[range(min(supply[0], x) + 1) for x in room]):
+            if sum(split) == supply[0]:
+                for rest in ways(supply[1:], [x - y for x, y in zip(room, split)]):
+                    yield [split, *rest]
+
+    for _ in range(12):
+        supply = [r.randint(0, 3) for _ in range(3)]
+        room = resharding.near_equal(sum(supply), 3)
+        cost = [[r.randint(0, 9) for _ in range(3)] for _ in range(3)]
+        flow = resharding.min_cost_flow(supply, room, lambda i, j: cost[i][j])
+        paid = sum(cost[i][j] * n for (i, j), n in flow.items())
+        assert paid == min(sum(cost[i][j] * n for i, row in enumerate(w) for j, n in enumerate(row)) for w in ways(supply, room))
+
+
+def test_layout_after_rewriting_holds_every_document(spark, tmp_path):
+    """Files of touched shards and old files of the others together are the corpus; columns of any name stay."""
+    docs = spark.range(400).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("é"), (F.col("id") % 50).cast("int")).alias("text"),
+        *[F.lit("own").alias(k) for k in ("_key", "key", "shard", "row", "_own", "_to", "old", "size")])
+    old = F.when(F.col("doc_id") < 100, F.lit(0)).when(F.col("doc_id") < 200, F.lit(1)).otherwise(F.lit(2))
+    size = F.octet_length("text") + 8
+    placed = resharding.plan(docs, F.col("doc_id"), size, old, 3, 4).persist()
+    assert sorted({r.row["_key"] for r in placed.collect()}) == ["own"]
+    path = str(tmp_path / "out")
+    resharding.rewrite(docs, F.col("doc_id"), placed, path)
+    found = resharding.layout(docs, F.col("doc_id"), placed, path)
+    assert found.columns == [*docs.columns, "_shard"] and set(found.select("shard").distinct().toPandas()["shard"]) == {"own"}
+    want = {r.key: r.shard for r in placed.collect()}
+    assert {r.doc_id: r._shard for r in found.collect()} == want and len(want) == 400
+    supply = [r.n for r in placed.groupBy("old").agg(F.sum("size").alias("n")).orderBy("old").collect()]
+    moved = placed.where("old <> shard").agg(F.sum("size")).first()[0]
+    # Documents are whole: each transfer may be off by one of them at either end.
+    assert abs(moved - moved_least(supply, resharding.near_equal(sum(supply), 4))) <= 2 * 12 * 106
+
+
 def test_rewrite_touches_what_moves(spark, tmp_path):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), (F.col("id") % 3).alias("old"))
     placed = resharding.plan(docs, F.col("doc_id"), F.lit(10), F.when(F.col("old") == 2, 1).otherwise(F.col("old")), 3, 3)
@@ -100,7 +159,6 @@ def test_best_fit_keeps_every_constraint(rule):
 
 def check_packed(rows, texts):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     for (key, text), part in zip(texts, (rows[rows.doc_id == k].sort_values("piece") for k, _ in texts)):
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         assert list(part["piece"]) == list(range(len(part))) and part["length"].sum() == len(ids)

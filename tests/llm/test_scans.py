@@ -3,6 +3,7 @@
 import hashlib
 
 import brute
+import numpy as np
 from conftest import SCHEMA, SF_DIR, prose, rows_of
 from pyspark.sql import functions as F
 
@@ -110,3 +111,61 @@ def test_url_lists(spark):
     assert {r.rule for r in found if r.id == 5} == {"x.bad.example/p"}
     assert url_lists.evaluate(captures.limit(0), entries, "page_id", "url", "fetched").count() == 0
     assert url_lists.evaluate(captures, entries.limit(0), "page_id", "url", "fetched").count() == 12
+
+
+def test_a_text_with_very_many_matches(spark):
+    """40,000 values in one text: positions by doubling sums. Live ones of a smaller text cut out, the rest as it was."""
+    parts = [f"token = kQ{'-'.join(f'{i:06d}')}Zzab né " for i in range(40_000)]
+    text = "".join(parts)
+    docs = spark.createDataFrame(rows_of([text, prose(1, 30)]), SCHEMA)
+    scanned = secret_scan.scan(docs, "doc_id", "text", F.col("source"), F.col("lang")).persist()
+    spans = {r.id: r.spans for r in scanned.collect()}
+    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    assert [s.start for s in spans[0]] == starts.tolist() and len(spans[0]) == 40_000
+    assert all(s.end - s.start == len(p) - 4 for s, p in zip(spans[0], parts))
+    docs = spark.createDataFrame(rows_of(["".join(parts[:1500]), prose(1, 30)]), SCHEMA)
+    scanned = secret_scan.scan(docs, "doc_id", "text", F.col("source"), F.col("lang")).persist()
+    clean = secret_scan.redact(docs, "doc_id", "text", secret_scan.judge(scanned)).orderBy("doc_id").collect()
+    assert clean[0].text == "token = [SECRET] né " * 1500 and clean[1].text == prose(1, 30)
+
+
+def test_a_value_in_most_rows_is_dealt_out(spark, monkeypatch):
+    """Copies of the verdict for a value of very many places; the same verdicts as without."""
+    rows = [(i, f"password=hunter2hunter{9 if i % 3 else i}", f"o{i % 4}", f"r{i % 5}", 0, *["x"] * 13) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    scanned = secret_scan.scan(docs, "doc_id", "text", F.col("source"), F.col("lang")).persist()
+
+    def verdicts():
+        return sorted((r.id, sorted(r.verdicts.items())) for r in secret_scan.judge(scanned).collect())
+
+    want = verdicts()
+    monkeypatch.setattr(secret_scan, "PLACES_PER_COPY", 10)
+    assert verdicts() == want and len(want) >= 200
+
+
+def test_redaction_of_overlapping_spans_and_named_columns(spark):
+    """A live value inside another one is cut once; columns named as helpers stay."""
+    inner = "0123456789abcdef0123456789abcde7"
+    text = f"a token={inner}xyz_9 b {inner} c"
+    docs = spark.createDataFrame([(1, text, "own", "own"), (2, None, "own", "own")], "doc_id long, text string, _redact_id string, redact_id string")
+    scanned = secret_scan.scan(docs, "doc_id", "text", F.lit("r"), F.lit("o"))
+    clean = {r.doc_id: r for r in secret_scan.redact(docs, "doc_id", "text", secret_scan.judge(scanned)).collect()}
+    assert clean[1].text == "a token=[SECRET] b [SECRET] c" and clean[2].text is None
+    assert all(r._redact_id == r.redact_id == "own" for r in clean.values())
+
+
+def test_size_partitions_search_by_themselves(spark):
+    """Items of several sizes: every partition has its own bound, and the candidates are the documents with a signature hash."""
+    texts = [prose(40 + i, 5 + 9 * i) for i in range(8)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    signed = decontamination.signatures(items, "item_id", "text", 0.8).persist()
+    tops = {r.band: r.top for r in signed.groupBy("band").agg(F.max("hash").alias("top")).collect()}
+    assert len(tops) >= 4 and len(set(tops.values())) == len(tops)
+    bodies = [f"{prose(1, 40)} {texts[3]} {prose(2, 40)}", texts[7], prose(5, 300), " ".join(texts[6].split()[:30]), texts[0], None, ""]
+    docs = spark.createDataFrame(rows_of(bodies), SCHEMA)
+    hashes = {r.doc_id: set(r.h) for r in docs.select("doc_id", decontamination.shingle_hashes(F.col("text")).alias("h")).collect()}
+    wanted = {r.hash for r in signed.collect()}
+    found = {r.doc for r in decontamination.candidates(docs, "doc_id", "text", signed).collect()}
+    assert found == {i for i, h in hashes.items() if h & wanted} and {0, 1, 4} <= found
+    pairs = {(r.doc, r.item) for r in decontamination.contained(docs, items).collect()}
+    assert pairs == brute.contained(list(enumerate(bodies)), list(enumerate(texts)))
