@@ -368,18 +368,27 @@ def in_buckets(rows: DataFrame, buckets: DataFrame, about: DataFrame, work: Work
     return sorted_rows.mapInArrow(_by_unit(work, bands), schema).distinct()
 
 
-def distinct_buckets(rows: DataFrame) -> DataFrame:
+def distinct_buckets(rows: DataFrame, grouped: bool = True) -> DataFrame:
     """``key, size, members, main`` of the buckets with rows of several components, one key for all buckets of the same rows.
 
     Similar sets agree in most of their pieces and meet under that many keys;
     one meeting is enough. Rows are compared by 128 bits. ``members`` is the
-    sum of the set sizes where rows have them, ``main`` the component of most rows.
+    sum of the set sizes where rows have them, ``main`` the component of most
+    rows, or the lowest where components are not ``grouped`` yet. All of it is
+    sums and extremes that combine before the shuffle, whatever the bucket's size.
     """
-    buckets = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.sum("n" if "n" in rows.columns else F.lit(0)).alias("members"),
-        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.mode("component").alias("main")).where("low < high")
-    return buckets.groupBy("size", "x", "y").agg(F.min(F.struct("key", "members", "main")).alias("k")).select("size", "k.*")
+    n, x, y = F.sum("n" if "n" in rows.columns else F.lit(0)), F.xxhash64("id"), F.xxhash64("id", F.lit(1))
+    parts = rows.select("key", "component", F.lit(1).cast("long").alias("size"), x.alias("x"), y.alias("y"), *[k for k in rows.columns if k == "n"])
+    sums = [F.sum("size").alias("size"), n.alias("members"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")]
+    main = F.min("component")
+    if grouped:
+        parts = parts.groupBy("key", "component").agg(*sums)
+        sums[1] = F.sum("members").alias("members")
+        main = F.max_by("component", "size")
+    buckets = parts.groupBy("key").agg(
+        *sums, F.min("component").alias("low"), F.max("component").alias("high"), main.alias("main")).where("low < high")
+    once = buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
+    return buckets.join(once.select("key"), "key", "left_semi").select("key", "size", "members", "main")
 
 
 def _verify(percent: int):
@@ -450,7 +459,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     two = shared.groupBy("id").agg(F.min(turn).alias("a"), F.max(turn).alias("b")).select(
         "id", F.explode(F.array_distinct(F.array("a.key", "b.key"))).alias("key"))
     few = stored(shared.join(two, ["id", "key"]).withColumn("component", c("id")), "jaccard-few")
-    pairs = stored(in_buckets(few, distinct_buckets(few), firsts, _nearest, _PAIRS, bands), "jaccard-pairs")
+    pairs = stored(in_buckets(few, distinct_buckets(few, grouped=False), firsts, _nearest, _PAIRS, bands), "jaccard-pairs")
     sets = _sets_of(texts, _ids(pairs), k)
     links = stored(verified(pairs, sets, percent), "jaccard-links")
 

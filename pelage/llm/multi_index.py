@@ -13,7 +13,9 @@ closer partners need less, so the recall over all links is higher than the
 target. Every visit is then verified by the exact cosine.
 
 Equal vectors of a label are one class with a weight, so copies cost nothing.
-Cells are cut into blocks of bounded size; a block is held while its visitors
+The cells of one row of the grid (one centre of the first half) and label lie
+together, cut into blocks of bounded size: a vector is sent once to a row that
+it visits, with the cells it reaches there. A block is held while its visitors
 stream past, and only spanning edges leave it.
 
 Cases: a vector that is NULL, zero, or holds a NULL or a non-finite number, and
@@ -142,22 +144,31 @@ def _place(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
+            first, second = index.home(_units(part.column("embedding"), index.dims))
             yield pa.RecordBatch.from_pydict({
                 "id": part.column("id"), "label": part.column("label"), "weight": part.column("weight"),
                 "embedding": part.column("embedding"),
-                "cell": pa.array(index.cells(_units(part.column("embedding"), index.dims)), pa.int32())})
+                "first": pa.array(first, pa.int32()), "second": pa.array(second, pa.int32())})
 
 
 def _visit(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    """One row for each row of the grid that a vector visits, with the cells of that row."""
+    width = len(index.books[1])
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            found = [cells for _, cells in index.visits(_units(part.column("embedding"), index.dims))]
-            rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            owners, firsts, seconds = [], [], []
+            for owner, cells in index.visits(_units(part.column("embedding"), index.dims)):
+                cells = np.sort(cells)
+                first, start = np.unique(cells // width, return_index=True)
+                owners.append(np.full(len(first), owner))
+                firsts.append(first)
+                seconds += np.split((cells % width).astype(np.int32), start[1:])
+            rows = pa.array(np.concatenate(owners))
             yield pa.RecordBatch.from_pydict({
                 "id": part.column("id").take(rows), "label": part.column("label").take(rows),
                 "embedding": part.column("embedding").take(rows),
-                "cell": pa.array(np.concatenate(found), pa.int32())})
+                "first": pa.array(np.concatenate(firsts), pa.int32()), "seconds": pa.array(seconds, pa.list_(pa.int32()))})
 
 
 class _Held:
@@ -169,6 +180,7 @@ class _Held:
         self.weights = np.asarray(table.column("weight"))
         self.sizes = np.asarray(pa.compute.list_value_length(table.column("embedding")))
         self.units = _units(table.column("embedding"), dims)
+        self.second = np.asarray(table.column("seconds").flatten())
         self.root = np.arange(len(self.ids))
         self.linked = np.zeros(len(self.ids), bool)
 
@@ -178,6 +190,12 @@ class _Held:
         sizes = np.asarray(pa.compute.list_value_length(visitors.column("embedding")))
         link = _units(visitors.column("embedding"), dims) @ self.units.T >= threshold
         link &= (ids[:, None] != self.ids[None, :]) & (sizes[:, None] == self.sizes[None, :])
+        # Only the cells of this row of the grid that the traversal reached.
+        counts = np.asarray(pa.compute.list_value_length(visitors.column("seconds")))
+        cells = np.asarray(visitors.column("seconds").flatten())
+        visited = np.zeros((len(ids), max(self.second.max(initial=0), cells.max(initial=0)) + 1), bool)
+        visited[np.repeat(np.arange(len(ids)), counts), cells] = True
+        link &= visited[:, self.second]
         hit = np.flatnonzero(link.any(1))
         target = np.zeros(len(hit), np.int64)
         for k, row in enumerate(hit):
@@ -226,9 +244,12 @@ def _meet(batches: Iterator[pa.RecordBatch], dims: int, threshold: float) -> Ite
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding",
                     threshold: float = 0.93, target_recall: float = 0.999, size: int | None = None) -> DataFrame:
     """``id, n_links, component`` for every row: vectors of its label with cosine >= threshold."""
+    # Single precision travels as it is; tasks compute in double.
+    vector_type = vectors.schema[vector_col].dataType.simpleString()
+    vector_type = vector_type if vector_type == "array<float>" else "array<double>"
     rows = vectors.select(
         c(id_col).cast("long").alias("id"), c(label_col).alias("label"),
-        c(vector_col).cast("array<double>").alias("embedding"))
+        c(vector_col).cast(vector_type).alias("embedding"))
     usable = (c("id").isNotNull() & c("label").isNotNull() & c("embedding").isNotNull()
               & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
               & F.exists("embedding", lambda x: x != 0))
@@ -240,22 +261,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str =
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), c("id").alias("component"))
     kind = classes.schema["label"].dataType.simpleString()
     members = stored(classes.select("id", "label", "weight", "embedding").mapInArrow(
-        lambda b: _place(b, index), f"id long, label {kind}, weight long, embedding array<double>, cell int"), "index-members")
-    sizes = members.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n")).select(
-        "label", "cell", F.ceil(c("n") / BLOCK).cast("int").alias("blocks"))
+        lambda b: _place(b, index), f"id long, label {kind}, weight long, embedding {vector_type}, first int, second int"), "index-members")
+    sizes = members.groupBy("label", "first").agg(F.count(F.lit(1)).alias("n")).select(
+        "label", "first", F.ceil(c("n") / BLOCK).cast("int").alias("blocks"))
     visitors = classes.select("id", "label", "embedding").mapInArrow(
-        lambda b: _visit(b, index), f"id long, label {kind}, embedding array<double>, cell int")
-    inside = members.join(sizes, ["label", "cell"]).select(
-        "label", "cell", F.pmod(F.xxhash64("id"), c("blocks")).cast("int").alias("block"), F.lit(0).alias("role"),
-        "id", "weight", "embedding")
-    # Empty cells have no size and drop their visitors.
-    coming = visitors.join(sizes, ["label", "cell"]).select(
-        "label", "cell", F.explode(F.sequence(F.lit(0), c("blocks") - 1)).alias("block"), F.lit(1).alias("role"),
-        "id", F.lit(1).cast("long").alias("weight"), "embedding")
+        lambda b: _visit(b, index), f"id long, label {kind}, embedding {vector_type}, first int, seconds array<int>")
+    inside = members.join(sizes, ["label", "first"]).select(
+        "label", "first", F.pmod(F.xxhash64("id"), c("blocks")).cast("int").alias("block"), F.lit(0).alias("role"),
+        "id", "weight", "embedding", F.array("second").alias("seconds"))
+    # A vector goes once to each block of the rows of the grid that it visits; empty ones have no size and drop it.
+    coming = visitors.join(sizes, ["label", "first"]).select(
+        "label", "first", F.explode(F.sequence(F.lit(0), c("blocks") - 1)).alias("block"), F.lit(1).alias("role"),
+        "id", F.lit(1).cast("long").alias("weight"), "embedding", "seconds")
     width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = inside.union(coming).withColumn("unit", F.xxhash64("label", "cell", "block"))
+    units = inside.union(coming).withColumn("unit", F.xxhash64("label", "first", "block"))
     met = stored(units.repartition(width, "unit").sortWithinPartitions("unit", "role").select(
-        "unit", "role", "id", "weight", "embedding").mapInArrow(
+        "unit", "role", "id", "weight", "embedding", "seconds").mapInArrow(
             lambda b: _meet(b, index.dims, threshold), "id long, links long, mate long"), "index-met")
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(met.select(c("id").alias("a"), c("mate").alias("b")), "index")

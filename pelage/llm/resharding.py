@@ -204,7 +204,10 @@ def layout(docs: DataFrame, key: Column, placed: DataFrame, path: str) -> DataFr
     to, shard = unused(docs, "_to", "shard")
     schema = T.StructType([*docs.schema.fields, T.StructField(shard, T.IntegerType())])
     written = docs.sparkSession.read.schema(schema).parquet(path)
-    moves = placed.where("old <> shard")
-    touched = moves.select("shard").union(moves.select("old")).distinct()
-    still = placed.join(F.broadcast(touched), "shard", "left_anti").groupBy(c("key").alias(to)).agg(F.min("shard").alias(shard))
+    ends = placed.groupBy("old", "shard").count().select("old", "shard").collect()  # at most one row per two shards
+    touched = {x for old, new in ends if old != new for x in (old, new)}
+    kept = sorted({new for _, new in ends} - touched)
+    if not kept:
+        return written
+    still = placed.groupBy(c("key").alias(to)).agg(F.min("shard").alias(shard)).where(c(shard).isin(kept))
     return written.unionByName(docs.join(still, key.eqNullSafe(c(to))).select(*docs.columns, shard))

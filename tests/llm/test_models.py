@@ -55,6 +55,29 @@ def test_links_against_brute_force(spark, vectors, monkeypatch, recall, block):
         assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values())
 
 
+def partners(cosine, n, seed=0, dims=64, groups=40):
+    """Unit vectors in loose groups and a partner of each at exactly this cosine in a random direction."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(groups, dims))[rng.integers(0, groups, n)] + 1.5 * rng.normal(size=(n, dims))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.normal(size=(n, dims))
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    both = np.concatenate([base, cosine * base + np.sqrt(1 - cosine ** 2) * away])
+    return [(i, 0, [float(x) for x in v]) for i, v in enumerate(both)]
+
+
+@pytest.mark.parametrize("cosine", [0.9301, 0.95, 0.99])
+def test_recall_of_partners_at_a_cosine(spark, cosine):
+    """64 dimensions, links of every strictness; the exact setting finds all."""
+    n = 700
+    table = spark.createDataFrame(partners(cosine, n), "vec_id long, label int, embedding array<double>")
+    found = {r.id: r.n_links for r in multi_index.near_duplicates(table).collect()}
+    assert np.mean([found[i] >= 1 and found[i + n] >= 1 for i in range(n)]) >= 0.99
+    exact = {r.id: r.n_links for r in multi_index.near_duplicates(table, target_recall=1.0).collect()}
+    assert all(exact[i] >= 1 and exact[i + n] >= 1 for i in range(n))
+
+
 def test_traversal_goes_from_near_to_far():
     rng = np.random.default_rng(1)
     sample = rng.normal(size=(400, 10))
