@@ -219,6 +219,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``kept`` are the other bytes in order; ``spans`` the maximal removed runs (byte offsets).
     """
+    if not 32 <= length <= 62:
+        raise ValueError(f"strings of {length} bytes: the ranks of the suffix blocks hold for 32 to 62")
     texts = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text"))
     hits = stored(shared_keys(texts, lambda b: _pins(b, length, k)), "suffix-pins").select(
         "owner", c("keys").alias("hits"))

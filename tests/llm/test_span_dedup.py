@@ -75,3 +75,9 @@ def test_queries(spark, given, name, expected):
     df = QUERIES[name](spark, SF_DIR)
     columns = df.columns[:5] if name.startswith("op5") else df.columns[:4]
     assert sorted(tuple(r) for r in df.select(columns).collect()) == expected(given)
+
+
+@pytest.mark.parametrize("length", [10, 31, 63, 100])
+def test_lengths_that_the_ranks_do_not_hold_for_are_refused(edge_docs, length):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(edge_docs, length=length)
