@@ -41,11 +41,16 @@ def test_dense_labels_follow_names(folders):
     assert labels == {name: i for i, name in enumerate(sorted(labels))}
 
 
-def test_dense_labels_over_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(P, "RANGE_BUCKETS", 7)
-    monkeypatch.setattr(P, "_SAMPLE", 50)
+def test_dense_labels_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(P, "PARTS_PER_BLOCK", 3)
     names = spark.range(500).select(F.concat(F.lit("n"), (F.col("id") * 7919 % 500).cast("string")).alias("identity"))
-    labels = {r.identity: r.label for r in S.dense_label_ids(names).collect()}
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "false")
+        labels = {r.identity: r.label for r in S.dense_label_ids(names).collect()}
+    finally:
+        spark.conf.set(setting, before)
     assert labels == {name: i for i, name in enumerate(sorted(labels))} and len(labels) == 500
 
 
