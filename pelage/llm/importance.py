@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pelage.llm.hashing import (
     SLICE_BYTES, U64, Bytes, Words, prefix, slices, span_table, spans, text_bytes, word_runs,
 )
-from pelage.llm.storage import stored
+from pelage.llm.storage import released, small_batches, stored
 
 c = F.col
 
@@ -97,6 +97,7 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
     return np.concatenate([words.doc, words.doc[at]]), np.concatenate([bucket(words.hash), bucket(pairs)])
 
 
+@released
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in slices(batches, "text"):
@@ -109,6 +110,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         "bucket": pa.array(at, pa.int32()), "raw": pa.array(raw[at]), "target": pa.array(target[at])})
 
 
+@released
 def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per n-gram bucket and side, each once; bucket -1 counts all of them."""
     sides, total = np.zeros((2, TOXIC_BUCKETS), np.int64), np.zeros(2, np.int64)
@@ -236,7 +238,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -> M
         "text", c("target_id").isNotNull().alias("target"))
     counted = marked.mapInArrow(_counts, "bucket int, raw long, target long")
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    return Models(sums.collect(), chosen)
+    return Models(stored(sums, "importance-counts").collect(), chosen)
 
 
 def fit_toxic(docs: DataFrame, toxic: DataFrame, harmless: DataFrame, id_col: str, text_col: str) -> ToxicModels:
@@ -248,7 +250,7 @@ def fit_toxic(docs: DataFrame, toxic: DataFrame, harmless: DataFrame, id_col: st
     marked = rows.join(F.broadcast(drawn), c("id") == c("labelled_id")).select("text", "toxic")
     counted = marked.mapInArrow(_toxic_counts, "bucket int, harmless long, toxic long")
     sums = counted.groupBy("bucket").agg(F.sum("harmless").alias("harmless"), F.sum("toxic").alias("toxic"))
-    return ToxicModels(sums.toArrow(), sides[1], sides[0])
+    return ToxicModels(stored(sums, "importance-toxic-counts").toArrow(), sides[1], sides[0])
 
 
 def weights(key: Column, text: Column, models: Models, toxic: ToxicModels | None = None) -> Column:
@@ -350,5 +352,7 @@ class Sampler:
         """The drawn rows of ``docs`` with all their columns; no join, the key is computed again in place."""
         if self.cut is None:
             return docs.limit(0)
+        # The caller runs the result: whole texts go to Python, so in small batches.
+        small_batches(docs.sparkSession)
         w = self._weights()
         return docs.where(self._kept(self._key(w["log_ratio"], c(self.id_col)), w["toxicity"]))

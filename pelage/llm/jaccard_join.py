@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pelage.llm.components import components
 from pelage.llm.hashing import U64, mix, pack, prefix, slices, spans, split_words, text_bytes, unpack, word_runs
 from pelage.llm.shared_keys import shared_keys
-from pelage.llm.storage import stored
+from pelage.llm.storage import released, stored
 
 c = F.col
 
@@ -146,6 +146,7 @@ def _measures(sets: list[np.ndarray]) -> dict[str, pa.Array]:
         "f2": pa.array([int(mix(s + U64(1)).sum(dtype=U64).view(np.int64)) for s in sets], pa.int64())}
 
 
+@released
 def _summaries(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sets = shingle_sets(batch.column("text"), k)
@@ -156,6 +157,7 @@ def _summaries(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Itera
         })
 
 
+@released
 def _keyed(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sets = shingle_sets(batch.column("text"), k)
@@ -164,6 +166,7 @@ def _keyed(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[
             "keys": pa.array([pack(piece_keys(s, bands), "<u8") if len(s) else b"" for s in sets], pa.binary())})
 
 
+@released
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -324,6 +327,7 @@ def _spanning(units: _Units) -> Iterator[pa.RecordBatch]:
 
 def _by_unit(work: Work, bands: Bands):
     """Runs ``work`` over whole cells, some thousands of rows at a time."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -486,6 +490,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "id", c("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
+@released
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sets = shingle_sets(batch.column("text"), k)

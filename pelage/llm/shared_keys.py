@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pelage.llm.hashing import U64, mix, pack, unpack
+from pelage.llm.storage import released
 
 CHUNK_KEYS = 1 << 18
 _PACKED = "part int, owners binary, counts binary, keys binary, known binary"
@@ -47,6 +48,7 @@ def _split(key: np.ndarray, owner: np.ndarray, later: bool) -> tuple[np.ndarray,
     return repeated, ~repeated, key[repeated & ~same]
 
 
+@released
 def _chunks(batches: Iterator[pa.RecordBatch], parts: int, later: bool) -> Iterator[pa.RecordBatch]:
     def settle(owners: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
         owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
@@ -103,6 +105,7 @@ def _by_owner(owner: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatc
         [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, _HITS.types)], schema=_HITS)
 
 
+@released
 def _settle_part(batches: Iterator[pa.RecordBatch], later: bool, buckets: int) -> Iterator[pa.RecordBatch]:
     keys, owners, known = [], [], []
     for batch in batches:
@@ -128,6 +131,7 @@ def _settle_part(batches: Iterator[pa.RecordBatch], later: bool, buckets: int) -
         yield _by_owner(owner[hit], key[hit], buckets)
 
 
+@released
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per owner with its distinct keys in order."""
     owners, keys = [], []

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pelage.session import materialize
@@ -31,3 +35,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+def small_batches(spark) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows, for results that are used outside ``stored``."""
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(spark.conf.get(_BATCH, "10000")))))
+
+
+def released(task):
+    """A task function that gives its memory back to the system when it ends; an idle Python worker keeps it otherwise."""
+    @wraps(task)
+    def run(*args, **kwargs):
+        try:
+            yield from task(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
