@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pelage.functions.vectors import l2_norm
-from pelage.operators.retrieval import _best_columns
-from pelage.operators.tiles import Block, block_count, label_codes, similarity_codes, tile_join
+from pelage.operators.retrieval import Best, _best_columns, missing_last
+from pelage.operators.tiles import Block, TileReduce, block_count, label_codes, same_cells, scaled_similarities, tile_join
 
 c = F.col
 
@@ -231,33 +231,39 @@ def smoothed_cross_entropy(items: DataFrame, prototypes: DataFrame, head: Head =
     return per_item.agg(F.avg(loss).alias("loss"), F.count("*").alias("n_items"))
 
 
+class _Partners(TileReduce):
+    """The most similar item of the same and of another label, per item of a block."""
+
+    def start(self, left: Block):
+        return left, (Best(len(left.ids), 1), Best(len(left.ids), 1))
+
+    def add(self, state, right: Block) -> None:
+        left, (same, other) = state
+        values = missing_last(scaled_similarities(left, right), left, right)
+        values[same_cells(left.ids, right.ids)] = -np.inf
+        a, b = label_codes(left, right)
+        equal = a[:, None] == b[None, :]
+        same.add(np.where(equal, values, -np.inf), right.ids)
+        values[equal] = -np.inf
+        other.add(values, right.ids)
+
+    def result(self, state) -> dict:
+        left, kinds = state
+        return {
+            "anchor": np.concatenate([left.ids[x.row] for x in kinds]),
+            "found": np.concatenate([x.taken[0] if x.taken else left.ids[:0] for x in kinds]),
+            "code": np.concatenate([x.code for x in kinds]),
+            "is_same": np.concatenate([np.full(len(x.row), wanted) for x, wanted in zip(kinds, (True, False))])}
+
+
 def triplets(items: DataFrame) -> DataFrame:
     """``anchor, positive, negative``: per item its most similar item of the same
     and of another label; items that lack one of them are left out."""
     items = items.select("id", "label", "embedding").filter(c("label").isNotNull())
     id_type = items.schema["id"].dataType.simpleString()
     blocks = block_count(items.count())
-    none = np.iinfo(np.int64).min
-
-    def nearest(left: Block, right: Block, _diagonal: bool) -> dict:
-        codes = similarity_codes(left, right)
-        a, b = label_codes(left, right)
-        same = a[:, None] == b[None, :]
-        codes[left.ids[:, None] == right.ids[None, :]] = none
-        ids, found, code, is_same = [], [], [], []
-        for wanted in (True, False):
-            rows, cols, _ = _best_columns(np.where(same == wanted, codes, none), right.ids, 1)
-            real = (same[rows, cols] == wanted) & (codes[rows, cols] != none)
-            rows, cols = rows[real], cols[real]
-            ids.append(left.ids[rows])
-            found.append(right.ids[cols])
-            code.append(codes[rows, cols])
-            is_same.append(np.full(len(rows), wanted))
-        return {"anchor": np.concatenate(ids), "found": np.concatenate(found),
-                "code": np.concatenate(code), "is_same": np.concatenate(is_same)}
-
     schema = f"anchor {id_type}, found {id_type}, code long, is_same boolean"
-    tiles = tile_join(items, items, nearest, schema, blocks=(blocks, blocks))
+    tiles = tile_join(items, items, _Partners(), schema, blocks=(blocks, blocks))
     rank = F.struct((-c("code")).alias("neg"), "found")
     return tiles.groupBy("anchor").agg(
         F.min(F.when(c("is_same"), rank))["found"].alias("positive"),

@@ -37,6 +37,8 @@ WORTHWHILE = 0.25
 _ZERO_CELL = -1
 # Covers the rounding of angles near 0.
 _ANGLE_MARGIN = 2e-7
+# Probes whose visits a task works out together, and visits that it hands on at once.
+PROBES_AT_ONCE, VISITS_AT_ONCE = 512, 8_192
 
 
 def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -231,14 +233,16 @@ def by_tree(probes: DataFrame, k: int, gallery: DataFrame | None, tree: Tree) ->
 
     def candidates(batches):
         for batch in batches:
-            unit = unit_vectors(pa.chunked_array([batch.column("embedding")]))
-            if not len(unit):
-                continue
-            row, part = tree.visits(unit, batch.column("kth").to_numpy(), batch.column("cell").to_numpy(), filled)
-            taken = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(taken), batch.column("embedding").take(taken), pa.array(part, pa.int32())],
-                ["id", "embedding", "cell"])
+            # A probe may visit thousands of parts, each time with its vector: few probes, and few visits, at a time.
+            for at in range(0, batch.num_rows, PROBES_AT_ONCE):
+                some = batch.slice(at, PROBES_AT_ONCE)
+                unit = unit_vectors(pa.chunked_array([some.column("embedding")]))
+                rows, parts_of = tree.visits(unit, some.column("kth").to_numpy(), some.column("cell").to_numpy(), filled)
+                for low in range(0, len(rows), VISITS_AT_ONCE):
+                    taken = pa.array(rows[low:low + VISITS_AT_ONCE], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("id").take(taken), some.column("embedding").take(taken),
+                         pa.array(parts_of[low:low + VISITS_AT_ONCE], pa.int32())], ["id", "embedding", "cell"])
 
     visits = materialize(
         bounded.mapInArrow(candidates, f"id {id_type}, embedding {vector_type}, cell int"), "pruned-visits")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from pelage.operators.prefix import positions, running
 from pelage.operators.tiles import (
-    BLOCK_ROWS, SCALE, SPREAD, Block, block_count, block_of, group_tiles, similarity_codes, streamed_tiles, tile_join, unit_vectors,
+    BLOCK_ROWS, SCALE, SPREAD, Block, TileReduce, block_count, block_of, group_tiles, same_cells, scaled_similarities,
+    similarity_codes, streamed_tiles, tile_join, unit_vectors,
 )
 from pelage.session import materialize
 
@@ -25,6 +26,8 @@ c = F.col
 _LEVELS_PER_BLOCK = 4_000_000
 # Gallery rows that pass one block of probes in one task.
 _STRIPE_ROWS = 1 << 20
+# Probes that pass a held gallery in one task, and similarities that it keeps at a time.
+_PROBES_PER_TASK, _CODES_HELD = 16_384, 1 << 23
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -56,22 +59,80 @@ def _best_columns(codes: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarra
 _SELF = np.iinfo(np.int64).min
 
 
-def nearest_in_tile(probes: DataFrame, gallery: DataFrame, k: int, with_label: bool = False):
-    """Tile function that returns each probe's ``k`` best of a gallery block, and its schema."""
-    def best(left: Block, right: Block, _diagonal: bool) -> dict:
-        codes = similarity_codes(left, right)
-        codes[left.ids[:, None] == right.ids[None, :]] = _SELF
-        rows, cols, _ = _best_columns(codes, right.ids, k)
-        real = codes[rows, cols] != _SELF
-        rows, cols = rows[real], cols[real]
-        out = {"probe_id": left.ids[rows], "gallery_id": right.ids[cols], "code": codes[rows, cols]}
-        if with_label:
-            same = left.labels[rows] == right.labels[cols]
-            out["is_match"] = np.asarray(same, dtype=bool)
+def missing_last(values: np.ndarray, left: Block, right: Block) -> np.ndarray:
+    """Similarities to vectors that hold no numbers stand below all others, as the cells of an item with itself do."""
+    if not (np.isfinite(left.unit).all() and np.isfinite(right.unit).all()):
+        values[np.isnan(values)] = -np.inf
+    return values
+
+
+class Best:
+    """The ``k`` best cells of each row seen so far (code desc, id asc), kept while pieces go by.
+
+    Only cells that come near a row's ``k``-th best are rounded and sorted.
+    """
+
+    def __init__(self, rows: int, k: int):
+        self.k = k
+        self.floor = np.full(rows, -np.inf)
+        self.row, self.code = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.taken: list[np.ndarray] | None = None
+
+    def add(self, values: np.ndarray, *columns: np.ndarray) -> None:
+        """Cells of one piece, ``-inf`` for none; the first of ``columns`` (one entry per column of cells) is the id."""
+        floor, wide = self.floor, values.shape[1]
+        if wide > self.k and (open_rows := np.flatnonzero(floor == -np.inf)).size:
+            part = values if open_rows.size == len(values) else values[open_rows]
+            kth = part.max(axis=1) if self.k == 1 else np.partition(part, wide - self.k, axis=1)[:, wide - self.k]
+            floor = floor.copy()
+            floor[open_rows] = kth
+        # A unit below the floor: rounding moves a cell by half of one.
+        rows, cols = np.nonzero(values >= (floor - 1.0)[:, None])
+        found = values[rows, cols]
+        real = found != -np.inf
+        rows, cols, found = rows[real], cols[real], np.rint(found[real]).astype(np.int64)
+        if not len(rows) and self.taken is not None:
+            return
+        given = [x[cols] for x in columns]
+        row, code = np.concatenate([self.row, rows]), np.concatenate([self.code, found])
+        taken = given if self.taken is None else [np.concatenate(x) for x in zip(self.taken, given)]
+        order = np.lexsort((taken[0], -code, row))
+        row = row[order]
+        starts = np.searchsorted(row, np.arange(len(self.floor) + 1))
+        keep = np.arange(len(row)) - starts[row] < self.k
+        order = order[keep]
+        self.row, self.code, self.taken = row[keep], code[order], [x[order] for x in taken]
+        full = np.flatnonzero(np.diff(starts) >= self.k)
+        ends = np.searchsorted(self.row, full, "right") - 1
+        self.floor[full] = self.code[ends]
+
+
+class _Nearest(TileReduce):
+    def __init__(self, k: int, with_label: bool):
+        self.k, self.with_label = k, with_label
+
+    def start(self, left: Block):
+        return left, Best(len(left.ids), self.k)
+
+    def add(self, state, right: Block) -> None:
+        left, best = state
+        values = missing_last(scaled_similarities(left, right), left, right)
+        values[same_cells(left.ids, right.ids)] = -np.inf
+        best.add(values, right.ids, *([right.labels] if self.with_label else []))
+
+    def result(self, state) -> dict:
+        left, best = state
+        ids, *labels = best.taken or [np.zeros(0, left.ids.dtype)] * (1 + self.with_label)
+        out = {"probe_id": left.ids[best.row], "gallery_id": ids, "code": best.code}
+        if self.with_label:
+            out["is_match"] = np.asarray(left.labels[best.row] == labels[0], dtype=bool)
         return out
 
+
+def nearest_in_tile(probes: DataFrame, gallery: DataFrame, k: int, with_label: bool = False):
+    """Tile function that returns each probe's ``k`` best of a gallery block, and its schema."""
     schema = f"probe_id {_type(probes, 'id')}, gallery_id {_type(gallery, 'id')}, code long"
-    return best, schema + (", is_match boolean" if with_label else "")
+    return _Nearest(k, with_label), schema + (", is_match boolean" if with_label else "")
 
 
 def best_of_tiles(partial: DataFrame, k: int) -> DataFrame:
@@ -190,15 +251,29 @@ def identity_rank(gallery: DataFrame, probes: DataFrame | None = None) -> DataFr
     blocks = block_count(rows)
 
     def beaten(left: Block, right: Block, _diagonal: bool) -> dict:
-        codes = similarity_codes(left, right)
+        values = scaled_similarities(left, right)
         best_code, best_id = left.column("best_code"), left.column("best_id")
-        ahead = codes > best_code[:, None]
-        ties = codes == best_code[:, None]
-        if ties.any():
-            ahead |= ties & (right.ids[None, :] < best_id[:, None])
-        ahead &= right.ids[None, :] != left.ids[:, None]
-        ahead &= right.ids[None, :] != best_id[:, None]
-        return {"id": left.ids, "ahead": ahead.sum(axis=1)}
+
+        def wins(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+            code = np.rint(values[rows, cols])
+            won = code > best_code[rows]
+            tied = np.flatnonzero(code == best_code[rows])
+            won[tied] = right.ids[cols[tied]] < best_id[rows[tied]]
+            return won
+
+        # Rounding decides only next to the best code; further up a cell is ahead for sure.
+        sure, near = values > best_code[:, None] + 0.75, values >= best_code[:, None] - 0.75
+        ahead = np.count_nonzero(sure, axis=1)
+        open_rows = np.flatnonzero(np.count_nonzero(near, axis=1) != ahead)
+        rows, cols = np.nonzero(near[open_rows] & ~sure[open_rows])
+        rows = open_rows[rows]
+        np.add.at(ahead, rows, wins(rows, cols))
+        # Neither the item itself nor its partner beats the partner.
+        own = [same_cells(x, right.ids) for x in (left.ids, best_id)]
+        cells = np.unique(np.concatenate([r * len(right.ids) + k for r, k in own]))
+        rows, cols = np.divmod(cells, max(len(right.ids), 1))
+        np.subtract.at(ahead, rows, wins(rows, cols))
+        return {"id": left.ids, "ahead": ahead}
 
     counts = tile_join(
         ranked, gallery.select("id", "embedding"), beaten, f"id {id_type}, ahead long", blocks=(blocks, blocks))
@@ -290,6 +365,64 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield finished(*held)
 
 
+class _Held:
+    """A gallery in the order of its places, as it was given; probes are ranked in it one by one."""
+
+    def __init__(self, pieces: list[pa.Table]):
+        order = np.argsort(np.concatenate([x.column("place").to_numpy() for x in pieces]))
+        units = [x.column("embedding").combine_chunks() for x in pieces]
+        flat = pa.concat_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in units])
+        self.vectors = flat.take(pa.array(order))
+        self.rows = len(order)
+
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        found = np.empty((len(unit), self.rows), np.int32)
+        for at in range(0, self.rows, BLOCK_ROWS):
+            values = unit @ unit_vectors(pa.chunked_array([self.vectors.slice(at, BLOCK_ROWS)])).T
+            values *= SCALE
+            with np.errstate(invalid="ignore"):
+                found[:, at:at + BLOCK_ROWS] = np.rint(values, out=values)
+        return found
+
+    def precision(self, codes: np.ndarray, place: int, group: int, n: int, exclude_self: bool) -> float:
+        own, at = codes[place], place - group
+        levels = np.sort(np.delete(codes[group:group + n], at))
+        relevant = len(levels) - np.searchsorted(levels, levels, "left")
+        above = self.rows - np.searchsorted(np.sort(codes), levels, "left")
+        if exclude_self:
+            above = above - (own >= levels)
+        return float((relevant / above).mean())
+
+
+def _ranked_whole(own: DataFrame, rows: int, exclude_self: bool) -> DataFrame:
+    """``place, ap``: a task holds the gallery and lets its share of the probes pass, so a vector is copied
+    once per task, and a probe's similarities exist while it is ranked."""
+    tasks = max(min(SPREAD, -(-rows // 128)), min(3 * SPREAD, -(-rows // BLOCK_ROWS)), -(-rows // _PROBES_PER_TASK))
+    columns = ["place", "group", "n", "embedding"]
+    gallery = own.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
+    probes = own.filter(c("n") > 1).withColumn("_t", F.pmod(F.xxhash64("place"), F.lit(tasks)).cast("long"))
+
+    def measured(parts: Iterator[tuple[int, pa.Table]]) -> Iterator[dict]:
+        pieces: list[pa.Table] = []
+        held = None
+        for side, piece in parts:
+            if side == 0:
+                pieces.append(piece)
+                continue
+            if held is None:
+                held, pieces = _Held(pieces), []
+            unit = unit_vectors(piece.column("embedding"))
+            place, group, n = (piece.column(k).to_numpy() for k in ("place", "group", "n"))
+            step, ap = max(1, _CODES_HELD // held.rows), []
+            for at in range(0, len(place), step):
+                found = held.codes(unit[at:at + step])
+                ap += [held.precision(codes, *x, exclude_self) for codes, x in zip(found, zip(
+                    place[at:at + step].tolist(), group[at:at + step].tolist(), n[at:at + step].tolist()))]
+            yield {"place": place, "ap": np.array(ap)}
+
+    return streamed_tiles([gallery.select(*columns, "_t"), probes.select(*columns, "_t")], tasks, measured, "place long, ap double")
+
+
 def average_precision(items: DataFrame, exclude_self: bool = False) -> DataFrame:
     """``id, ap``: tie-grouped average precision of each item that has a partner.
 
@@ -297,8 +430,9 @@ def average_precision(items: DataFrame, exclude_self: bool = False) -> DataFrame
     metric is usually reported for all-against-all matrices; ``exclude_self``
     takes it out.
 
-    Items are numbered along (label, id) and cut into blocks of about
-    ``_LEVELS_PER_BLOCK`` partner similarities. A task holds a block's probes,
+    Items are numbered along (label, id). Up to ``_STRIPE_ROWS`` of them are held
+    by each task as the gallery, and the probes are dealt out. More are cut into
+    blocks of about ``_LEVELS_PER_BLOCK`` partner similarities. A task holds a block's probes,
     computes those similarities when the partners pass, and counts a whole
     stripe of the gallery against them; per probe one row leaves it, with the
     sum of the precisions where one stripe is the whole gallery. Partners of a
@@ -309,7 +443,12 @@ def average_precision(items: DataFrame, exclude_self: bool = False) -> DataFrame
     placed = positions(known, ["label", "id"], "place")
     least = max(1, _LEVELS_PER_BLOCK // BLOCK_ROWS)
     n = c("n")
-    sizes = placed.groupBy("label").agg(F.count("*").alias("n"), F.min("place").alias("group")).withColumns({
+    whole = materialize(placed.groupBy("label").agg(F.count("*").alias("n"), F.min("place").alias("group")), "label-sizes")
+    rows = whole.agg(F.sum("n")).first()[0] or 0
+    if rows <= _STRIPE_ROWS:
+        ap = _ranked_whole(placed.join(whole, "label"), max(rows, 1), exclude_self)
+        return placed.select("id", "place").join(ap, "place").select("id", "ap")
+    sizes = whole.withColumns({
         "chunks": F.ceil(n / _LEVELS_PER_BLOCK), "weight": F.greatest(F.ceil(n / F.ceil(n / _LEVELS_PER_BLOCK)), F.lit(least))})
     labels = materialize(running(
         sizes, [], ["label"], {"base": ("sum", F.when(n > 1, n * c("chunks") * c("weight")).otherwise(0))}, inclusive=False), "labels")

@@ -21,8 +21,13 @@ def bin_counts(codes: np.ndarray, intervals: list[Interval]) -> dict[str, np.nda
     """Tile side: counts of the codes of each interval per bin."""
     slots, bins, counts = [], [], []
     for slot, (low, high, width) in enumerate(intervals):
-        inside = codes[(codes >= low) & (codes < high)]
-        found, n = np.unique((inside - low) // width, return_counts=True)
+        inside = (codes[(codes >= low) & (codes < high)] - low) // width
+        if -(-(high - low) // width) <= BINS:
+            counted = np.bincount(inside)
+            found = np.flatnonzero(counted)
+            n = counted[found]
+        else:
+            found, n = np.unique(inside, return_counts=True)
         slots.append(np.full(len(found), slot))
         bins.append(found)
         counts.append(n)

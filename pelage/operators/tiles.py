@@ -60,6 +60,20 @@ class Block:
 TileFn = Callable[[Block, Block, bool], "dict[str, object] | None"]
 
 
+class TileReduce:
+    """A tile function that goes on from piece to piece: a block's piece is started once, meets every piece of the
+    other block, and returns its columns at the end, so that a tile holds what it will return and no more."""
+
+    def start(self, left: Block) -> object:
+        raise NotImplementedError
+
+    def add(self, state, right: Block) -> None:
+        raise NotImplementedError
+
+    def result(self, state) -> dict[str, object]:
+        raise NotImplementedError
+
+
 def _plain(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy()
 
@@ -79,9 +93,31 @@ def unit_vectors(column: pa.ChunkedArray) -> np.ndarray:
     return matrix / np.where(norms > 0, norms, 1.0)[:, None]
 
 
+def scaled_similarities(left: Block, right: Block) -> np.ndarray:
+    """Cosine of every row of ``left`` with every row of ``right``, in units of ``SCALE`` before rounding."""
+    values = left.unit @ right.unit.T
+    values *= SCALE
+    return values
+
+
 def similarity_codes(left: Block, right: Block) -> np.ndarray:
-    """Cosine of every row of ``left`` with every row of ``right``, as integers."""
-    return np.rint(left.unit @ right.unit.T * SCALE).astype(np.int64)
+    """The same, as integers."""
+    values = scaled_similarities(left, right)
+    return np.rint(values, out=values).astype(np.int64)
+
+
+def same_cells(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the cells where the ids of both sides are equal, found by a sort."""
+    if any(x.dtype == object and any(v is None for v in x) for x in (left, right)):
+        return np.nonzero(left[:, None] == right[None, :])
+    order = np.argsort(right, kind="stable")
+    ordered = right[order]
+    first = np.searchsorted(ordered, left, "left")
+    n = np.searchsorted(ordered, left, "right") - first
+    rows = np.repeat(np.arange(len(left)), n)
+    cols = order[np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+    equal = left[rows] == right[cols]
+    return rows[equal], cols[equal]
 
 
 def unit_codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:
@@ -126,9 +162,17 @@ def _pieces(table: pa.Table, vector: str | None) -> Iterator[Block]:
         yield _block(table.slice(at, BLOCK_ROWS), vector)
 
 
-def _meet(fn: TileFn, a: pa.Table, b: pa.Table, vector: str | None, diagonal: bool) -> list[dict[str, object] | None]:
+def _meet(
+    fn: TileFn | TileReduce, a: pa.Table, b: pa.Table, vector: str | None, diagonal: bool,
+) -> list[dict[str, object] | None]:
     """All pieces of one block with all of another; the first block is held, the second goes by."""
     held = list(_pieces(a, vector))
+    if isinstance(fn, TileReduce):
+        states = [fn.start(left) for left in held]
+        for right in _pieces(b, vector):
+            for state in states:
+                fn.add(state, right)
+        return [fn.result(state) for state in states]
     return [fn(left, right, diagonal) for right in _pieces(b, vector) for left in held]
 
 
@@ -166,7 +210,7 @@ def _run(left: DataFrame, right: DataFrame, tasks: int, fn: Callable, schema: T.
 
 
 def cogroup_blocks(
-    left: DataFrame, right: DataFrame, keys: list[str], tasks: int, fn: TileFn, schema: str,
+    left: DataFrame, right: DataFrame, keys: list[str], tasks: int, fn: TileFn | TileReduce, schema: str,
     vector: str | None = "embedding",
 ) -> DataFrame:
     """Tiles given by ``keys`` on both sides, spread over up to ``tasks`` tasks."""
@@ -177,7 +221,7 @@ def cogroup_blocks(
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
             return arrow.empty_table()
-        return _arrow([fn(_block(a, vector), _block(b, vector), False)], arrow)
+        return _arrow(_meet(fn, a, b, vector, False), arrow)
 
     def side(df: DataFrame):
         return df.repartition(n, *keys).groupBy(*keys)
@@ -186,7 +230,7 @@ def cogroup_blocks(
 
 
 def placed_join(
-    left: DataFrame, right: DataFrame, key: str, fn: TileFn, schema: str, vector: str | None = "embedding",
+    left: DataFrame, right: DataFrame, key: str, fn: TileFn | TileReduce, schema: str, vector: str | None = "embedding",
 ) -> DataFrame:
     """The rows of both sides with the same ``key`` as a tile each; a side that is stored in buckets of the key stays there."""
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
@@ -198,7 +242,7 @@ def placed_join(
 
 
 def tile_join(
-    probes: DataFrame, gallery: DataFrame, fn: TileFn, schema: str, *,
+    probes: DataFrame, gallery: DataFrame, fn: TileFn | TileReduce, schema: str, *,
     blocks: tuple[int, int], vector: str | None = "embedding",
 ) -> DataFrame:
     """Every probe block against every gallery block.
@@ -317,8 +361,11 @@ def keep_upper(mask: np.ndarray | None, left: Block, right: Block, diagonal: boo
     return keep if mask is None else keep & mask
 
 
-def streamed_tiles(sides: list[DataFrame], tasks: int, fn: Callable, schema: str) -> DataFrame:
-    """Tiles whose sides pass through a task one after the other, none of them held as a whole by Spark.
+def streamed_tiles(
+    sides: list[DataFrame], tasks: int, fn: Callable, schema: str, order: tuple[str, ...] = (),
+) -> DataFrame:
+    """Tiles whose sides pass through a task one after the other, none of them held as a whole by Spark;
+    a side's rows come along ``order``.
 
     Each side carries the tile number ``_t`` and otherwise the same columns.
     ``fn(parts)`` gets the parts of one tile as ``(side, piece)``, sides in
@@ -344,5 +391,5 @@ def streamed_tiles(sides: list[DataFrame], tasks: int, fn: Callable, schema: str
             for found in fn((side, piece) for _, side, piece in parts):
                 yield from _arrow([found], arrow).to_batches()
 
-    dealt = rows.repartitionById(n, partition_of(n)).sortWithinPartitions("_t", "_side")
+    dealt = rows.repartitionById(n, partition_of(n)).sortWithinPartitions("_t", "_side", *order)
     return dealt.mapInArrow(run, schema)
