@@ -84,10 +84,15 @@ def test_vectors_without_numbers_are_nobodys_neighbour(spark):
     assert {r["anchor"] for r in heads.triplets(items).collect()} == {1, 3, 4, 5}
 
 
-def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 6])
+def test_stream_reads_a_table_of_one_or_many_files(spark, tmp_path, files):
     rows, items = _items(spark, 40)
-    folder = str(tmp_path / "embeddings.parquet")
-    items.select(F.col("id").alias("vec_id"), "label", "embedding").repartition(6).write.parquet(folder)
+    folder = tmp_path / "embeddings.parquet"
+    table = items.select(F.col("id").alias("vec_id"), "label", "embedding")
+    if files == 1:
+        table.toPandas().to_parquet(folder, index=False)
+    else:
+        table.repartition(files).write.parquet(str(folder))
     found = catalog.queries()["identify_stream"](spark, str(tmp_path))
     wanted = retrieval.topk_neighbors(items.select("id", "embedding"), 5)
     assert sorted(map(tuple, found.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
