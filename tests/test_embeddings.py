@@ -498,3 +498,28 @@ def test_search_by_cells_is_chosen_where_it_pays(spark, monkeypatch):
         want = {tuple(r) for r in R.topk_neighbors(items.select("id", "embedding"), 5).collect()}
         assert got == want
     assert used == ["tree", "plain"]
+
+
+def test_the_decision_is_made_on_vectors_that_are_no_pivots():
+    """A sample of some vectors per part, most of them sub-pivots: their own angle of 0 is not that of the others."""
+    vectors = np.random.default_rng(6).normal(size=(1717, 64))
+    sample = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert pruned.passing_share(sample, 10_256, 5) > pruned.WORTHWHILE
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.6])
+def test_a_probe_is_sent_to_a_cell_once(spark, small_blocks, monkeypatch, spread):
+    ids, label, vectors = make(seed=4, n=260, copies=60, spread=spread)
+    vectors[7:20] = 0
+    vectors[21:23] = np.nan
+    items = frame(spark, ids, label, vectors)
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    tree, seen = pruned.Tree(unit[np.isfinite(unit).all(axis=1)].astype(float), len(ids)), {}
+    plain = pruned.materialize
+    monkeypatch.setattr(pruned, "materialize", lambda df, name: seen.setdefault(name, plain(df, name)))
+    got = pruned.by_tree(items, 4, None, tree).collect()
+    want = R.topk_neighbors(items.select("id", "embedding"), 4).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == {tuple(r) for r in want}
+    visits = seen["pruned-visits"]
+    assert visits.count() == visits.select("id", "cell").distinct().count() > 0
+    assert visits.agg(F.max("cell")).first()[0] < len(tree.pivots)
