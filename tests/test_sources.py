@@ -18,6 +18,7 @@ from pelage.operators import file_benchmark as FB
 from pelage.operators import inference as I
 from pelage.operators import retrieval as R
 from pelage.operators import tiles
+from pelage.plans import catalog, io_queries
 from pelage.sources import files, label_files, readers, sinks
 from pelage.streaming import identify
 from pelage.streaming.identify import identify_stream
@@ -207,6 +208,31 @@ def test_a_failed_write_leaves_no_label_file(spark, tmp_path):
     assert not list(tmp_path.rglob("*.txt")) and not list(tmp_path.rglob("_list"))
 
 
+def test_label_files_to_be_read_stand_on_disk_some_at_a_time(spark, tmp_path, monkeypatch):
+    """Each portion is written and read once; the rows are those of all files at once, and the files are gone."""
+    orders = spark.range(300).select(c("id").alias("o_orderkey"), (c("id") % 7).alias("o_custkey"))
+    lineitem = spark.range(900).select(
+        (c("id") % 290).alias("l_orderkey"), (c("id") * 37 % 500).alias("l_partkey"), (c("id") * 11 % 70).alias("l_suppkey"),
+        c("id").cast("int").alias("l_linenumber"), (c("id") % 50).cast("double").alias("l_quantity"), F.lit(0.05).alias("l_discount"), F.lit("A").alias("l_returnflag"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lineitem.write.parquet(str(tmp_path / "lineitem.parquet"))
+    query, standing = catalog.queries()["read_yolo_labels"], []
+    want = sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+    roots, plain = [], sinks.write_yolo_detection
+
+    def write(images, boxes, root):
+        plain(images, boxes, root)
+        roots.append(root.removeprefix("file://"))
+        standing.append(sum(x.endswith(".txt") for r in roots for _, _, names in os.walk(r) for x in names))
+
+    monkeypatch.setattr(io_queries, "LABEL_FILES_AT_ONCE", 75)
+    monkeypatch.setattr(sinks, "write_yolo_detection", write)
+    got = sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+    assert got == want and len(got) > 500
+    assert len(standing) == 4 and sum(standing) == 300 and max(standing) < 150
+    assert not any(os.path.exists(r) for r in roots)
+
+
 def test_an_image_with_very_many_boxes_is_one_file_in_order(spark, tmp_path):
     lines = spark.range(30_000).select(
         F.lit("a/big.txt").alias("label_path"), c("id").alias("position"), F.array(F.lit(0), c("id") / 1e5, F.lit(0.5), F.lit(0.1), F.lit(0.1)).alias("box"),
