@@ -149,12 +149,12 @@ def word_runs(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, spans(sums, at, at + k)
 
 
-def pins(sums: np.ndarray, k: int, width: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``width`` k-grams (at most 64) the hash of its least gram and that gram's place.
+def least_grams(sums: np.ndarray, k: int, width: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``width`` k-grams (at most 64) its least gram and that gram's place.
 
-    The key depends on the window's content alone. ``within`` is each item's
-    place in its text; of equal grams in a window it picks one, so a text is cut
-    alike wherever it lies in a slice.
+    The gram but for its lowest 6 bits depends on the window's content alone.
+    ``within`` is each item's place in its text; of equal grams in a window it
+    picks one, so a text is cut alike wherever it lies in a slice.
     """
     n = len(sums) - k  # grams
     if n < width:
@@ -171,8 +171,13 @@ def pins(sums: np.ndarray, k: int, width: int, within: np.ndarray) -> tuple[np.n
         grams = np.minimum(grams[:-step], grams[step:])
         reach += step
     start = np.arange(len(grams))
-    place = start + (((grams & U64(63)).view(np.int64) - within[:len(grams)]) & 63)
-    return mix(grams >> U64(6)), place
+    return grams, start + (((grams & U64(63)).view(np.int64) - within[:len(grams)]) & 63)
+
+
+def pins(sums: np.ndarray, k: int, width: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each window's least gram (``least_grams``)."""
+    least, place = least_grams(sums, k, width, within)
+    return mix(least >> U64(6)), place
 
 
 def pack(values: np.ndarray, kind) -> bytes:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pelage.llm.compressed import compressed, unpacked
 from pelage.llm.hashing import (
-    U64, Bytes, key_lists, member, pack, pins, slices, spans, text_bytes, unpack,
+    U64, Bytes, key_lists, least_grams, member, mix, pack, slices, spans, text_bytes, unpack,
 )
 from pelage.llm.shared_keys import shared_keys
 from pelage.llm.storage import stored
@@ -37,24 +37,35 @@ from pelage.llm.suffix_blocks import repeated_elsewhere
 
 c = F.col
 
-# Contexts of one pin that a block takes; a text block is cut at the next pin after so many bytes.
+# Contexts of one pin that a block takes; a text block is cut at the next pin after so many bytes, and texts are
+# looked at so many bytes at a time: their 8-byte columns stay in a core's cache.
 HOT_CONTEXTS = 20_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 18
+SLICE_BYTES = 1 << 17
 
 
-def _strings(b: Bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, text number, pin hash, pin place) of every string of ``length`` bytes, and the prefix sums."""
+def _runs(b: Bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of ``length`` bytes in a row with the same pin: (first start, number of strings, text number, pin hash)
+    of each run, and the prefix sums."""
     n = len(b.data)
     sums = b.hashed()
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(U64), none, sums
+        return none, none, none, none.astype(U64), sums
     sizes = np.diff(b.offsets)
-    key, pin = pins(sums, k, length - k + 1, np.arange(n) - np.repeat(b.offsets[:-1], sizes))
-    # Text number by position; a string must end where its text does at the latest.
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    start = np.flatnonzero(doc[: n - length + 1] == doc[length - 1:])
-    return start, doc[start], key[start], pin[start], sums
+    least, pin = least_grams(sums, k, length - k + 1, np.arange(n) - np.repeat(b.offsets[:-1], sizes))
+    # A string must end where its text does at the latest.
+    step = np.zeros(n + 1, np.int8)
+    long_ = sizes >= length
+    step[b.offsets[:-1][long_]] += 1
+    step[b.offsets[1:][long_] - length + 1] -= 1
+    valid = np.cumsum(step[:len(pin)], dtype=np.int8) > 0
+    head = valid.copy()
+    head[1:] &= (pin[1:] != pin[:-1]) | ~valid[:-1]
+    start = np.flatnonzero(head)
+    count = np.cumsum(valid)
+    return (start, np.diff(np.r_[count[start], count[-1] + 1]), np.searchsorted(b.offsets, start, "right") - 1,
+            mix(least[start] >> U64(6)), sums)
 
 
 def _cuts(doc: np.ndarray, n: int) -> np.ndarray:
@@ -62,11 +73,8 @@ def _cuts(doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pins(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        _, doc, key, pin, _ = _strings(text_bytes(batch.column("text")), length, k)
-        first = np.ones(len(pin), bool)
-        first[1:] = pin[1:] != pin[:-1]
-        doc, key = doc[first], key[first]
+    for batch in slices(batches, "text", SLICE_BYTES):
+        _, _, doc, key, _ = _runs(text_bytes(batch.column("text")), length, k)
         cuts = _cuts(doc, batch.num_rows)
         yield pa.RecordBatch.from_pydict({"owner": batch.column("id"), "keys": pa.array(
             [pack(np.unique(key[a:b]), "<u8") for a, b in zip(cuts, cuts[1:])], pa.binary())})
@@ -77,14 +85,10 @@ class Contexts:
 
     def __init__(self, texts: list[bytes], hits: pa.Array, length: int, k: int):
         self.bytes = Bytes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-        start, doc, key, pin, self.sums = _strings(self.bytes, length, k)
+        start, n, doc, key, self.sums = _runs(self.bytes, length, k)
+        # The strings of a run have one pin, so a run is shared or not as a whole.
         kept = member(key_lists(hits), doc, key)
-        start, doc, key, pin = start[kept], doc[kept], key[kept], pin[kept]
-        head = np.ones(len(start), bool)
-        head[1:] = (pin[1:] != pin[:-1]) | (start[1:] != start[:-1] + 1)
-        cut = np.flatnonzero(head)
-        self.n = np.diff(np.r_[cut, len(start)]).astype(np.int64)
-        self.start, self.doc, self.pin = start[cut], doc[cut], key[cut]
+        self.start, self.n, self.doc, self.pin = start[kept], n[kept], doc[kept], key[kept]
         self.edge = spans(self.sums, self.start, self.start + self.n + length - 1)
 
     def first_in_text(self) -> np.ndarray:
@@ -98,7 +102,7 @@ class Contexts:
 
 
 def _edges(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    for batch, texts in unpacked(batches):
+    for batch, texts in unpacked(batches, SLICE_BYTES):
         x = Contexts(texts, batch.column("hits"), length, k)
         cuts = _cuts(x.doc, batch.num_rows)
         yield pa.RecordBatch.from_pydict({"owner": batch.column("id"), "keys": pa.array(
@@ -107,7 +111,7 @@ def _edges(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[p
 
 def _open(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     """Contexts that no smaller document holds, with their bytes."""
-    for batch, texts in unpacked(batches):
+    for batch, texts in unpacked(batches, SLICE_BYTES):
         x = Contexts(texts, batch.column("hits"), length, k)
         take = x.first_in_text() & ~member(key_lists(batch.column("settled")), x.doc, x.edge)
         start, n, doc = x.start[take], x.n[take], x.doc[take]
@@ -176,7 +180,7 @@ def _context_strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator
 
 
 def _remove(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    for batch, texts in unpacked(batches):
+    for batch, texts in unpacked(batches, SLICE_BYTES):
         x = Contexts(texts, batch.column("hits"), length, k)
         n = batch.num_rows
         mask = np.where(member(key_lists(batch.column("settled")), x.doc, x.edge), np.int64(-1), np.int64(0))
@@ -190,23 +194,31 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[
                 own = x.edge[cuts[i]:cuts[i + 1]]
                 at = np.minimum(np.searchsorted(edge, own), len(edge) - 1)
                 mask[cuts[i]:cuts[i + 1]] |= np.where(edge[at] == own, bits[at], 0)
-        of = np.repeat(np.arange(len(x.n)), x.n)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(x.n) - x.n, x.n)
+        hot = key_lists(batch.column("hot"))
+        asked = np.array([len(h) > 0 for h in hot], bool)
+        # Strings are looked at one by one only in contexts that may lose some.
+        some = np.flatnonzero((mask != 0) | asked[x.doc])
+        of = np.repeat(some, x.n[some])
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(x.n[some]) - x.n[some], x.n[some])
         start, doc = x.start[of] + nth, x.doc[of]
         gone = (mask[of] >> nth) & 1 == 1
-        hot = key_lists(batch.column("hot"))
-        if any(len(h) for h in hot):
+        if asked.any():
             gone |= member(hot, doc, spans(x.sums, start, start + length))
         size = len(x.bytes.data) + 1
         cover = np.bincount(start[gone], minlength=size) - np.bincount(start[gone] + length, minlength=size)
         drop = np.cumsum(cover[:-1]) > 0
-        kept, removed, runs = [], [], []
-        for low, high in zip(x.bytes.offsets, x.bytes.offsets[1:]):
+        total = np.r_[0, np.cumsum(drop)][x.bytes.offsets]
+        removed = np.diff(total)
+        kept, runs = [], []
+        for low, high, lost in zip(x.bytes.offsets.tolist(), x.bytes.offsets[1:].tolist(), removed.tolist()):
+            if not lost:
+                kept.append(x.bytes.data[low:high].tobytes())
+                runs.append([])
+                continue
             part = drop[low:high]
             kept.append(x.bytes.data[low:high][~part].tobytes())
             edge = np.flatnonzero(np.diff(np.r_[False, part, False].astype(np.int8)))
-            runs.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
-            removed.append(int(part.sum()))
+            runs.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
         yield pa.RecordBatch.from_pydict({
             "id": batch.column("id"), "n_bytes": pa.array(np.diff(x.bytes.offsets), pa.int64()),
             "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()),

@@ -2,6 +2,7 @@
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
@@ -81,3 +82,19 @@ def test_queries(spark, given, name, expected):
 def test_lengths_that_the_ranks_do_not_hold_for_are_refused(edge_docs, length):
     with pytest.raises(ValueError):
         suffix_dedup.remove_repeats(edge_docs, length=length)
+
+
+def test_strings_with_one_pin_are_hashed_and_looked_up_once(monkeypatch):
+    """Work per run of strings, not per string; texts of exactly, under and over the length beside each other."""
+    looked = []
+    plain = suffix_dedup.member
+    monkeypatch.setattr(suffix_dedup, "member", lambda keys, doc, values: looked.append(len(values)) or plain(keys, doc, values))
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (50, 0, 49, 400, 51, 1, 3000, 50)]
+    own = next(suffix_dedup._pins(iter([pa.RecordBatch.from_pydict({"id": list(range(8)), "text": [t.decode() for t in texts]})]), 50, 20))
+    x = suffix_dedup.Contexts(texts, own.column("keys"), 50, 20)
+    strings = [(d, i) for d, t in enumerate(texts) for i in range(len(t) - 49)]
+    first = [sum(map(len, texts[:d])) for d in range(8)]
+    got = [(d, s - first[d] + i) for d, s, n in zip(x.doc.tolist(), x.start.tolist(), x.n.tolist()) for i in range(n)]
+    assert got == strings
+    assert looked == [len(x.n)] and looked[0] < len(strings) / 5
