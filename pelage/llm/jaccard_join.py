@@ -424,8 +424,7 @@ def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``id, tokens`` of the ids, written; of an id with several texts the set that its summary is about."""
-    ids = stored(ids.select("id"), "jaccard-wanted")
+    """``id, tokens`` of the written ids, written; of an id with several texts the set that its summary is about."""
     few = ids.count() <= BROADCAST_IDS
     return stored(
         texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(
@@ -434,6 +433,46 @@ def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         "jaccard-sets")
 
 
+def _with_sets_of(sets: DataFrame, texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``sets`` and those of the ids that it lacks."""
+    lacking = stored(ids.join(sets, "id", "left_anti").select("id"), "jaccard-wanted")
+    return sets if lacking.isEmpty() else sets.unionByName(_sets_of(texts, lacking, k))
+
+
+def _grown(groups: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``id, component`` after further links, which are written."""
+    if links.isEmpty():
+        return groups
+    return components(groups.select(c("id").alias("a"), c("component").alias("b")).union(links), name)
+
+
+def _joined_everywhere(shared: DataFrame, firsts: DataFrame, groups: DataFrame, sets: DataFrame, texts: DataFrame,
+                       k: int, bands: Bands) -> DataFrame:
+    """``id, component`` of the first links' ``groups`` and of all links that the buckets still hold.
+
+    A step is left out when the one before it found nothing for it.
+    """
+    # All buckets: rows outside a bucket's main component look for mates of other components.
+    labelled = stored(_labelled(shared, groups), "jaccard-labelled")
+    pairs = stored(in_buckets(labelled, distinct_buckets(labelled), firsts, _nearest, _PAIRS, bands), "jaccard-pairs")
+    if pairs.isEmpty():
+        return groups
+    ids = _ids(pairs)
+    sets = _with_sets_of(sets, texts, ids, k)
+    groups = _grown(groups, stored(verified(pairs, sets, bands.percent), "jaccard-links"), "jaccard-second")
+
+    # What is left: buckets that such rows are in, sets compared inside the bucket.
+    held = labelled.join(ids, "id", "left_semi").select("key").distinct()
+    left = stored(_labelled(labelled.drop("component").join(held, "key", "left_semi"), groups), "jaccard-left")
+    concerned = stored(in_buckets(left, distinct_buckets(left), firsts, _concerned, "id long", bands), "jaccard-concerned")
+    if concerned.isEmpty():
+        return groups
+    whole = firsts.join(concerned, "id", "left_semi").join(_with_sets_of(sets, texts, concerned, k), "id")
+    last = stored(left.join(whole.select("id", "n"), "id"), "jaccard-last-rows")
+    more = in_buckets(last, distinct_buckets(last), whole, _spanning, _PAIRS, bands)
+    return _grown(groups, stored(more, "jaccard-more"), "jaccard-last")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
                    percent: int = 85) -> DataFrame:
     """``id, n_shingles, component``: component is the smallest id reachable by links.
@@ -467,23 +506,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = _sets_of(texts, _ids(pairs), k)
     links = stored(verified(pairs, sets, percent), "jaccard-links")
 
-    # All buckets: rows outside a bucket's main component look for mates of other components.
-    labelled = stored(_labelled(shared, components(links, "jaccard-first")), "jaccard-labelled")
-    pairs = stored(in_buckets(labelled, distinct_buckets(labelled), firsts, _nearest, _PAIRS, bands), "jaccard-pairs")
-    ids = _ids(pairs)
-    sets = stored(sets.unionByName(_sets_of(texts, ids.join(sets, "id", "left_anti"), k)), "jaccard-all-sets")
-    links = stored(links.union(verified(pairs, sets, percent)), "jaccard-links")
-
-    # What is left: buckets that such rows are in, sets compared inside the bucket.
-    held = labelled.join(ids, "id", "left_semi").select("key").distinct()
-    left = stored(_labelled(labelled.drop("component").join(held, "key", "left_semi"), components(links, "jaccard-second")), "jaccard-left")
-    concerned = stored(in_buckets(left, distinct_buckets(left), firsts, _concerned, "id long", bands), "jaccard-concerned")
-    sets = sets.unionByName(_sets_of(texts, concerned.join(sets, "id", "left_anti"), k))
-    whole = firsts.join(concerned, "id", "left_semi").join(sets, "id")
-    last = stored(left.join(whole.select("id", "n"), "id"), "jaccard-last-rows")
-    more = in_buckets(last, distinct_buckets(last), whole, _spanning, _PAIRS, bands)
-    groups = stored(components(links.union(more), "jaccard-last"), "jaccard-groups")
-
+    groups = _joined_everywhere(shared, firsts, components(links, "jaccard-first"), sets, texts, k, bands)
     first = classes.join(groups.withColumnRenamed("id", "first"), "first", "left").select(
         "n", "f1", "f2", F.coalesce("component", "first").alias("component"))
     return summary.join(first, ["n", "f1", "f2"], "left").select(

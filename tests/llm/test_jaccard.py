@@ -8,9 +8,11 @@ import pyarrow as pa
 import pytest
 from conftest import SF_DIR, SCHEMA, prose, rows_of
 
+from pelage.llm import components as components_module
 from pelage.llm import jaccard_join
 from pelage.llm.hashing import mix
 from pelage.llm.registry import QUERIES
+from pelage.llm.storage import stored
 import pelage.llm.catalog  # noqa: F401
 
 
@@ -108,3 +110,45 @@ def test_sketches_grow_with_the_sets():
     a, b = (np.unique(mix(rng.integers(1, 1 << 40, 20_000).astype(np.uint64))) for _ in range(2))
     bits = [np.unpackbits(np.frombuffer(jaccard_join.bit_sketch(x, bands.bits(bands.band(len(x)))), np.uint8)) for x in (a, b)]
     assert (bits[0] ^ bits[1]).sum() > bands.difference(len(a) + len(b))
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Names of the steps that the join and its components write."""
+    names = []
+
+    def noted(df, name):
+        names.append(name)
+        return stored(df, name)
+
+    monkeypatch.setattr(jaccard_join, "stored", noted)
+    monkeypatch.setattr(components_module, "stored", noted)
+    return names
+
+
+def test_stars_take_no_round(spark, written):
+    edges = [(1, 5), (5, 1), (7, 1), (-4, 9), (3, 3)]
+    found = components_module.components(spark.createDataFrame(edges, "a long, b long"), "star")
+    assert sorted(map(tuple, found.collect())) == [(-4, -4), (1, 1), (5, 1), (7, 1), (9, -4)]
+    assert written == ["star-edges"]
+
+
+def test_components_of_random_graphs(spark):
+    r = random.Random(12)
+    edges = [(r.randrange(-150, 150), r.randrange(-150, 150)) for _ in range(130)] + [(x, x + 1) for x in range(1000, 1040)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(edges)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    found = components_module.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == sorted(root.items())
+
+
+def test_steps_that_have_nothing_to_do_are_left_out(spark, written):
+    base = prose(21, 60)
+    texts = [base, f"{base} end", *(prose(i, 60) for i in range(30, 36))]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    found = {x.id: x.component for x in jaccard_join.similar_groups(docs).collect()}
+    assert found == {0: 0, 1: 0, **{i: i for i in range(2, 8)}}
+    assert written.count("jaccard-pairs") == 2 and not {"jaccard-left", "jaccard-concerned", "jaccard-first-round"} & set(written)
