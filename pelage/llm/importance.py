@@ -43,13 +43,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelage.llm.hashing import (
     SLICE_BYTES, U64, Bytes, Words, prefix, slices, span_table, spans, text_bytes, word_runs,
 )
-from pelage.llm.storage import released, small_batches, stored
+from pelage.llm.storage import give_back, released, small_batches, stored
 
 c = F.col
 
@@ -139,7 +139,7 @@ def evidence(toxic: np.ndarray, harmless: np.ndarray, share: np.ndarray) -> np.n
 class ToxicModels:
     """Documents of both sides per bucket that may tell, and the ids of both fitting samples."""
 
-    def __init__(self, counts: pa.Table, toxic_ids: list[int], harmless_ids: list[int]):
+    def __init__(self, counts: pa.Table, toxic_ids: np.ndarray, harmless_ids: np.ndarray):
         bucket, toxic, harmless = (np.asarray(counts.column(k)) for k in ("bucket", "toxic", "harmless"))
         self.total = np.array([harmless[bucket < 0].sum(), toxic[bucket < 0].sum()])
         share = self.total[1] / max(self.total.sum(), 1)
@@ -148,7 +148,7 @@ class ToxicModels:
                                 | (evidence(toxic, np.maximum(harmless - 1, 0), share) >= EVIDENCE - 1))
         order = np.argsort(bucket[near])
         self.bucket, self.toxic, self.harmless = (x[near][order] for x in (bucket, toxic, harmless))
-        self.ids = np.array(sorted(harmless_ids), np.int64), np.array(sorted(toxic_ids), np.int64)
+        self.ids = np.sort(harmless_ids), np.sort(toxic_ids)
 
     def scores(self, ids: pa.Array, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Sum of the log ratios of the telling n-grams of each text, each once, the text itself left out of the counts."""
@@ -170,11 +170,11 @@ class ToxicModels:
 class Models:
     """Counts per bucket over all documents and over the targets, and the ids of the targets."""
 
-    def __init__(self, counts: list, target_ids: list[int]):
+    def __init__(self, counts: pa.Table, target_ids: np.ndarray):
         self.raw, self.target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for row in counts:
-            self.raw[row["bucket"]], self.target[row["bucket"]] = row["raw"], row["target"]
-        self.ids = np.array(sorted(target_ids), np.int64)
+        bucket = np.asarray(counts.column("bucket"))
+        self.raw[bucket], self.target[bucket] = np.asarray(counts.column("raw")), np.asarray(counts.column("target"))
+        self.ids = np.sort(target_ids)
 
     def log_weights(self, ids: pa.Array, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Mean log of target over raw likelihood per n-gram of each text, its own counts left out."""
@@ -195,16 +195,14 @@ class Models:
         return np.bincount(doc, weights=parts, minlength=n) / np.maximum(size, 1)
 
 
-def labelled(labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Fitting samples of targets (good quality, not toxic) and rejects (bad quality), at most ``FIT_ROWS`` ids each."""
-    judged = _judged(labels, id_col)
-    return _drawn(judged.where("worst = 1 AND coalesce(harm, 0) = 0")), _drawn(judged.where("best = 0"))
+# Labelled documents of each fitting sample: of good quality and not toxic, of bad quality, toxic, harmless.
+SAMPLES = {"targets": "worst = 1 AND coalesce(harm, 0) = 0", "rejects": "best = 0", "toxic": "harm = 1", "harmless": "harm = 0"}
 
 
-def toxicity_labelled(labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Fitting samples of toxic and of harmless documents, at most ``FIT_ROWS`` ids each."""
-    judged = _judged(labels, id_col)
-    return _drawn(judged.where("harm = 1")), _drawn(judged.where("harm = 0"))
+def fitting_samples(labels: DataFrame, names: list[str], id_col: str = "doc_id") -> dict[str, np.ndarray]:
+    """Ids of each named sample, at most ``FIT_ROWS`` by a hash of the id, drawn once and held by the driver."""
+    judged = stored(_judged(labels, id_col), "importance-judged")
+    return {name: _drawn(judged.where(SAMPLES[name])) for name in names}
 
 
 def _judged(labels: DataFrame, id_col: str) -> DataFrame:
@@ -212,45 +210,49 @@ def _judged(labels: DataFrame, id_col: str) -> DataFrame:
         F.min("quality").alias("worst"), F.max("quality").alias("best"), F.max("toxic").alias("harm"))
 
 
-def _drawn(rows: DataFrame) -> DataFrame:
-    return rows.select("labelled_id").orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(FIT_ROWS)
+def _drawn(rows: DataFrame) -> np.ndarray:
+    drawn = rows.select("labelled_id").orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(FIT_ROWS)
+    return np.asarray(drawn.toArrow().column("labelled_id"), np.int64)
 
-def threshold(good: list[float], bad: list[float]) -> float:
+
+def _sides(spark: SparkSession, samples: list[np.ndarray]) -> DataFrame:
+    """``labelled_id, side``: the ids of the samples with the sample's number; small enough to go to all executors."""
+    side = np.repeat(np.arange(len(samples), dtype=np.int32), [len(ids) for ids in samples])
+    table = pa.table({"labelled_id": pa.array(np.concatenate(samples), pa.int64()), "side": pa.array(side)})
+    return F.broadcast(spark.createDataFrame(table, "labelled_id long, side int"))
+
+
+def threshold(good: np.ndarray, bad: np.ndarray) -> float:
     """Midpoint of the gap at which the share of good above plus the share of bad below is largest."""
-    if not good:
+    if not len(good):
         return float("inf")
-    if not bad:
-        return min(good)
-    values = np.unique(np.array([*good, *bad]))
+    if not len(bad):
+        return float(np.min(good))
+    values = np.unique(np.concatenate([good, bad]))
     cuts = np.r_[values[0] - 1, (values[1:] + values[:-1]) / 2]
     above = 1 - np.searchsorted(np.sort(good), cuts) / len(good)
     below = np.searchsorted(np.sort(bad), cuts) / len(bad)
     return float(cuts[np.argmax(above + below)])
 
 
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -> Models:
-    """The driver gets one row of counts per bucket and the ids of the fitting sample."""
+def fit(docs: DataFrame, targets: np.ndarray, id_col: str, text_col: str) -> Models:
+    """The driver gets one row of counts per bucket; it has the ids of the fitting sample."""
     rows = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text"))
-    chosen = [row[0] for row in target_ids.collect()]
-    # At most FIT_ROWS ids, so they may go to all executors.
-    drawn = docs.sparkSession.createDataFrame([(i,) for i in chosen], "target_id long")
-    marked = rows.join(F.broadcast(drawn), c("id") == c("target_id"), "left").select(
-        "text", c("target_id").isNotNull().alias("target"))
+    marked = rows.join(_sides(docs.sparkSession, [targets]), c("id") == c("labelled_id"), "left").select(
+        "text", c("labelled_id").isNotNull().alias("target"))
     counted = marked.mapInArrow(_counts, "bucket int, raw long, target long")
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    return Models(stored(sums, "importance-counts").collect(), chosen)
+    return Models(stored(sums, "importance-counts").toArrow(), targets)
 
 
-def fit_toxic(docs: DataFrame, toxic: DataFrame, harmless: DataFrame, id_col: str, text_col: str) -> ToxicModels:
-    """The driver gets at most one row of counts per toxic bucket and the ids of the fitting samples."""
+def fit_toxic(docs: DataFrame, toxic: np.ndarray, harmless: np.ndarray, id_col: str, text_col: str) -> ToxicModels:
+    """The driver gets a row of counts per bucket that a toxic document has, as no other can tell."""
     rows = docs.select(c(id_col).cast("long").alias("id"), c(text_col).cast("string").alias("text"))
-    sides = [[row[0] for row in side.collect()] for side in (harmless, toxic)]
-    drawn = docs.sparkSession.createDataFrame(
-        [(i, bool(side)) for side, ids in enumerate(sides) for i in ids], "labelled_id long, toxic boolean")
-    marked = rows.join(F.broadcast(drawn), c("id") == c("labelled_id")).select("text", "toxic")
+    marked = rows.join(_sides(docs.sparkSession, [harmless, toxic]), c("id") == c("labelled_id")).select(
+        "text", (c("side") == 1).alias("toxic"))
     counted = marked.mapInArrow(_toxic_counts, "bucket int, harmless long, toxic long")
     sums = counted.groupBy("bucket").agg(F.sum("harmless").alias("harmless"), F.sum("toxic").alias("toxic"))
-    return ToxicModels(stored(sums, "importance-toxic-counts").toArrow(), sides[1], sides[0])
+    return ToxicModels(stored(sums.where("toxic > 0 OR bucket < 0"), "importance-toxic-counts").toArrow(), toxic, harmless)
 
 
 def weights(key: Column, text: Column, models: Models, toxic: ToxicModels | None = None) -> Column:
@@ -306,31 +308,33 @@ class Sampler:
     def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  k: int | None = None, reject_toxic: bool = False):
         self.id_col, self.text_col = id_col, text_col
-        good, bad = labelled(labels)
-        self.models, self.toxic_models, self.toxic_cut = fit(docs, good, id_col, text_col), None, float("inf")
+        sides = (["toxic", "harmless"] if reject_toxic else []) + (["rejects"] if k is None else [])
+        samples = fitting_samples(labels, ["targets", *sides])
+        self.models, self.toxic_models, self.toxic_cut = fit(docs, samples["targets"], id_col, text_col), None, float("inf")
         if reject_toxic:
-            toxic, harmless = toxicity_labelled(labels)
-            self.toxic_models = fit_toxic(docs, toxic, harmless, id_col, text_col)
+            self.toxic_models = fit_toxic(docs, samples["toxic"], samples["harmless"], id_col, text_col)
         self.scored = stored(docs.select(c(id_col).alias("id"), self._weights().alias("w")).select("id", "w.*"),
                              "importance-weights")
+        scores = self._scores(samples) if sides else {}
         if reject_toxic:
-            self.toxic_cut = self._threshold("toxicity", toxic, harmless)
+            self.toxic_cut = threshold(*(scores[x]["toxicity"] for x in ("toxic", "harmless")))
         drawable = self.scored.where(~self._toxic(c("toxicity")))
         if k is None:
-            k = drawable.where(c("log_ratio") >= self._threshold("log_ratio", good, bad)).count()
+            k = drawable.where(c("log_ratio") >= threshold(*(scores[x]["log_ratio"] for x in ("targets", "rejects")))).count()
         self.k = k
         self.cut = kth_code(drawable.select(code(self._key(c("log_ratio"), c("id"))).alias("code")), k)
+        give_back()
 
     def _weights(self) -> Column:
         return weights(c(self.id_col), c(self.text_col), self.models, self.toxic_models)
 
-    def _threshold(self, score: str, high: DataFrame, low: DataFrame) -> float:
-        """From the scores of the labelled samples, at most twice ``FIT_ROWS`` (and their repeated rows)."""
-        sides = []
-        for sample in (high, low):
-            rows = self.scored.join(F.broadcast(sample), c("id") == c("labelled_id"))
-            sides.append([r[0] for r in rows.groupBy("id").agg(F.min(score).alias("score")).select("score").collect()])
-        return threshold(*sides)
+    def _scores(self, samples: dict[str, np.ndarray]) -> dict[str, dict[str, np.ndarray]]:
+        """Both scores of the documents of each sample, at most ``FIT_ROWS``; of repeated rows the least. One query for all samples."""
+        names = ("log_ratio", "toxicity")
+        rows = self.scored.join(_sides(self.scored.sparkSession, list(samples.values())), c("id") == c("labelled_id"))
+        found = rows.groupBy("id", "side").agg(*[F.min(x).alias(x) for x in names]).select("side", *names).toArrow()
+        side = np.asarray(found.column("side"))
+        return {sample: {x: np.asarray(found.column(x))[side == i] for x in names} for i, sample in enumerate(samples)}
 
     def _toxic(self, score: Column) -> Column:
         """Texts without a telling n-gram are never toxic."""

@@ -395,6 +395,11 @@ def distinct_buckets(rows: DataFrame, grouped: bool = True) -> DataFrame:
     return buckets.join(once.select("key"), "key", "left_semi").select("key", "size", "members", "main")
 
 
+def _buckets(rows: DataFrame, grouped: bool = True) -> DataFrame:
+    """Those buckets, written: in one plan with the comparison the driver would plan all of it again after each of a dozen stages."""
+    return stored(distinct_buckets(rows, grouped), "jaccard-buckets")
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -454,7 +459,7 @@ def _joined_everywhere(shared: DataFrame, firsts: DataFrame, groups: DataFrame,
     """
     # All buckets: rows outside a bucket's main component look for mates of other components.
     labelled = stored(_labelled(shared, groups), "jaccard-labelled")
-    pairs = stored(in_buckets(labelled, distinct_buckets(labelled), firsts, _nearest, _PAIRS, bands), "jaccard-pairs")
+    pairs = stored(in_buckets(labelled, _buckets(labelled), firsts, _nearest, _PAIRS, bands), "jaccard-pairs")
     if pairs.isEmpty():
         return groups
     ids = _ids(pairs)
@@ -464,12 +469,12 @@ def _joined_everywhere(shared: DataFrame, firsts: DataFrame, groups: DataFrame,
     # What is left: buckets that such rows are in, sets compared inside the bucket.
     held = labelled.join(ids, "id", "left_semi").select("key").distinct()
     left = stored(_labelled(labelled.drop("component").join(held, "key", "left_semi"), groups), "jaccard-left")
-    concerned = stored(in_buckets(left, distinct_buckets(left), firsts, _concerned, "id long", bands), "jaccard-concerned")
+    concerned = stored(in_buckets(left, _buckets(left), firsts, _concerned, "id long", bands), "jaccard-concerned")
     if concerned.isEmpty():
         return groups
     whole = firsts.join(concerned, "id", "left_semi").join(_with_sets_of(sets, texts, concerned, k), "id")
     last = stored(left.join(whole.select("id", "n"), "id"), "jaccard-last-rows")
-    more = in_buckets(last, distinct_buckets(last), whole, _spanning, _PAIRS, bands)
+    more = in_buckets(last, _buckets(last), whole, _spanning, _PAIRS, bands)
     return _grown(groups, stored(more, "jaccard-more"), "jaccard-last")
 
 
@@ -502,7 +507,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     two = shared.groupBy("id").agg(F.min(turn).alias("a"), F.max(turn).alias("b")).select(
         "id", F.explode(F.array_distinct(F.array("a.key", "b.key"))).alias("key"))
     few = stored(shared.join(two, ["id", "key"]).withColumn("component", c("id")), "jaccard-few")
-    pairs = stored(in_buckets(few, distinct_buckets(few, grouped=False), firsts, _nearest, _PAIRS, bands), "jaccard-pairs")
+    pairs = stored(in_buckets(few, _buckets(few, grouped=False), firsts, _nearest, _PAIRS, bands), "jaccard-pairs")
     sets = _sets_of(texts, _ids(pairs), k)
     links = stored(verified(pairs, sets, percent), "jaccard-links")
 

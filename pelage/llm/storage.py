@@ -42,6 +42,15 @@ def small_batches(spark) -> None:
     spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(spark.conf.get(_BATCH, "10000")))))
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def released(task):
     """A task function that gives its memory back to the system when it ends; an idle Python worker keeps it otherwise."""
     @wraps(task)
@@ -49,10 +58,6 @@ def released(task):
         try:
             yield from task(*args, **kwargs)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            give_back()
 
     return run

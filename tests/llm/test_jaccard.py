@@ -152,3 +152,12 @@ def test_steps_that_have_nothing_to_do_are_left_out(spark, written):
     found = {x.id: x.component for x in jaccard_join.similar_groups(docs).collect()}
     assert found == {0: 0, 1: 0, **{i: i for i in range(2, 8)}}
     assert written.count("jaccard-pairs") == 2 and not {"jaccard-left", "jaccard-concerned", "jaccard-first-round"} & set(written)
+
+
+def test_buckets_are_written_before_they_are_compared(spark, written):
+    """One plan for both is planned anew by the driver after each of its many stages."""
+    base = prose(22, 60)
+    docs = spark.createDataFrame(rows_of([base, f"{base} end", *(prose(i, 60) for i in range(40, 44))]), SCHEMA)
+    found = {x.id: x.component for x in jaccard_join.similar_groups(docs).collect()}
+    assert found == {0: 0, 1: 0, **{i: i for i in range(2, 6)}}
+    assert written.count("jaccard-buckets") == 2

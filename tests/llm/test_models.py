@@ -158,3 +158,18 @@ def test_importance_draw_of_k(spark):
     docs = spark.createDataFrame(rows_of([prose(i, 30) for i in range(40)]), SCHEMA)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
     assert importance.Sampler(docs, labels, k=15).keep(docs).count() == 15
+
+
+def test_driver_gets_what_decides_only(spark, monkeypatch):
+    """Labels are judged once for all samples, and no row comes for buckets that no toxic document has."""
+    written, counts = [], []
+    stored, models = importance.stored, importance.ToxicModels
+    monkeypatch.setattr(importance, "stored", lambda df, name: (written.append(name), stored(df, name))[1])
+    monkeypatch.setattr(importance, "ToxicModels", lambda table, *ids: (counts.append(table), models(table, *ids))[1])
+    docs = spark.createDataFrame(rows_of([f"{prose(i, 40)} {'vileword' if i % 6 == 1 else ''}" for i in range(60)]), SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 6 == 1)) for i in range(60)], "doc_id long, quality int, toxic int")
+    importance.Sampler(docs, labels, reject_toxic=True)
+    assert written.count("importance-judged") == 1
+    rows = counts[0].to_pylist()
+    assert [(r["harmless"], r["toxic"]) for r in rows if r["bucket"] < 0] == [(50, 10)]
+    assert len(rows) > 1 and all(r["toxic"] > 0 for r in rows)
