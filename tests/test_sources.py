@@ -5,15 +5,19 @@ import os
 import struct
 import sys
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyarrow import fs as pyarrow_fs
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pelage.operators import boxes as B
 from pelage.operators import dataset as D
 from pelage import session
+from pelage.functions.text import folder_name
 from pelage.operators import file_benchmark as FB
 from pelage.operators import inference as I
 from pelage.operators import retrieval as R
@@ -233,6 +237,52 @@ def test_label_files_to_be_read_stand_on_disk_some_at_a_time(spark, tmp_path, mo
     assert not any(os.path.exists(r) for r in roots)
 
 
+def test_a_folder_of_one_task_is_moved_as_a_whole(tmp_path, monkeypatch):
+    """Files of a folder that two tasks have written, that has a folder below it or stands already are moved one by one."""
+    moved = []
+
+    class Counting(pyarrow_fs.LocalFileSystem):
+        def move(self, source, target):
+            moved.append(target.removeprefix(f"{tmp_path}/"))
+            super().move(source, target)
+
+    monkeypatch.setattr(label_files, "shared_files", lambda root: (Counting(), root.removeprefix("file://")))
+    (tmp_path / "old").mkdir()
+    writer, messages = label_files._Writer(f"file://{tmp_path}", 0, False), []
+    for number, names in enumerate((["own/a.txt", "own/b.txt", "own/c.txt", "two/a.txt", "up/a.txt", "old/a.txt"], ["two/b.txt", "up/low/a.txt", "flat.txt"], [])):
+        monkeypatch.setattr(label_files, "TaskContext", SimpleNamespace(get=lambda n=number: SimpleNamespace(partitionId=lambda: n, taskAttemptId=lambda: 0)))
+        rows = pa.table({"label_path": pa.array(names, pa.string()), "position": pa.array([2] * len(names), pa.int64()),
+                         "box": pa.array([[0.0, 0.5, 0.5, 0.25, 0.25]] * len(names), pa.list_(pa.float64())),
+                         "points": pa.array([[]] * len(names), pa.list_(pa.float64()))})
+        messages.append(writer.write(iter(rows.to_batches())))
+    writer.commit(messages)
+    found = sorted(str(x.relative_to(tmp_path)) for x in tmp_path.rglob("*.txt"))
+    assert found == ["flat.txt", "old/a.txt", "own/a.txt", "own/b.txt", "own/c.txt", "two/a.txt", "two/b.txt", "up/a.txt", "up/low/a.txt"]
+    assert sorted(x for x in moved if not x.startswith("_labels")) == ["flat.txt", "old/a.txt", "own", "two/a.txt", "two/b.txt", "up/a.txt", "up/low"]
+    assert (tmp_path / "own/a.txt").read_text() == "0 0.500000 0.500000 0.250000 0.250000\n" and not (tmp_path / "_drafts").exists()
+
+
+def test_lists_to_be_written_have_no_nulls(spark, tmp_path, monkeypatch):
+    """A missing box or missing keypoints still differ from empty ones."""
+    seen = []
+    monkeypatch.setattr(label_files, "_lists", lambda column, plain=label_files._lists: seen.append(column.null_count) or plain(column))
+    batch = pa.RecordBatch.from_pydict({"x": pa.array([[1.0, 2.0], [], [None]], pa.list_(pa.float64()))})
+    assert label_files._lists(batch.column("x").slice(1)) == [[], [None]] and label_files._lists(batch.column("x").slice(0, 2)) == [[1.0, 2.0], []]
+    lines = spark.createDataFrame(
+        [("a/1.txt", 0, [0.0, 0.5, 0.5, 0.5, 0.5], None), ("a/1.txt", 1, [0.0, 0.5, 0.5, 0.5, 0.5], [0.25, 0.5, 2.0]), ("a/2.txt", 0, None, None)],
+        "label_path string, position long, box array<double>, points array<double>")
+    label_files.write_label_files(lines, str(tmp_path), joints=1, paths=lines.select("label_path").distinct())
+    assert (tmp_path / "a/1.txt").read_text() == "0 0.500000 0.500000 0.500000 0.500000 0 0 0\n0 0.500000 0.500000 0.500000 0.500000 0.250000 0.500000 2\n"
+    assert (tmp_path / "a/2.txt").read_text() == ""
+
+
+def test_name_of_the_folder_of_a_file(spark):
+    paths = ["a/b/c.jpg", "b/c.jpg", "/c.jpg", "c.jpg", "a//c.jpg", "a/b/", "", "file:///a/b b/c.jpg", None]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select(
+        folder_name(c("path")).alias("got"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] == ["b", "b", "", "", "", "", "", "b b", None]
+
+
 def test_an_image_with_very_many_boxes_is_one_file_in_order(spark, tmp_path):
     lines = spark.range(30_000).select(
         F.lit("a/big.txt").alias("label_path"), c("id").alias("position"), F.array(F.lit(0), c("id") / 1e5, F.lit(0.5), F.lit(0.1), F.lit(0.1)).alias("box"),
