@@ -276,6 +276,29 @@ def test_lists_to_be_written_have_no_nulls(spark, tmp_path, monkeypatch):
     assert (tmp_path / "a/2.txt").read_text() == ""
 
 
+def test_folders_to_be_listed_stand_on_disk_some_at_a_time(spark, tmp_path, monkeypatch):
+    """Each folder is written and listed once, in one portion; the rows are those of all at once, and the files are gone."""
+    spark.range(300).select(c("id").alias("o_orderkey"), (c("id") % 40).alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    query, standing, roots, plain = catalog.queries()["scan_identity_folders"], [], [], io_queries._folder_files
+    want = sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+
+    def write(t, images, name):
+        roots.append(plain(t, images, name).removeprefix("file://"))
+        standing.append(sorted(f"{os.path.basename(at)}/{x}" for r in roots for at, _, names in os.walk(r) for x in names if not x.startswith(".")))
+        return roots[-1]
+
+    monkeypatch.setattr(io_queries, "LISTED_FILES_AT_ONCE", 75)
+    monkeypatch.setattr(io_queries, "_folder_files", write)
+    got = sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+    assert got == want and len(got) == 200
+    assert len(standing) == 4 and max(map(len, standing)) < 200
+    every = [x for names in standing for x in names]
+    assert len(every) == len(set(every)) == 300
+    folders = [{x.split("/")[0] for x in names} for names in standing]
+    assert sum(map(len, folders)) == len(set().union(*folders)) == 40
+    assert not any(os.path.exists(r) for r in roots)
+
+
 def test_name_of_the_folder_of_a_file(spark):
     paths = ["a/b/c.jpg", "b/c.jpg", "/c.jpg", "c.jpg", "a//c.jpg", "a/b/", "", "file:///a/b b/c.jpg", None]
     rows = spark.createDataFrame([(p,) for p in paths], "path string").select(
