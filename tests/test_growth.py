@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pelage.operators import heads, negatives, retrieval, tiles, verification
+from pelage.operators import heads, negatives, retrieval, selection, tiles, verification
 from pelage.plans import catalog, io_queries
 from pelage.plans.bindings import Tables
 
@@ -39,6 +39,27 @@ def test_codes_of_sampled_pairs_need_no_vectors_per_pair(spark, monkeypatch, wei
     assert sorted(r[0] for r in found.collect()) == sorted(int(codes[a, b]) for a, b in pairs)
 
 
+@pytest.mark.parametrize("weighting", negatives.WEIGHTINGS)
+@pytest.mark.parametrize("target", [700, 100_000])
+def test_samples_of_very_many_pairs_are_marked_and_not_listed(spark, monkeypatch, weighting, target):
+    """Several rounds of marking, then the last pairs slot by slot: the same codes as those of the listed pairs."""
+    rows, items = _items(spark, 60)
+    want = sorted(r[0] for r in negatives.Negatives(items, target, 42, weighting).codes().collect())
+    for name, value in {"MARKED_FROM": 40, "MARKED_PER_TASK": 64, "MARKED_PER_ROUND": 256, "MARKED_BLOCK": 16, "MARKED_ROWS": 5}.items():
+        monkeypatch.setattr(negatives, name, value)
+    sample = negatives.Negatives(items, target, 42, weighting)
+    monkeypatch.setattr(sample, "codes", lambda: pytest.fail("pairs are listed"))
+    tiles_of = sample.histograms()
+    total, found = selection.order_statistics(tiles_of, -tiles.SCALE - 10, tiles.SCALE + 11, lambda n: list(range(n)))
+    assert total == len(want) and [found[i] for i in range(total)] == want
+
+
+def test_packed_cells_are_the_cells():
+    for cells in ([], [0], [255, 256], [3, 70_000, 1 << 25], sorted(np.random.default_rng(5).choice(1 << 20, 5_000, replace=False))):
+        cells = np.array(cells, np.int64)
+        assert negatives.unpacked_cells(len(cells), negatives.packed_cells(cells)).tolist() == cells.tolist()
+
+
 def test_average_precision_copies_a_vector_once_per_task(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(retrieval, "_LEVELS_PER_BLOCK", 64)
